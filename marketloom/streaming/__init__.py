@@ -1,0 +1,4 @@
+"""No streaming operators: every entry point of this library is a batch job.
+
+Late facts are handled by availability dates (``operators.asof``), a batch rule.
+"""
