@@ -23,7 +23,6 @@ def local_session(cpus: int | str = 8, app: str = "marketloom") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.local.dir", scratch)
-        .config("spark.checkpoint.dir", os.path.join(scratch, "checkpoint"))
         .config("spark.sql.warehouse.dir", os.path.join(scratch, "warehouse"))
         .getOrCreate()
     )
