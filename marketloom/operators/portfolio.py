@@ -19,3 +19,20 @@ def mean_of_available(columns: list[str]) -> Column:
     """Mean of the non-null columns of a row."""
     total = add_all([F.coalesce(F.col(c), F.lit(0.0)) for c in columns])
     return safe_divide(total, add_all([F.col(c).isNotNull().cast("int") for c in columns]))
+
+
+def topk_days(df: DataFrame, score: str, top_ks: list[int], target: str, adv: str, participation: float) -> DataFrame:
+    """Per (date, K): names, turnover against the previous set, outcomes, hit rate and capacity."""
+    from ..functions.expr import with_scenarios
+    from .calendar import sessions
+    from .execution import stays, top_rows
+
+    top = with_scenarios(top_rows(df, score, max(top_ks)), ["top_k"], [(k,) for k in top_ks]).where("raw_rank <= top_k")
+    marked = stays(top, sessions(df), DATE, ["top_k"])
+    day = marked.groupBy(DATE, "top_k").agg(
+        F.count(F.lit(1)).alias("names"), F.sum(F.col("stayed").cast("bigint")).alias("_kept"), F.avg(target).alias("target_mean"),
+        F.avg(F.coalesce(F.col(target) >= 0.02, F.lit(False)).cast("double")).alias("hit_2pct"),
+        F.percentile(adv, F.lit(0.5)).alias("median_adv"), F.percentile(adv, F.lit(0.25)).alias("p25_adv"),
+        (F.sum(adv) * participation).alias("capacity"), F.min("session").alias("_s"))
+    turnover = F.when(F.col("_s") == 1, 1.0).otherwise(1.0 - F.col("_kept") / F.col("names"))
+    return day.withColumn("turnover", turnover).drop("_kept", "_s")
