@@ -313,7 +313,7 @@ def band_mix(spark, d):
     d AS (SELECT trade_date, top_k, count(*) AS names, avg(open_to_high) AS m, avg((coalesce(open_to_high, -1) >= 0.02)::INT) AS h, median(adv) AS med, quantile_cont(adv, 0.25) AS p25,
                  sum(adv) * 0.1::DOUBLE AS cap FROM s GROUP BY 1, 2)
     SELECT trade_date, top_k, names, round(CASE WHEN trade_date = min(trade_date) OVER () THEN 1.0::DOUBLE ELSE 1 - coalesce(kept, 0) / names END, 6) AS turnover, round(m, 6) AS target_mean,
-           round(h, 6) AS hit_2pct, round(med, 7) AS median_adv, round(p25, 7) AS p25_adv, round(cap, 7) AS capacity FROM d LEFT JOIN k USING (trade_date, top_k)""", "selected daily")
+           round(h, 6) AS hit_2pct, round(med, 9) AS median_adv, round(p25, 9) AS p25_adv, round(cap, 9) AS capacity FROM d LEFT JOIN k USING (trade_date, top_k)""", "selected daily")
 def topk_daily_metrics(spark, d):
     from ..operators.portfolio import topk_days
     from ..operators.rolling import rolling
@@ -321,4 +321,4 @@ def topk_daily_metrics(spark, d):
     adv = rolling(V.daily(spark, d).select(*KEYS, "amount"), "amount", 20, 1, {"adv": F.avg}).select(*KEYS, "adv")
     s = staged(signals(spark, d).join(adv, KEYS))
     out = topk_days(s, "pred", TOPS, "open_to_high", "adv", 0.1)
-    return rounded(rounded(out, "turnover", "target_mean", "hit_2pct"), "median_adv", "p25_adv", "capacity", digits=7)
+    return rounded(rounded(out, "turnover", "target_mean", "hit_2pct"), "median_adv", "p25_adv", "capacity", digits=9)

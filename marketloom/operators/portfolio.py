@@ -36,3 +36,93 @@ def topk_days(df: DataFrame, score: str, top_ks: list[int], target: str, adv: st
         (F.sum(adv) * participation).alias("capacity"), F.min("session").alias("_s"))
     turnover = F.when(F.col("_s") == 1, 1.0).otherwise(1.0 - F.col("_kept") / F.col("names"))
     return day.withColumn("turnover", turnover).drop("_kept", "_s")
+
+
+def dense_index(df: DataFrame, date: str = DATE) -> DataFrame:
+    """Dense index over the distinct dates of a table (date-level)."""
+    return df.select(date).distinct().withColumn("idx", F.row_number().over(Window.orderBy(date)))
+
+
+def set_turnover(members: DataFrame, by: list[str] | None = None, date: str = DATE) -> DataFrame:
+    """|entered| + |left| between consecutive rebalances, with both set sizes."""
+    by = by or []
+    m = members.select(*by, date, SYM).distinct().join(dense_index(members, date), date)
+    last = m.agg(F.max("idx").alias("_last"), F.lit(1).alias("_k"))
+    w = Window.partitionBy(*by, SYM).orderBy("idx")
+    d = m.withColumns({"_new": ~F.coalesce(F.lag("idx").over(w) == F.col("idx") - 1, F.lit(False)),
+                       "_leaves": ~F.coalesce(F.lead("idx").over(w) == F.col("idx") + 1, F.lit(False)), "_k": F.lit(1)})
+    d = d.join(last, "_k")
+    entered = d.groupBy(*by, "idx").agg(F.count(F.lit(1)).alias("names"), F.sum(F.col("_new").cast("bigint")).alias("entered"))
+    left = (d.where(F.col("_leaves") & (F.col("idx") < F.col("_last"))).groupBy(*by, (F.col("idx") + 1).alias("idx"))
+            .agg(F.count(F.lit(1)).alias("exited")))
+    out = entered.join(left, [*by, "idx"], "full").fillna(0, ["names", "entered", "exited"])
+    return out.join(dense_index(members, date), "idx")
+
+
+def pit_top_n(universe: DataFrame, bars: DataFrame, n: int, min_listed: int, metric: str = "liq_metric") -> DataFrame:
+    """Listed long enough and trading, ranked by metric then symbol; a date with fewer than ``n`` names is an error."""
+    from ..functions.expr import flag
+    ok = bars.where((F.col("listed_days") >= min_listed) & ~flag("is_suspended")).select(DATE, SYM)
+    w = Window.partitionBy(DATE).orderBy(F.col(metric).desc(), F.col(SYM))
+    top = universe.join(ok, [DATE, SYM]).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    short = top.groupBy(DATE).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") < n)
+    if short.limit(1).count():
+        raise ValueError(f"fewer than {n} eligible names on some date")
+    return top
+
+
+def kth_largest_filter(df: DataFrame, value: str, k: int, min_rows: int) -> DataFrame:
+    """Rows at or above the date's k-th largest value (ties kept), or of symbols with a long history.
+
+    The k-th largest is a top-k with map-side limits, joined back as one number per date.
+    """
+    w = Window.partitionBy(DATE).orderBy(F.col(value).desc())
+    kth = (df.select(DATE, value).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
+           .groupBy(DATE).agg(F.min(value).alias("_kth")))
+    long = df.groupBy(SYM).agg(F.count(F.lit(1)).alias("_n"))
+    d = df.join(kth, DATE, "left").join(long, SYM)
+    return d.where((F.col(value) >= F.col("_kth")) | (F.col("_n") >= min_rows)).drop("_kth", "_n")
+
+
+def sample_per_date(df: DataFrame, n: int, seed: int, keys: list[str]) -> DataFrame:
+    """At most ``n`` rows per date, chosen by a seeded hash of the key (repeatable; map-side limited)."""
+    w = Window.partitionBy(DATE).orderBy(F.xxhash64(F.lit(seed), *keys), *keys)
+    return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+
+
+def position_exposure_to(targets: DataFrame, scores: DataFrame, weight: str, score: str) -> DataFrame:
+    """Weighted mean score, names and largest weight per date."""
+    d = targets.join(scores, [DATE, SYM], "left")
+    return d.groupBy(DATE).agg(
+        (F.sum(F.col(weight) * F.col(score)) / F.sum(F.when(F.col(score).isNotNull(), F.col(weight)))).alias("score"),
+        F.count(F.lit(1)).alias("names"), F.max(weight).alias("max_weight"))
+
+
+def union_keys(parts: list[DataFrame]) -> DataFrame:
+    """Distinct keys of several activity sources."""
+    out = parts[0].select(DATE, SYM)
+    for p in parts[1:]:
+        out = out.union(p.select(DATE, SYM))
+    return out.distinct()
+
+
+def qualified_activity(parts: list[DataFrame], qualified: DataFrame) -> DataFrame:
+    """Keys active in any source that are also qualified."""
+    return union_keys(parts).join(qualified.select(DATE, SYM), [DATE, SYM], "left_semi")
+
+
+def attach_full(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
+    """Left join that must find a unique value for every row."""
+    from .keys import assert_unique
+    out = left.join(assert_unique(right.select(key, value), [key], value), key, "left")
+    if out.where(F.col(value).isNull()).limit(1).count():
+        raise ValueError(f"{value} does not cover every row")
+    return out
+
+
+def equal_weight_top(df: DataFrame, score: str, k: int, by: list[str] | None = None) -> DataFrame:
+    """Top ``k`` names per date (and group) at equal weight."""
+    from .execution import top_rows
+    groups = [DATE, *(by or [])]
+    top = top_rows(df, score, k, groups)
+    return top.withColumn("weight", 1.0 / F.count(F.lit(1)).over(Window.partitionBy(*groups)))
