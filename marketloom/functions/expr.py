@@ -82,8 +82,8 @@ def literal_rows(names: list[str], rows: list[tuple]) -> Column:
 
 def with_scenarios(df, names: list[str], rows: list[tuple]):
     """Every row once per scenario (a narrow map, no join)."""
-    return (df.withColumn("_s", F.explode(literal_rows(names, rows)))
-            .select(*df.columns, *[F.col(f"_s.{k}").alias(k) for k in names]))
+    return (df.withColumn("_scenario", F.explode(literal_rows(names, rows)))
+            .select(*df.columns, *[F.col(f"_scenario.{k}").alias(k) for k in names]))
 
 
 def add_all(cols: list[Column]) -> Column:

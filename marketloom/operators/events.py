@@ -13,25 +13,6 @@ DATE, SYM = "trade_date", "symbol"
 BY_SYMBOL = Window.partitionBy(SYM).orderBy(DATE)  # one row per session
 
 
-def ema(values: str, span: int) -> Column:
-    """Exponential mean over an ordered array, recursive form, null below ``span`` values.
-
-    Nulls keep decaying the weight of what was seen before; a run of ``span`` values starts the output.
-    """
-    a = 2.0 / (span + 1.0)
-    start = F.struct(F.lit(None).cast("double").alias("y"), F.lit(0.0).alias("w"), F.lit(0).alias("n"),
-                     F.array().cast("array<double>").alias("out"))
-
-    def step(s, x):
-        w = s["w"] * (1.0 - a)
-        y = F.when(x.isNull(), s["y"]).when(s["y"].isNull(), x).otherwise((w * s["y"] + a * x) / (w + a))
-        n = s["n"] + F.when(x.isNotNull(), 1).otherwise(0)
-        return F.struct(y.alias("y"), F.when(x.isNull(), w).otherwise(1.0).alias("w"), n.alias("n"),
-                        F.concat(s["out"], F.array(F.when(n >= span, y))).alias("out"))
-
-    return F.aggregate(values, start, step, lambda s: s["out"])
-
-
 def macd(df: DataFrame, price: str = "close", fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     """DIF, DEA, bar and cross flags. The recursion needs one symbol's bars in order: pandas per symbol,
     whose rows the calendar bounds; symbols run in parallel."""
@@ -42,10 +23,9 @@ def macd(df: DataFrame, price: str = "close", fast: int = 12, slow: int = 26, si
         mean = lambda s, n: s.ewm(span=n, adjust=False, min_periods=n).mean()
         dif = mean(p[price], fast) - mean(p[price], slow)
         dea = mean(dif, signal)
-        up, was_up = dif > dea, dif.shift(1) > dea.shift(1)
-        known = dif.notna() & dea.notna() & dif.shift(1).notna() & dea.shift(1).notna()
+        was, was_dea = dif.shift(1), dea.shift(1)  # comparisons with a missing side are false
         return pd.DataFrame({DATE: p[DATE], SYM: p[SYM], "dif": dif, "dea": dea, "bar": 2.0 * (dif - dea),
-                             "golden": known & up & ~was_up, "dead": known & (dif < dea) & ~(dif.shift(1) < dea.shift(1))})
+                             "golden": (dif > dea) & (was <= was_dea), "dead": (dif < dea) & (was >= was_dea)})
 
     return df.select(DATE, SYM, price).groupBy(SYM).applyInPandas(run, fields)
 
@@ -88,3 +68,88 @@ def next_session_entry(signals: DataFrame, bars: DataFrame) -> DataFrame:
     at_limit = F.coalesce(F.col("_open") >= F.col("_up") * 0.999, F.lit(False))
     ok = F.col("_open").isNotNull() & ~flag("_susp", True) & ~flag("_st", True) & ~at_limit
     return d.withColumns({"entry_ok": ok, "entry_price": F.when(ok, F.col("_open"))}).drop("_open", "_up", "_susp", "_st")
+
+
+def candidate_exits(signals: DataFrame, bars: DataFrame, hold: int | None = None, exit_flag: str = "golden") -> DataFrame:
+    """Exit of each signal were it taken alone: after ``hold`` rows, or at the first later flagged row."""
+    if hold is not None:
+        out = {"exit_date": F.lead(DATE, hold).over(BY_SYMBOL), "exit_price": F.lead("close", hold).over(BY_SYMBOL)}
+    else:
+        later = BY_SYMBOL.rowsBetween(1, Window.unboundedFollowing)
+        hit = F.min(F.when(F.col(exit_flag), F.struct(DATE, "close"))).over(later)
+        out = {"exit_date": hit[DATE], "exit_price": hit["close"]}
+    e = bars.withColumns(out).select(F.col(DATE).alias("entry_date"), SYM, "exit_date", "exit_price")
+    return signals.join(e, ["entry_date", SYM])
+
+
+def nonoverlapping(candidates: DataFrame) -> DataFrame:
+    """Per symbol in signal order, skip a signal entering on or before the previous exit; a signal that never
+    exits blocks the rest. Greedy by nature, so pandas per symbol over its few candidate signals."""
+    c = candidates.where("entry_price > 0").select(SYM, "signal_date", "entry_date", "entry_price", "exit_date", "exit_price")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = pdf.sort_values(["signal_date", "entry_date"])
+        keep, bound = [], None
+        for entry, exit_ in zip(p["entry_date"], p["exit_date"], strict=True):
+            free = bound is None or entry > bound
+            if free and pd.isna(exit_):
+                keep.append(False)
+                keep += [False] * (len(p) - len(keep))
+                break
+            keep.append(free)
+            bound = exit_ if free else bound
+        return p.loc[keep]
+
+    return c.groupBy(SYM).applyInPandas(run, c.schema).withColumn(
+        "gross_return", F.col("exit_price") / F.col("entry_price") - 1.0)
+
+
+def trade_marks(trades: DataFrame, bars: DataFrame, by: list[str]) -> DataFrame:
+    """Mark-to-mark return of every open trade on every bar after entry; the exit day marks at the exit price."""
+    b = bars.select(F.col(DATE), F.col(SYM).alias("_sym"), F.col("close").alias("_close"))
+    t = trades.select(*by, SYM, "entry_date", "entry_price", "exit_date", "exit_price")
+    held = t.join(b, (F.col(SYM) == F.col("_sym")) & F.col(DATE).between(F.col("entry_date"), F.col("exit_date")))
+    mark = F.when(F.col(DATE) == F.col("exit_date"), F.col("exit_price")).otherwise(F.col("_close"))
+    w = Window.partitionBy(*by, SYM, "entry_date").orderBy(DATE)  # one trade's sessions
+    d = held.withColumn("mark", mark).withColumn("_prev", F.coalesce(F.lag("mark").over(w), F.col("entry_price")))
+    return d.where("_prev > 0 and mark > 0").withColumn("ret", F.col("mark") / F.col("_prev") - 1.0)
+
+
+def position_curve(trades: DataFrame, bars: DataFrame, by: list[str]) -> DataFrame:
+    """Daily mean mark return and open positions; days without a mark return zero."""
+    cal = sessions(bars).select(DATE)
+    marks = trade_marks(trades, bars, by).groupBy(*by, DATE).agg(F.avg("ret").alias("_r"))
+    flow = (trades.select(*by, F.col("entry_date").alias(DATE), F.lit(1).alias("_n"))
+            .unionByName(trades.select(*by, F.col("exit_date").alias(DATE), F.lit(-1).alias("_n")))
+            .groupBy(*by, DATE).agg(F.sum("_n").alias("_n")))
+    grid = trades.select(*by).distinct().withColumn("_k", F.lit(1)).join(cal.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    w = Window.partitionBy(*by).orderBy(DATE).rowsBetween(Window.unboundedPreceding, 0)
+    d = grid.join(marks, [*by, DATE], "left").join(flow, [*by, DATE], "left")
+    return d.select(*by, DATE, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("n_positions"),
+                    F.coalesce("_r", F.lit(0.0)).alias("portfolio_return"))
+
+
+def trade_metrics(trades: DataFrame, by: list[str], r: str = "net_return") -> DataFrame:
+    return trades.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_trades"), F.avg((F.col(r) > 0).cast("double")).alias("win_rate"), F.avg(r).alias("avg_return"),
+        F.percentile(r, F.lit(0.5)).alias("median_return"), F.avg("hold_days").alias("avg_hold_days"),
+        F.percentile("hold_days", F.lit(0.5)).alias("median_hold_days"))
+
+
+def first_fill(orders: DataFrame, bars: DataFrame) -> DataFrame:
+    """First session on or after each order's date on which it can trade; blocked sessions until then.
+
+    Needs tradable / limit_up / limit_down on the bars; buys stop at limit-up, sells at limit-down.
+    """
+    side = F.explode(F.array(F.struct(F.lit("buy").alias("side"), (F.col("tradable") & ~F.col("limit_up")).alias("ok")),
+                             F.struct(F.lit("sell").alias("side"), (F.col("tradable") & ~F.col("limit_down")).alias("ok"))))
+    ok = bars.select(SYM, DATE, side.alias("_o")).where("_o.ok").select(SYM, F.col("_o.side").alias("side"), DATE, F.col(DATE).alias("_fill"))
+    asked = orders.select(SYM, "side", F.col("execution_date").alias(DATE)).distinct().withColumn("_fill", F.lit(None).cast("date"))
+    day = ok.unionByName(asked).groupBy(SYM, "side", DATE).agg(F.max("_fill").alias("_fill"))
+    w = Window.partitionBy(SYM, "side").orderBy(DATE).rowsBetween(0, Window.unboundedFollowing)
+    found = day.withColumn("fill_date", F.min("_fill").over(w)).select(SYM, "side", F.col(DATE).alias("execution_date"), "fill_date")
+    cal = sessions(bars).select(DATE, "session")
+    out = orders.join(found, [SYM, "side", "execution_date"], "left")
+    out = out.join(cal.select(F.col(DATE).alias("execution_date"), F.col("session").alias("_a")), "execution_date", "left")
+    out = out.join(cal.select(F.col(DATE).alias("fill_date"), F.col("session").alias("_b")), "fill_date", "left")
+    return out.withColumn("blocked_days", (F.col("_b") - F.col("_a")).cast("bigint")).drop("_a", "_b")

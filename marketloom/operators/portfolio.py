@@ -126,3 +126,78 @@ def equal_weight_top(df: DataFrame, score: str, k: int, by: list[str] | None = N
     groups = [DATE, *(by or [])]
     top = top_rows(df, score, k, groups)
     return top.withColumn("weight", 1.0 / F.count(F.lit(1)).over(Window.partitionBy(*groups)))
+
+
+def equal_weight_benchmark(bars: DataFrame, start: str) -> DataFrame:
+    """Mean one-row return of unsuspended rows per date; the return is taken after the filter."""
+    from .rolling import pct_change
+    d = bars.where((F.col(DATE) >= F.lit(start).cast("date")) & ~F.col("is_suspended"))
+    return d.withColumn("_r", pct_change("close")).groupBy(DATE).agg(F.avg("_r").alias("benchmark_return"))
+
+
+def curve_metrics(curve: DataFrame, by: list[str]) -> DataFrame:
+    """Return, risk and drawdown of a position curve beside its benchmark (population std)."""
+    from ..functions.stats import annualised, compound, drawdown, sharpe
+    d = drawdown(curve, by, DATE, "portfolio_return")
+    total, n = compound("portfolio_return"), F.count(F.lit(1))
+    return d.groupBy(*by).agg(
+        n.alias("days"), F.avg("n_positions").alias("n_positions_avg"), total.alias("total_return"), annualised(total, n).alias("ann_return"),
+        (F.stddev_pop("portfolio_return") * F.sqrt(F.lit(252.0))).alias("ann_vol"), sharpe("portfolio_return", 0).alias("sharpe"),
+        F.min("drawdown").alias("max_drawdown"), F.avg((F.col("portfolio_return") > 0).cast("double")).alias("win_rate_days"),
+        compound("benchmark_return").alias("benchmark_total_return"),
+        ((1.0 + total) / (1.0 + compound("benchmark_return")) - 1.0).alias("excess_total_return"))
+
+
+def formation_targets(bucketed: DataFrame, calendar: DataFrame, n: int = 5, short_allowed: DataFrame | None = None) -> DataFrame:
+    """Top bucket long, bottom bucket short (optionally only allowed names), equal weight, effective next session."""
+    from .calendar import next_session
+    long = bucketed.where(F.col("valid") & (F.col("bucket") == n - 1)).select(DATE, SYM, F.lit("long").alias("side"))
+    short = bucketed.where(F.col("valid") & (F.col("bucket") == 0)).select(DATE, SYM, F.lit("short").alias("side"))
+    if short_allowed is not None:
+        short = short.join(short_allowed.select(DATE, SYM), [DATE, SYM], "left_semi")
+    both = long.unionByName(short)
+    sizes = both.groupBy(DATE, "side").agg(F.count(F.lit(1)).alias("_n"))
+    two = sizes.groupBy(DATE).agg(F.count(F.lit(1)).alias("_sides")).where("_sides = 2").select(DATE)
+    when = next_session(two, calendar, DATE, "execution_date").where("execution_date is not null")
+    return both.join(sizes, [DATE, "side"]).join(when, DATE).select(DATE, "execution_date", SYM, "side", (1.0 / F.col("_n")).alias("weight"))
+
+
+def active_dates(formations: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Sessions in (formation, next formation] of valid formations; the last formation is open and left out."""
+    from .calendar import last_session_before
+    marks = formations.select(F.col("formation_date").alias(DATE))
+    d = last_session_before(calendar.select(DATE).distinct(), marks, "formation_date")
+    last = formations.agg(F.max("formation_date").alias("formation_date"))
+    return (d.where("formation_date is not null").join(formations.where("valid").select("formation_date"), "formation_date", "left_semi")
+            .join(last, "formation_date", "left_anti").select("formation_date", DATE))
+
+
+def weight_turnover(targets: DataFrame, by: list[str], weight: str = "weight") -> DataFrame:
+    """Σ|w − previous w| per rebalance and group, from one lagged pass over each symbol's own rebalances."""
+    idx = dense_index(targets)
+    d = targets.join(idx, DATE)
+    top = idx.agg(F.max("idx").alias("_last"), F.lit(1).alias("_k"))
+    w = Window.partitionBy(*by, SYM).orderBy("idx")
+    prev = F.when(F.lag("idx").over(w) == F.col("idx") - 1, F.lag(weight).over(w)).otherwise(0.0)
+    leaves = ~F.coalesce(F.lead("idx").over(w) == F.col("idx") + 1, F.lit(False))
+    d = d.withColumns({"_move": F.abs(F.col(weight) - prev), "_leaves": leaves, "_k": F.lit(1)}).join(top, "_k")
+    kept = d.select(*by, "idx", "_move")
+    gone = d.where(F.col("_leaves") & (F.col("idx") < F.col("_last"))).select(*by, (F.col("idx") + 1).alias("idx"), F.col(weight).alias("_move"))
+    return kept.unionByName(gone).groupBy(*by, "idx").agg(F.sum("_move").alias("traded")).join(idx, "idx").drop("idx")
+
+
+def cost_adjusted_spread(legs: DataFrame, cost_bps: list[float], terminals: list[float]) -> DataFrame:
+    """Long − short − traded × cost for every cost and terminal-return scenario; a name without a next return takes the terminal one.
+
+    Sums are formed once per date and side; the scenarios multiply only those few rows.
+    """
+    from ..functions.expr import with_scenarios
+    n = F.count(F.lit(1))
+    side = legs.groupBy(DATE, "side").agg(F.coalesce(F.sum("next_ret"), F.lit(0.0)).alias("_s"), (n - F.count("next_ret")).alias("_miss"), n.alias("_n"))
+    weights = legs.join(side.select(DATE, "side", "_n"), [DATE, "side"]).select(DATE, SYM, "side", (1.0 / F.col("_n")).alias("weight"))
+    d = side.join(weight_turnover(weights, ["side"]), [DATE, "side"])
+    grid = with_scenarios(d, ["cost_bps", "terminal"], [(float(c), float(t)) for c in cost_bps for t in terminals])
+    sign = F.when(F.col("side") == "long", 1.0).otherwise(-1.0)
+    g = grid.groupBy(DATE, "cost_bps", "terminal").agg(
+        F.sum(sign * (F.col("_s") + F.col("_miss") * F.col("terminal")) / F.col("_n")).alias("gross"), F.sum("traded").alias("traded"))
+    return g.withColumn("net", F.col("gross") - F.col("traded") * F.col("cost_bps") / 10000.0)

@@ -40,3 +40,22 @@ def pct_change(value: str | Column, n: int = 1, by: list[str] | None = None, ord
         now = F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
         then = F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -n))
     return F.try_divide(now, then) - 1.0
+
+
+def market_lookback(df: DataFrame, calendar: DataFrame, formation: DataFrame, value: str, spans: tuple[int, ...] = (20, 60),
+                    coverage: float = 0.75) -> DataFrame:
+    """On formation dates: today's value and mean / median / count over the last n MARKET sessions.
+
+    The frame is a range over the dense session index, so a symbol's missing days count as missing.
+    """
+    import math
+
+    d = df.join(calendar.select(DATE, "session"), DATE)
+    cols = {"turnover_1d": F.col(value)}
+    for n in spans:
+        w = Window.partitionBy(SYM).orderBy("session").rangeBetween(1 - n, 0)
+        seen = F.count(value).over(w)
+        ok = seen >= math.ceil(n * coverage)
+        cols |= {f"turnover_mean_{n}d": F.when(ok, F.avg(value).over(w)), f"turnover_median_{n}d": F.when(ok, median(value).over(w)),
+                 f"turnover_observations_{n}d": seen}
+    return d.withColumns(cols).join(formation.select(DATE), DATE, "left_semi").select(DATE, SYM, *cols)
