@@ -121,7 +121,7 @@ def double_event_pairs(spark, d):
 def nonoverlap_exits(spark, d):
     m = staged(macd(spark, d).join(ship(spark, d, "close"), KEYS))
     pairs = EV.event_pairs(m, "dead").select("symbol", F.col("trade_date").alias("signal_date"))
-    nxt = m.withColumn("entry_date", F.lead("trade_date").over(EV.BY_SYMBOL)).withColumn("entry_price", F.lead("close").over(EV.BY_SYMBOL))
+    nxt = m.withColumn("entry_date", F.lead("trade_date").over(EV.by_symbol())).withColumn("entry_price", F.lead("close").over(EV.by_symbol()))
     sig = pairs.join(nxt.select(F.col("trade_date").alias("signal_date"), "symbol", "entry_date", "entry_price"), ["signal_date", "symbol"]).where("entry_date is not null")
     held = EV.nonoverlapping(EV.candidate_exits(sig, m, hold=20)).withColumn("exit_policy", F.lit("hold_20"))
     golden = EV.nonoverlapping(EV.candidate_exits(sig, m)).withColumn("exit_policy", F.lit("golden_cross"))

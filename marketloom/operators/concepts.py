@@ -13,7 +13,7 @@ DATE, SYM = "trade_date", "symbol"
 def explode_concepts(df: DataFrame, text: str = "concepts", out: str = "concept") -> DataFrame:
     """One row per distinct concept of a bracketed, comma-separated list."""
     parts = F.split(F.regexp_replace(text, "[\\[\\]'\"]", ""), ",")
-    clean = F.array_distinct(F.filter(F.transform(parts, F.trim), lambda x: x != ""))
+    clean = F.array_distinct(F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != ""))
     return df.withColumn(out, F.explode(clean)).drop(text)
 
 
@@ -65,7 +65,7 @@ def concept_members(concepts: DataFrame, members: DataFrame, name: str = "name",
 
 def daily_stats(hot: DataFrame, top_n: int) -> DataFrame:
     """Per concept and date over the top rows: best rank, total score, stock count."""
-    w = Window.partitionBy(DATE).orderBy(F.col("hot").desc(), F.col(SYM))
+    w = Window.partitionBy(DATE).orderBy(F.col("hot").desc(), F.col(SYM), F.col("concepts"))
     top = hot.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
     return (explode_concepts(top).groupBy(DATE, "concept")
             .agg(F.min("rank").alias("min_rank"), F.sum("hot").alias("total_hot"), F.count(F.lit(1)).alias("stock_count")))

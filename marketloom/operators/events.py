@@ -10,7 +10,11 @@ from ..functions.expr import flag
 from .calendar import sessions
 
 DATE, SYM = "trade_date", "symbol"
-BY_SYMBOL = Window.partitionBy(SYM).orderBy(DATE)  # one row per session
+
+
+def by_symbol():
+    """Rows of one symbol in session order; the calendar bounds them."""
+    return Window.partitionBy(SYM).orderBy(DATE)
 
 
 def macd(df: DataFrame, price: str = "close", fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
@@ -31,21 +35,21 @@ def macd(df: DataFrame, price: str = "close", fast: int = 12, slow: int = 26, si
 
 
 def row_index(df: DataFrame) -> DataFrame:
-    return df.withColumn("idx", F.row_number().over(BY_SYMBOL))
+    return df.withColumn("idx", F.row_number().over(by_symbol()))
 
 
 def event_pairs(df: DataFrame, event: str, max_gap: int = 20) -> DataFrame:
     """Second of two consecutive events of a symbol at most ``max_gap`` of its rows apart."""
     e = row_index(df).where(F.col(event))
-    gap = F.col("idx") - F.lag("idx").over(BY_SYMBOL)
-    return (e.withColumns({"first_date": F.lag(DATE).over(BY_SYMBOL), "gap": gap}).where(F.col("gap") <= max_gap)
+    gap = F.col("idx") - F.lag("idx").over(by_symbol())
+    return (e.withColumns({"first_date": F.lag(DATE).over(by_symbol()), "gap": gap}).where(F.col("gap") <= max_gap)
             .select(SYM, F.col("first_date"), F.col(DATE), "gap"))
 
 
 def add_windows(df: DataFrame, turnover: str = "turnover_rate", high: str = "high", low: str = "low", n_turnover: int = 35,
                 n_range: int = 126) -> DataFrame:
     """Turnover sum and high / low extremes over full row windows."""
-    short, long = BY_SYMBOL.rowsBetween(1 - n_turnover, 0), BY_SYMBOL.rowsBetween(1 - n_range, 0)
+    short, long = by_symbol().rowsBetween(1 - n_turnover, 0), by_symbol().rowsBetween(1 - n_range, 0)
     full = lambda c, w, n, v: F.when(F.count(c).over(w) >= n, v)
     return df.withColumns({
         "turnover_sum": full(turnover, short, n_turnover, F.sum(turnover).over(short)),
@@ -73,9 +77,9 @@ def next_session_entry(signals: DataFrame, bars: DataFrame) -> DataFrame:
 def candidate_exits(signals: DataFrame, bars: DataFrame, hold: int | None = None, exit_flag: str = "golden") -> DataFrame:
     """Exit of each signal were it taken alone: after ``hold`` rows, or at the first later flagged row."""
     if hold is not None:
-        out = {"exit_date": F.lead(DATE, hold).over(BY_SYMBOL), "exit_price": F.lead("close", hold).over(BY_SYMBOL)}
+        out = {"exit_date": F.lead(DATE, hold).over(by_symbol()), "exit_price": F.lead("close", hold).over(by_symbol())}
     else:
-        later = BY_SYMBOL.rowsBetween(1, Window.unboundedFollowing)
+        later = by_symbol().rowsBetween(1, Window.unboundedFollowing)
         hit = F.min(F.when(F.col(exit_flag), F.struct(DATE, "close"))).over(later)
         out = {"exit_date": hit[DATE], "exit_price": hit["close"]}
     e = bars.withColumns(out).select(F.col(DATE).alias("entry_date"), SYM, "exit_date", "exit_price")

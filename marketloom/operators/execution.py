@@ -10,12 +10,16 @@ from ..functions.stats import annualised, compound, hac_inputs, hac_t, sharpe
 from .calendar import DATE, sessions
 
 SYM = "symbol"
-BY_SYMBOL = Window.partitionBy(SYM).orderBy(DATE)  # rows of one symbol: one per session
+
+
+def by_symbol():
+    """Rows of one symbol in session order; the calendar bounds them."""
+    return Window.partitionBy(SYM).orderBy(DATE)
 
 
 def lead_columns(df: DataFrame, columns: dict[str, str], n: int = 1) -> DataFrame:
     """Value of each column on the symbol's n-th next row: {source: new name}."""
-    return df.withColumns({new: F.lead(c, n).over(BY_SYMBOL) for c, new in columns.items()})
+    return df.withColumns({new: F.lead(c, n).over(by_symbol()) for c, new in columns.items()})
 
 
 def with_market_next_date(df: DataFrame, calendar: DataFrame | None = None) -> DataFrame:

@@ -201,3 +201,44 @@ def cost_adjusted_spread(legs: DataFrame, cost_bps: list[float], terminals: list
     g = grid.groupBy(DATE, "cost_bps", "terminal").agg(
         F.sum(sign * (F.col("_s") + F.col("_miss") * F.col("terminal")) / F.col("_n")).alias("gross"), F.sum("traded").alias("traded"))
     return g.withColumn("net", F.col("gross") - F.col("traded") * F.col("cost_bps") / 10000.0)
+
+
+def fill_ratios(targets: DataFrame, bars: DataFrame, days: int, participation: float, target: float, unit: float = 1000.0) -> DataFrame:
+    """Executable notional of each position over its symbol's next ``days`` rows against the target, at most 1.
+
+    The next rows are a forward frame over each symbol's bars; positions join the bar at or after their date.
+    """
+    w = Window.partitionBy(SYM).orderBy(DATE)
+    both = (bars.select(SYM, DATE, "amount", F.lit(0).alias("_ask"))
+            .unionByName(targets.select(SYM, DATE, F.lit(None).cast("double").alias("amount"), F.lit(1).alias("_ask"))))
+    d = both.groupBy(SYM, DATE).agg(F.max("amount").alias("amount"), F.max("_ask").alias("_ask"))
+    d = d.withColumn("_bar", F.sum(F.col("amount").isNotNull().cast("int")).over(w))
+    ahead = Window.partitionBy(SYM).orderBy("_bar").rangeBetween(1, days)
+    mean = F.avg("amount").over(ahead)
+    f = d.withColumn("_exec", mean * participation * days * unit).where("_ask = 1")
+    return f.select(DATE, SYM, F.coalesce(F.least(F.lit(1.0), F.col("_exec") / target), F.lit(0.0)).alias("fill"))
+
+
+def fill_summary(fills: DataFrame) -> DataFrame:
+    share = lambda c: F.avg(c.cast("double"))
+    return fills.agg(F.count(F.lit(1)).alias("positions"), F.avg("fill").alias("avg_fill"), share(F.col("fill") >= 1).alias("full_fill"),
+                     share(F.col("fill") < 0.5).alias("below_half"), F.percentile("fill", F.lit(0.5)).alias("median_fill"))
+
+
+def liquidity_depth(df: DataFrame, top_ns: list[int], k: int, notional: float, participation: float, days: int) -> DataFrame:
+    """Amount of the k-th name inside each top-N universe, its median over dates, impact and feasibility."""
+    from ..functions.expr import with_scenarios
+    from .execution import top_rows
+    top = with_scenarios(top_rows(df.select(DATE, SYM, "amount"), "amount", max(top_ns), rank="_k"), ["top_n"], [(n,) for n in top_ns]).where("_k <= top_n")
+    kth = F.max(F.when(F.col("_k") <= k, F.struct("_k", "amount")))["amount"]
+    day = top.groupBy("top_n", DATE).agg(kth.alias("kth"), F.percentile("amount", F.lit(0.5)).alias("med"))
+    each = notional / k
+    mid = lambda c: F.percentile(c, F.lit(0.5))
+    out = day.groupBy("top_n").agg(mid("kth").alias("kth_amount"), mid("med").alias("median_amount"), mid(each / F.col("kth")).alias("impact"))
+    return out.withColumn("feasible", F.col("kth_amount") * participation * days >= each)
+
+
+def selection_stats(df: DataFrame, by: list[str], ok: str) -> DataFrame:
+    """Daily selection counts and feasibility rates averaged per group."""
+    day = df.groupBy(*by, DATE).agg(F.count(F.lit(1)).alias("_n"), F.avg(F.col(ok).cast("double")).alias("_f"))
+    return day.groupBy(*by).agg(F.avg("_n").alias("mean_selected"), F.avg("_f").alias("feasibility_rate"))

@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DATE = "trade_date"
-ORDER = Window.orderBy(DATE)  # date-level tables only: one row per session
+
+
+def ordered():
+    """Date-level tables only: one row per session."""
+    return Window.orderBy(DATE)
 
 
 def market_proxy(df: DataFrame, pct: str = "pct_chg") -> DataFrame:
@@ -16,7 +20,7 @@ def market_proxy(df: DataFrame, pct: str = "pct_chg") -> DataFrame:
 
 def worst_days(market: DataFrame, n: int) -> DataFrame:
     """The ``n`` smallest returns with the following return and the weekday."""
-    d = market.withColumns({"next_ret": F.lead("ret").over(ORDER), "weekday": F.date_format(DATE, "EEEE")})
+    d = market.withColumns({"next_ret": F.lead("ret").over(ordered()), "weekday": F.date_format(DATE, "EEEE")})
     return d.orderBy("ret", DATE).limit(n)
 
 
@@ -30,8 +34,8 @@ def streak_next(market: DataFrame, length: int = 3, floor: float = 0.0) -> DataF
     """Next-day return after ``length`` days above ``floor``, beside the unconditional one."""
     hot = F.col("ret") > floor
     for k in range(1, length):
-        hot = hot & (F.lag("ret", k).over(ORDER) > floor)
-    d = market.withColumns({"_next": F.lead("ret").over(ORDER), "_hot": F.coalesce(hot, F.lit(False))}).where("_next is not null")
+        hot = hot & (F.lag("ret", k).over(ordered()) > floor)
+    d = market.withColumns({"_next": F.lead("ret").over(ordered()), "_hot": F.coalesce(hot, F.lit(False))}).where("_next is not null")
     after = F.when(F.col("_hot"), F.col("_next"))
     win = lambda c: F.avg((c > 0).cast("double"))
     return d.agg(F.count(after).alias("events"), F.avg(after).alias("mean_after"), win(after).alias("win_after"),
@@ -92,7 +96,7 @@ def longest_underwater(long: DataFrame) -> DataFrame:
 
 def inverse_vol_allocation(wide: DataFrame, a: str, b: str, window: int = 252, minimum: int = 126, cap: float = 0.3) -> DataFrame:
     """Inverse-volatility split of two sleeves, the first capped; equal volatility before ``minimum`` rows."""
-    w = ORDER.rowsBetween(1 - window, 0)
+    w = ordered().rowsBetween(1 - window, 0)
     seen = F.count(F.lit(1)).over(w)
     vol = lambda c: F.when(seen >= minimum, F.stddev_samp(c).over(w)).otherwise(1.0)
     d = wide.withColumns({"_va": vol(a), "_vb": vol(b)})

@@ -10,12 +10,16 @@ from .ordering import ranked
 from .rolling import DATE, SYM, frame
 from .xsection import with_stats
 
-BY_SYMBOL = Window.partitionBy(SYM).orderBy(DATE)
+
+
+def by_symbol():
+    """Rows of one symbol in session order; the calendar bounds them."""
+    return Window.partitionBy(SYM).orderBy(DATE)
 
 
 def indicators(df: DataFrame, min_rows: int = 60, year: int = 252) -> DataFrame:
     """Rate of change, long return and volatility, higher moments, ATR, volume ratio, Aroon, dispersion."""
-    d = df.withColumns({"idx": F.row_number().over(BY_SYMBOL), "_pc": F.lag("close").over(BY_SYMBOL)})
+    d = df.withColumns({"idx": F.row_number().over(by_symbol()), "_pc": F.lag("close").over(by_symbol())})
     d = d.withColumns({
         "_ret": F.col("close") / F.col("_pc") - 1.0,
         "_tr": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("_pc")), F.abs(F.col("low") - F.col("_pc")))})
@@ -25,7 +29,7 @@ def indicators(df: DataFrame, min_rows: int = 60, year: int = 252) -> DataFrame:
     cnt = n60.cast("double")
     age_high = F.col("idx") - F.max_by("idx", F.struct("high", -F.col("idx"))).over(w25)
     age_low = F.col("idx") - F.min_by("idx", F.struct("low", "idx")).over(w25)
-    feats = {f"roc_{n}": F.coalesce(F.col("close") / F.lag("close", n).over(BY_SYMBOL) - 1.0, F.lit(0.0)) for n in (12, 18, 20)}
+    feats = {f"roc_{n}": F.coalesce(F.col("close") / F.lag("close", n).over(by_symbol()) - 1.0, F.lit(0.0)) for n in (12, 18, 20)}
     feats |= {
         "cumret_120": full(n120, 120, F.product(1.0 + F.col("_ret")).over(w120) - 1.0),
         "vol_120": full(n120, 120, F.stddev_samp("_ret").over(w120) * F.sqrt(F.lit(float(year)))),
@@ -43,8 +47,8 @@ def score_history(df: DataFrame, score: str, first_dates: DataFrame | None = Non
     if first_dates is not None:
         df = df.join(first_dates, SYM, "left").where(F.col("first_date").isNull() | (F.col(DATE) >= F.col("first_date"))).drop("first_date")
     s = F.col(score)
-    seen = F.row_number().over(BY_SYMBOL)
-    lag = lambda n: F.lag(score, n).over(BY_SYMBOL)
+    seen = F.row_number().over(by_symbol())
+    lag = lambda n: F.lag(score, n).over(by_symbol())
     mean = lambda n: F.when(seen >= n, F.avg(score).over(frame(n))).otherwise(s)
     sd = lambda n: F.when(seen >= n, F.stddev_pop(score).over(frame(n))).otherwise(0.0)
     d = df.select(DATE, SYM, score).withColumns({

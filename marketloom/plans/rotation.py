@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from ..operators.keys import keep_one
 
 DATE, SYM = "trade_date", "symbol"
-ORDER = Window.orderBy(DATE)  # one row per session
+
+
+def ordered():
+    """Date-level tables only: one row per session."""
+    return Window.orderBy(DATE)
 
 
 def common_panel(prices: DataFrame) -> DataFrame:
@@ -24,7 +28,7 @@ def common_panel(prices: DataFrame) -> DataFrame:
 
 def momentum(wide: DataFrame, first: str, second: str, lookback: int) -> DataFrame:
     """Lookback return of two assets; the stronger one, the first on a tie."""
-    m = {f"{n}_momentum": F.col(c) / F.lag(c, lookback).over(ORDER) - 1.0 for n, c in (("first", first), ("second", second))}
+    m = {f"{n}_momentum": F.col(c) / F.lag(c, lookback).over(ordered()) - 1.0 for n, c in (("first", first), ("second", second))}
     d = wide.withColumns(m).where("first_momentum is not null and second_momentum is not null")
     stronger = F.when(F.col("second_momentum") > F.col("first_momentum"), second).otherwise(first)
     return d.select(DATE, "first_momentum", "second_momentum", stronger.alias("stronger"))
