@@ -23,9 +23,14 @@ def safe_corr(x: str | Column, y: str | Column) -> Column:
     return F.when(varies, F.corr(px, py))
 
 
-def annualised(total: Column, periods: Column, per_year: int = YEAR) -> Column:
-    """Geometric annual return from a total return; null once capital is lost."""
-    return F.when(total > -1.0, F.pow(1.0 + total, F.lit(float(per_year)) / periods) - 1.0)
+def growth(r: str | Column) -> Column:
+    """Final value of one unit over a group."""
+    return F.product(1.0 + col(r))
+
+
+def annualised(final: Column, periods: Column, per_year: int = YEAR) -> Column:
+    """Geometric annual return from the final value of one unit; null once capital is lost."""
+    return F.when(final > 0.0, F.pow(final, F.lit(float(per_year)) / periods) - 1.0)
 
 
 def sharpe(r: str | Column, ddof: int = 1, per_year: int = YEAR) -> Column:

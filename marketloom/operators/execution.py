@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import col, flag, policy_name, safe_divide, with_scenarios
-from ..functions.stats import annualised, compound, hac_inputs, hac_t, sharpe
+from ..functions.stats import annualised, compound, growth, hac_inputs, hac_t, sharpe
 from .calendar import DATE, sessions
 
 SYM = "symbol"
@@ -192,7 +192,7 @@ def performance_metrics(daily: DataFrame, by: list[str], order: str = "signal_da
         n.alias("days"), F.avg("filled").alias("filled_avg"), F.avg("portfolio_return").alias("daily_return_mean"),
         F.percentile("portfolio_return", F.lit(0.5)).alias("daily_return_median"),
         F.avg((F.col("portfolio_return") > 0).cast("double")).alias("daily_win_rate"),
-        F.stddev_pop("portfolio_return").alias("daily_vol"), annualised(total, n).alias("ann_return"),
+        F.stddev_pop("portfolio_return").alias("daily_vol"), annualised(growth("portfolio_return"), n).alias("ann_return"),
         sharpe("portfolio_return", 0).alias("sharpe"), hac_t("portfolio_return").alias("hac_mean_t_5"),
         total.alias("total_return"), compound("gross_portfolio_return").alias("gross_total_return"),
         compound("benchmark_return").alias("benchmark_total_return"),

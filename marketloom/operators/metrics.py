@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import literal_rows
-from ..functions.stats import annualised, compound, drawdown, safe_corr, sharpe
+from ..functions.stats import annualised, compound, drawdown, growth, safe_corr, sharpe
 from .ordering import ranked
 from .series import longest_underwater
 
@@ -22,7 +22,7 @@ def series_metrics(long: DataFrame, by: list[str], year: int = 252) -> DataFrame
     d = drawdown(long.where(F.col("ret").isNotNull()), by, DATE, "ret")
     n, total = F.count(F.lit(1)), compound("ret")
     return d.groupBy(*by).agg(
-        n.alias("days"), (total * 100.0).alias("cumulative_return"), (annualised(total, n, year) * 100.0).alias("geometric_annual_return"),
+        n.alias("days"), (total * 100.0).alias("cumulative_return"), (annualised(growth("ret"), n, year) * 100.0).alias("geometric_annual_return"),
         (F.stddev_samp("ret") * F.sqrt(F.lit(float(year))) * 100.0).alias("annual_volatility"), sharpe("ret", 1, year).alias("sharpe"),
         (F.min("drawdown") * 100.0).alias("max_drawdown"))
 
@@ -32,7 +32,7 @@ def return_stats(long: DataFrame, year: int = 252) -> DataFrame:
     d = drawdown(long.where(F.col("ret").isNotNull()), ["series"], DATE, "ret")
     n, total = F.count(F.lit(1)), compound("ret")
     s = d.groupBy("series").agg(
-        F.min(DATE).alias("start"), F.max(DATE).alias("end"), n.alias("days"), total.alias("total_return"), annualised(total, n, year).alias("annual_return"),
+        F.min(DATE).alias("start"), F.max(DATE).alias("end"), n.alias("days"), total.alias("total_return"), annualised(growth("ret"), n, year).alias("annual_return"),
         (F.stddev_samp("ret") * F.sqrt(F.lit(float(year)))).alias("annual_volatility"), sharpe("ret", 1, year).alias("sharpe"), F.min("drawdown").alias("max_drawdown"))
     return s.join(longest_underwater(long), "series").withColumnRenamed("longest", "longest_underwater")
 
@@ -122,7 +122,7 @@ def attribution(wide: DataFrame, strategy: str, factors: list[str], by: list[str
     full = wide.dropna(subset=[strategy, *factors])
     n, total = F.count(F.lit(1)), compound(strategy)
     s = full.groupBy(*by).agg(total.alias("period_return"), (F.pow(1.0 + F.avg(strategy), F.lit(year)) - 1.0).alias("annual_return"),
-                              annualised(total, n, year).alias("geometric_annual_return"))
+                              annualised(growth(strategy), n, year).alias("geometric_annual_return"))
     f = full.unpivot(by, factors, "factor", "_r").groupBy(*by, "factor").agg(compound("_r").alias("factor_return"))
     out = fit.join(s, by) if by else fit.join(s.withColumn("_k", F.lit(1)), F.lit(1) == F.col("_k")).drop("_k")
     return out.join(f, [*by, "factor"]).withColumns({

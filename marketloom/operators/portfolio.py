@@ -137,11 +137,11 @@ def equal_weight_benchmark(bars: DataFrame, start: str) -> DataFrame:
 
 def curve_metrics(curve: DataFrame, by: list[str]) -> DataFrame:
     """Return, risk and drawdown of a position curve beside its benchmark (population std)."""
-    from ..functions.stats import annualised, compound, drawdown, sharpe
+    from ..functions.stats import annualised, compound, drawdown, growth, sharpe
     d = drawdown(curve, by, DATE, "portfolio_return")
     total, n = compound("portfolio_return"), F.count(F.lit(1))
     return d.groupBy(*by).agg(
-        n.alias("days"), F.avg("n_positions").alias("n_positions_avg"), total.alias("total_return"), annualised(total, n).alias("ann_return"),
+        n.alias("days"), F.avg("n_positions").alias("n_positions_avg"), total.alias("total_return"), annualised(growth("portfolio_return"), n).alias("ann_return"),
         (F.stddev_pop("portfolio_return") * F.sqrt(F.lit(252.0))).alias("ann_vol"), sharpe("portfolio_return", 0).alias("sharpe"),
         F.min("drawdown").alias("max_drawdown"), F.avg((F.col("portfolio_return") > 0).cast("double")).alias("win_rate_days"),
         compound("benchmark_return").alias("benchmark_total_return"),
