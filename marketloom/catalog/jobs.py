@@ -8,6 +8,7 @@ from .. import fixtures as V
 from ..fixtures import add_view
 from ..functions.stats import nav
 from ..operators import calendar as C
+from ..operators.ordering import needs_ranges
 from ..plans import replica as RP
 from ..plans import rotation as RO
 from ..plans import style as ST
@@ -239,7 +240,8 @@ add_view("repscore", ("rep",), f"""
 
 def replica_scores(spark, d):
     f = staged(replica_factors(spark, d))
-    return RP.leg_score(RP.leg_score(f, A_W, "score_a"), B_W, "score_b").select(*KEYS, "industry", "score_a", "score_b")
+    big = needs_ranges(f, ["trade_date"])
+    return RP.leg_score(RP.leg_score(f, A_W, "score_a", big), B_W, "score_b", big).select(*KEYS, "industry", "score_a", "score_b")
 
 
 @query("style_replica_scores", "SELECT trade_date, symbol, round(score_a, 6) AS score_a, round(score_b, 6) AS score_b FROM repscore", "repscore")

@@ -421,6 +421,6 @@ def worst_days(spark, d):
     return rounded(op(market_proxy(V.daily(spark, d)), 10), "ret", "next_ret")
 
 
-@query("sample_per_date")
+@query("sample_per_date", """SELECT trade_date, symbol FROM panel_part QUALIFY row_number() OVER (PARTITION BY trade_date ORDER BY md5('42|' || symbol), symbol) <= 100""", "panel_part")
 def sample_per_date(spark, d):
     return P.sample_per_date(V.panel_part(spark, d).select(*KEYS), 100, 42, ["symbol"])

@@ -100,11 +100,22 @@ def rolling_sum_extremes(spark, d):
     return rounded(s.select(*KEYS, "turnover_sum", "range_high", "range_low"), "range_high", "range_low")
 
 
+add_view("macd", ("ship_daily",), """
+    WITH RECURSIVE p AS (SELECT trade_date, symbol, close, row_number() OVER (PARTITION BY symbol ORDER BY trade_date) AS i FROM ship_daily),
+    r AS (SELECT symbol, i, trade_date, close, close AS f, close AS s, CAST(NULL AS DOUBLE) AS e FROM p WHERE i = 1
+      UNION ALL SELECT p.symbol, p.i, p.trade_date, p.close, f * (11 / 13.0::DOUBLE) + p.close * (2 / 13.0::DOUBLE), s * (25 / 27.0::DOUBLE) + p.close * (2 / 27.0::DOUBLE),
+        CASE WHEN p.i = 26 THEN (f * (11 / 13.0::DOUBLE) + p.close * (2 / 13.0::DOUBLE)) - (s * (25 / 27.0::DOUBLE) + p.close * (2 / 27.0::DOUBLE))
+             WHEN p.i > 26 THEN e * 0.8::DOUBLE + 0.2::DOUBLE * ((f * (11 / 13.0::DOUBLE) + p.close * (2 / 13.0::DOUBLE)) - (s * (25 / 27.0::DOUBLE) + p.close * (2 / 27.0::DOUBLE))) END
+      FROM r JOIN p ON p.symbol = r.symbol AND p.i = r.i + 1),
+    m AS (SELECT symbol, i, trade_date, close, CASE WHEN i >= 26 THEN f - s END AS dif, CASE WHEN i >= 34 THEN e END AS dea FROM r)
+    SELECT *, 2 * (dif - dea) AS bar, coalesce(dif > dea AND lag(dif) OVER w <= lag(dea) OVER w, false) AS golden, coalesce(dif < dea AND lag(dif) OVER w >= lag(dea) OVER w, false) AS dead FROM m WINDOW w AS (PARTITION BY symbol ORDER BY i)""")
+
+
 def macd(spark, d):
     return EV.macd(ship(spark, d, "close"))
 
 
-@query("ewm_macd")
+@query("ewm_macd", "SELECT trade_date, symbol, round(dif, 6) AS dif, round(dea, 6) AS dea, round(bar, 6) AS bar, golden, dead FROM macd", "macd")
 def ewm_macd(spark, d):
     return rounded(macd(spark, d), "dif", "dea", "bar")
 
@@ -117,7 +128,14 @@ def double_event_pairs(spark, d):
     return EV.event_pairs(ship(spark, d, "vol").withColumn("event", F.col("vol") > 50), "event")
 
 
-@query("nonoverlap_exits")
+@query("nonoverlap_exits", """
+    WITH e AS (SELECT symbol, trade_date, i, i - lag(i) OVER (PARTITION BY symbol ORDER BY i) AS gap FROM macd WHERE dead),
+    x AS (SELECT *, lead(trade_date) OVER w AS n1, lead(close) OVER w AS p1, lead(trade_date, 21) OVER w AS h_date, lead(close, 21) OVER w AS h_price, min(CASE WHEN golden THEN i END) OVER (w ROWS BETWEEN 2 FOLLOWING AND UNBOUNDED FOLLOWING) AS gi FROM macd WINDOW w AS (PARTITION BY symbol ORDER BY i)),
+    c AS (SELECT e.symbol, e.trade_date AS signal_date, n1 AS entry_date, p1 AS entry_price, h_date, h_price, g.trade_date AS g_date, g.close AS g_price FROM e JOIN x ON x.symbol = e.symbol AND x.i = e.i LEFT JOIN macd g ON g.symbol = e.symbol AND g.i = x.gi WHERE gap <= 20 AND n1 IS NOT NULL),
+    a AS (SELECT *, row_number() OVER (PARTITION BY exit_policy, symbol ORDER BY signal_date) AS k FROM (SELECT 'hold_20' AS exit_policy, symbol, signal_date, entry_date, entry_price, h_date AS exit_date, h_price AS exit_price FROM c UNION ALL SELECT 'golden_cross', symbol, signal_date, entry_date, entry_price, g_date, g_price FROM c)),
+    z AS (WITH RECURSIVE q AS (SELECT a.*, exit_date IS NOT NULL AS kept, coalesce(exit_date, DATE '9999-12-31') AS bound FROM a WHERE k = 1
+      UNION ALL SELECT a.*, a.entry_date > bound AND a.exit_date IS NOT NULL, CASE WHEN a.entry_date > bound THEN coalesce(a.exit_date, DATE '9999-12-31') ELSE bound END FROM q JOIN a ON a.exit_policy = q.exit_policy AND a.symbol = q.symbol AND a.k = q.k + 1) SELECT * FROM q)
+    SELECT symbol, signal_date, entry_date, round(entry_price, 8) AS entry_price, exit_date, round(exit_price, 8) AS exit_price, round(exit_price / entry_price - 1, 6) AS gross_return, exit_policy FROM z WHERE kept""", "macd")
 def nonoverlap_exits(spark, d):
     m = staged(macd(spark, d).join(ship(spark, d, "close"), KEYS))
     pairs = EV.event_pairs(m, "dead").select("symbol", F.col("trade_date").alias("signal_date"))
@@ -125,7 +143,7 @@ def nonoverlap_exits(spark, d):
     sig = pairs.join(nxt.select(F.col("trade_date").alias("signal_date"), "symbol", "entry_date", "entry_price"), ["signal_date", "symbol"]).where("entry_date is not null")
     held = EV.nonoverlapping(EV.candidate_exits(sig, m, hold=20)).withColumn("exit_policy", F.lit("hold_20"))
     golden = EV.nonoverlapping(EV.candidate_exits(sig, m)).withColumn("exit_policy", F.lit("golden_cross"))
-    return rounded(held.unionByName(golden), "gross_return")
+    return rounded(rounded(held.unionByName(golden), "gross_return"), "entry_price", "exit_price", digits=8)
 
 
 add_view("year_trades", ("ship_daily",), """
@@ -159,7 +177,7 @@ def position_mark_curve(spark, d):
     SELECT exit_policy, count(*) AS n_trades, round(avg((net_return > 0)::INT), 6) AS win_rate, round(avg(net_return), 6) AS avg_return, round(median(net_return), 6) AS median_return,
            round(avg(hold_days), 6) AS avg_hold_days, median(hold_days) AS median_hold_days FROM year_trades GROUP BY 1""", "year_trades")
 def trade_metrics(spark, d):
-    return rounded(EV.trade_metrics(year_trades(ship(spark, d, "close")), ["exit_policy"]), "win_rate", "avg_return", "median_return", "avg_hold_days")
+    return rounded(EV.trade_metrics(staged(year_trades(ship(spark, d, "close"))), ["exit_policy"]), "win_rate", "avg_return", "median_return", "avg_hold_days")
 
 
 @query("equal_weight_benchmark", """

@@ -98,6 +98,11 @@ def any_of(cols: list[Column]) -> Column:
     return functools.reduce(operator.or_, cols)
 
 
+def fail_where(df, bad: Column, column: str, message: str):
+    """Raise inside the job when ``bad`` holds on a row; the check rides on ``column``, so no extra pass is run."""
+    return df.withColumn(column, F.when(bad, F.raise_error(F.lit(message)).cast(df.schema[column].dataType)).otherwise(F.col(column)))
+
+
 def candle_features(open_="open", high="high", low="low", close="close", pre_close="pre_close",
                     amount="amount", pct_chg="pct_chg", total_mv="total_mv", turnover="turnover_rate") -> dict[str, Column]:
     """Shape, size and pressure features of one bar."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import flag
 from .calendar import sessions
+from .ordering import needs_ranges, quantiles
 
 DATE, SYM = "trade_date", "symbol"
 
@@ -134,10 +135,14 @@ def position_curve(trades: DataFrame, bars: DataFrame, by: list[str]) -> DataFra
 
 
 def trade_metrics(trades: DataFrame, by: list[str], r: str = "net_return") -> DataFrame:
-    return trades.groupBy(*by).agg(
+    """Count, win rate, mean and exact median of returns and holding days per policy."""
+    base = trades.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_trades"), F.avg((F.col(r) > 0).cast("double")).alias("win_rate"), F.avg(r).alias("avg_return"),
-        F.percentile(r, F.lit(0.5)).alias("median_return"), F.avg("hold_days").alias("avg_hold_days"),
-        F.percentile("hold_days", F.lit(0.5)).alias("median_hold_days"))
+        F.avg("hold_days").alias("avg_hold_days"))
+    big = needs_ranges(trades, by)
+    for value, name in ((r, "median_return"), ("hold_days", "median_hold_days")):
+        base = base.join(quantiles(trades, by, value, {name: 0.5}, big).drop("n"), by, "left")
+    return base
 
 
 def first_fill(orders: DataFrame, bars: DataFrame) -> DataFrame:

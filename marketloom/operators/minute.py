@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import all_of, any_of, flag, safe_divide, to_number, with_scenarios
+from ..functions.expr import all_of, any_of, fail_where, flag, safe_divide, to_number, with_scenarios
 from ..functions.stats import compound, sharpe
 from .execution import net_return
 
@@ -216,8 +216,7 @@ def attach_band_matched(daily: DataFrame, trades: DataFrame, bands: DataFrame, t
     m = w.groupBy(*keys).agg(F.sum(F.col("executed_mean_return") * F.col("_w")).alias("band_matched_return"), F.sum("_w").alias("band_matched_weight"))
     out = daily.join(m, keys, "left")
     bad = F.col("band_matched_return").isNull() | (F.abs(F.col("band_matched_weight") - (1.0 - F.col("cash_weight"))) > 1e-12)
-    if out.where(bad).limit(1).count():
-        raise ValueError("limit-band benchmark does not cover or rebuild the invested weight of every date")
+    out = fail_where(out, bad, "band_matched_return", "limit-band benchmark does not cover or rebuild the invested weight of every date")
     return out.withColumn("within_band_active", F.col("portfolio_return") - F.col("band_matched_return"))
 
 

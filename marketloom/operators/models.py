@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import add_all
 from .execution import top_rows
+from .ordering import needs_ranges
 from .xsection import DATE, daily_ic, pct_rank, robust_standardize, with_stats, zscore
 
 SYM = "symbol"
@@ -116,6 +117,8 @@ def walk_forward(df: DataFrame, fold: DataFrame, y: str, xs: list[str], alpha: f
 
 def standardized(df: DataFrame, xs: list[str], method: str, ranged: bool | None = None) -> DataFrame:
     """Features transformed per date: none, zscore, robust or rank."""
+    if ranged is None and method in ("robust", "rank"):
+        ranged = needs_ranges(df, [DATE])
     for x in xs if method != "none" else []:
         if method == "zscore":
             df = zscore(df, x)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import add_all, safe_divide
+from ..functions.expr import add_all, fail_where, safe_divide
 
 DATE, SYM = "trade_date", "symbol"
 
@@ -65,10 +65,8 @@ def pit_top_n(universe: DataFrame, bars: DataFrame, n: int, min_listed: int, met
     ok = bars.where((F.col("listed_days") >= min_listed) & ~flag("is_suspended")).select(DATE, SYM)
     w = Window.partitionBy(DATE).orderBy(F.col(metric).desc(), F.col(SYM))
     top = universe.join(ok, [DATE, SYM]).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-    short = top.groupBy(DATE).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") < n)
-    if short.limit(1).count():
-        raise ValueError(f"fewer than {n} eligible names on some date")
-    return top
+    size = F.count(F.lit(1)).over(Window.partitionBy(DATE))  # at most n rows per date
+    return fail_where(top.withColumn("_n", size), F.col("_n") < n, "rank", f"fewer than {n} eligible names on some date").drop("_n")
 
 
 def kth_largest_filter(df: DataFrame, value: str, k: int, min_rows: int) -> DataFrame:
@@ -86,7 +84,7 @@ def kth_largest_filter(df: DataFrame, value: str, k: int, min_rows: int) -> Data
 
 def sample_per_date(df: DataFrame, n: int, seed: int, keys: list[str]) -> DataFrame:
     """At most ``n`` rows per date, chosen by a seeded hash of the key (repeatable; map-side limited)."""
-    w = Window.partitionBy(DATE).orderBy(F.xxhash64(F.lit(seed), *keys), *keys)
+    w = Window.partitionBy(DATE).orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])), *keys)
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
@@ -115,9 +113,7 @@ def attach_full(left: DataFrame, right: DataFrame, key: str, value: str) -> Data
     """Left join that must find a unique value for every row."""
     from .keys import assert_unique
     out = left.join(assert_unique(right.select(key, value), [key], value), key, "left")
-    if out.where(F.col(value).isNull()).limit(1).count():
-        raise ValueError(f"{value} does not cover every row")
-    return out
+    return fail_where(out, F.col(value).isNull(), value, f"{value} does not cover every row")
 
 
 def equal_weight_top(df: DataFrame, score: str, k: int, by: list[str] | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import bias_corrected_kurtosis, bias_corrected_skew
-from .ordering import ranked
+from .ordering import needs_ranges, ranked
 from .rolling import DATE, SYM, frame
 from .xsection import with_stats
 
@@ -46,6 +46,7 @@ def score_history(df: DataFrame, score: str, first_dates: DataFrame | None = Non
     """Lags, means, changes and dispersion of an entity's score history, and its place in the day's cross-section."""
     if first_dates is not None:
         df = df.join(first_dates, SYM, "left").where(F.col("first_date").isNull() | (F.col(DATE) >= F.col("first_date"))).drop("first_date")
+    ranged = needs_ranges(df, [DATE])
     s = F.col(score)
     seen = F.row_number().over(by_symbol())
     lag = lambda n: F.lag(score, n).over(by_symbol())
@@ -56,6 +57,6 @@ def score_history(df: DataFrame, score: str, first_dates: DataFrame | None = Non
         "c_chg1": s - F.coalesce(lag(1), F.lit(0.0)), "c_chg3": F.coalesce(s - lag(3), F.lit(0.0)), "c_chg5": F.coalesce(s - lag(5), F.lit(0.0)),
         "c_vol5": sd(5), "c_vol10": sd(10)})
     d = with_stats(d, [DATE], _m=F.avg(score), _s=F.stddev_pop(score), c_sum=F.sum(score))
-    d = ranked(d, [DATE], score, "_r_")
+    d = ranked(d, [DATE], score, "_r_", ranged)
     return d.withColumns({"c_zscore": F.when(F.col("_s") > 0, (s - F.col("_m")) / F.col("_s")).otherwise(0.0),
                           "c_rank_pct": (F.col("_r_min") - 1) / F.col("_r_n")}).drop("_m", "_s", "_r_avg", "_r_min", "_r_n")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import staged
+from .ordering import quantiles
+
 DATE, SYM = "trade_date", "symbol"
 
 
@@ -95,8 +98,9 @@ def adjustment_bridge(df: DataFrame, boundary: str, price: str, reported: str) -
         F.max_by(F.when(before, F.col(price)), F.when(before, F.col(DATE))).alias("_b"), F.min_by(F.when(after, F.col(price)), F.when(after, F.col(DATE))).alias("_a"),
         F.min_by(F.when(after, F.col(reported)), F.when(after, F.col(DATE))).alias("_r"))
     err = F.abs((F.col("_a") / F.col("_b") - 1.0) * 100.0 - F.col("_r"))
-    g = g.where("_a is not null and _b is not null and _r is not null").withColumn("_e", err)
-    return g.agg(F.count(F.lit(1)).alias("symbols"), F.percentile("_e", F.lit(0.5)).alias("median_error"), F.percentile("_e", F.lit(0.99)).alias("p99_error"), F.max("_e").alias("max_error"))
+    g = staged(g.where("_a is not null and _b is not null and _r is not null").select(F.lit(1).alias("_k"), err.alias("error")))
+    q = quantiles(g, ["_k"], "error", {"median_error": 0.5, "p99_error": 0.99}).drop("n")
+    return g.groupBy("_k").agg(F.count(F.lit(1)).alias("symbols"), F.max("error").alias("max_error")).join(q, "_k").drop("_k")
 
 
 def event_evidence(df: DataFrame, kind: str) -> DataFrame:

@@ -7,11 +7,12 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import add_all
+from ..functions.expr import add_all, fail_where
 from ..functions.stats import annualised, compound, growth, sharpe
 from ..operators.calendar import last_session_before, next_session
 from ..operators.execution import top_rows
 from ..operators.metrics import series_metrics
+from ..operators.ordering import needs_ranges, ranked
 from ..operators.portfolio import DATE, SYM, dense_index, equal_weight_top, set_turnover, weight_turnover
 from ..operators.series import rolling_odds
 
@@ -157,17 +158,26 @@ def equal_weight_index(membership: DataFrame, bars: DataFrame, top_n: int, max_g
     gap = F.abs(F.col("pct_chg") - (F.col("close") / F.col("pre_close") - 1.0) * 100.0) > max_gap
     d = held.groupBy(DATE).agg((F.avg(F.coalesce("pct_chg", F.lit(0.0))) / 100.0).alias("ret"), F.count_distinct(SYM).alias("names"),
                                F.sum(F.col("pct_chg").isNull().cast("bigint")).alias("missing"), F.max(F.coalesce(gap, F.lit(False))).alias("_gap"))
-    if d.where((F.col("names") != top_n) | F.col("_gap")).limit(1).count():
-        raise ValueError("membership size or reported returns are inconsistent")
+    d = fail_where(d, (F.col("names") != top_n) | F.col("_gap"), "ret", "membership size or reported returns are inconsistent")
     return d.drop("_gap")
 
 
 def top_fraction(df: DataFrame, score: str, fraction: float, group: str) -> DataFrame:
-    """Top share of every group per date (at least one name), equal weight over the date."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(DATE, group))
-    k = F.row_number().over(Window.partitionBy(DATE, group).orderBy(F.col(score).desc(), F.col(SYM)))
-    d = df.where(F.col(score).isNotNull()).withColumns({"_n": n, "_k": k}).where(F.col("_k") <= F.greatest(F.lit(1), F.floor(F.col("_n") * fraction)))
-    return d.withColumn("weight", 1.0 / F.count(F.lit(1)).over(Window.partitionBy(DATE))).select(*KEYS, "weight")
+    """Top share of every group per date (at least one name), equal weight over the date; ties by symbol.
+
+    The share of a huge group is itself huge, so the cut is an exact rank (see ``ordering``) and only the
+    names tied at the cut are ordered by symbol.
+    """
+    by = [DATE, group]
+    d = df.where(F.col(score).isNotNull()).select(*KEYS, group, (-F.col(score)).alias("_v"))
+    big = needs_ranges(d, by)
+    d = ranked(d, by, "_v", "_r_", big)
+    ties = (F.col("_r_avg") - F.col("_r_min")) * 2 + 1
+    d = d.withColumns({"_k": F.greatest(F.lit(1), F.floor(F.col("_r_n") * fraction)), "_last": F.col("_r_min") + ties - 1})
+    sure = d.where(F.col("_last") <= F.col("_k"))
+    edge = ranked(d.where((F.col("_r_min") <= F.col("_k")) & (F.col("_last") > F.col("_k"))), by, SYM, "_e_", big)
+    kept = sure.select(*KEYS).unionByName(edge.where(F.col("_e_min") <= F.col("_k") - F.col("_r_min") + 1).select(*KEYS))
+    return kept.join(kept.groupBy(DATE).agg((1.0 / F.count(F.lit(1))).alias("weight")), DATE)
 
 
 def blend(sleeves: dict[str, DataFrame], shares: dict[str, float]) -> DataFrame:

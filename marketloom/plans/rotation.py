@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expr import fail_where
 from ..operators.keys import keep_one
 
 DATE, SYM = "trade_date", "symbol"
@@ -18,8 +19,7 @@ def ordered():
 def common_panel(prices: DataFrame) -> DataFrame:
     """Adjusted open and close on the dates where every symbol has both."""
     p = prices.withColumns({"adj_open": F.col("open") * F.col("adj_factor"), "adj_close": F.col("close") * F.col("adj_factor")})
-    if p.where("adj_open <= 0 or adj_close <= 0").limit(1).count():
-        raise ValueError("adjusted prices must be positive")
+    p = fail_where(p, (F.col("adj_open") <= 0) | (F.col("adj_close") <= 0), "adj_open", "adjusted prices must be positive")
     p = keep_one(p.where("adj_open is not null and adj_close is not null").select(DATE, SYM, "adj_open", "adj_close"), [DATE, SYM], ["adj_open"], "last")
     total = p.agg(F.countDistinct(SYM).alias("_all"))
     full = p.groupBy(DATE).agg(F.count(F.lit(1)).alias("_all")).join(total, "_all", "left_semi")
@@ -84,8 +84,7 @@ def daily_reconstruction(result: DataFrame, target: DataFrame, prices: DataFrame
     w = Window.partitionBy(*by, "rebalance_date").orderBy(DATE)
     v = v.withColumns({"gross_daily": F.col("_v") / F.coalesce(F.lag("_v").over(w), F.lit(1.0)) - 1.0, "_first": F.row_number().over(w) == 1})
     bad = (F.col(DATE) == F.col("exit_date")) & (F.abs(F.col("_v") - 1.0 - F.col("gross_return")) > tolerance)
-    if v.where(bad).limit(1).count():
-        raise ValueError("daily reconstruction does not match the period return")
+    v = fail_where(v, bad, "gross_daily", "daily reconstruction does not match the period return")
     factor = (1.0 + F.col("net_return")) / (1.0 + F.col("gross_return"))
     net = F.when(F.col("_first"), (1.0 + F.col("gross_daily")) * factor - 1.0).otherwise(F.col("gross_daily"))
     return v.select(*by, "rebalance_date", DATE, "gross_daily", net.alias("net_daily"))
