@@ -39,12 +39,16 @@ add_view("q_value", ("z_value",), """
 
 
 def z_value(spark, d):
-    return XS.industry_zscore(staged(V.factors(spark, d)), "f_value", out="z").select(
-        *KEYS, "industry", "next_ret", "f_size", "f_turn", "z")
+    """Standardised value signal with the group-size check it was built under."""
+    f = staged(V.factors(spark, d).select(*KEYS, "industry", "next_ret", "f_size", "f_turn", "f_value"))
+    big = needs_ranges(f, ["trade_date"])
+    z = XS.industry_zscore(f, "f_value", out="z", ranged=big).drop("f_value")
+    return (staged(z) if big else z), big
 
 
 def q_value(spark, d):
-    return XS.qcut(staged(z_value(spark, d)), "z")
+    z, big = z_value(spark, d)
+    return XS.qcut(z, "z", ranged=big)
 
 
 @query("winsorize_by_date", """
@@ -58,7 +62,7 @@ def winsorize_by_date(spark, d):
 @query("industry_demean_zscore", "SELECT trade_date, symbol, round(z, 6) AS z FROM z_value", "z_value")
 @query("factor_standardize", "SELECT trade_date, symbol, round(z, 6) AS z FROM z_value", "z_value")
 def industry_demean_zscore(spark, d):
-    return rounded(z_value(spark, d).select(*KEYS, "z"), "z")
+    return rounded(z_value(spark, d)[0].select(*KEYS, "z"), "z")
 
 
 @query("zscore_pop", """
@@ -109,7 +113,7 @@ def tercile_buckets(spark, d):
 def cross_sectional_transform(spark, d):
     w = staged(XS.winsorize(V.factors(spark, d).select(*KEYS, "f_value"), "f_value", out="x").select(*KEYS, "x"))
     big = needs_ranges(w, ["trade_date"])
-    out = XS.robust_standardize(XS.zscore(w, "x", out="zscore"), "x", out="robust", ranged=big)
+    out = XS.robust_standardize(XS.zscore(w, "x", out="zscore", ranged=big), "x", out="robust", ranged=big)
     out = XS.pct_rank(out, "x", out="rank", ranged=big)
     return rounded(out.select(*KEYS, "zscore", "robust", "rank"), "zscore", "robust", "rank")
 
@@ -135,8 +139,8 @@ RESID_SQL = """
     round((e - avg(e) OVER d) / nullif(stddev_samp(e) OVER d, 0), 6) AS z_neutral FROM e WINDOW d AS (PARTITION BY trade_date)""",
        "z_value")
 def residualize_by_date(spark, d):
-    z = staged(z_value(spark, d))
-    return rounded(XS.residualize(z, "z", ("f_size", "f_turn")).select(*KEYS, "z_neutral"), "z_neutral")
+    z, big = z_value(spark, d)
+    return rounded(XS.residualize(z, "z", ("f_size", "f_turn"), ranged=big).select(*KEYS, "z_neutral"), "z_neutral")
 
 
 @query("cross_section_corr_mean", """
@@ -245,7 +249,8 @@ def date_equal_weights(spark, d):
 def composite_score(spark, d):
     from ..operators.portfolio import composite_score as op
     f = staged(V.factors(spark, d).select(*KEYS, "f_size", "f_value"))
-    z = XS.zscore(XS.zscore(f, "f_size", ddof=0, out="a"), "f_value", ddof=0, out="b")
+    big = needs_ranges(f, ["trade_date"])
+    z = XS.zscore(XS.zscore(f, "f_size", ddof=0, out="a", ranged=big), "f_value", ddof=0, out="b", ranged=big)
     return rounded(op(z, {"a": -1.0, "b": 1.0}).select(*KEYS, "score"), "score")
 
 
@@ -257,6 +262,7 @@ def composite_score(spark, d):
 def value_cluster(spark, d):
     from ..operators.portfolio import mean_of_available
     f = staged(V.factors(spark, d).select(*KEYS, "f_size", "f_value"))
-    z = XS.zscore(XS.zscore(f, "f_size", out="a"), "f_value", out="b")
+    big = needs_ranges(f, ["trade_date"])
+    z = XS.zscore(XS.zscore(f, "f_size", out="a", ranged=big), "f_value", out="b", ranged=big)
     z = z.withColumn("a", F.when(F.col("symbol") % 3 != 0, F.col("a")))
     return rounded(z.select(*KEYS, mean_of_available(["a", "b"]).alias("cluster")), "cluster")

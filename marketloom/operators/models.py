@@ -117,11 +117,11 @@ def walk_forward(df: DataFrame, fold: DataFrame, y: str, xs: list[str], alpha: f
 
 def standardized(df: DataFrame, xs: list[str], method: str, ranged: bool | None = None) -> DataFrame:
     """Features transformed per date: none, zscore, robust or rank."""
-    if ranged is None and method in ("robust", "rank"):
+    if ranged is None and method != "none":
         ranged = needs_ranges(df, [DATE])
     for x in xs if method != "none" else []:
         if method == "zscore":
-            df = zscore(df, x)
+            df = zscore(df, x, ranged=ranged)
         elif method == "robust":
             df = robust_standardize(df, x, out=x, ranged=ranged)
         else:

@@ -68,9 +68,10 @@ def ranked(df: DataFrame, by: list[str], value: str, prefix: str = "rk_", ranged
     names = [f"{prefix}{k}" for k in ("avg", "min", "n")]
     if not (needs_ranges(df, by) if ranged is None else ranged):
         known = F.col(value).isNotNull()
-        first = F.rank().over(Window.partitionBy(*by).orderBy(F.col(value).asc_nulls_last()))
-        ties = F.count(F.lit(1)).over(Window.partitionBy(*by, value))
-        n = F.count(value).over(Window.partitionBy(*by))
+        w = Window.partitionBy(*by).orderBy(F.col(value).asc_nulls_last())  # one sort serves all three
+        first = F.rank().over(w)
+        ties = F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow))
+        n = F.count(value).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
         ranks = [first + (ties - 1) / 2.0, first, n]
         return df.withColumns({c: F.when(known, x) for c, x in zip(names, ranks, strict=True)})
     first = F.col("below") + 1
@@ -79,6 +80,20 @@ def ranked(df: DataFrame, by: list[str], value: str, prefix: str = "rk_", ranged
     return df.join(ranks, [*by, value], "left").select(*df.columns, *names)
 
 
+def with_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float], ranged: bool | None = None,
+                   n: str | None = None) -> DataFrame:
+    """The group's quantiles (and optionally its non-null count) on every row."""
+    if ranged is None:
+        ranged = needs_ranges(df, by)
+    if ranged:
+        q = quantiles(df, by, value, probs, True)
+        return df.join(q.withColumnRenamed("n", n) if n else q.drop("n"), by, "left")
+    w = Window.partitionBy(*by)
+    q = F.percentile(F.col(value).cast("double"), F.array(*[F.lit(float(p)) for p in probs.values()])).over(w)
+    d = df.withColumns({"_q": q} | ({n: F.count(value).over(w)} if n else {}))
+    return d.withColumns({c: F.col("_q")[i] for i, c in enumerate(probs)}).drop("_q")
+
+
 def quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float], ranged: bool | None = None) -> DataFrame:
     """Linear-interpolation quantiles per group, one column per named probability, plus ``n``."""
     v = F.col(value).cast("double")
