@@ -117,7 +117,7 @@ def macd(spark, d):
 
 @query("ewm_macd", "SELECT trade_date, symbol, round(dif, 6) AS dif, round(dea, 6) AS dea, round(bar, 6) AS bar, golden, dead FROM macd", "macd")
 def ewm_macd(spark, d):
-    return rounded(macd(spark, d), "dif", "dea", "bar")
+    return rounded(macd(spark, d).drop("close"), "dif", "dea", "bar")
 
 
 @query("double_event_pairs", """
@@ -137,13 +137,14 @@ def double_event_pairs(spark, d):
       UNION ALL SELECT a.*, a.entry_date > bound AND a.exit_date IS NOT NULL, CASE WHEN a.entry_date > bound THEN coalesce(a.exit_date, DATE '9999-12-31') ELSE bound END FROM q JOIN a ON a.exit_policy = q.exit_policy AND a.symbol = q.symbol AND a.k = q.k + 1) SELECT * FROM q)
     SELECT symbol, signal_date, entry_date, round(entry_price, 8) AS entry_price, exit_date, round(exit_price, 8) AS exit_price, round(exit_price / entry_price - 1, 6) AS gross_return, exit_policy FROM z WHERE kept""", "macd")
 def nonoverlap_exits(spark, d):
-    m = staged(macd(spark, d).join(ship(spark, d, "close"), KEYS))
+    m = staged(macd(spark, d))
     pairs = EV.event_pairs(m, "dead").select("symbol", F.col("trade_date").alias("signal_date"))
     nxt = m.withColumn("entry_date", F.lead("trade_date").over(EV.by_symbol())).withColumn("entry_price", F.lead("close").over(EV.by_symbol()))
     sig = pairs.join(nxt.select(F.col("trade_date").alias("signal_date"), "symbol", "entry_date", "entry_price"), ["signal_date", "symbol"]).where("entry_date is not null")
-    held = EV.nonoverlapping(EV.candidate_exits(sig, m, hold=20)).withColumn("exit_policy", F.lit("hold_20"))
-    golden = EV.nonoverlapping(EV.candidate_exits(sig, m)).withColumn("exit_policy", F.lit("golden_cross"))
-    return rounded(rounded(held.unionByName(golden), "gross_return"), "entry_price", "exit_price", digits=8)
+    sig = staged(sig)
+    both = (EV.candidate_exits(sig, m, hold=20).withColumn("exit_policy", F.lit("hold_20"))
+            .unionByName(EV.candidate_exits(sig, m).withColumn("exit_policy", F.lit("golden_cross"))))
+    return rounded(rounded(EV.nonoverlapping(both, ["exit_policy"]), "gross_return"), "entry_price", "exit_price", digits=8)
 
 
 add_view("year_trades", ("ship_daily",), """

@@ -45,7 +45,7 @@ def next_session(dates: DataFrame, calendar: DataFrame, date: str, out: str, str
     both = (asked.withColumn("_s", F.lit(None).cast("date"))
             .unionByName(calendar.select(F.col(DATE).alias("_d"), F.col(DATE).alias("_s")).distinct()))
     per_date = both.groupBy("_d").agg(F.max("_s").alias("_s"))
-    frame = Window.orderBy("_d").rowsBetween(1 if strict else 0, Window.unboundedFollowing)
+    frame = Window.orderBy(F.col("_d").desc()).rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
     found = per_date.withColumn(out, F.min("_s").over(frame)).select(F.col("_d").alias(date), out)
     return dates.join(found, date, "left")
 

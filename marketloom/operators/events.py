@@ -21,7 +21,7 @@ def by_symbol():
 def macd(df: DataFrame, price: str = "close", fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     """DIF, DEA, bar and cross flags. The recursion needs one symbol's bars in order: pandas per symbol,
     whose rows the calendar bounds; symbols run in parallel."""
-    fields = f"{DATE} date, {SYM} {dict(df.dtypes)[SYM]}, dif double, dea double, bar double, golden boolean, dead boolean"
+    fields = f"{DATE} date, {SYM} {dict(df.dtypes)[SYM]}, {price} double, dif double, dea double, bar double, golden boolean, dead boolean"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         p = pdf.sort_values(DATE)
@@ -29,7 +29,7 @@ def macd(df: DataFrame, price: str = "close", fast: int = 12, slow: int = 26, si
         dif = mean(p[price], fast) - mean(p[price], slow)
         dea = mean(dif, signal)
         was, was_dea = dif.shift(1), dea.shift(1)  # comparisons with a missing side are false
-        return pd.DataFrame({DATE: p[DATE], SYM: p[SYM], "dif": dif, "dea": dea, "bar": 2.0 * (dif - dea),
+        return pd.DataFrame({DATE: p[DATE], SYM: p[SYM], price: p[price], "dif": dif, "dea": dea, "bar": 2.0 * (dif - dea),
                              "golden": (dif > dea) & (was <= was_dea), "dead": (dif < dea) & (was >= was_dea)})
 
     return df.select(DATE, SYM, price).groupBy(SYM).applyInPandas(run, fields)
@@ -80,17 +80,17 @@ def candidate_exits(signals: DataFrame, bars: DataFrame, hold: int | None = None
     if hold is not None:
         out = {"exit_date": F.lead(DATE, hold).over(by_symbol()), "exit_price": F.lead("close", hold).over(by_symbol())}
     else:
-        later = by_symbol().rowsBetween(1, Window.unboundedFollowing)
+        later = Window.partitionBy(SYM).orderBy(F.col(DATE).desc()).rowsBetween(Window.unboundedPreceding, -1)  # running, not quadratic
         hit = F.min(F.when(F.col(exit_flag), F.struct(DATE, "close"))).over(later)
         out = {"exit_date": hit[DATE], "exit_price": hit["close"]}
     e = bars.withColumns(out).select(F.col(DATE).alias("entry_date"), SYM, "exit_date", "exit_price")
     return signals.join(e, ["entry_date", SYM])
 
 
-def nonoverlapping(candidates: DataFrame) -> DataFrame:
+def nonoverlapping(candidates: DataFrame, by: list[str]) -> DataFrame:
     """Per symbol in signal order, skip a signal entering on or before the previous exit; a signal that never
     exits blocks the rest. Greedy by nature, so pandas per symbol over its few candidate signals."""
-    c = candidates.where("entry_price > 0").select(SYM, "signal_date", "entry_date", "entry_price", "exit_date", "exit_price")
+    c = candidates.where("entry_price > 0").select(*by, SYM, "signal_date", "entry_date", "entry_price", "exit_date", "exit_price")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         p = pdf.sort_values(["signal_date", "entry_date"])
@@ -105,7 +105,7 @@ def nonoverlapping(candidates: DataFrame) -> DataFrame:
             bound = exit_ if free else bound
         return p.loc[keep]
 
-    return c.groupBy(SYM).applyInPandas(run, c.schema).withColumn(
+    return c.groupBy(*by, SYM).applyInPandas(run, c.schema).withColumn(
         "gross_return", F.col("exit_price") / F.col("entry_price") - 1.0)
 
 
@@ -155,7 +155,7 @@ def first_fill(orders: DataFrame, bars: DataFrame) -> DataFrame:
     ok = bars.select(SYM, DATE, side.alias("_o")).where("_o.ok").select(SYM, F.col("_o.side").alias("side"), DATE, F.col(DATE).alias("_fill"))
     asked = orders.select(SYM, "side", F.col("execution_date").alias(DATE)).distinct().withColumn("_fill", F.lit(None).cast("date"))
     day = ok.unionByName(asked).groupBy(SYM, "side", DATE).agg(F.max("_fill").alias("_fill"))
-    w = Window.partitionBy(SYM, "side").orderBy(DATE).rowsBetween(0, Window.unboundedFollowing)
+    w = Window.partitionBy(SYM, "side").orderBy(F.col(DATE).desc()).rowsBetween(Window.unboundedPreceding, 0)
     found = day.withColumn("fill_date", F.min("_fill").over(w)).select(SYM, "side", F.col(DATE).alias("execution_date"), "fill_date")
     cal = sessions(bars).select(DATE, "session")
     out = orders.join(found, [SYM, "side", "execution_date"], "left")

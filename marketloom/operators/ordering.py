@@ -19,14 +19,15 @@ GROUP_LIMIT = 500_000  # rows (or distinct values) of one group that a task may
 PROBE_VALUES = 20_000  # distinct values per group that place the cuts
 
 
-def needs_ranges(df: DataFrame, by: list[str], limit: int = GROUP_LIMIT) -> bool:
+def needs_ranges(df: DataFrame, by: list[str], limit: int | None = None) -> bool:
     """Check the largest group: one narrow map-side-combined count, collected as a single number."""
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    return (sizes.agg(F.max("_n")).first()[0] or 0) > limit
+    return (sizes.agg(F.max("_n")).first()[0] or 0) > (GROUP_LIMIT if limit is None else limit)
 
 
-def ordered_values(df: DataFrame, by: list[str], value: str, group_limit: int = GROUP_LIMIT) -> DataFrame:
+def ordered_values(df: DataFrame, by: list[str], value: str, group_limit: int | None = None) -> DataFrame:
     """Distinct values per group: ``by``, value, ``below`` (rows strictly below), ``ties``, ``n``."""
+    group_limit = GROUP_LIMIT if group_limit is None else group_limit
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(*by, value)
