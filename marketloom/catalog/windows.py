@@ -171,7 +171,7 @@ def year_trades(bars):
 @query("position_mark_curve", "SELECT exit_policy, trade_date, n_positions, round(portfolio_return, 6) AS portfolio_return FROM curve", "curve")
 def position_mark_curve(spark, d):
     b = staged(ship(spark, d, "close"))
-    return rounded(EV.position_curve(year_trades(b), b, ["exit_policy"]), "portfolio_return")
+    return rounded(EV.position_curve(year_trades(b), b, ["even", "odd"]), "portfolio_return")
 
 
 @query("trade_metrics", """
@@ -195,7 +195,7 @@ def equal_weight_benchmark(spark, d):
            round(avg(pr) / stddev_pop(pr) * sqrt(252.0::DOUBLE), 6) AS sharpe, round(min(dd), 6) AS max_drawdown, round(avg((pr > 0)::INT), 6) AS win_rate_days, round(product(1 + bm) - 1, 6) AS benchmark_total_return FROM n GROUP BY 1""", "curve ship_daily")
 def portfolio_curve_metrics(spark, d):
     b = staged(ship(spark, d, "close"))
-    curve = EV.position_curve(year_trades(b), b, ["exit_policy"]).withColumn("portfolio_return", F.col("portfolio_return") / 2000)
+    curve = EV.position_curve(year_trades(b), b, ["even", "odd"]).withColumn("portfolio_return", F.col("portfolio_return") / 2000)
     bench = P.equal_weight_benchmark(b.withColumn("is_suspended", F.lit(False)), "1900-01-01").withColumn("benchmark_return", F.coalesce("benchmark_return", F.lit(0.0)) / 1000)
     m = P.curve_metrics(curve.join(bench, "trade_date", "left"), ["exit_policy"])
     cols = ["n_positions_avg", "ann_return", "ann_vol", "sharpe", "max_drawdown", "win_rate_days", "benchmark_total_return"]

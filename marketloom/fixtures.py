@@ -18,10 +18,17 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def tick_order():
+    """(ts, event_id) as one decimal: a fixed-width key keeps the first / last price in a hash aggregate,
+    where a struct key would make every map task sort its ticks first."""
+    return F.expr("cast(unix_micros(cast(ts as timestamp)) as decimal(20,0)) * cast(1000000000000000000 as decimal(19,0))"
+                  " + cast(event_id as decimal(20,0))")
+
+
 def bars_daily(spark, d) -> DataFrame:
     e = table(spark, d, "events").select(
         F.col("user_id").alias("symbol"), F.to_date("ts").alias("trade_date"),
-        F.struct("ts", "event_id").alias("k"), (20.0 + 0.02 * F.col("value")).alias("p"), "value")
+        tick_order().alias("k"), (20.0 + 0.02 * F.col("value")).alias("p"), "value")
     return e.groupBy("symbol", "trade_date").agg(
         F.min_by("p", "k").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"),
         F.max_by("p", "k").alias("close"), F.sum("value").alias("amount"), F.count(F.lit(1)).alias("n"))
@@ -133,7 +140,7 @@ def intraday(spark, d) -> DataFrame:
     e = table(spark, d, "events").select(
         F.col("user_id").alias("symbol"), F.to_date("ts").alias("trade_date"),
         (F.to_date("ts").cast("timestamp") + F.expr("make_dt_interval(0, int(floor(hour(ts) / 6)) * 6)")).alias("trade_time"),
-        F.struct("ts", "event_id").alias("k"), (20.0 + 0.02 * F.col("value")).alias("p"), "value")
+        tick_order().alias("k"), (20.0 + 0.02 * F.col("value")).alias("p"), "value")
     b = e.groupBy("symbol", "trade_date", "trade_time").agg(
         F.min_by("p", "k").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"),
         F.max_by("p", "k").alias("close"), F.sum("value").alias("amount"))

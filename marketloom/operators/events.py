@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import flag
+from ..functions.expr import flag, with_scenarios
 from .calendar import sessions
 from .ordering import needs_ranges, quantiles
 
@@ -120,14 +120,14 @@ def trade_marks(trades: DataFrame, bars: DataFrame, by: list[str]) -> DataFrame:
     return d.where("_prev > 0 and mark > 0").withColumn("ret", F.col("mark") / F.col("_prev") - 1.0)
 
 
-def position_curve(trades: DataFrame, bars: DataFrame, by: list[str]) -> DataFrame:
-    """Daily mean mark return and open positions; days without a mark return zero."""
-    cal = sessions(bars).select(DATE)
+def position_curve(trades: DataFrame, bars: DataFrame, policies: list[str], by: list[str] | None = None) -> DataFrame:
+    """Daily mean mark return and open positions per exit policy; days without a mark return zero."""
+    by = by or ["exit_policy"]
     marks = trade_marks(trades, bars, by).groupBy(*by, DATE).agg(F.avg("ret").alias("_r"))
     flow = (trades.select(*by, F.col("entry_date").alias(DATE), F.lit(1).alias("_n"))
             .unionByName(trades.select(*by, F.col("exit_date").alias(DATE), F.lit(-1).alias("_n")))
             .groupBy(*by, DATE).agg(F.sum("_n").alias("_n")))
-    grid = trades.select(*by).distinct().withColumn("_k", F.lit(1)).join(cal.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    grid = with_scenarios(sessions(bars).select(DATE), by, [(p,) for p in policies])
     w = Window.partitionBy(*by).orderBy(DATE).rowsBetween(Window.unboundedPreceding, 0)
     d = grid.join(marks, [*by, DATE], "left").join(flow, [*by, DATE], "left")
     return d.select(*by, DATE, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("n_positions"),

@@ -48,6 +48,16 @@ def staged(df: DataFrame) -> DataFrame:
     column pruning still applies to the re-read, and a lost executor costs one file.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staged/{uuid.uuid4().hex}"
+    path = f"{staged_root(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def staged_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/staged/{spark.sparkContext.applicationId}"
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Delete what this application staged, once its results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(staged_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
