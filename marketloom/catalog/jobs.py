@@ -74,8 +74,8 @@ def rotation(spark, d, lookbacks=((5, "cs"),), start=None):
         m = x if m is None else m.unionByName(x)
     if len(lookbacks) > 1:  # common start: the latest first date
         m = staged(m)
-        first = m.groupBy(*BY).agg(F.min("trade_date").alias("f")).agg(F.max("f").alias("_f"), F.lit(1).alias("_k"))
-        m = m.withColumn("_k", F.lit(1)).join(first, "_k").where("trade_date >= _f").drop("_k", "_f")
+        first = m.groupBy(*BY).agg(F.min("trade_date").alias("f")).agg(F.max("f")).scalar()
+        m = m.where(F.col("trade_date") >= first)
     s = staged(weekly(p, m))
     t = RO.targets(s, "core_satellite", "error", ("view", "click"), 0.4, BY)
     res = RO.period_backtest(t, RO.signal_periods(s, p, BY), p, 25.0, BY)

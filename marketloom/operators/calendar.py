@@ -65,7 +65,6 @@ def holding_periods(signals: DataFrame, calendar: DataFrame, date: str = DATE) -
     w = Window.orderBy("signal_date")
     s = next_session(signals.select(F.col(date).alias("signal_date")).distinct(), calendar, "signal_date", "entry_date")
     s = s.where("entry_date is not null").withColumn("_exit", F.lead("entry_date").over(w))
-    last = calendar.agg(F.max(DATE).alias("_last"))
-    s = s.withColumn("_k", F.lit(1)).join(last.withColumn("_k", F.lit(1)), "_k")
-    return (s.select("signal_date", "entry_date", F.coalesce("_exit", "_last").alias("exit_date"))
+    last = calendar.agg(F.max(DATE)).scalar()
+    return (s.select("signal_date", "entry_date", F.coalesce(F.col("_exit"), last).alias("exit_date"))
             .where("exit_date > entry_date"))

@@ -42,8 +42,8 @@ def contained_pairs(short: DataFrame, long: DataFrame, s: str, text: str) -> Dat
     Both sides are distinct names, so the work follows the vocabulary and not its users.
     """
     names = short.select(F.lower(s).alias("_k"), F.col(s)).distinct()
-    lengths = names.agg(F.sort_array(F.collect_set(F.length("_k"))).alias("_lens"), F.lit(1).alias("_one"))  # at most one per text length
-    texts = long.select(F.lower(text).alias("_t"), F.col(text)).distinct().withColumn("_one", F.lit(1)).join(lengths, "_one")
+    lengths = names.agg(F.sort_array(F.collect_set(F.length("_k")))).scalar()  # at most one entry per text length
+    texts = long.select(F.lower(text).alias("_t"), F.col(text)).distinct().withColumn("_lens", lengths)
     size = F.explode(F.filter("_lens", lambda n: n <= F.length("_t")))
     parts = texts.select(text, "_t", size.alias("_n")).select(
         text, F.explode(F.transform(F.expr("sequence(1, length(_t) - _n + 1)"),

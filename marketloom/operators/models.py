@@ -24,9 +24,8 @@ SYM = "symbol"
 def date_equal_weights(df: DataFrame, out: str = "weight") -> DataFrame:
     """1 / rows on the date, scaled to mean one (so the scale is rows / dates)."""
     counts = df.groupBy(DATE).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg((F.sum("_n") / F.count(F.lit(1))).alias("_scale"), F.lit(1).alias("_k"))
-    d = with_stats(df, [DATE], _n=F.count(F.lit(1))).withColumn("_k", F.lit(1))
-    return d.join(total, "_k").withColumn(out, F.col("_scale") / F.col("_n")).drop("_n", "_k", "_scale")
+    scale = counts.agg(F.sum("_n") / F.count(F.lit(1))).scalar()
+    return with_stats(df, [DATE], _n=F.count(F.lit(1))).withColumn(out, scale / F.col("_n")).drop("_n")
 
 
 def date_moments(df: DataFrame, y: str, xs: list[str], by: list[str] | None = None) -> DataFrame:

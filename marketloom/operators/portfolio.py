@@ -39,24 +39,23 @@ def topk_days(df: DataFrame, score: str, top_ks: list[int], target: str, adv: st
 
 
 def dense_index(df: DataFrame, date: str = DATE) -> DataFrame:
-    """Dense index over the distinct dates of a table (date-level)."""
-    return df.select(date).distinct().withColumn("idx", F.row_number().over(Window.orderBy(date)))
+    """Dense index over the distinct dates of a table, and a mark on the last one (date-level)."""
+    w = Window.orderBy(date)
+    return df.select(date).distinct().withColumns({"idx": F.row_number().over(w), "is_last": F.lead(date).over(w).isNull()})
 
 
 def set_turnover(members: DataFrame, by: list[str] | None = None, date: str = DATE) -> DataFrame:
     """|entered| + |left| between consecutive rebalances, with both set sizes."""
     by = by or []
     m = members.select(*by, date, SYM).distinct().join(dense_index(members, date), date)
-    last = m.agg(F.max("idx").alias("_last"), F.lit(1).alias("_k"))
     w = Window.partitionBy(*by, SYM).orderBy("idx")
     d = m.withColumns({"_new": ~F.coalesce(F.lag("idx").over(w) == F.col("idx") - 1, F.lit(False)),
-                       "_leaves": ~F.coalesce(F.lead("idx").over(w) == F.col("idx") + 1, F.lit(False)), "_k": F.lit(1)})
-    d = d.join(last, "_k")
+                       "_leaves": ~F.coalesce(F.lead("idx").over(w) == F.col("idx") + 1, F.lit(False))})
     entered = d.groupBy(*by, "idx").agg(F.count(F.lit(1)).alias("names"), F.sum(F.col("_new").cast("bigint")).alias("entered"))
-    left = (d.where(F.col("_leaves") & (F.col("idx") < F.col("_last"))).groupBy(*by, (F.col("idx") + 1).alias("idx"))
+    left = (d.where(F.col("_leaves") & ~F.col("is_last")).groupBy(*by, (F.col("idx") + 1).alias("idx"))
             .agg(F.count(F.lit(1)).alias("exited")))
     out = entered.join(left, [*by, "idx"], "full").fillna(0, ["names", "entered", "exited"])
-    return out.join(dense_index(members, date), "idx")
+    return out.join(dense_index(members, date).drop("is_last"), "idx")
 
 
 def pit_top_n(universe: DataFrame, bars: DataFrame, n: int, min_listed: int, metric: str = "liq_metric") -> DataFrame:
@@ -172,14 +171,13 @@ def weight_turnover(targets: DataFrame, by: list[str], weight: str = "weight") -
     """Σ|w − previous w| per rebalance and group, from one lagged pass over each symbol's own rebalances."""
     idx = dense_index(targets)
     d = targets.join(idx, DATE)
-    top = idx.agg(F.max("idx").alias("_last"), F.lit(1).alias("_k"))
     w = Window.partitionBy(*by, SYM).orderBy("idx")
     prev = F.when(F.lag("idx").over(w) == F.col("idx") - 1, F.lag(weight).over(w)).otherwise(0.0)
     leaves = ~F.coalesce(F.lead("idx").over(w) == F.col("idx") + 1, F.lit(False))
-    d = d.withColumns({"_move": F.abs(F.col(weight) - prev), "_leaves": leaves, "_k": F.lit(1)}).join(top, "_k")
+    d = d.withColumns({"_move": F.abs(F.col(weight) - prev), "_leaves": leaves})
     kept = d.select(*by, "idx", "_move")
-    gone = d.where(F.col("_leaves") & (F.col("idx") < F.col("_last"))).select(*by, (F.col("idx") + 1).alias("idx"), F.col(weight).alias("_move"))
-    return kept.unionByName(gone).groupBy(*by, "idx").agg(F.sum("_move").alias("traded")).join(idx, "idx").drop("idx")
+    gone = d.where(F.col("_leaves") & ~F.col("is_last")).select(*by, (F.col("idx") + 1).alias("idx"), F.col(weight).alias("_move"))
+    return kept.unionByName(gone).groupBy(*by, "idx").agg(F.sum("_move").alias("traded")).join(idx, "idx").drop("idx", "is_last")
 
 
 def cost_adjusted_spread(legs: DataFrame, cost_bps: list[float], terminals: list[float]) -> DataFrame:

@@ -79,10 +79,10 @@ def long_only_topk(panel: DataFrame, bars: DataFrame, calendar: DataFrame, score
     """
     cal = calendar.select(DATE).distinct()
     reb = next_session(panel.select(DATE).distinct(), cal, DATE, "entry_date").where("entry_date is not null")
-    last = cal.agg(F.max(DATE).alias("_last"), F.lit(1).alias("_k"))
+    last = cal.agg(F.max(DATE)).scalar()
     w = Window.orderBy(DATE)  # rebalance dates
-    reb = (reb.withColumns({"idx": F.row_number().over(w), "_n": F.lead(DATE).over(w), "_k": F.lit(1)}).join(last, "_k")
-           .select(DATE, "entry_date", "idx", F.coalesce("_n", "_last").alias("end_date")))
+    reb = (reb.withColumns({"idx": F.row_number().over(w), "_n": F.lead(DATE).over(w)})
+           .select(DATE, "entry_date", "idx", F.coalesce(F.col("_n"), last).alias("end_date")))
     top = top_rows(panel.where(F.col(score).isNotNull()), score, k).join(reb.select(DATE, "idx"), DATE).select("idx", SYM)
     entry = bars.select(F.col(DATE).alias("entry_date"), SYM, "buy_tradable", "sell_tradable").join(reb.select("entry_date", "idx"), "entry_date").drop("entry_date")
     held = held_with_stuck(top, entry)

@@ -49,10 +49,10 @@ def signal_periods(signals: DataFrame, calendar: DataFrame, by: list[str]) -> Da
     """Entry on the session after each signal, exit on the session after the next one (else the last session)."""
     from ..operators.calendar import sessions
     cal = sessions(calendar)
-    last = cal.agg(F.max(DATE).alias("_last"), F.lit(1).alias("_k"))
-    d = signals.select(*by, DATE).join(cal.select(DATE, F.col("next_date").alias("entry_date")), DATE).withColumn("_k", F.lit(1)).join(last, "_k")
+    last = cal.agg(F.max(DATE)).scalar()
+    d = signals.select(*by, DATE).join(cal.select(DATE, F.col("next_date").alias("entry_date")), DATE)
     w = Window.partitionBy(*by).orderBy(DATE)
-    d = d.withColumn("exit_date", F.coalesce(F.lead("entry_date").over(w), F.col("_last")))
+    d = d.withColumn("exit_date", F.coalesce(F.lead("entry_date").over(w), last))
     return d.where("entry_date < exit_date").select(*by, DATE, "entry_date", "exit_date")
 
 
