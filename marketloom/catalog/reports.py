@@ -184,11 +184,11 @@ def concept_daily_stats(spark, d):
 def persistence_test(spark, d):
     f = staged(concept_fwd(spark, d))
     a = CO.appearances(f, 5).where("fwd is not null").withColumn("streak", F.col("streak").cast("int"))
-    t = a.groupBy("streak").agg(F.count(F.lit(1)).alias("observations"), F.avg("fwd").alias("mean_ret"), F.stddev_pop("fwd").alias("std"), F.lit(1).alias("_k"))
+    t = a.groupBy("streak").agg(F.count(F.lit(1)).alias("observations"), F.avg("fwd").alias("mean_ret"), F.stddev_pop("fwd").alias("std"))
     long, one = F.when(F.col("streak") >= 3, F.col("fwd")), F.when(F.col("streak") == 1, F.col("fwd"))
-    w = a.agg(F.count(long).alias("n1"), F.avg(long).alias("m1"), F.var_samp(long).alias("v1"), F.count(one).alias("n2"), F.avg(one).alias("m2"), F.var_samp(one).alias("v2"), F.lit(1).alias("_k"))
-    w = w.select("_k", welch_t(*[F.col(c) for c in ("n1", "m1", "v1", "n2", "m2", "v2")]).alias("welch_t"))
-    t = t.join(w, "_k").drop("_k").withColumn("t_stat", F.try_divide(F.col("mean_ret"), F.col("std") / F.sqrt("observations")))
+    w = a.agg(F.count(long).alias("n1"), F.avg(long).alias("m1"), F.var_samp(long).alias("v1"), F.count(one).alias("n2"), F.avg(one).alias("m2"), F.var_samp(one).alias("v2"))
+    w = w.select(welch_t(*[F.col(c) for c in ("n1", "m1", "v1", "n2", "m2", "v2")]).alias("welch_t"))
+    t = t.withColumn("welch_t", w.scalar()).withColumn("t_stat", F.try_divide(F.col("mean_ret"), F.col("std") / F.sqrt("observations")))
     return rounded(t, "mean_ret", "std", "t_stat", "welch_t")
 
 

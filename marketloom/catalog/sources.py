@@ -338,8 +338,7 @@ def dataset_receipts(spark, d):
     same = D.complete_source(kept.withColumn("quality_status", F.lit("complete")), now)
     diff = D.receipt_differences(kept, now)
     days = same.where("file like 'trade_date=%'").select(F.regexp_extract("file", "trade_date=([^/]+)/", 1).alias("t"))
-    out = days.agg(F.countDistinct("t").alias("matched")).withColumn("k", F.lit(1))
-    return out.join(diff.agg(F.count(F.lit(1)).alias("differing")).withColumn("k", F.lit(1)), "k").drop("k")
+    return days.agg(F.countDistinct("t").alias("matched")).withColumn("differing", diff.agg(F.count(F.lit(1))).scalar())
 
 
 @query("normalize_trade_date", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS trade_date FROM orders WHERE o_orderkey % 3 <> 2")

@@ -240,10 +240,10 @@ def band_mix(df: DataFrame, band: str, date: str, scope: str) -> DataFrame:
     """Daily weight per band, averaged over all dates (absent = 0), and its median when present."""
     day = df.groupBy(date, band).agg(F.count(F.lit(1)).alias("band_rows"))
     day = day.withColumn("w", F.col("band_rows") / F.sum("band_rows").over(Window.partitionBy(date)))
-    total = df.groupBy(date).agg(F.count(F.lit(1)).alias("n")).agg(
-        F.sum("n").alias("_rows"), F.count(F.lit(1)).alias("total_dates"), F.lit(1).alias("_k"))
+    dates = df.groupBy(date).agg(F.count(F.lit(1)).alias("n"))
+    total = {"_rows": dates.agg(F.sum("n")).scalar(), "total_dates": dates.agg(F.count(F.lit(1))).scalar()}
     s = day.groupBy(band).agg(F.sum("band_rows").alias("rows"), F.count(F.lit(1)).alias("dates_present"), F.sum("w").alias("_w"),
-                              F.percentile("w", F.lit(0.5)).alias("daily_weight_median_when_present"), F.lit(1).alias("_k"))
-    return s.join(total, "_k").select(
+                              F.percentile("w", F.lit(0.5)).alias("daily_weight_median_when_present"))
+    return s.withColumns(total).select(
         F.lit(scope).alias("scope"), band, "rows", "dates_present", "total_dates", (F.col("rows") / F.col("_rows")).alias("row_share"),
         (F.col("_w") / F.col("total_dates")).alias("daily_weight_mean"), "daily_weight_median_when_present")

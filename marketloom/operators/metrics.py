@@ -124,8 +124,8 @@ def attribution(wide: DataFrame, strategy: str, factors: list[str], by: list[str
     s = full.groupBy(*by).agg(total.alias("period_return"), (F.pow(1.0 + F.avg(strategy), F.lit(year)) - 1.0).alias("annual_return"),
                               annualised(growth(strategy), n, year).alias("geometric_annual_return"))
     f = full.unpivot(by, factors, "factor", "_r").groupBy(*by, "factor").agg(compound("_r").alias("factor_return"))
-    out = fit.join(s, by) if by else fit.join(s.withColumn("_k", F.lit(1)), F.lit(1) == F.col("_k")).drop("_k")
-    return out.join(f, [*by, "factor"]).withColumns({
+    out = f.join(s, by) if by else f.withColumns({c: s.select(c).scalar() for c in s.columns})
+    return fit.join(out, [*by, "factor"]).withColumns({
         "annual_alpha": F.pow(1.0 + F.col("intercept"), F.lit(year)) - 1.0, "contribution": F.col("beta") * F.col("factor_return")})
 
 

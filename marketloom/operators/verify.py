@@ -34,14 +34,13 @@ def compare_tables(left: DataFrame, right: DataFrame, keys: list[str], tolerance
 
 def score_integrity(scores: DataFrame, variants: int, rows: int, hms: tuple[int, int, int], zone: str = "Asia/Shanghai") -> DataFrame:
     """Same keys in every variant, a fixed row count per variant and date, one availability time of day."""
-    keys = scores.groupBy(DATE, SYM).agg(F.count_distinct("variant").alias("v")).agg(
-        F.sum((F.col("v") != variants).cast("bigint")).alias("keys_not_shared"), F.lit(1).alias("_k"))
+    keys = scores.groupBy(DATE, SYM).agg(F.count_distinct("variant").alias("v")).agg(F.sum((F.col("v") != variants).cast("bigint"))).scalar()
     per = scores.groupBy("variant", DATE).agg(F.count(F.lit(1)).alias("n")).agg(
-        F.count(F.lit(1)).alias("variant_dates"), F.sum((F.col("n") != rows).cast("bigint")).alias("wrong_size_dates"), F.lit(1).alias("_k"))
+        F.count(F.lit(1)).alias("variant_dates"), F.sum((F.col("n") != rows).cast("bigint")).alias("wrong_size_dates"))
     t = F.from_utc_timestamp("available_at", zone)
     off = (F.hour(t) != hms[0]) | (F.minute(t) != hms[1]) | (F.second(t) != hms[2])
-    when = scores.agg(F.sum(off.cast("bigint")).alias("wrong_time_rows"), F.lit(1).alias("_k"))
-    return keys.join(per, "_k").join(when, "_k").drop("_k")
+    when = scores.agg(F.sum(off.cast("bigint"))).scalar()
+    return per.select(keys.alias("keys_not_shared"), "variant_dates", "wrong_size_dates", when.alias("wrong_time_rows"))
 
 
 def variant_deltas(rows: DataFrame, a: str, b: str, metrics: list[str]) -> DataFrame:
@@ -53,10 +52,9 @@ def variant_deltas(rows: DataFrame, a: str, b: str, metrics: list[str]) -> DataF
 def ledger_identities(ledger: DataFrame, orders: DataFrame, tolerance: float = 1e-7) -> DataFrame:
     """cash + positions = NAV, gross − cost = NAV change, order cost = notional × bps: largest gap of each."""
     part = {"cash_plus_positions": F.abs(F.col("cash") + F.col("positions") - F.col("nav")), "gross_minus_cost": F.abs(F.col("gross") - F.col("cost") - F.col("nav"))}
-    a = ledger.agg(*[F.max(v).alias(k) for k, v in part.items()], F.lit(1).alias("_k"))
-    b = orders.agg(F.max(F.abs(F.col("cost") - F.col("notional") * F.col("bps") / 10000.0)).alias("order_cost"), F.lit(1).alias("_k"))
+    cost = orders.agg(F.max(F.abs(F.col("cost") - F.col("notional") * F.col("bps") / 10000.0))).scalar()
     names = [*part, "order_cost"]
-    return a.join(b, "_k").unpivot([], names, "identity", "gap").withColumn("passed", F.col("gap") <= tolerance)
+    return ledger.agg(*[F.max(v).alias(k) for k, v in part.items()]).withColumn("order_cost", cost).unpivot([], names, "identity", "gap").withColumn("passed", F.col("gap") <= tolerance)
 
 
 def reconcile_labels(executed: DataFrame, labels: DataFrame, tolerance: float = 1e-12) -> DataFrame:
@@ -76,12 +74,11 @@ def quality_report(panel: DataFrame, value: str, max_move: float = 0.5) -> DataF
     move = F.abs(F.col("close") / F.lag("close").over(w) - 1.0) > max_move
     base = panel.withColumn("_jump", F.coalesce(move, F.lit(False))).agg(
         F.count(F.lit(1)).alias("rows"), F.sum(F.col("_jump").cast("bigint")).alias("large_moves"), F.avg(F.col(value).isNotNull().cast("double")).alias("coverage"),
-        F.sum((F.col("close") <= 0).cast("bigint")).alias("nonpositive_prices"), F.lit(1).alias("_k"))
+        F.sum((F.col("close") <= 0).cast("bigint")).alias("nonpositive_prices"))
     keys = panel.groupBy(DATE, SYM).agg(F.count(F.lit(1)).alias("c"))
-    dup = keys.agg(F.sum(F.col("c") - 1).alias("duplicate_rows"), F.lit(1).alias("_k"))
-    names = keys.groupBy(DATE).agg(F.count(F.lit(1)).alias("n")).agg(
-        F.count(F.lit(1)).alias("dates"), F.percentile("n", F.lit(0.5)).alias("median_names"), F.lit(1).alias("_k"))
-    return base.join(dup, "_k").join(names, "_k").drop("_k")
+    names = keys.groupBy(DATE).agg(F.count(F.lit(1)).alias("n"))  # one row per date
+    return base.withColumns({"duplicate_rows": keys.agg(F.sum(F.col("c") - 1)).scalar(), "dates": names.agg(F.count(F.lit(1))).scalar(),
+                             "median_names": names.agg(F.percentile("n", F.lit(0.5))).scalar()})
 
 
 def coverage_row(df: DataFrame, label: str) -> DataFrame:
