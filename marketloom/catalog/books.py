@@ -76,7 +76,7 @@ def factor_summary(spark, d):
     WITH m AS ({metrics_sql('qlegs', 'leg')}), q AS (SELECT leg, geometric_annual_return AS a, rank() OVER (ORDER BY geometric_annual_return) AS r, row_number() OVER (ORDER BY leg) AS i FROM m WHERE leg LIKE 'q_'),
     s AS (SELECT corr(i, r) AS mono, count(*) FILTER (a > p) AS steps FROM (SELECT *, lag(a) OVER (ORDER BY i) AS p FROM q))
     SELECT 'pred' AS variant, round(mono, 6) AS monotonicity, steps AS improving_steps, """ + ", ".join(
-        f"(SELECT round({c}, 6) FROM m WHERE leg = '{leg}') AS {leg}_{n}" for leg in ("q1", "q5", "long", "short", "long_short", "long_excess") for n, c in (("annual", "geometric_annual_return"), ("sharpe", "sharpe"), ("max_drawdown", "max_drawdown"))) + " FROM s", "qlegs")
+        f"(SELECT round({c}, 6) FROM m WHERE leg = '{leg}') AS {leg}_{n}" for leg in ("q1", "q5", "long", "short", "long_short", "long_excess") for n, c in (("annual", "geometric_annual_return"), ("sharpe", "sharpe"), ("max_drawdown", "max_drawdown"))) + " FROM s WHERE (SELECT count(*) FROM m) > 0", "qlegs")
 def liquidity_summary(spark, d):
     from ..plans.style import summarize_variants
     legs = quantile_legs(bars(spark, d)).withColumn("variant", F.lit("pred"))
@@ -85,7 +85,8 @@ def liquidity_summary(spark, d):
 
 
 @query("ideal_daily_nav", """
-    WITH h AS (SELECT trade_date, symbol, 1.0::DOUBLE / 20 AS w FROM daily WHERE trade_date IN (SELECT trade_date FROM reb) QUALIFY row_number() OVER (PARTITION BY trade_date ORDER BY pred DESC, symbol) <= 20),
+    WITH h AS (SELECT trade_date, symbol, 1.0::DOUBLE / count(*) OVER (PARTITION BY trade_date) AS w FROM
+      (SELECT * FROM daily WHERE trade_date IN (SELECT trade_date FROM reb) QUALIFY row_number() OVER (PARTITION BY trade_date ORDER BY pred DESC, symbol) <= 20)),
     g AS (SELECT formation_date, w.trade_date, h.w, product(1 + coalesce(pct_chg, 0) / 100) OVER (PARTITION BY h.symbol, formation_date ORDER BY w.trade_date) AS g FROM h JOIN win w ON w.formation_date = h.trade_date LEFT JOIN daily d ON d.trade_date = w.trade_date AND d.symbol = h.symbol),
     v AS (SELECT formation_date, trade_date, sum(w * g) AS v FROM g GROUP BY ALL), r AS (SELECT *, v / coalesce(lag(v) OVER p, 1) - 1 AS r, row_number() OVER p AS k FROM v WINDOW p AS (PARTITION BY formation_date ORDER BY trade_date)),
     x AS (SELECT h.*, j FROM h JOIN reb USING (trade_date)), t AS (SELECT coalesce(a.j, b.j + 1) AS j, sum(abs(coalesce(a.w, 0) - coalesce(b.w, 0))) AS t FROM x a FULL JOIN x b ON a.symbol = b.symbol AND b.j = a.j - 1 GROUP BY 1)

@@ -59,32 +59,3 @@ def market_lookback(df: DataFrame, calendar: DataFrame, formation: DataFrame, va
         cols |= {f"turnover_mean_{n}d": F.when(ok, F.avg(value).over(w)), f"turnover_median_{n}d": F.when(ok, median(value).over(w)),
                  f"turnover_observations_{n}d": seen}
     return d.withColumns(cols).join(formation.select(DATE), DATE, "left_semi").select(DATE, SYM, *cols)
-
-
-def prefix_moments(df: DataFrame, value: str, spans: dict[int, tuple[str, ...]], prefix: str = "") -> DataFrame:
-    """Mean, std, skew and kurt (bias-corrected) over full row windows, named ``{prefix}{stat}_{n}``.
-
-    Differences of running power sums: a running frame costs one step per row whatever the window, where a
-    sliding frame costs the window. Values are centred on the symbol's own mean first, which leaves the
-    central moments unchanged and keeps the sums small.
-    """
-    from ..functions.stats import bias_corrected_kurtosis, bias_corrected_skew
-
-    run = Window.partitionBy(SYM).orderBy(DATE).rowsBetween(Window.unboundedPreceding, 0)
-    back = Window.partitionBy(SYM).orderBy(DATE)
-    d = df.withColumn("_c", F.avg(value).over(Window.partitionBy(SYM)))
-    x = F.col(value) - F.col("_c")
-    d = d.withColumns({"_k0": F.count(value).over(run)} | {f"_k{p}": F.sum(F.pow(x, F.lit(float(p)))).over(run) for p in (1, 2, 3, 4)})
-    out = {}
-    for n, stats in spans.items():
-        part = [F.coalesce(F.col(f"_k{p}"), F.lit(0.0)) - F.coalesce(F.lag(f"_k{p}", n).over(back), F.lit(0.0)) for p in range(5)]
-        cnt = part[0].cast("double")
-        mean = part[1] / cnt
-        m2 = F.greatest(part[2] / cnt - mean * mean, F.lit(0.0))
-        m3 = part[3] / cnt - 3.0 * mean * part[2] / cnt + 2.0 * mean * mean * mean
-        m4 = part[4] / cnt - 4.0 * mean * part[3] / cnt + 6.0 * mean * mean * part[2] / cnt - 3.0 * mean * mean * mean * mean
-        made = {"mean": mean + F.col("_c"), "std": F.sqrt(m2 * cnt / (cnt - 1.0)),
-                "skew": F.when(m2 > 0, bias_corrected_skew(cnt, m3 / F.pow(m2, F.lit(1.5)))),
-                "kurt": F.when(m2 > 0, bias_corrected_kurtosis(cnt, m4 / (m2 * m2) - 3.0))}
-        out |= {f"{prefix}{s}_{n}": F.when(part[0] >= n, made[s]) for s in stats}
-    return d.withColumns(out).drop("_c", *[f"_k{p}" for p in range(5)])

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import bias_corrected_kurtosis, bias_corrected_skew
 from .ordering import needs_ranges, ranked
-from .rolling import DATE, SYM, frame, prefix_moments
+from .rolling import DATE, SYM, frame
 from .xsection import with_stats
 
 
@@ -22,16 +23,17 @@ def indicators(df: DataFrame, min_rows: int = 60, year: int = 252) -> DataFrame:
     d = d.withColumns({
         "_ret": F.col("close") / F.col("_pc") - 1.0,
         "_tr": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("_pc")), F.abs(F.col("low") - F.col("_pc")))})
-    d = prefix_moments(d, "_ret", {120: ("std",), 60: ("skew", "kurt")}, "_")
-    w25, w20, w5 = (frame(n) for n in (25, 20, 5))
+    w120, w60, w25, w20, w5 = (frame(n) for n in (120, 60, 25, 20, 5))
+    full = lambda n, v: F.when(F.col("idx") > n, v).otherwise(0.0)  # noqa: E731  (the first row has no return)
+    n60 = F.lit(60.0)
     back = lambda n: F.col("close") / F.lag("close", n).over(by_symbol()) - 1.0
     age_high = F.col("idx") - F.max_by("idx", F.struct("high", -F.col("idx"))).over(w25)
     age_low = F.col("idx") - F.min_by("idx", F.struct("low", "idx")).over(w25)
     feats = {f"roc_{n}": F.coalesce(back(n), F.lit(0.0)) for n in (12, 18, 20)}
     feats |= {
         "cumret_120": F.coalesce(back(120), F.lit(0.0)),  # the product of 120 returns telescopes
-        "vol_120": F.coalesce(F.col("_std_120") * F.sqrt(F.lit(float(year))), F.lit(0.0)),
-        "skew_60": F.coalesce("_skew_60", F.lit(0.0)), "kurt_60": F.coalesce("_kurt_60", F.lit(0.0)),
+        "vol_120": full(120, F.stddev_samp("_ret").over(w120) * F.sqrt(F.lit(float(year)))),
+        "skew_60": full(60, bias_corrected_skew(n60, F.skewness("_ret").over(w60))), "kurt_60": full(60, bias_corrected_kurtosis(n60, F.kurtosis("_ret").over(w60))),
         "atr_ratio": F.avg("_tr").over(w20) / F.col("close"), "vol_ratio": F.avg("vol").over(w5) / F.avg("vol").over(w20),
         "aroon_up": (25.0 - age_high) / 25.0 * 100.0, "aroon_down": (25.0 - age_low) / 25.0 * 100.0,
         "dispersion_5": F.stddev_samp("close").over(w5) / F.avg("close").over(w5), "high_low": F.col("high") / F.col("low")}

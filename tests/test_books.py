@@ -81,17 +81,16 @@ def test_turnover_lookback_needs_coverage(frame):
     assert b.turnover_observations_20d == 10 and math.isnan(b.turnover_mean_20d)
 
 
-def test_prefix_moments_match_pandas(spark):
+def test_indicator_moments_match_pandas(spark):
+    from marketloom.operators.technical import indicators
+
     rng = np.random.default_rng(4)
-    p = pd.DataFrame({"trade_date": pd.bdate_range("2020-01-01", periods=150).date, "symbol": 1, "x": rng.normal(0.001, 0.02, 150)})
-    p.loc[::17, "x"] = np.nan
-    df = spark.createDataFrame(p.astype(object).where(p.notna(), None), "trade_date date, symbol int, x double")
-    got = pdf(R.prefix_moments(df, "x", {20: ("mean", "std", "skew", "kurt")}), "trade_date")
-    full = p["x"].dropna()
-    roll = p["x"].rolling(20)
-    for name, want in (("mean_20", roll.mean()), ("std_20", roll.std()), ("skew_20", roll.skew()), ("kurt_20", roll.kurt())):
-        assert np.allclose(got[name].astype(float), want, equal_nan=True, atol=1e-8), name
-    assert len(full) < len(p)
+    p = pd.DataFrame({"trade_date": pd.bdate_range("2020-01-01", periods=150).date, "symbol": 1, "close": 10 * np.exp(np.cumsum(rng.normal(0.001, 0.02, 150)))})
+    p["high"], p["low"], p["vol"] = p.close * 1.01, p.close * 0.99, 100.0
+    got = pdf(indicators(spark.createDataFrame(p)), "trade_date").iloc[-1]
+    r = p.close.pct_change()
+    assert np.allclose([got.skew_60, got.kurt_60], [r.iloc[-60:].skew(), r.iloc[-60:].kurt()])
+    assert np.allclose([got.vol_120, got.cumret_120], [r.iloc[-120:].std() * np.sqrt(252), (1 + r.iloc[-120:]).prod() - 1])
 
 
 def test_macd_matches_pandas(spark):
