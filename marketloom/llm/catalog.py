@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simple8b
+from . import quality, simple8b, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +27,75 @@ def vocabulary(name: str) -> str:
 @query
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+@query
+def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.deduplicate(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL["op5_warc_revisits"] = """
+with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as sha from pages),
+b as (select page_id, strlen(html) as payload_bytes,
+      array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        ((('0x' || substr(sha, (i // 4 * 5 + 1)::int, 5))::bigint >> (15 - 5 * (i % 4))::int) & 31)::int + 1, 1)), '') as payload_digest
+    from p),
+g as (select payload_digest, min(page_id) as original from b group by 1)
+select page_id, payload_bytes, payload_digest, case when page_id is not distinct from original then 'response' else 'revisit' end as record_type,
+  case when page_id is not distinct from original then null else original end as refers_to
+from b join g using (payload_digest)
+"""
+
+
+@query
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"))
+
+
+def quality_sql(source: str = "documents") -> str:
+    """The rules over ``source``, as common table expressions that end in ``verdict``."""
+    cut = "((value >> greatest(length(ltrim(bin(value), '0')) - 6, 0)) << greatest(length(ltrim(bin(value), '0')) - 6, 0))"
+    levels = ""
+    for depth, keys in enumerate(("lang, source, ", "lang, ", "")):
+        levels += f""",
+s{depth} as (select {keys}measure, v, sum(n) as n from sketch group by {keys}measure, v),
+c{depth} as (select *, sum(n) over (partition by {keys}measure order by v) as upto, sum(n) over (partition by {keys}measure) as docs from s{depth}),
+q{depth} as (select {keys}measure, max(docs) as docs, min(case when upto * 100 >= docs * 25 then v end) as a,
+    min(case when upto * 100 >= docs * 50 then v end) as b, min(case when upto * 100 >= docs * 75 then v end) as c from c{depth} group by {keys}measure)"""
+    pick = ", ".join(f"case when q0.docs >= {quality.MIN_DOCS} then q0.{x} when q1.docs >= {quality.MIN_DOCS} then q1.{x} else q2.{x} end as {x}" for x in "abc")
+    tests, limits = [], []
+    for k, (up, down, least) in quality.MEASURES.items():
+        if up:
+            limits.append(f"max(case when measure = '{k}' then b + greatest({quality.SPREAD} * (b - a), {least}) end) as high_{k}")
+            tests.append(f"{k} <= high_{k}")
+        if down:
+            limits.append(f"max(case when measure = '{k}' then b - greatest({quality.SPREAD} * (c - b), {least}) end) as low_{k}")
+            tests.append(f"{k} >= low_{k}")
+    values = " union all ".join(f"select lang, source, '{k}' as measure, {k} as value from facts" for k in quality.MEASURES)
+    return rf"""
+d as (select row_number() over () as r, * from {source}),
+t as (select *, coalesce(text, '') as body from d),
+w as (select *, list_filter(regexp_split_to_array(body, '[\x20\x09-\x0D]+'), lambda x: x <> '') as words,
+      list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from t),
+win as (select r, i, list_slice(words, i, i + 7) as g from (select r, words, unnest(range(1, len(words) - 6)) as i from w)),
+rep as (select r, g from win group by r, g having count(*) > 1),
+pos as (select distinct r, unnest(range(i, i + 8)) as p from win join rep using (r, g)),
+cov as (select r, count(*) as n_repeat_words from pos group by r),
+facts as (select w.*, len(words) as n_words, length(array_to_string(words, '')) as word_chars,
+      length(body) - length(regexp_replace(body, '[#*$%&|<>]', '', 'g')) as n_symbols,
+      len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words,
+      n_words < 20 or 100 * coalesce(n_repeat_words, 0) > 30 * n_words as base_failed,
+      1000 * n_symbols // greatest(word_chars, 1) as symbols, 1000 * n_dup_lines // greatest(len(lines), 1) as dup_lines,
+      1000 * coalesce(n_repeat_words, 0) // greatest(n_words, 1) as repeats,
+      1000 * length(regexp_replace(body, '\P{{Lu}}+', '', 'g')) // greatest(word_chars, 1) as upper,
+      100 * word_chars // greatest(n_words, 1) as word_length from w left join cov using (r)),
+sketch as (select lang, source, measure, {cut} as v, count(*) as n from ({values}) group by all){levels},
+picked as (select q0.lang, q0.source, q0.measure, {pick} from q0 join q1 on q0.lang is not distinct from q1.lang and q0.measure = q1.measure
+    join q2 on q0.measure = q2.measure),
+limits as (select lang, source, {", ".join(limits)} from picked group by lang, source),
+verdict as (select facts.*, not base_failed and {" and ".join(tests)} as kept from facts
+    join limits on facts.lang is not distinct from limits.lang and facts.source is not distinct from limits.source)"""
+
+
+SQL["op10_quality_rules"] = f"with {quality_sql()} select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, {', '.join(quality.MEASURES)} from verdict"

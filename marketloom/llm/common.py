@@ -40,7 +40,7 @@ def write_atomic(uri: str, write) -> None:
     where, path = open_fs(uri)
     where.create_dir(path.rpartition("/")[0], recursive=True)
     private = f"{path}.{uuid.uuid4().hex}"
-    with where.open_output_stream(private) as out:
+    with where.open_output_stream(private, compression=None) as out:
         write(out)
     where.move(private, path)
 
