@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import merkle, packing, quality, simple8b, warc
+from . import merkle, packing, quality, simhash, simple8b, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,8 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compared(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(table(spark, sf_dir, "documents"))
