@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import merkle, packing, quality, simhash, simple8b, warc
+from . import lattice_lm, merkle, packing, quality, simhash, simple8b, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,8 @@ def op3_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.scored(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
