@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import lattice_lm, merkle, packing, quality, simhash, simple8b, warc
+from . import lattice_lm, licenses, merkle, mixing, packing, quality, simhash, simple8b, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +120,85 @@ def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.scored(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+# The table has no paths, so files get some: a folder for each source, language and hundred ids; every tenth file is a licence file,
+# every other of these one folder up.
+FOLDER = "concat(source, '/', lang)"
+BLOCK = "concat(source, '/', lang, '/', cast({div} as string))"
+
+
+def file_path(div: str, text: str) -> str:
+    block = BLOCK.format(div=div)
+    return f"case when doc_id % 20 = 3 then concat({FOLDER}, '/LICENSE.', {text}) when doc_id % 20 = 13 then concat({block}, '/LICENSE.', {text}) else concat({block}, '/', {text}, '.txt') end"
+
+
+@query
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "documents").select("doc_id", F.expr(file_path("doc_id div 100", "cast(doc_id as string)")).alias("path"), "text")
+    return licenses.scan(files)
+
+
+def license_sql() -> str:
+    values = ", ".join(f"('{k}', '{t}')" for k, t in licenses.TEMPLATES)
+    n = len(licenses.TEMPLATES)
+    cue = licenses.CUE.removeprefix("(?i)")
+    words = lambda c: f"list_filter(regexp_split_to_array(lower({c}), '[^a-z0-9]+'), lambda x: x <> '')"
+    return f"""
+with tp as (select * from (values {values}) t(licence, text)),
+tt as (select licence, term, count(*) as tf from (select licence, unnest({words('text')}) as term from tp) group by all),
+td as (select term, ln({n + 1}.0 / (count(*) + 1)) + 1 as idf from tt group by term),
+tw as (select licence, term, tf * idf as x, tf * idf / sqrt(sum((tf * idf) * (tf * idf)) over (partition by licence)) as w from tt join td using (term)),
+f as (select doc_id, {file_path("doc_id // 100", "cast(doc_id as varchar)")} as path, text from documents),
+ln as (select doc_id, i, parts[i] as line from (select doc_id, string_split(text, chr(10)) as parts, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from f) where regexp_matches(parts[i], '{cue}', 'i')),
+lt as (select doc_id, i, term, count(*) as tf from (select doc_id, i, unnest({words('line')}) as term from ln) group by all),
+lx as (select doc_id, i, term, tf * coalesce(idf, ln({n + 1}.0) + 1) as x from lt left join td using (term)),
+nm as (select doc_id, i, sqrt(sum(x * x)) as norm from lx group by all),
+sc as (select doc_id, licence, round(sum(lx.x * w) / max(norm), 6) as score from lx join tw using (term) join nm using (doc_id, i) group by doc_id, i, licence),
+own as (select doc_id, licence, score from sc where score >= {licenses.THRESHOLD} qualify row_number() over (partition by doc_id order by score desc, licence) = 1),
+r as (select f.doc_id, path, licence, score, regexp_replace(path, '/[^/]*$', '') as folder, regexp_matches(path, '/(licen[cs]e|copying)[^/]*$', 'i') as grants from f left join own using (doc_id)),
+g as (select folder as above, licence, score, path from r where grants and licence is not null qualify row_number() over (partition by folder order by score desc, path) = 1),
+n as (select r.doc_id, g.* from r join g on r.folder = g.above or starts_with(r.folder, g.above || '/') qualify row_number() over (partition by r.doc_id order by length(g.above) desc) = 1)
+select r.doc_id, r.path, coalesce(r.licence, n.licence) as licence, coalesce(r.score, n.score) as score,
+  case when r.licence is not null then 'own' when n.licence is not null then 'inherited' end as via, case when r.licence is not null then r.path else n.path end as licensed_by
+from r left join n using (doc_id)"""
+
+
+SQL["op6_license_scan"] = license_sql()
+
+# A domain for each source, by the number in its name, and relative weights; what has none weighs 1.
+DOMAIN = "case when source in ('src0', 'src1', 'src2', 'src3', 'src4') then 'web' when source in ('src5', 'src6', 'src7', 'src8', 'src9') then 'books' when source in ('src10', 'src11', 'src12', 'src13', 'src14') then 'forums' else 'news' end"
+WEIGHTS = {"domain": {"web": 3, "books": 3, "forums": 1, "news": 2}, "lang": {"en": 6, "de": 2, "fr": 2, "es": 2}, "source": {"src0": 1, "src1": 3}}
+PERCENT, EPOCHS, SEED = 90, 3, 42
+
+
+@query
+def op7_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), F.expr(DOMAIN), WEIGHTS, PERCENT, EPOCHS, SEED)
+
+
+def mixture_sql(source: str, percent: int, epochs: int) -> str:
+    """The mixture over ``source`` (doc_id, text, lang, source ...), as common table expressions that end in ``mixed``."""
+    out = rf"""
+mr as (select *, {DOMAIN} as domain, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) as n_tokens from {source}),
+m0 as (select domain, lang, source, sum(n_tokens)::bigint as tokens, sum(n_tokens)::bigint * {epochs} as room, (sum(sum(n_tokens)) over () * {percent} // 100)::bigint as budget from mr where n_tokens > 0 group by all)"""
+    for depth, name in enumerate(mixing.TREE):
+        keys, parent = mixing.TREE[: depth + 1], mixing.TREE[:depth]
+        k, over = ", ".join(keys), "partition by " + ", ".join(parent) if parent else ""
+        weight = "case " + " ".join(f"when {name} = '{n}' then {w}" for n, w in WEIGHTS[name].items()) + " else 1 end"
+        match = " and ".join(f"m.{c} is not distinct from s.{c}" for c in keys)
+        out += f""",
+n{depth} as (select {k}, sum(room)::bigint as room, max(budget) as budget, {weight} as weight from m{depth} group by {k}),
+o{depth} as (select *, room * sum(weight) over (w rows between current row and unbounded following)
+    <= (budget - coalesce(sum(room) over (w rows between unbounded preceding and 1 preceding), 0)) * weight as is_full from n{depth} window w as ({over} order by room / weight, {name} nulls first)),
+s{depth}x as (select {k}, case when is_full then room else (budget - coalesce(sum(case when is_full then room end) over ({over}), 0)) * weight // sum(case when not is_full then weight end) over ({over}) end as given from o{depth}),
+m{depth + 1} as (select m.* replace (s.given::bigint as budget) from m{depth} m join s{depth}x s on {match})"""
+    match = " and ".join(f"r.{c} is not distinct from m.{c}" for c in mixing.TREE)
+    return out + f""",
+mk as (select r.*, budget % tokens as rest, budget // tokens as whole, ('0x' || substr(md5(concat('{SEED}:', budget // tokens + 1, ':', coalesce(doc_id::varchar, ''))), 1, 15))::bigint as k
+    from mr r join m3 m on {match} where n_tokens > 0),
+mt as (select *, whole + (sum(n_tokens) over (partition by domain, lang, source order by k, doc_id) <= rest)::int as times from mk),
+mixed as (select mt.* exclude (times, k, rest, whole), e::int as epoch from mt, unnest(range(1, times + 1)) t(e))"""
+
+
+SQL["op7_source_mixture"] = f"with {mixture_sql('documents', PERCENT, EPOCHS)} select doc_id, domain, lang, source, n_tokens, epoch from mixed"
