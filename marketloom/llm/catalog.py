@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lattice_lm, licenses, merkle, mixing, packing, quality, simhash, simple8b, warc
+from . import html_cut, lattice_lm, licenses, merkle, mixing, packing, quality, simhash, simple8b, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -202,3 +202,8 @@ mixed as (select mt.* exclude (times, k, rest, whole), e::int as epoch from mt,
 
 
 SQL["op7_source_mixture"] = f"with {mixture_sql('documents', PERCENT, EPOCHS)} select doc_id, domain, lang, source, n_tokens, epoch from mixed"
+
+
+@query
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_cut.extract(table(spark, sf_dir, "pages"))
