@@ -207,3 +207,10 @@ SQL["op7_source_mixture"] = f"with {mixture_sql('documents', PERCENT, EPOCHS)} s
 @query
 def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_cut.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
