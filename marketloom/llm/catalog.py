@@ -89,6 +89,7 @@ facts as (select w.*, len(words) as n_words, length(array_to_string(words, ''))
       n_words < 20 or 100 * coalesce(n_repeat_words, 0) > 30 * n_words as base_failed,
       1000 * n_symbols // greatest(word_chars, 1) as symbols, 1000 * n_dup_lines // greatest(len(lines), 1) as dup_lines,
       1000 * coalesce(n_repeat_words, 0) // greatest(n_words, 1) as repeats,
+      1000 * len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1])) // greatest(n_words, 1) as stutter,
       1000 * length(regexp_replace(body, '\P{{Lu}}+', '', 'g')) // greatest(word_chars, 1) as upper,
       100 * word_chars // greatest(n_words, 1) as word_length from w left join cov using (r)),
 sketch as (select lang, source, measure, {cut} as v, count(*) as n from ({values}) group by all){levels},

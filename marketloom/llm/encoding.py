@@ -8,15 +8,25 @@ the library whole. Either way the ids are those of the library on the whole text
 from __future__ import annotations
 
 import os
+import re
+from array import array
 
-import numpy as np
+CACHE = 300_000  # pieces in each of a worker's two generations, about 150 bytes each
+SLICE = 4_000_000  # characters encoded at once
+LETTERS_MARKS = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)")
+_LOADED: dict[str, ChunkEncoder] = {}
 
-CACHE = 400_000  # pieces kept by one worker, about 150 bytes each
 
-_LOADED: dict[str, ChunkEncoder] = {}
+def byte_letters() -> dict[int, str]:
+    """Fixed values of byte-level vocabularies: printable bytes stand for themselves, the others for letters from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class ChunkEncoder:
+    """Keys of the cache are pieces without the space before them; one after a line feed has that, a text's first one has NUL."""
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -25,45 +35,91 @@ class ChunkEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         # A byte-level tokenizer ties a space to the word after it; the other one drops white space.
         self.spaced = self.tokenizer.encode(" a", add_special_tokens=False).ids != self.tokenizer.encode("a", add_special_tokens=False).ids
+        self.letters = byte_letters()
         self.known: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
+        self.feed = self.library(["\n"])[0]
+        self.odd: set[str] = set()  # pieces with other white space in them
 
     def library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def word(self, letters: str, space: bool) -> bytes:
+        """A run of Latin letters, perhaps after a space: one unit of the vocabulary's merges, so normalising is not needed."""
+        text = (" " + letters if space else letters) if self.spaced else letters.lower()
+        text = text.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(text)]).tobytes()
+
+    def learn(self, pieces: list[str]) -> None:
+        """Encode unseen pieces; Latin letters, perhaps before ASCII marks, by the merges alone, any other by the whole library."""
+        known, old, rest = self.known, self.old, []
+        for p in pieces:
+            lead = p[0] if self.spaced and p[0] in "\n\0" else ""
+            m = LETTERS_MARKS.fullmatch(p, len(lead))
+            letters = m and m[1]
+            if not (letters and (letters.isascii() or max(letters) < "̀" and (self.spaced or letters.lower().isalpha()))):
+                rest.append(p)
+                continue
+            body, marks = lead + letters, m[2]
+            ids = known.get(body) or old.get(body)
+            if ids is None:
+                ids = known[body] = (self.feed if lead == "\n" else b"") + self.word(letters, not lead)
+            if marks not in self.marks:
+                if len(self.marks) > CACHE // 8:
+                    self.marks = {"": b""}
+                self.marks[marks] = self.library([marks])[0]
+            known[p] = ids + self.marks[marks]
+        for p in rest:
+            if p[p[0] in "\n\0" :].split() != [p[p[0] in "\n\0" :]]:
+                self.odd.add(p)
+        for at in range(0, len(rest), 8192):
+            part = rest[at : at + 8192]
+            known.update(zip(part, self.library([p if p[0] == "\n" else p[1:] if p[0] == "\0" else " " + p for p in part] if self.spaced else part)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text; null is empty."""
+        """Little-endian unsigned 32-bit ids of each text; null is empty. Works on a few million characters at a time."""
+        out, part, size = [], [], 0
+        for t in texts:
+            part.append(t)
+            size += len(t or "")
+            if size > SLICE:
+                out += self.slice(part)
+                part, size = [], 0
+        return out + self.slice(part)
+
+    def slice(self, texts: list[str | None]) -> list[bytes]:
+        if len(self.known) > CACHE:
+            self.known, self.old = {}, {p: x for p, x in self.known.items() if p not in self.odd}
+            self.odd = set()
         out: list[bytes] = [b""] * len(texts)
-        cut: list[tuple[int, list[str]]] = []
+        cut: list[tuple[int, list[str], list]] = []
         whole: list[int] = []
+        get, new = self.known.get, set()
         for i, t in enumerate(texts):
             if not t:
                 continue
-            words = t.split()
-            if " ".join(words) == t.replace("\n", " "):
-                cut.append((i, t.replace("\n", " \n").split(" ") if self.spaced else words))
-            else:
+            if "\0" in t or "  " in t or " \n" in t or "\n " in t or "\n\n" in t or t[0].isspace() or t[-1].isspace():
+                whole.append(i)
+                continue
+            words = ("\0" + t.replace("\n", " \n") if self.spaced else t.replace("\n", " ")).split(" ")
+            ids = list(map(get, words))
+            cut.append((i, words, ids))
+            if None in ids:
+                new.update([w for w, x in zip(words, ids) if x is None])
+        for w in [w for w in new if w in self.old] if self.old else ():
+            self.known[w] = self.old[w]
+            new.discard(w)
+        self.learn(list(new))
+        for i, words, ids in cut:
+            if self.odd and not self.odd.isdisjoint(words):
                 whole.append(i)
+                continue
+            if None in ids:
+                ids = [get(w) if x is None else x for w, x in zip(words, ids)]
+            out[i] = b"".join(ids)
         for i, ids in zip(whole, self.library([texts[i] for i in whole])):
             out[i] = ids
-        if len(self.known) > CACHE:
-            self.known.clear()
-        if len(self.first) > CACHE // 4:
-            self.first.clear()
-        seen: set[str] = set()
-        for _, words in cut:
-            seen.update(words[1:] if self.spaced else words)
-        new = [w for w in seen if w not in self.known]
-        for at in range(0, len(new), 8192):
-            part = new[at : at + 8192]
-            lead = [w if w[0] == "\n" else f" {w}" for w in part] if self.spaced else part
-            self.known.update(zip(part, self.library(lead)))
-        if self.spaced:
-            heads = list({words[0] for _, words in cut} - self.first.keys())
-            self.first.update(zip(heads, self.library(heads)))
-        get = self.known.__getitem__
-        for i, words in cut:
-            out[i] = self.first[words[0]] + b"".join(map(get, words[1:])) if self.spaced else b"".join(map(get, words))
         return out
 
 

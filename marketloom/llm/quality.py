@@ -23,6 +23,7 @@ MEASURES = {
     "symbols": (True, False, 20),  # symbols per 1000 characters of words
     "dup_lines": (True, False, 400),  # repeated lines per 1000 lines
     "repeats": (True, False, 250),  # words in repeated windows per 1000 words
+    "stutter": (True, False, 250),  # words that repeat the word before them per 1000 words
     "upper": (True, False, 200),  # capital letters per 1000 characters of words
     "word_length": (True, True, 250),  # characters per 100 words
 }
@@ -36,7 +37,10 @@ def once(value: Column, use) -> Column:
 
 
 def repeated(words: Column) -> Column:
-    """Words that lie in a window of eight found twice or more, windows being compared by 64-bit hashes."""
+    """struct(windows, neighbours): words that lie in a window of eight found twice or more, and words that equal the one before them.
+
+    Words and windows are compared by 64-bit hashes.
+    """
 
     def covered(h: Column) -> Column:
         pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
@@ -50,8 +54,9 @@ def repeated(words: Column) -> Column:
         return F.transform(F.sequence(F.lit(1), F.size(h) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(h, i, WINDOW)))
 
     found = lambda w: F.when(F.size(F.array_distinct(w)) < F.size(w), covered(w)).otherwise(0)
-    many = F.size(words) > WINDOW
-    return F.when(many, once(F.transform(words, lambda w: F.xxhash64(w)), lambda h: once(windows(h), found))).otherwise(0)
+    equal = lambda h: F.size(F.filter(h, lambda x, i: F.get(h, i - 1).eqNullSafe(x)))
+    both = lambda h: F.struct(F.when(F.size(h) > WINDOW, once(windows(h), found)).otherwise(0).alias("windows"), equal(h).alias("neighbours"))
+    return once(F.transform(words, lambda w: F.xxhash64(w)), both)
 
 
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -61,21 +66,20 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     lines = F.filter(F.split(text, "\n"), lambda x: F.regexp_replace(x, SPACE + "+", "") != "")
     long = lambda c: c.cast("long")
     counts = F.struct(
-        once(words, lambda w: F.struct(long(F.size(w)).alias("n_words"), long(F.length(F.array_join(w, ""))).alias("word_chars"), long(repeated(w)).alias("n_repeat_words"))).alias("w"),
+        once(words, lambda w: F.struct(long(F.size(w)).alias("n_words"), long(F.length(F.array_join(w, ""))).alias("word_chars"), repeated(w).alias("r"))).alias("w"),
         once(lines, lambda x: F.struct(long(F.size(x)).alias("n_lines"), long(F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines"))).alias("l"),
         long(F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).alias("n_symbols"),
         long(F.length(F.regexp_replace(text, r"\P{Lu}+", ""))).alias("n_upper"),
     )
 
     def derive(m: Column) -> Column:
-        n, chars = m["w"]["n_words"], F.greatest(m["w"]["word_chars"], F.lit(1))
-        per = lambda a, b, k=1000: F.expr("0L") + (a * k - (a * k) % b) / b  # noqa: E731  whole, without rounding
-        whole = lambda a, b, k=1000: per(a, b, k).cast("long")
+        n, chars, windows = m["w"]["n_words"], F.greatest(m["w"]["word_chars"], F.lit(1)), long(m["w"]["r"]["windows"])
+        whole = lambda a, b, k=1000: ((a * k - (a * k) % b) / b).cast("long")
         return F.struct(
-            n.alias("n_words"), m["w"]["word_chars"].alias("word_chars"), m["n_symbols"].alias("n_symbols"), m["l"]["n_dup_lines"].alias("n_dup_lines"), m["w"]["n_repeat_words"].alias("n_repeat_words"),
-            ((n < 20) | (100 * m["w"]["n_repeat_words"] > 30 * n)).alias("base_failed"),
+            n.alias("n_words"), m["w"]["word_chars"].alias("word_chars"), m["n_symbols"].alias("n_symbols"), m["l"]["n_dup_lines"].alias("n_dup_lines"), windows.alias("n_repeat_words"),
+            ((n < 20) | (100 * windows > 30 * n)).alias("base_failed"),
             whole(m["n_symbols"], chars).alias("symbols"), whole(m["l"]["n_dup_lines"], F.greatest(m["l"]["n_lines"], F.lit(1))).alias("dup_lines"),
-            whole(m["w"]["n_repeat_words"], F.greatest(n, F.lit(1))).alias("repeats"), whole(m["n_upper"], chars).alias("upper"), whole(m["w"]["word_chars"], F.greatest(n, F.lit(1)), 100).alias("word_length"),
+            whole(windows, F.greatest(n, F.lit(1))).alias("repeats"), whole(long(m["w"]["r"]["neighbours"]), F.greatest(n, F.lit(1))).alias("stutter"), whole(m["n_upper"], chars).alias("upper"), whole(m["w"]["word_chars"], F.greatest(n, F.lit(1)), 100).alias("word_length"),
         )
 
     return docs.withColumn("m", once(counts, derive))

@@ -39,7 +39,6 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not blocks:
         return np.empty(0, np.uint64), np.zeros(1, np.uint64), np.empty(0, np.uint64)
     values = np.zeros((blocks, BLOCK + 128), np.uint64)
-    values[:, :BLOCK].reshape(-1)[: 0] = 0
     flat = np.zeros(blocks * BLOCK, np.uint64)
     flat[: len(ids)] = ids
     values[:, :BLOCK] = flat.reshape(blocks, BLOCK)
@@ -69,11 +68,15 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     offsets = np.concatenate([[0], np.cumsum(used.sum(axis=1))]).astype(np.uint64)
     lane = np.broadcast_to(lanes[:, None], used.shape)[used]
     start, chosen = start[used], chosen[used]
+    flat, at = values.reshape(-1), lane * values.shape[1] + start
     words = chosen.astype(np.uint64) << np.uint64(60)
     for s in range(1, 16):
         here = np.flatnonzero(chosen == s)
-        for j in range(int(COUNTS[s]) if len(here) and BITS[s] else 0):
-            words[here] |= values[lane[here], start[here] + j] << np.uint64(j * BITS[s])
+        if len(here) and BITS[s]:
+            place, word = at[here], words[here]
+            for j in range(int(COUNTS[s])):
+                word |= flat.take(place + j) << np.uint64(j * BITS[s])
+            words[here] = word
     raw = np.flatnonzero(chosen == 0)
     words[raw] |= np.arange(len(raw), dtype=np.uint64)
     return words, offsets, values[lane[raw], start[raw]]
