@@ -80,7 +80,8 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thresho
     files in a directory the best score counts, then the smallest path. Repeated rows are scanned each. An empty table
     gives none.
     """
-    named = files.withColumn("row", F.monotonically_increasing_id())
+    kept = F.struct(*[F.col(f"`{c}`") for c in files.columns if c != "text"]).alias("_file")
+    named = files.select(kept, "path", "text", F.monotonically_increasing_id().alias("row"))
     own = matches(named.select("row", "text"), templates, threshold)
     rest = named.drop("text")
     found = own.select(F.col("row").alias("_row"), F.col("licence").alias("own"), F.col("score").alias("own_score"))
@@ -96,6 +97,6 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thresho
     out = rows.join(nearest, rows.folder == nearest._folder, "left")
     mine = F.col("own").isNotNull()
     return out.select(
-        *[F.col(f"`{c}`") for c in files.columns if c != "text"], F.coalesce("own", "g.l").alias("licence"), F.coalesce("own_score", -F.col("g.s")).alias("score"),
+        "_file.*", F.coalesce("own", "g.l").alias("licence"), F.coalesce("own_score", -F.col("g.s")).alias("score"),
         F.when(mine, "own").when(F.col("g").isNotNull(), "inherited").alias("via"), F.when(mine, F.col("path")).otherwise(F.col("g.p")).alias("licensed_by"),
     )

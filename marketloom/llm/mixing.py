@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import columns_of, parallelism, staged
+from .common import parallelism, staged
 from .quality import SPACE
 
 TREE = ["domain", "lang", "source"]
@@ -121,5 +121,6 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], per
 
 def keep_mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], percent: int, seed: int = 42) -> DataFrame:
     """The documents chosen in one epoch, with their own columns."""
-    rows = columns_of(docs, **{c: c for c in docs.columns}).withColumns({"domain": domain, "n_tokens": word_count(F.col("text"))}).where("n_tokens > 0")
-    return select(staged(rows), weights, percent, 1, seed).select(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    rows = docs.select(whole, "doc_id", domain.alias("domain"), "lang", "source", word_count(F.col("text")).alias("n_tokens")).where("n_tokens > 0")
+    return select(staged(rows), weights, percent, 1, seed).select("_doc.*")

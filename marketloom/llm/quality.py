@@ -155,5 +155,5 @@ def report(docs: DataFrame, min_docs: int = MIN_DOCS, spread: int = SPREAD) -> D
 
 def keep(docs: DataFrame, min_docs: int = MIN_DOCS, spread: int = SPREAD) -> DataFrame:
     """The documents that pass, with their own columns."""
-    rows = columns_of(docs, **{c: c for c in docs.columns})
-    return judged(measured(rows), min_docs, spread).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "text", "lang", "source")
+    return judged(measured(rows).drop("text"), min_docs, spread).where("kept").select("_doc.*")

@@ -219,6 +219,7 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, words: in
     roots = components(links(nodes.select("id", *prints, "size"), size_key(similarity), [0, 1], radius, similarity))
     named = nodes.join(roots, nodes.id == roots.node, "left").select("first", F.coalesce("root", "id").alias("root"))
     best = named.groupBy("root").agg(F.min("first").alias("_keep")).select("_keep")
-    mine = docs.withColumn("_id", F.col(f"`{id_col}`")).withColumn("_null", F.when(F.col("_id").isNull(), F.xxhash64(F.col(f"`{text_col}`"))))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    mine = docs.select(whole, F.col(f"`{id_col}`").alias("_id"), F.when(F.col(f"`{id_col}`").isNull(), F.xxhash64(F.col(f"`{text_col}`"))).alias("_null"))
     stay = mine.join(best, mine._id == best._keep, "left_semi").unionByName(mine.where("_id is null"))
-    return stay.dropDuplicates(["_id", "_null"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return stay.dropDuplicates(["_id", "_null"]).select("_doc.*")
