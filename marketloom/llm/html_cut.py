@@ -190,17 +190,16 @@ def distance(a: Element, b: Element) -> int:
     return 2 * FAR + 2
 
 
-def edges(places: list[Element]) -> list[tuple[int, int, float]]:
-    """Smoothness edges: each block and the next one, and each block and the one before it in its container."""
-    out, last = [], {}
-    for i, p in enumerate(places):
-        if i:
-            out.append((i - 1, i, SMOOTH / (1 + distance(places[i - 1], p))))
-        holder = id(p.above)
-        j = last.get(holder)
-        if j is not None and j != i - 1:
-            out.append((j, i, SMOOTH / (1 + distance(places[j], p))))
-        last[holder] = i
+def edges(found: list[Block]) -> list[tuple[int, int, float]]:
+    """Smoothness edges: each block and the next one, and each block and the one before it in its container.
+
+    What its place rules out and what it does not are not smoothed into each other; such blocks are passed over.
+    """
+    out, before, last = [], {}, {}
+    for i, b in enumerate(found):
+        near = {before.get(b.ruled_out), last.get((b.ruled_out, id(b.place.above)))} - {None}
+        out += [(j, i, SMOOTH / (1 + distance(found[j].place, b.place))) for j in sorted(near)]
+        before[b.ruled_out] = last[b.ruled_out, id(b.place.above)] = i
     return out
 
 
@@ -274,7 +273,7 @@ def main_text(page: str | None) -> str:
     found = blocks(page or "")
     if not found:
         return ""
-    keep = minimum_cut([cost(t, b) for t, b in found], edges([b.place for _, b in found]))
+    keep = minimum_cut([cost(t, b) for t, b in found], edges([b for _, b in found]))
     return "\n\n".join(t for (t, _), k in zip(found, keep) if k)
 
 
