@@ -31,7 +31,7 @@ def filter_market_suffix(spark, d):
     return V.daily(spark, d).where(X.market_suffix(F.lower("ts_code")).isin("SH", "SZ")).select("trade_date", "ts_code")
 
 
-@query("filter_date_window", "SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_shipdate AS DATE) AS trade_date FROM lineitem WHERE l_shipdate BETWEEN DATE '1997-03-01' AND DATE '1998-02-28'")
+@query("filter_date_window", "SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_shipdate AS DATE) AS trade_date FROM lineitem WHERE l_shipdate >= DATE '1997-03-01' AND l_shipdate < DATE '1998-03-01'")
 def filter_date_window(spark, d):
     li = date_window(V.table(spark, d, "lineitem"), "1997-03-01", "1998-02-28", "l_shipdate")
     return li.select("l_orderkey", "l_linenumber", "l_partkey", F.to_date("l_shipdate").alias("trade_date"))

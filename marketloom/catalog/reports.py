@@ -78,9 +78,10 @@ def factor_yearly(spark, d):
 
 @query("pivot_factor_year", "SELECT series, " + ", ".join(f"round(product(1 + ret) FILTER (year(trade_date) = {y}) - 1, 6) AS \"{y}\"" for y in range(1995, 2002)) + " FROM monthly GROUP BY 1", "monthly")
 def pivot_factor_year(spark, d):
-    y = M.yearly(monthly(spark, d), ["series"])
-    out = y.groupBy("series").pivot("year", list(range(1995, 2002))).agg(F.first("period_return"))
-    return out.select("series", *[r(F.col(f"`{c}`")).alias(str(c)) for c in range(1995, 2002)])
+    m = monthly(spark, d)
+    years = sorted(y.y for y in m.select(F.year("trade_date").alias("y")).distinct().collect())  # those of the calendar
+    out = M.yearly(m, ["series"]).groupBy("series").pivot("year", years).agg(F.first("period_return"))
+    return out.select("series", *[r(F.col(f"`{c}`")).alias(str(c)) for c in years])
 
 
 @query("factor_correlation", """SELECT a.series AS "left", b.series AS "right", count(*) AS days, round(corr(a.ret, b.ret), 6) AS correlation FROM series a JOIN series b ON a.trade_date = b.trade_date AND a.series < b.series GROUP BY 1, 2""", "series")

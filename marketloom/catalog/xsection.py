@@ -8,7 +8,6 @@ from .. import fixtures as V
 from ..fixtures import add_view
 from ..functions.stats import safe_corr
 from ..operators import xsection as XS
-from ..operators.ordering import needs_ranges
 from ..session import staged
 from .registry import query, r, rounded
 
@@ -39,16 +38,14 @@ add_view("q_value", ("z_value",), """
 
 
 def z_value(spark, d):
-    """Standardised value signal with the group-size check it was built under."""
+    """Standardised value signal."""
     f = staged(V.factors(spark, d).select(*KEYS, "industry", "next_ret", "f_size", "f_turn", "f_value"))
-    big = needs_ranges(f, ["trade_date"])
-    z = XS.industry_zscore(f, "f_value", out="z", ranged=big).drop("f_value")
-    return (staged(z) if big else z), big
+    z = XS.industry_zscore(f, "f_value", out="z").drop("f_value")
+    return staged(z)
 
 
 def q_value(spark, d):
-    z, big = z_value(spark, d)
-    return XS.qcut(z, "z", ranged=big)
+    return XS.qcut(z_value(spark, d), "z")
 
 
 @query("winsorize_by_date", """
@@ -62,7 +59,7 @@ def winsorize_by_date(spark, d):
 @query("industry_demean_zscore", "SELECT trade_date, symbol, round(z, 6) AS z FROM z_value", "z_value")
 @query("factor_standardize", "SELECT trade_date, symbol, round(z, 6) AS z FROM z_value", "z_value")
 def industry_demean_zscore(spark, d):
-    return rounded(z_value(spark, d)[0].select(*KEYS, "z"), "z")
+    return rounded(z_value(spark, d).select(*KEYS, "z"), "z")
 
 
 @query("zscore_pop", """
@@ -88,8 +85,7 @@ def robust_standardize(spark, d):
            round({pct_sql('f_size', 'factors')} - 0.5, 6) AS cs_size FROM factors""", "factors")
 def cross_section_pct_rank(spark, d):
     f = staged(V.factors(spark, d).select(*KEYS, "f_turn", "f_size"))
-    big = needs_ranges(f, ["trade_date"])
-    out = XS.pct_rank(XS.pct_rank(f, "f_turn", out="cs_turn", centre=0.5, ranged=big), "f_size", out="cs_size", centre=0.5, ranged=big)
+    out = XS.pct_rank(XS.pct_rank(f, "f_turn", out="cs_turn", centre=0.5), "f_size", out="cs_size", centre=0.5)
     return rounded(out.select(*KEYS, "cs_turn", "cs_size"), "cs_turn", "cs_size")
 
 
@@ -112,9 +108,8 @@ def tercile_buckets(spark, d):
     FROM m WINDOW p AS (PARTITION BY trade_date)""", "factors")
 def cross_sectional_transform(spark, d):
     w = staged(XS.winsorize(V.factors(spark, d).select(*KEYS, "f_value"), "f_value", out="x").select(*KEYS, "x"))
-    big = needs_ranges(w, ["trade_date"])
-    out = XS.robust_standardize(XS.zscore(w, "x", out="zscore", ranged=big), "x", out="robust", ranged=big)
-    out = XS.pct_rank(out, "x", out="rank", ranged=big)
+    out = XS.robust_standardize(XS.zscore(w, "x", out="zscore"), "x", out="robust")
+    out = XS.pct_rank(out, "x", out="rank")
     return rounded(out.select(*KEYS, "zscore", "robust", "rank"), "zscore", "robust", "rank")
 
 
@@ -139,8 +134,7 @@ RESID_SQL = """
     round((e - avg(e) OVER d) / nullif(stddev_samp(e) OVER d, 0), 6) AS z_neutral FROM e WINDOW d AS (PARTITION BY trade_date)""",
        "z_value")
 def residualize_by_date(spark, d):
-    z, big = z_value(spark, d)
-    return rounded(XS.residualize(z, "z", ("f_size", "f_turn"), ranged=big).select(*KEYS, "z_neutral"), "z_neutral")
+    return rounded(XS.residualize(z_value(spark, d), "z", ("f_size", "f_turn")).select(*KEYS, "z_neutral"), "z_neutral")
 
 
 @query("cross_section_corr_mean", """
@@ -199,8 +193,7 @@ add_view("bucketed", ("factors",), f"""
 
 def bucketed(spark, d):
     f = staged(V.factors(spark, d))
-    big = needs_ranges(f, ["trade_date"])
-    b = XS.pct_rank(XS.pct_rank(f, "f_size", out="ps", ranged=big), "turnover", out="pt", ranged=big)
+    b = XS.pct_rank(XS.pct_rank(f, "f_size", out="ps"), "turnover", out="pt")
     return b.withColumns({"size_bucket": XS.thirds("ps", ("small", "mid", "large")),
                           "turnover_bucket": XS.thirds("pt", ("low", "mid", "high"))})
 
@@ -249,8 +242,7 @@ def date_equal_weights(spark, d):
 def composite_score(spark, d):
     from ..operators.portfolio import composite_score as op
     f = staged(V.factors(spark, d).select(*KEYS, "f_size", "f_value"))
-    big = needs_ranges(f, ["trade_date"])
-    z = XS.zscore(XS.zscore(f, "f_size", ddof=0, out="a", ranged=big), "f_value", ddof=0, out="b", ranged=big)
+    z = XS.zscore(XS.zscore(f, "f_size", ddof=0, out="a"), "f_value", ddof=0, out="b")
     return rounded(op(z, {"a": -1.0, "b": 1.0}).select(*KEYS, "score"), "score")
 
 
@@ -262,7 +254,6 @@ def composite_score(spark, d):
 def value_cluster(spark, d):
     from ..operators.portfolio import mean_of_available
     f = staged(V.factors(spark, d).select(*KEYS, "f_size", "f_value"))
-    big = needs_ranges(f, ["trade_date"])
-    z = XS.zscore(XS.zscore(f, "f_size", out="a", ranged=big), "f_value", out="b", ranged=big)
+    z = XS.zscore(XS.zscore(f, "f_size", out="a"), "f_value", out="b")
     z = z.withColumn("a", F.when(F.col("symbol") % 3 != 0, F.col("a")))
     return rounded(z.select(*KEYS, mean_of_available(["a", "b"]).alias("cluster")), "cluster")

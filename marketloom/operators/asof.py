@@ -28,9 +28,13 @@ def latest_pit_fields(events: DataFrame, formation: DataFrame, fields: list[str]
     return formation.join(run.select(SYM, DATE, *[F.col(f"{f}.v").alias(f) for f in fields]), [SYM, DATE], "left")
 
 
-def latest_row_asof(facts: DataFrame, panel: DataFrame, columns: list[str], available: str) -> DataFrame:
-    """Statement values announced on or before each panel date (the newest non-null of each column)."""
-    per_day = facts.groupBy(SYM, F.col(available).alias(DATE)).agg(*[F.max(c).alias(c) for c in columns])
+def latest_row_asof(facts: DataFrame, panel: DataFrame, columns: list[str], available: str, order: list[str] | None = None) -> DataFrame:
+    """Statement values announced on or before each panel date (the newest non-null of each column).
+
+    Of several statements on one day the last in ``order`` counts (report period, sequence), then the larger value.
+    """
+    newest = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(order or [])], F.col(c).alias("v"))))["v"]
+    per_day = facts.groupBy(SYM, F.col(available).alias(DATE)).agg(*[newest(c).alias(c) for c in columns])
     both = (per_day.withColumn("_ask", F.lit(False))
             .unionByName(panel.select(SYM, DATE).distinct().withColumn("_ask", F.lit(True)), allowMissingColumns=True))
     w = Window.partitionBy(SYM).orderBy(DATE).rangeBetween(Window.unboundedPreceding, Window.currentRow)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import flag, with_scenarios
 from .calendar import sessions
-from .ordering import needs_ranges, quantiles
+from .ordering import quantiles
 
 DATE, SYM = "trade_date", "symbol"
 
@@ -110,10 +110,14 @@ def nonoverlapping(candidates: DataFrame, by: list[str]) -> DataFrame:
 
 
 def trade_marks(trades: DataFrame, bars: DataFrame, by: list[str]) -> DataFrame:
-    """Mark-to-mark return of every open trade on every bar after entry; the exit day marks at the exit price."""
-    b = bars.select(F.col(DATE), F.col(SYM).alias("_sym"), F.col("close").alias("_close"))
-    t = trades.select(*by, SYM, "entry_date", "entry_price", "exit_date", "exit_price")
-    held = t.join(b, (F.col(SYM) == F.col("_sym")) & F.col(DATE).between(F.col("entry_date"), F.col("exit_date")))
+    """Mark-to-mark return of every open trade on every bar after entry; the exit day marks at the exit price.
+
+    A trade meets its symbol's bars month by month, not the symbol's whole history.
+    """
+    b = bars.select(DATE, F.col(SYM).alias("_sym"), F.col("close").alias("_close"), F.trunc(DATE, "MM").alias("_bm"))
+    months = F.sequence(F.trunc("entry_date", "MM"), F.trunc("exit_date", "MM"), F.expr("interval 1 month"))
+    t = trades.where("entry_date <= exit_date").select(*by, SYM, "entry_date", "entry_price", "exit_date", "exit_price", F.explode(months).alias("_tm"))
+    held = t.join(b, (F.col(SYM) == F.col("_sym")) & (F.col("_tm") == F.col("_bm")) & F.col(DATE).between(F.col("entry_date"), F.col("exit_date"))).drop("_tm", "_bm")
     mark = F.when(F.col(DATE) == F.col("exit_date"), F.col("exit_price")).otherwise(F.col("_close"))
     w = Window.partitionBy(*by, SYM, "entry_date").orderBy(DATE)  # one trade's sessions
     d = held.withColumn("mark", mark).withColumn("_prev", F.coalesce(F.lag("mark").over(w), F.col("entry_price")))
@@ -139,9 +143,8 @@ def trade_metrics(trades: DataFrame, by: list[str], r: str = "net_return") -> Da
     base = trades.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_trades"), F.avg((F.col(r) > 0).cast("double")).alias("win_rate"), F.avg(r).alias("avg_return"),
         F.avg("hold_days").alias("avg_hold_days"))
-    big = needs_ranges(trades, by)
     for value, name in ((r, "median_return"), ("hold_days", "median_hold_days")):
-        base = base.join(quantiles(trades, by, value, {name: 0.5}, big).drop("n"), by, "left")
+        base = base.join(quantiles(trades, by, value, {name: 0.5}).drop("n"), by, "left")
     return base
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import col, flag, policy_name, safe_divide, with_scenarios
+from ..functions.expr import col, fail_where, flag, policy_name, safe_divide, with_scenarios
 from ..functions.stats import annualised, compound, growth, hac_inputs, hac_t, sharpe
 from .calendar import DATE, sessions
 
@@ -173,9 +173,11 @@ def universe_benchmark(universe: DataFrame, trades: DataFrame, policies: list[st
 
 
 def attach_benchmark(daily: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Exposure-matched benchmark: executed mean × invested weight."""
+    """Exposure-matched benchmark: executed mean × invested weight; a date without a benchmark fails the job."""
     w = F.col("filled") / F.col("top_k")
-    return daily.join(benchmark, ["signal_date", "exit_policy"]).withColumns({
+    both = daily.join(benchmark, ["signal_date", "exit_policy"], "left")
+    both = fail_where(both, F.col("benchmark_executed_mean_return").isNull(), "benchmark_executed_mean_return", "a selection date has no benchmark")
+    return both.withColumns({
         "benchmark_exposure_matched_return": F.col("benchmark_executed_mean_return") * w,
         "active_return": F.col("portfolio_return") - F.col("benchmark_executed_mean_return") * w})
 
@@ -214,7 +216,8 @@ def stressed_daily(trades: DataFrame, days: DataFrame, policies: list[str], bps:
 def cost_stress(daily: DataFrame, benchmark: DataFrame, by: list[str], order: str = "signal_date") -> DataFrame:
     """Selected, benchmark and active metrics per cost level."""
     b = benchmark.select("signal_date", "exit_policy", "benchmark_slots", "benchmark_executed", "benchmark_gross_return_sum")
-    d = daily.join(b, ["signal_date", "exit_policy"])
+    d = daily.join(b, ["signal_date", "exit_policy"], "left")
+    d = fail_where(d, F.col("benchmark_slots").isNull(), "benchmark_slots", "a selection date has no benchmark")
     bsum = F.col("benchmark_gross_return_sum") - F.col("drag_bps") / 10000.0 * F.col("benchmark_executed")
     matched = F.coalesce(safe_divide(bsum, "benchmark_executed"), F.lit(0.0)) * F.col("filled") / F.col("top_k")
     d = d.withColumns({"_bench": bsum / F.col("benchmark_slots"), "_matched": matched})

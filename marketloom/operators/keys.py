@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,3 +47,10 @@ def checked_join(left: DataFrame, right: DataFrame, keys: list[str], how: str =
     if one_right:
         assert_unique(right, keys, "right side")
     return left.join(right, keys, how)
+
+
+def join_null_safe(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, null being equal to null; the other side's columns but its keys are added."""
+    right = other.select(*[F.col(k).alias(f"_r_{k}_") for k in keys], *[c for c in other.columns if c not in keys])
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}_")) for k in keys])
+    return df.join(right, on, how).drop(*[f"_r_{k}_" for k in keys])

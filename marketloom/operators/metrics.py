@@ -69,7 +69,7 @@ def yearly(long: DataFrame, by: list[str]) -> DataFrame:
 def monotonicity(buckets: DataFrame, by: list[str], n: int, value: str = "value") -> DataFrame:
     """Spearman of bucket results with 1..n and the number of improving steps; null when a bucket is missing."""
     w = Window.partitionBy(*by).orderBy("bucket")
-    d = ranked(buckets, by, value, "_r_", ranged=False).withColumn("_up", (F.col(value) > F.lag(value).over(w)).cast("bigint"))
+    d = ranked(buckets, by, value, "_r_").withColumn("_up", (F.col(value) > F.lag(value).over(w)).cast("bigint"))
     full = F.count(value) == n
     return d.groupBy(*by).agg(F.when(full, safe_corr("bucket", "_r_avg")).alias("monotonicity"),
                               F.when(full, F.coalesce(F.sum("_up"), F.lit(0))).otherwise(0).alias("improving_steps"))

@@ -240,7 +240,8 @@ def cost_stress(trades: DataFrame, bands: DataFrame, top_k: int, bps: list[float
     m = (bands.where("limit_band is not null").join(sel, [*keys, "limit_band"]).groupBy(*keys)
          .agg(F.sum(F.col("_k") * F.coalesce(safe_divide("gross_return_sum", "audited"), F.lit(0.0))).alias("_mg"),
               F.sum(F.when(F.col("audited") > 0, F.col("_k")).otherwise(0)).alias("_mk")))
-    d = with_scenarios(g.join(b, keys).join(m, keys, "left").fillna(0.0, ["_mg"]).fillna(0, ["_mk"]), ["drag_bps"], [(float(x),) for x in bps])
+    broad = fail_where(g.join(b, keys, "left"), F.col("slots").isNull(), "slots", "a selection date has no benchmark")
+    d = with_scenarios(broad.join(m, keys, "left").fillna(0.0, ["_mg"]).fillna(0, ["_mk"]), ["drag_bps"], [(float(x),) for x in bps])
     drag = F.col("drag_bps") / 10000.0
     d = d.withColumns({"_sel": (F.col("_g") - drag * F.col("_n")) / top_k, "_broad": (F.col("_bg") - drag * F.col("_ba")) / F.col("slots"),
                        "_band": (F.col("_mg") - drag * F.col("_mk")) / top_k})

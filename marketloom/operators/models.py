@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import add_all
 from .execution import top_rows
-from .ordering import needs_ranges
 from .xsection import DATE, daily_ic, pct_rank, robust_standardize, with_stats, zscore
 
 SYM = "symbol"
@@ -106,7 +105,10 @@ def in_window(df: DataFrame, windows: DataFrame, start: str = "test_start", end:
 
 
 def walk_forward(df: DataFrame, fold: DataFrame, y: str, xs: list[str], alpha: float, top_k: int, min_rows: int = 50) -> tuple[DataFrame, DataFrame]:
-    """(daily rank IC, daily top-K mean outcome) over the test spans, with fits from the date moments."""
+    """(daily rank IC, daily top-K mean outcome) over the test spans, with fits from the date moments.
+
+    Rows without a feature or an outcome are neither fitted nor scored.
+    """
     fits = fit_windows(date_moments(df, y, xs), fold, xs, alpha, min_rows)
     test = predict(in_window(df.dropna(subset=[*xs, y]), fold), fits, xs, ["window"])
     ic = daily_ic(test, "pred", y, ["window", DATE], 5).where("rank_ic is not null")
@@ -114,22 +116,20 @@ def walk_forward(df: DataFrame, fold: DataFrame, y: str, xs: list[str], alpha: f
     return ic, top.where(F.col("names") >= top_k)
 
 
-def standardized(df: DataFrame, xs: list[str], method: str, ranged: bool | None = None) -> DataFrame:
+def standardized(df: DataFrame, xs: list[str], method: str) -> DataFrame:
     """Features transformed per date: none, zscore, robust or rank."""
-    if ranged is None and method != "none":
-        ranged = needs_ranges(df, [DATE])
     for x in xs if method != "none" else []:
         if method == "zscore":
-            df = zscore(df, x, ranged=ranged)
+            df = zscore(df, x)
         elif method == "robust":
-            df = robust_standardize(df, x, out=x, ranged=ranged)
+            df = robust_standardize(df, x, out=x)
         else:
-            df = pct_rank(df, x, out=x, ranged=ranged)
+            df = pct_rank(df, x, out=x)
     return df
 
 
 def window_ic(df: DataFrame, windows: DataFrame, y: str, xs: list[str], alpha: float, min_rows: int) -> DataFrame:
-    """Mean daily rank IC of each window's validation span."""
+    """Mean daily rank IC of each window's validation span; rows without a feature are neither fitted nor scored."""
     fits = fit_windows(date_moments(df, y, xs), windows, xs, alpha, min_rows)
     test = predict(in_window(df.dropna(subset=xs), windows), fits, xs, ["window"])
     ic = daily_ic(test, "pred", y, ["window", DATE], 2).where("rank_ic is not null")
@@ -137,12 +137,14 @@ def window_ic(df: DataFrame, windows: DataFrame, y: str, xs: list[str], alpha: f
 
 
 def gbt_scores(train: DataFrame, test: DataFrame, y: str, xs: list[str], trees: int = 160, depth: int = 3, rate: float = 0.045, seed: int = 7) -> tuple[DataFrame, dict[str, float]]:
-    """Boosted trees with date-equal weights: scored test rows and feature importance."""
+    """Boosted trees with date-equal weights: every test row scored, and feature importance. A missing feature counts as 0."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    pack = VectorAssembler(inputCols=xs, outputCol="_x", handleInvalid="skip")
-    rows = pack.transform(date_equal_weights(train.dropna(subset=[*xs, y])))
+    inputs = [f"_in_{x}" for x in xs]
+    filled = lambda d: d.withColumns({i: F.coalesce(F.nanvl(F.col(x).cast("double"), F.lit(0.0)), F.lit(0.0)) for i, x in zip(inputs, xs, strict=True)})
+    pack = VectorAssembler(inputCols=inputs, outputCol="_x", handleInvalid="error")
+    rows = pack.transform(filled(date_equal_weights(train.where(F.col(y).isNotNull()))))
     model = GBTRegressor(featuresCol="_x", labelCol=y, weightCol="weight", predictionCol="pred", maxIter=trees, maxDepth=depth, stepSize=rate,
                          seed=seed, cacheNodeIds=False).fit(rows)
-    return model.transform(pack.transform(test)).drop("_x"), dict(zip(xs, (float(v) for v in model.featureImportances.toArray()), strict=True))
+    return model.transform(pack.transform(filled(test))).drop("_x", *inputs), dict(zip(xs, (float(v) for v in model.featureImportances.toArray()), strict=True))

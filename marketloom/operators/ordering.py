@@ -1,12 +1,9 @@
-"""Exact ranks and quantiles inside very large groups.
+"""Exact ranks and quantiles inside groups of any size.
 
-A group whose row count was checked to fit one task is ordered by a plain window or the built-in
-``percentile``. Beyond that limit a date's cross-section can hold more names than one task should
-sort, and one value (a zero volume) a third of them: rows are first collapsed to distinct values with counts
-(map-side combined), large groups are cut into value ranges, each range is ordered on its own
-and shifted by the size of the ranges below it. The cut points come from a hash-chosen subset
-of the distinct values and only decide where a value is sorted; every value and every row is
-counted, and the result does not depend on the cuts.
+A date's cross-section can hold more names than one task should sort, and one value (a zero volume) a third of them.
+Rows are collapsed to distinct values with counts, combined on the map side; the values are ranged over all
+partitions by (group, value), counted up inside each partition, and shifted by the size of the group's partitions
+before. One path for every size.
 """
 
 from __future__ import annotations
@@ -14,94 +11,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
-GROUP_LIMIT = 500_000  # rows (or distinct values) of one group that a task may order by itself
-PROBE_VALUES = 20_000  # distinct values per group that place the cuts
+from ..session import staged
+from .keys import join_null_safe
 
 
-def needs_ranges(df: DataFrame, by: list[str], limit: int | None = None) -> bool:
-    """Check the largest group: one narrow map-side-combined count, collected as a single number."""
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    return (sizes.agg(F.max("_n")).first()[0] or 0) > (GROUP_LIMIT if limit is None else limit)
+def ordered_values(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Distinct values per group: ``by``, value, ``below`` (rows strictly below), ``ties``, ``n``.
 
-
-def ordered_values(df: DataFrame, by: list[str], value: str, group_limit: int | None = None) -> DataFrame:
-    """Distinct values per group: ``by``, value, ``below`` (rows strictly below), ``ties``, ``n``."""
-    group_limit = GROUP_LIMIT if group_limit is None else group_limit
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*by, value)
-        .agg(F.count(F.lit(1)).alias("ties"))
-    )
-    sizes = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("_distinct"))
-    large = sizes.where(F.col("_distinct") > group_limit)
-    probe_rate = F.greatest(F.lit(1), F.ceil(F.col("_distinct") / PROBE_VALUES))
-    cuts = (
-        counts.join(large, by)
-        .where(F.pmod(F.xxhash64(*by, value), probe_rate) == 0)
-        .groupBy(*by)
-        .agg(F.percentile(F.col(value).cast("double"),
-                          F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])).alias("_cuts"))
-    )
-    ranged = counts.join(cuts, by, "left").withColumn(
-        "_range",
-        F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(value).cast("double"))), F.lit(0)),
-    ).drop("_cuts")
-    inside = Window.partitionBy(*by, "_range").orderBy(value)
-    running = ranged.withColumn("_running", F.sum("ties").over(inside))
-    totals = ranged.groupBy(*by, "_range").agg(F.sum("ties").alias("_rows"))
-    ranges = Window.partitionBy(*by)  # at most RANGES rows per group
-    totals = (
-        totals.withColumn("_upto", F.sum("_rows").over(ranges.orderBy("_range")))
-        .withColumn("n", F.sum("_rows").over(ranges))
-        .select(*by, "_range", (F.col("_upto") - F.col("_rows")).alias("_offset"), "n")
-    )
-    return running.join(totals, [*by, "_range"]).select(
-        *by, value, (F.col("_offset") + F.col("_running") - F.col("ties")).alias("below"), "ties", "n"
-    )
-
-
-def ranked(df: DataFrame, by: list[str], value: str, prefix: str = "rk_", ranged: bool | None = None) -> DataFrame:
-    """Add ``{prefix}avg`` (average-tie rank), ``{prefix}min`` and ``{prefix}n``; null values stay null.
-
-    ``ranged`` says whether groups exceed one task; None checks it.
+    The ranged counts are stored once, so both readers see the same partitions.
     """
-    names = [f"{prefix}{k}" for k in ("avg", "min", "n")]
-    if not (needs_ranges(df, by) if ranged is None else ranged):
-        known = F.col(value).isNotNull()
-        w = Window.partitionBy(*by).orderBy(F.col(value).asc_nulls_last())  # one sort serves all three
-        first = F.rank().over(w)
-        ties = F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow))
-        n = F.count(value).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        ranks = [first + (ties - 1) / 2.0, first, n]
-        return df.withColumns({c: F.when(known, x) for c, x in zip(names, ranks, strict=True)})
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("ties"))
+    placed = staged(counts.repartitionByRange(*by, value).withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy(*by, "_part").orderBy(value)
+    running = placed.withColumn("_running", F.sum("ties").over(inside))
+    totals = placed.groupBy(*by, "_part").agg(F.sum("ties").alias("_rows"))
+    parts = Window.partitionBy(*by)  # one row per partition that holds some of the group
+    totals = totals.withColumns({"_upto": F.sum("_rows").over(parts.orderBy("_part")), "n": F.sum("_rows").over(parts)})
+    totals = totals.select(*by, "_part", (F.col("_upto") - F.col("_rows")).alias("_offset"), "n")
+    below = (F.col("_offset") + F.col("_running") - F.col("ties")).alias("below")
+    return join_null_safe(running, totals, [*by, "_part"]).select(*by, value, below, "ties", "n")
+
+
+def ranked(df: DataFrame, by: list[str], value: str, prefix: str = "rk_") -> DataFrame:
+    """Add ``{prefix}avg`` (average-tie rank), ``{prefix}min`` and ``{prefix}n``; null values stay null."""
     first = F.col("below") + 1
     ranks = ordered_values(df, by, value).select(
-        *by, value, (first + (F.col("ties") - 1) / 2.0).alias(names[0]), first.alias(names[1]), F.col("n").alias(names[2]))
-    return df.join(ranks, [*by, value], "left").select(*df.columns, *names)
+        *by, value, (first + (F.col("ties") - 1) / 2.0).alias(f"{prefix}avg"), first.alias(f"{prefix}min"), F.col("n").alias(f"{prefix}n"))
+    return join_null_safe(df, ranks, [*by, value], "left")
 
 
-def with_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float], ranged: bool | None = None,
-                   n: str | None = None) -> DataFrame:
+def with_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float], n: str | None = None) -> DataFrame:
     """The group's quantiles (and optionally its non-null count) on every row."""
-    if ranged is None:
-        ranged = needs_ranges(df, by)
-    if ranged:
-        q = quantiles(df, by, value, probs, True)
-        return df.join(q.withColumnRenamed("n", n) if n else q.drop("n"), by, "left")
-    w = Window.partitionBy(*by)
-    q = F.percentile(F.col(value).cast("double"), F.array(*[F.lit(float(p)) for p in probs.values()])).over(w)
-    d = df.withColumns({"_q": q} | ({n: F.count(value).over(w)} if n else {}))
-    return d.withColumns({c: F.col("_q")[i] for i, c in enumerate(probs)}).drop("_q")
+    q = quantiles(df, by, value, probs)
+    return join_null_safe(df, q.withColumnRenamed("n", n) if n else q.drop("n"), by, "left")
 
 
-def quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float], ranged: bool | None = None) -> DataFrame:
+def quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Linear-interpolation quantiles per group, one column per named probability, plus ``n``."""
     v = F.col(value).cast("double")
-    if not (needs_ranges(df, by) if ranged is None else ranged):
-        known = df.where(v.isNotNull()).groupBy(*by).agg(
-            F.percentile(v, F.array(*[F.lit(float(p)) for p in probs.values()])).alias("_q"), F.count(F.lit(1)).alias("n"))
-        return known.select(*by, *[F.col("_q")[i].alias(c) for i, c in enumerate(probs)], "n")
     holds = lambda pos: (F.col("below") <= pos) & (pos < F.col("below") + F.col("ties"))
     aggs, outs = [], []
     for name, p in probs.items():

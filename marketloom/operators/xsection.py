@@ -1,90 +1,75 @@
 """Cross-sectional operators: every statistic is per date (or per date and class).
 
-A group that may exceed one task gets its statistics from an aggregate joined back on the key (partial
-sums leave the map side, the statistics table has one row per group). Groups checked to be small use
-windows, so that a chain of steps shares one exchange.
+A group's statistics come from an aggregate joined back on the key: partial sums leave the map side, and the
+statistics table has one row per group, however large the group is.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import add_all, clip, safe_divide
 from ..functions.stats import safe_corr
 from ..session import staged
-from .ordering import needs_ranges, ranked, with_quantiles
+from .keys import join_null_safe
+from .ordering import ranked, with_quantiles
 
 DATE = "trade_date"
 
 
-def with_stats(df: DataFrame, by: list[str], ranged: bool = True, **aggs: Column) -> DataFrame:
-    """Group aggregates on every row; a null key is a group of its own.
-
-    ``ranged`` (groups may exceed one task): an aggregate joined back on the key. Otherwise the groups were
-    checked to be small and a window keeps one exchange for a whole chain of steps.
-    """
-    if not ranged:
-        return df.withColumns({n: a.over(Window.partitionBy(*by)) for n, a in aggs.items()})
-    stats = df.groupBy(*[F.col(b).alias(f"_g_{b}") for b in by]).agg(*[a.alias(n) for n, a in aggs.items()])
-    on = reduce(lambda p, q: p & q, [F.col(b).eqNullSafe(F.col(f"_g_{b}")) for b in by])
-    return df.join(stats, on, "left").drop(*[f"_g_{b}" for b in by])
+def with_stats(df: DataFrame, by: list[str], **aggs: Column) -> DataFrame:
+    """Group aggregates on every row; a null key is a group of its own."""
+    return join_null_safe(df, df.groupBy(*by).agg(*[a.alias(n) for n, a in aggs.items()]), by, "left")
 
 
 def winsorize(df: DataFrame, value: str, by: list[str] | None = None, low: float = 0.01, high: float = 0.99,
-              out: str | None = None, ranged: bool | None = None) -> DataFrame:
+              out: str | None = None) -> DataFrame:
     """Clip to the group's quantiles."""
-    d = with_quantiles(df, by or [DATE], value, {"_ql": low, "_qh": high}, ranged)
+    d = with_quantiles(df, by or [DATE], value, {"_ql": low, "_qh": high})
     return d.withColumn(out or value, clip(value, F.col("_ql"), F.col("_qh"))).drop("_ql", "_qh")
 
 
-def demean(df: DataFrame, value: str, by: list[str], out: str | None = None, ranged: bool = True) -> DataFrame:
-    return with_stats(df, by, ranged, _m=F.avg(value)).withColumn(out or value, F.col(value) - F.col("_m")).drop("_m")
+def demean(df: DataFrame, value: str, by: list[str], out: str | None = None) -> DataFrame:
+    return with_stats(df, by, _m=F.avg(value)).withColumn(out or value, F.col(value) - F.col("_m")).drop("_m")
 
 
 def zscore(df: DataFrame, value: str, by: list[str] | None = None, ddof: int = 1, out: str | None = None,
-           constant: float | None = None, ranged: bool = True) -> DataFrame:
+           constant: float | None = None) -> DataFrame:
     """(x − mean) / std per group; a constant group gives ``constant``."""
     sd = F.stddev_samp(value) if ddof else F.stddev_pop(value)
-    d = with_stats(df, by or [DATE], ranged, _m=F.avg(value), _s=sd)
+    d = with_stats(df, by or [DATE], _m=F.avg(value), _s=sd)
     z = F.when(F.col("_s") > 0, (F.col(value) - F.col("_m")) / F.col("_s")).otherwise(
         F.lit(constant).cast("double"))
     return d.withColumn(out or value, z).drop("_m", "_s")
 
 
 def industry_zscore(df: DataFrame, value: str, industry: str = "industry", out: str | None = None, by: list[str] | None = None,
-                    low: float = 0.01, high: float = 0.99, ranged: bool | None = None) -> DataFrame:
+                    low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Winsorise by date, demean inside (date, industry), z-score by date.
 
-    Small groups: one exchange on the date. Large groups: each step is written once, so a later step does
-    not recompute the earlier ones for both sides of its join.
+    Each step is written once, so a later step does not recompute the earlier ones for both sides of its join.
     """
     by, out = by or [DATE], out or f"{value}_z"
-    ranged = needs_ranges(df, by) if ranged is None else ranged
-    cut = staged if ranged else (lambda d: d)
-    d = cut(winsorize(df, value, by, low, high, out, ranged))
-    d = cut(demean(d, out, [*by, industry], ranged=ranged))
-    return zscore(d, out, by, ranged=ranged)
+    d = staged(winsorize(df, value, by, low, high, out))
+    d = staged(demean(d, out, [*by, industry]))
+    return zscore(d, out, by)
 
 
-def robust_standardize(df: DataFrame, value: str, by: list[str] | None = None, out: str | None = None,
-                       ranged: bool | None = None) -> DataFrame:
+def robust_standardize(df: DataFrame, value: str, by: list[str] | None = None, out: str | None = None) -> DataFrame:
     """(x − median) / MAD per date; zero MAD and missing values give 0."""
     by, out = by or [DATE], out or f"{value}_robust"
-    ranged = needs_ranges(df, by) if ranged is None else ranged
-    d = with_quantiles(df, by, value, {"_med": 0.5}, ranged).withColumn("_dev", F.abs(F.col(value) - F.col("_med")))
-    d = with_quantiles(staged(d) if ranged else d, by, "_dev", {"_mad": 0.5}, ranged)
+    d = with_quantiles(df, by, value, {"_med": 0.5}).withColumn("_dev", F.abs(F.col(value) - F.col("_med")))
+    d = with_quantiles(staged(d), by, "_dev", {"_mad": 0.5})
     return d.withColumn(out, F.coalesce(safe_divide(F.col(value) - F.col("_med"), "_mad"), F.lit(0.0))).drop(
         "_med", "_mad", "_dev")
 
 
 def pct_rank(df: DataFrame, value: str, by: list[str] | None = None, out: str | None = None,
-             centre: float = 0.0, ranged: bool | None = None) -> DataFrame:
+             centre: float = 0.0) -> DataFrame:
     """Average-tie percentile rank in (0, 1], minus ``centre``."""
     by, out = by or [DATE], out or f"cs_{value}"
-    d = ranked(df, by, value, "_r_", ranged)
+    d = ranked(df, by, value, "_r_")
     return d.withColumn(out, F.col("_r_avg") / F.col("_r_n") - F.lit(centre)).drop("_r_avg", "_r_min", "_r_n")
 
 
@@ -94,26 +79,24 @@ def thirds(rank: str, labels: tuple[str, str, str]) -> Column:
     return F.when(r <= 1.0 / 3.0, labels[0]).when(r <= 2.0 / 3.0, labels[1]).when(r <= 1.0, labels[2])
 
 
-def qcut(df: DataFrame, value: str, n: int = 5, by: list[str] | None = None, min_per_bucket: int = 10,
-         ranged: bool | None = None) -> DataFrame:
+def qcut(df: DataFrame, value: str, n: int = 5, by: list[str] | None = None, min_per_bucket: int = 10) -> DataFrame:
     """Add ``bucket`` (0-based, right-closed between linear quantile edges), ``rows`` and ``valid``.
 
     A group is valid with enough rows and exactly ``n`` filled buckets over distinct edges.
     """
     by = by or [DATE]
-    ranged = needs_ranges(df, by) if ranged is None else ranged
     v = F.col(value)
-    d = with_quantiles(df.where(v.isNotNull()), by, value, {f"_e{i}": i / n for i in range(n)}, ranged, "rows")
+    d = with_quantiles(df.where(v.isNotNull()), by, value, {f"_e{i}": i / n for i in range(n)}, "rows")
     d = d.withColumn("bucket", add_all([(F.col(f"_e{i}") < v).cast("int") for i in range(1, n)]))
     d = d.withColumn("_split", F.col("_e0") < F.col("_e1")).drop(*[f"_e{i}" for i in range(n)])
     seen = {f"_f{i}": F.max((F.col("bucket") == i).cast("int")) for i in range(n)}
-    d = with_stats(staged(d) if ranged else d, by, ranged, **seen)
+    d = with_stats(staged(d), by, **seen)
     ok = (F.col("rows") >= n * min_per_bucket) & (add_all([F.col(c) for c in seen]) == n) & F.col("_split")
     return d.withColumn("valid", ok).drop(*seen, "_split")
 
 
 def residualize(df: DataFrame, value: str, controls: tuple[str, str], by: list[str] | None = None,
-                min_rows: int = 30, out: str | None = None, ranged: bool = True) -> DataFrame:
+                min_rows: int = 30, out: str | None = None) -> DataFrame:
     """Residual of ``value`` on an intercept and two controls per date, then z-scored.
 
     Normal equations on centred moments: one aggregate per date, solved in the row.
@@ -124,22 +107,20 @@ def residualize(df: DataFrame, value: str, controls: tuple[str, str], by: list[s
     cols = {"y": value, "a": a, "b": b}
     part = df.withColumns({f"_{k}": F.when(full, F.col(c).cast("double")) for k, c in cols.items()})
     cov = {f"_c{p}{q}": F.covar_pop(f"_{p}", f"_{q}") for p, q in ("aa", "ab", "bb", "ay", "by")}
-    d = with_stats(part, by, ranged, _n=F.count("_y"), _my=F.avg("_y"), _ma=F.avg("_a"), _mb=F.avg("_b"), **cov)
+    d = with_stats(part, by, _n=F.count("_y"), _my=F.avg("_y"), _ma=F.avg("_a"), _mb=F.avg("_b"), **cov)
     det = F.col("_caa") * F.col("_cbb") - F.col("_cab") * F.col("_cab")
     ba = safe_divide(F.col("_cay") * F.col("_cbb") - F.col("_cby") * F.col("_cab"), det)
     bb = safe_divide(F.col("_cby") * F.col("_caa") - F.col("_cay") * F.col("_cab"), det)
     resid = (F.col("_y") - F.col("_my")) - ba * (F.col("_a") - F.col("_ma")) - bb * (F.col("_b") - F.col("_mb"))
     d = d.withColumn(out, F.when(F.col("_n") >= min_rows, resid)).select(*df.columns, out)
-    return zscore(staged(d) if ranged else d, out, by, ranged=ranged)
+    return zscore(staged(d), out, by)
 
 
-def daily_ic(df: DataFrame, score: str, target: str, by: list[str] | None = None, min_obs: int = 20,
-             ranged: bool | None = None) -> DataFrame:
+def daily_ic(df: DataFrame, score: str, target: str, by: list[str] | None = None, min_obs: int = 20) -> DataFrame:
     """Pearson and Spearman correlation per group over complete pairs."""
     by = by or [DATE]
     pairs = df.where(F.col(score).isNotNull() & F.col(target).isNotNull()).select(*by, score, target)
-    ranged = needs_ranges(pairs, by) if ranged is None else ranged
-    d = ranked(ranked(pairs, by, score, "_s_", ranged), by, target, "_t_", ranged)
+    d = ranked(staged(ranked(pairs, by, score, "_s_")), by, target, "_t_")
     return (d.groupBy(*by)
             .agg(F.count(F.lit(1)).alias("obs"), safe_corr(score, target).alias("pearson_ic"),
                  safe_corr("_s_avg", "_t_avg").alias("rank_ic"))

@@ -12,7 +12,8 @@ from ..functions.stats import annualised, compound, growth, sharpe
 from ..operators.calendar import last_session_before, next_session
 from ..operators.execution import top_rows
 from ..operators.metrics import series_metrics
-from ..operators.ordering import needs_ranges, ranked
+from ..operators.ordering import ranked
+from ..session import staged
 from ..operators.portfolio import DATE, SYM, dense_index, equal_weight_top, set_turnover, weight_turnover
 from ..operators.series import rolling_odds
 
@@ -81,11 +82,11 @@ def long_only_topk(panel: DataFrame, bars: DataFrame, calendar: DataFrame, score
     reb = next_session(panel.select(DATE).distinct(), cal, DATE, "entry_date").where("entry_date is not null")
     last = cal.agg(F.max(DATE)).scalar()
     w = Window.orderBy(DATE)  # rebalance dates
-    reb = (reb.withColumns({"idx": F.row_number().over(w), "_n": F.lead(DATE).over(w)})
-           .select(DATE, "entry_date", "idx", F.coalesce(F.col("_n"), last).alias("end_date")))
-    top = top_rows(panel.where(F.col(score).isNotNull()), score, k).join(reb.select(DATE, "idx"), DATE).select("idx", SYM)
+    reb = staged(reb.withColumns({"idx": F.row_number().over(w), "_n": F.lead(DATE).over(w)})
+                 .select(DATE, "entry_date", "idx", F.coalesce(F.col("_n"), last).alias("end_date")))
+    top = staged(top_rows(panel.where(F.col(score).isNotNull()), score, k).join(reb.select(DATE, "idx"), DATE).select("idx", SYM))
     entry = bars.select(F.col(DATE).alias("entry_date"), SYM, "buy_tradable", "sell_tradable").join(reb.select("entry_date", "idx"), "entry_date").drop("entry_date")
-    held = held_with_stuck(top, entry)
+    held = staged(held_with_stuck(top, entry))
     prev = held.select((F.col("idx") + 1).alias("idx"), SYM)
     sold = (prev.join(top, ["idx", SYM], "left_anti").join(entry.where("sell_tradable"), ["idx", SYM], "left_semi")
             .groupBy("idx").agg(F.count(F.lit(1)).alias("sold")))
@@ -95,7 +96,7 @@ def long_only_topk(panel: DataFrame, bars: DataFrame, calendar: DataFrame, score
     span = reb.select(F.col("entry_date").alias(DATE), F.col("idx").alias("_i"))
     days = last_session_before(cal, span.select(DATE), "entry_date").where("entry_date is not null").join(reb.select("entry_date", "idx", "end_date"), "entry_date")
     days = days.where(F.col(DATE) <= F.col("end_date")).select(DATE, "idx")
-    earned = (held.select("idx", SYM).join(days, "idx").join(bars.select(*KEYS, "ret"), KEYS).groupBy("idx", DATE).agg(F.avg("ret").alias("ret")))
+    earned = staged(held.select("idx", SYM).join(days, "idx").join(bars.select(*KEYS, "ret"), KEYS).groupBy("idx", DATE).agg(F.avg("ret").alias("ret")))
     paid = (moves.join(earned.select("idx").distinct(), "idx", "left_semi").join(reb.select("idx", F.col("entry_date").alias(DATE)), "idx")
             .select(DATE, (-(F.col("bought") + F.col("sold") + F.col("stuck")) / k * cost_bps / 10000.0).alias("ret")))
     return earned.select(DATE, "ret").unionByName(paid).groupBy(DATE).agg(compound("ret").alias("ret"))
@@ -170,12 +171,11 @@ def top_fraction(df: DataFrame, score: str, fraction: float, group: str) -> Data
     """
     by = [DATE, group]
     d = df.where(F.col(score).isNotNull()).select(*KEYS, group, (-F.col(score)).alias("_v"))
-    big = needs_ranges(d, by)
-    d = ranked(d, by, "_v", "_r_", big)
+    d = staged(ranked(d, by, "_v", "_r_"))
     ties = (F.col("_r_avg") - F.col("_r_min")) * 2 + 1
     d = d.withColumns({"_k": F.greatest(F.lit(1), F.floor(F.col("_r_n") * fraction)), "_last": F.col("_r_min") + ties - 1})
     sure = d.where(F.col("_last") <= F.col("_k"))
-    edge = ranked(d.where((F.col("_r_min") <= F.col("_k")) & (F.col("_last") > F.col("_k"))), by, SYM, "_e_", big)
+    edge = ranked(d.where((F.col("_r_min") <= F.col("_k")) & (F.col("_last") > F.col("_k"))), by, SYM, "_e_")
     kept = sure.select(*KEYS).unionByName(edge.where(F.col("_e_min") <= F.col("_k") - F.col("_r_min") + 1).select(*KEYS))
     return kept.join(kept.groupBy(DATE).agg((1.0 / F.count(F.lit(1))).alias("weight")), DATE)
 

@@ -37,11 +37,11 @@ def factors(prices: DataFrame, min_obs: int = 40, window: int = 60, long: int =
     return d.select(*KEYS, "industry", *FACTORS)
 
 
-def leg_score(df: DataFrame, weights: dict[str, float], out: str, ranged: bool | None = None) -> DataFrame:
+def leg_score(df: DataFrame, weights: dict[str, float], out: str) -> DataFrame:
     """Weighted mean of percentile ranks in [0, 1]; a negative weight uses the reversed rank, a missing factor is neutral."""
     d, parts = df, []
     for c, w in weights.items():
-        d = ranked(d, [DATE], c, f"_{c}_", ranged)
+        d = ranked(d, [DATE], c, f"_{c}_")
         rank = F.col(f"_{c}_avg") / F.col(f"_{c}_n")
         parts.append(abs(w) * F.coalesce(rank if w > 0 else 1.0 - rank, F.lit(0.5)))
     total = sum(abs(w) for w in weights.values())

@@ -31,12 +31,12 @@ def local_session(cpus: int | str = 8, app: str = "marketloom") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Shared folder named by the cluster; a private one only when none is set."""
+    """Shared folder named by the cluster; one in the warehouse only when none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/shared"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 

@@ -7,6 +7,7 @@ pushdown reach the files.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,12 +22,12 @@ KEYS = [DATE, SYM]
 
 def date_window(df: DataFrame, start: str | None = None, end: str | None = None, date: str = DATE,
                 keep_undated: bool = False) -> DataFrame:
-    """Inclusive optional bounds; rows without a date stay only on request."""
+    """Inclusive optional bounds, to the end of the last day of a timestamp; rows without a date stay only on request."""
     cond = F.lit(True)
     if start:
         cond = cond & (F.col(date) >= F.lit(start).cast("date"))
     if end:
-        cond = cond & (F.col(date) <= F.lit(end).cast("date"))
+        cond = cond & (F.col(date) < F.date_add(F.lit(end).cast("date"), 1))
     return df.where(cond | F.col(date).isNull()) if keep_undated else df.where(cond)
 
 
@@ -69,10 +70,11 @@ def symbol_files(spark: SparkSession, folder: str, start: str, end: str, order:
 
 
 def latest_vintage(spark: SparkSession, root: str) -> DataFrame:
-    """Rows of the newest ``vintage=`` folder; the maximum is a metadata-only scan of the folder names."""
+    """Rows of the newest ``vintage=`` folder; its name, found among the folders' names alone, is a filter on the scan."""
     df = spark.read.parquet(root)
-    newest = df.agg(F.max("vintage").alias("vintage"))
-    return df.join(newest, "vintage", "left_semi")
+    names = {m[1] for f in df.inputFiles() if (m := re.search(r"/vintage=([^/]+)/", f)) and not m[1].startswith("__")}
+    newest = max(names, key=lambda v: (int(v), v) if v.isdigit() else (0, v), default=None)
+    return df.where(F.col("vintage") == F.lit(newest).cast(df.schema["vintage"].dataType)) if newest else df.limit(0)
 
 
 def latest_announcement(df: DataFrame, end: str | None = None) -> DataFrame:

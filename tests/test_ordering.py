@@ -21,12 +21,9 @@ def sample(spark):
     return p, df
 
 
-@pytest.mark.parametrize("ranged", [False, True])
-def test_ranks_match_pandas(sample, monkeypatch, ranged):
-    monkeypatch.setattr(O, "GROUP_LIMIT", 100)
-    monkeypatch.setattr(O, "PROBE_VALUES", 50)
+def test_ranks_match_pandas(sample):
     p, df = sample
-    got = pdf(O.ranked(df, ["trade_date"], "v", "r_", ranged), "symbol")
+    got = pdf(O.ranked(df, ["trade_date"], "v", "r_"), "symbol")
     by = p.groupby("trade_date")["v"]
     for col, want in (("r_avg", by.rank()), ("r_min", by.rank(method="min")), ("r_n", by.transform("count"))):
         known = p["v"].notna()
@@ -34,27 +31,31 @@ def test_ranks_match_pandas(sample, monkeypatch, ranged):
         assert got[col][~known].isna().all()
 
 
-@pytest.mark.parametrize("ranged", [False, True])
-def test_quantiles_match_pandas(sample, monkeypatch, ranged):
-    monkeypatch.setattr(O, "GROUP_LIMIT", 100)
+def test_quantiles_match_pandas(sample):
     p, df = sample
-    got = pdf(O.quantiles(df, ["trade_date"], "v", {"lo": 0.01, "mid": 0.5, "hi": 0.99}, ranged), "trade_date")
+    got = pdf(O.quantiles(df, ["trade_date"], "v", {"lo": 0.01, "mid": 0.5, "hi": 0.99}), "trade_date")
     for name, q in (("lo", 0.01), ("mid", 0.5), ("hi", 0.99)):
         assert np.allclose(got[name], p.groupby("trade_date")["v"].quantile(q).sort_index().to_numpy(), rtol=1e-12, atol=1e-12)
 
 
-def test_large_groups_are_split(sample, monkeypatch):
-    monkeypatch.setattr(O, "GROUP_LIMIT", 100)
-    p, df = sample
-    assert O.needs_ranges(df, ["trade_date"])
-    plan = O.ordered_values(df, ["trade_date"], "v")._jdf.queryExecution().optimizedPlan().toString()
-    assert "_range" in plan
+def test_one_group_is_spread_over_partitions(spark, monkeypatch):
+    """Nine rows in ten on one date, a third of them with one value: its values lie in many partitions, and ranks are exact."""
+    monkeypatch.setattr(O, "staged", lambda d: stored.setdefault("d", d.cache()))
+    stored = {}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(4000).selectExpr("if(id % 10 = 0, 'a', 'big') as trade_date", "id as symbol", "if(id % 3 = 0, 0D, cast(hash(id) as double)) as v")
+        got = O.ranked(df, ["trade_date"], "v", "r_").toPandas()
+        spread = stored["d"].where("trade_date = 'big'").groupBy("_part").count().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert spread >= int(spark.conf.get("spark.sql.shuffle.partitions")) - 1
+    assert np.array_equal(got["r_avg"], got.groupby("trade_date")["v"].rank())
 
 
-@pytest.mark.parametrize("ranged", [False, True])
-def test_qcut_matches_pandas(sample, ranged):
+def test_qcut_matches_pandas(sample):
     p, df = sample
-    got = pdf(XS.qcut(df, "v", 5, min_per_bucket=1, ranged=ranged).where("trade_date = 'a'"), "symbol")
+    got = pdf(XS.qcut(df, "v", 5, min_per_bucket=1).where("trade_date = 'a'"), "symbol")
     a = p[(p.trade_date == "a") & p.v.notna()].sort_values("symbol")
     want = pd.qcut(a["v"], 5, labels=False, duplicates="drop")
     assert bool(got["valid"].iloc[0]) == (want.nunique() == 5)
@@ -62,14 +63,13 @@ def test_qcut_matches_pandas(sample, ranged):
         assert np.array_equal(got["bucket"].to_numpy(), want.to_numpy())
 
 
-@pytest.mark.parametrize("ranged", [False, True])
-def test_standardised_signal_matches_pandas(sample, ranged):
+def test_standardised_signal_matches_pandas(sample):
     from pyspark.sql import functions as F
 
     p, df = sample
     p = p.assign(industry=np.where(p.symbol % 7 == 0, None, (p.symbol % 3).astype(str)))
     df = df.withColumn("industry", F.when(F.col("symbol") % 7 != 0, (F.col("symbol") % 3).cast("string")))
-    got = pdf(XS.industry_zscore(df, "v", out="z", ranged=ranged), "symbol")
+    got = pdf(XS.industry_zscore(df, "v", out="z"), "symbol")
     g = p.groupby("trade_date")["v"]
     x = p["v"].clip(g.transform(lambda s: s.quantile(0.01)), g.transform(lambda s: s.quantile(0.99)))
     x = x - x.groupby([p.trade_date, p.industry], dropna=False).transform("mean")
@@ -82,16 +82,13 @@ def test_residual_is_orthogonal_to_controls(spark):
     n = 200
     p = pd.DataFrame({"trade_date": ["d1", "d2"] * (n // 2), "symbol": range(n), "a": rng.normal(size=n), "b": rng.normal(size=n)})
     p["y"] = 2 * p.a - p.b + rng.normal(size=n)
-    for ranged in (False, True):
-        out = pdf(XS.residualize(spark.createDataFrame(p), "y", ("a", "b"), out="e", ranged=ranged))
-        for _, g in out.groupby("trade_date"):
-            assert abs(g.e.corr(g.a)) < 1e-10 and abs(g.e.corr(g.b)) < 1e-10
-            assert abs(g.e.std() - 1) < 1e-10
+    out = pdf(XS.residualize(spark.createDataFrame(p), "y", ("a", "b"), out="e"))
+    for _, g in out.groupby("trade_date"):
+        assert abs(g.e.corr(g.a)) < 1e-10 and abs(g.e.corr(g.b)) < 1e-10
+        assert abs(g.e.std() - 1) < 1e-10
 
 
-@pytest.mark.parametrize("limit", [10, 10_000])
-def test_top_fraction_ties_by_symbol(spark, monkeypatch, limit):
-    monkeypatch.setattr(O, "GROUP_LIMIT", limit)
+def test_top_fraction_ties_by_symbol(spark):
     rng = np.random.default_rng(5)
     p = pd.DataFrame({"trade_date": "d", "symbol": range(300), "industry": rng.choice(["x", "y"], 300, p=[0.9, 0.1]), "s": rng.integers(0, 6, 300).astype(float)})
     got = set(pdf(top_fraction(spark.createDataFrame(p), "s", 0.2, "industry"))["symbol"])
