@@ -253,10 +253,10 @@ def factor_long_short(spark, d):
 
 @query("constrained_comparison", f"""
     WITH t AS (SELECT *, row_number() OVER () AS _ FROM q_value q JOIN panel_part p USING (trade_date, symbol) WHERE valid AND bucket IN (0, 4)), l AS (SELECT trade_date, symbol, next_ret, CASE bucket WHEN 4 THEN 'long' ELSE 'short' END AS side, turnover > 20 AS ok FROM t),
-    c AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS i FROM (SELECT DISTINCT trade_date FROM l WHERE ok)), w AS (SELECT i, side, symbol, 1.0::DOUBLE / count(*) OVER (PARTITION BY trade_date, side) AS w FROM l JOIN c USING (trade_date) WHERE ok),
+    c AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS i FROM (SELECT DISTINCT trade_date FROM l)), w AS (SELECT i, side, symbol, 1.0::DOUBLE / count(*) OVER (PARTITION BY trade_date, side) AS w FROM l JOIN c USING (trade_date) WHERE ok),
     n AS (SELECT i, sum(t) AS traded FROM (SELECT coalesce(a.i, b.i + 1) AS i, sum(abs(coalesce(a.w, 0) - coalesce(b.w, 0))) AS t FROM w a FULL JOIN w b ON b.side = a.side AND b.symbol = a.symbol AND b.i = a.i - 1 GROUP BY 1) GROUP BY 1),
     r AS (SELECT trade_date, sum(CASE side WHEN 'long' THEN 1 ELSE -1 END * m) AS raw FROM (SELECT trade_date, side, coalesce(sum(next_ret), 0) / count(*) AS m FROM l GROUP BY 1, 2) GROUP BY 1), g AS (SELECT trade_date, sum(CASE side WHEN 'long' THEN 1 ELSE -1 END * m) AS gross FROM (SELECT trade_date, side, coalesce(sum(next_ret), 0) / count(*) AS m FROM l WHERE ok GROUP BY 1, 2) GROUP BY 1),
-    a AS (SELECT trade_date, raw / 100 AS raw, gross / 100 AS gross, (gross - traded * 10 / 10000) / 100 AS net FROM r JOIN g USING (trade_date) JOIN c USING (trade_date) JOIN n USING (i)), x AS (UNPIVOT a ON raw, gross, net INTO NAME profile VALUE ret)
+    a AS (SELECT trade_date, raw / 100 AS raw, coalesce(gross, 0) / 100 AS gross, (coalesce(gross, 0) - traded * 10 / 10000) / 100 AS net FROM r JOIN c USING (trade_date) JOIN n USING (i) LEFT JOIN g USING (trade_date)), x AS (UNPIVOT a ON raw, gross, net INTO NAME profile VALUE ret)
     SELECT profile, days, {', '.join(f'round({c}, 6) AS {c}' for c in MET)} FROM ({metrics_sql('x', 'profile', 12)})""", "q_value panel_part")
 def constrained_comparison(spark, d):
     from ..plans.style import constrained_profiles

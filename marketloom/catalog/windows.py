@@ -363,17 +363,17 @@ def active_exposure_dates(spark, d):
 
 @query("cost_adjusted_spread", """
     WITH t AS (SELECT trade_date, symbol, next_ret, CASE bucket WHEN 4 THEN 'long' ELSE 'short' END AS side FROM q_value WHERE valid AND bucket IN (0, 4)),
-    w AS (SELECT *, 1.0::DOUBLE / count(*) OVER (PARTITION BY trade_date, side) AS w FROM t), c AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS i FROM (SELECT DISTINCT trade_date FROM t)),
+    w AS (SELECT *, 1.0::DOUBLE / count(*) OVER (PARTITION BY trade_date, side) AS w FROM t), c AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS i FROM (SELECT DISTINCT trade_date FROM q_value)),
     x AS (SELECT i, side, symbol, w FROM w JOIN c USING (trade_date)), n AS (SELECT coalesce(a.i, b.i + 1) AS i, coalesce(a.side, b.side) AS side, sum(abs(coalesce(a.w, 0) - coalesce(b.w, 0))) AS traded
       FROM x a FULL JOIN x b ON b.side = a.side AND b.symbol = a.symbol AND b.i = a.i - 1 GROUP BY 1, 2),
-    l AS (SELECT trade_date, side, sum(next_ret) AS s, count(*) - count(next_ret) AS miss, count(*) AS k FROM t GROUP BY 1, 2), j AS (SELECT l.*, traded FROM l JOIN c USING (trade_date) JOIN n USING (i, side)),
-    g AS (SELECT trade_date, cost_bps, terminal, sum(CASE side WHEN 'long' THEN 1 ELSE -1 END * (coalesce(s, 0) + miss * terminal) / k) AS gross, sum(traded) AS traded FROM j, (VALUES (10.0::DOUBLE), (30.0::DOUBLE)) b(cost_bps), (VALUES (0.0::DOUBLE), (-0.5::DOUBLE)) r(terminal) GROUP BY 1, 2, 3)
+    l AS (SELECT trade_date, side, sum(next_ret) AS s, count(*) - count(next_ret) AS miss, count(*) AS k FROM t GROUP BY 1, 2), j AS (SELECT c.trade_date, n.side, s, miss, k, traded FROM n JOIN c USING (i) LEFT JOIN l ON l.trade_date = c.trade_date AND l.side = n.side),
+    g AS (SELECT trade_date, cost_bps, terminal, sum(CASE side WHEN 'long' THEN 1 ELSE -1 END * coalesce((coalesce(s, 0) + miss * terminal) / k, 0)) AS gross, sum(traded) AS traded FROM j, (VALUES (10.0::DOUBLE), (30.0::DOUBLE)) b(cost_bps), (VALUES (0.0::DOUBLE), (-0.5::DOUBLE)) r(terminal) GROUP BY 1, 2, 3)
     SELECT trade_date, cost_bps, terminal, round(gross, 6) AS gross, round(traded, 6) AS traded, round(gross - traded * cost_bps / 10000, 6) AS net FROM g""", "q_value")
 def cost_adjusted_spread(spark, d):
     q = staged(q_value(spark, d))
     side = F.when(F.col("bucket") == 4, "long").when(F.col("bucket") == 0, "short")
     legs = q.where("valid").select(*KEYS, "next_ret", side.alias("side")).where("side is not null")
-    return rounded(P.cost_adjusted_spread(legs, [10, 30], [0.0, -0.5]), "gross", "traded", "net")
+    return rounded(P.cost_adjusted_spread(legs, [10, 30], [0.0, -0.5], q), "gross", "traded", "net")
 
 
 @query("momentum_signal", """

@@ -167,9 +167,12 @@ def active_dates(formations: DataFrame, calendar: DataFrame) -> DataFrame:
             .join(last, "formation_date", "left_anti").select("formation_date", DATE))
 
 
-def weight_turnover(targets: DataFrame, by: list[str], weight: str = "weight") -> DataFrame:
-    """Σ|w − previous w| per rebalance and group, from one lagged pass over each symbol's own rebalances."""
-    idx = dense_index(targets)
+def weight_turnover(targets: DataFrame, by: list[str], weight: str = "weight", dates: DataFrame | None = None) -> DataFrame:
+    """Σ|w − previous w| per rebalance and group, from one lagged pass over each symbol's own rebalances.
+
+    ``dates`` are all rebalance dates, those with an empty book too: on these everything is sold.
+    """
+    idx = dense_index(targets if dates is None else dates)
     d = targets.join(idx, DATE)
     w = Window.partitionBy(*by, SYM).orderBy("idx")
     prev = F.when(F.lag("idx").over(w) == F.col("idx") - 1, F.lag(weight).over(w)).otherwise(0.0)
@@ -180,20 +183,21 @@ def weight_turnover(targets: DataFrame, by: list[str], weight: str = "weight") -
     return kept.unionByName(gone).groupBy(*by, "idx").agg(F.sum("_move").alias("traded")).join(idx, "idx").drop("idx", "is_last")
 
 
-def cost_adjusted_spread(legs: DataFrame, cost_bps: list[float], terminals: list[float]) -> DataFrame:
+def cost_adjusted_spread(legs: DataFrame, cost_bps: list[float], terminals: list[float], dates: DataFrame | None = None) -> DataFrame:
     """Long − short − traded × cost for every cost and terminal-return scenario; a name without a next return takes the terminal one.
 
-    Sums are formed once per date and side; the scenarios multiply only those few rows.
+    ``dates`` are all formation dates. One without legs (an invalid formation) has an empty book: it earns nothing and
+    pays for selling the book before. Sums are formed once per date and side; the scenarios multiply only those few rows.
     """
     from ..functions.expr import with_scenarios
     n = F.count(F.lit(1))
     side = legs.groupBy(DATE, "side").agg(F.coalesce(F.sum("next_ret"), F.lit(0.0)).alias("_s"), (n - F.count("next_ret")).alias("_miss"), n.alias("_n"))
     weights = legs.join(side.select(DATE, "side", "_n"), [DATE, "side"]).select(DATE, SYM, "side", (1.0 / F.col("_n")).alias("weight"))
-    d = side.join(weight_turnover(weights, ["side"]), [DATE, "side"])
+    d = weight_turnover(weights, ["side"], dates=dates).join(side, [DATE, "side"], "left")
     grid = with_scenarios(d, ["cost_bps", "terminal"], [(float(c), float(t)) for c in cost_bps for t in terminals])
     sign = F.when(F.col("side") == "long", 1.0).otherwise(-1.0)
     g = grid.groupBy(DATE, "cost_bps", "terminal").agg(
-        F.sum(sign * (F.col("_s") + F.col("_miss") * F.col("terminal")) / F.col("_n")).alias("gross"), F.sum("traded").alias("traded"))
+        F.sum(sign * F.coalesce((F.col("_s") + F.col("_miss") * F.col("terminal")) / F.col("_n"), F.lit(0.0))).alias("gross"), F.sum("traded").alias("traded"))
     return g.withColumn("net", F.col("gross") - F.col("traded") * F.col("cost_bps") / 10000.0)
 
 

@@ -153,3 +153,16 @@ def test_replica_rules(spark):
     sig = pd.DataFrame({"trade_date": pd.Timestamp("2025-01-01").date(), "symbol": range(50), "theme": ["a", "b"] * 25, "score_a": rng.random(50), "score_b": rng.random(50)})
     pos = pdf(RP.positions(spark.createDataFrame(sig), {"a": 20, "b": 20}, 10))
     assert (pos.weight <= 0.02 + 1e-15).all() and pos.leg.str.contains("A").sum() == 40 and pos.leg.str.contains("B").sum() == 10
+
+
+def test_an_invalid_formation_empties_the_book(spark):
+    """Weights 1/2 each: all bought (2), all sold on the empty date (2), two names bought anew (2)."""
+    from marketloom.operators.portfolio import cost_adjusted_spread
+
+    legs = [("2024-01-01", s, 0.1 if side == "long" else 0.0, side) for s, side in ((1, "long"), (2, "long"), (3, "short"), (4, "short"))]
+    legs += [("2024-03-01", s, 0.2 if side == "long" else 0.1, side) for s, side in ((1, "long"), (2, "long"), (3, "short"), (4, "short"))]
+    df = spark.createDataFrame(legs, "trade_date string, symbol long, next_ret double, side string")
+    dates = spark.createDataFrame([("2024-01-01",), ("2024-02-01",), ("2024-03-01",)], "trade_date string")
+    got = {r.trade_date: r for r in cost_adjusted_spread(df, [10.0], [0.0], dates).collect()}
+    assert {d: round(r.traded, 9) for d, r in got.items()} == {"2024-01-01": 2.0, "2024-02-01": 2.0, "2024-03-01": 2.0}
+    assert {d: round(r.net, 9) for d, r in got.items()} == {"2024-01-01": 0.098, "2024-02-01": -0.002, "2024-03-01": 0.098}
