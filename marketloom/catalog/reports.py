@@ -237,10 +237,10 @@ def membership_stability(spark, d):
 
 
 @query("selection_stats", """
-    WITH c AS (SELECT year(trade_date) AS "window", CASE WHEN symbol % 2 = 0 THEN 'a' ELSE 'b' END AS arm, trade_date, count(*) AS selected, avg((turnover > 30)::INT) AS feasible FROM panel_part WHERE amount > 40000 GROUP BY 1, 2, 3)
+    WITH c AS (SELECT year(trade_date) AS "window", CASE WHEN symbol % 2 = 0 THEN 'a' ELSE 'b' END AS arm, trade_date, count(*) AS selected, avg((turnover > 30)::INT) AS feasible FROM panel_part GROUP BY 1, 2, 3)
     SELECT "window", arm, round(avg(selected), 6) AS mean_selected, round(avg(feasible), 6) AS feasibility_rate FROM c GROUP BY 1, 2""", "panel_part")
 def selection_stats(spark, d):
-    p = V.panel_part(spark, d).where("amount > 40000").select(F.year("trade_date").cast("bigint").alias("window"), F.when(F.col("symbol") % 2 == 0, "a").otherwise("b").alias("arm"), "trade_date", (F.col("turnover") > 30).alias("ok"))
+    p = V.panel_part(spark, d).select(F.year("trade_date").cast("bigint").alias("window"), F.when(F.col("symbol") % 2 == 0, "a").otherwise("b").alias("arm"), "trade_date", (F.col("turnover") > 30).alias("ok"))
     return rounded(P.selection_stats(p, ["window", "arm"], "ok"), "mean_selected", "feasibility_rate")
 
 
@@ -317,10 +317,19 @@ def pivot_profiles_wide(spark, d):
     return rounded(M.pivot_profiles(comparison(spark, d), ["raw", "gross", "net"], "geometric_annual_return"), "raw", "gross", "net", "difference")
 
 
-@query("baseline_tieout", "SELECT count(*) AS common, 0.0::DOUBLE AS max_difference, true AS passed FROM series WHERE trade_date > DATE '2024-01-10'", "series")
+@query("baseline_tieout", """
+    WITH e AS (SELECT event_type AS series, CAST(ts AS DATE) AS trade_date, sum(value) AS s, count(*) AS n FROM events GROUP BY 1, 2),
+    o AS (SELECT series, trade_date, (s / n - 49.0::DOUBLE) / 1000 + CASE WHEN series = 'view' AND day(trade_date) = 20 THEN s / n / 100 ELSE 0 END AS ret FROM e),
+    g AS (SELECT o.series = 'view' AS changed, abs(o.ret - s.ret) AS gap FROM o JOIN series s ON o.series = s.series AND o.trade_date = s.trade_date WHERE s.trade_date > DATE '2024-01-10')
+    SELECT changed, count(*) AS common, round(max(gap), 9) AS max_difference, max(gap) <= 1e-12 AS passed FROM g GROUP BY 1""", "series")
 def baseline_tieout(spark, d):
-    s = staged(V.series(spark, d))
-    return VF.tie_out(s, s.where("trade_date > date'2024-01-10'"), ["series", "trade_date"], "ret")
+    """A second derivation of the series, in which one day of one series was changed, against the stored one."""
+    day = F.to_date("ts")
+    o = V.table(spark, d, "events").groupBy(F.col("event_type").alias("series"), day.alias("trade_date")).agg(((F.sum("value") / F.count(F.lit(1)) - 49.0) / 1000.0).alias("ret"), F.avg("value").alias("_v"))
+    o = staged(o.withColumn("ret", F.col("ret") + F.when((F.col("series") == "view") & (F.dayofmonth("trade_date") == 20), F.col("_v") / 100).otherwise(0.0)))
+    e = V.series(spark, d).where("trade_date > date'2024-01-10'")
+    parts = [VF.tie_out(o.where(c), e, ["series", "trade_date"], "ret").withColumn("changed", F.lit(k)) for k, c in ((True, "series = 'view'"), (False, "series <> 'view'"))]
+    return rounded(parts[0].unionByName(parts[1]), "max_difference", digits=9)
 
 
 @query("score_integrity_checks", """

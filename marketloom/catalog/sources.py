@@ -209,17 +209,17 @@ def scan_minute_day(spark, d):
 
 
 @query("scan_coverage_manifest", """
-    SELECT trade_date, CASE WHEN day(trade_date) % 2 = 0 THEN 'tushare_full_day' ELSE 'guan_deal' END AS minute_source
+    SELECT trade_date, CASE WHEN day(trade_date) % 2 = 0 THEN 'full_day' ELSE 'deals' END AS minute_source
     FROM (SELECT DISTINCT trade_date FROM bars_daily) WHERE day(trade_date) % 7 <> 0 AND day(trade_date) % 5 <> 0""", "bars_daily")
 def scan_coverage_manifest(spark, d):
     days = V.bars_daily(spark, d).select("trade_date").distinct()
     day = F.dayofmonth("trade_date")
     rec = F.struct(F.date_format("trade_date", "yyyyMMdd").alias("date"),
-                   F.when(day % 7 == 0, "other").when(day % 2 == 0, "tushare_full_day").otherwise("guan_deal").alias("canonical_source"),
+                   F.when(day % 7 == 0, "other").when(day % 2 == 0, "full_day").otherwise("deals").alias("canonical_source"),
                    (day % 5 != 0).alias("valid"))
     path = fresh(spark)  # the calendar: one record per session
     days.agg(F.lit("passed").alias("status"), F.lit("passed").alias("quality_status"), F.collect_list(rec).alias("daily")).write.json(path)
-    return D.coverage_manifest(spark, path)
+    return D.coverage_manifest(spark, path, ("full_day", "deals"))
 
 
 @query("scan_selections", """

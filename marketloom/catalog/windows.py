@@ -60,11 +60,11 @@ def rolling_technical_features(spark, d):
 
 
 @query("rolling_lagged_volatility", """
-    WITH f AS (SELECT *, close / lag(close) OVER w - 1 AS ret FROM ship_daily WHERE amount > 20000 WINDOW w AS (PARTITION BY symbol ORDER BY trade_date))
+    WITH f AS (SELECT *, close / lag(close) OVER w - 1 AS ret FROM ship_daily WHERE amount > 0 WINDOW w AS (PARTITION BY symbol ORDER BY trade_date))
     SELECT trade_date, symbol, round(CASE WHEN count(ret) OVER b >= 10 THEN stddev_samp(ret) OVER b END, 6) AS volatility FROM f
     WINDOW b AS (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 21 PRECEDING AND 1 PRECEDING)""", "ship_daily")
 def rolling_lagged_volatility(spark, d):
-    s = ship(spark, d, "close", "amount").where("amount > 20000").withColumn("ret", R.pct_change("close"))
+    s = ship(spark, d, "close", "amount").where("amount > 0").withColumn("ret", R.pct_change("close"))
     return rounded(R.rolling(s, "ret", 21, 10, {"volatility": F.stddev_samp}, shift=1).select(*KEYS, "volatility"), "volatility")
 
 

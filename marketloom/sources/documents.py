@@ -10,11 +10,9 @@ from .tables import required
 
 MANIFEST = ("status string, quality_status string, "
             "daily array<struct<date:string, canonical_source:string, valid:boolean>>")
-# Supported minute sources.
-MINUTE_SOURCES = ("tushare_full_day", "guan_deal", "guan_annual_minbar")
 
 
-def coverage_manifest(spark: SparkSession, path: str, sources: tuple[str, ...] = MINUTE_SOURCES) -> DataFrame:
+def coverage_manifest(spark: SparkSession, path: str, sources: tuple[str, ...]) -> DataFrame:
     """(trade_date, minute_source) of valid records of supported sources; a failed or empty manifest raises."""
     doc = spark.read.json(path, schema=MANIFEST)
     bad = doc.where("coalesce(status, '') <> 'passed' or coalesce(quality_status, '') <> 'passed'")
