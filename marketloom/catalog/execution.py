@@ -305,20 +305,39 @@ def band_mix(spark, d):
     return rounded(out, "row_share", "daily_weight_mean", "daily_weight_median_when_present")
 
 
-@query("topk_daily_metrics", """
-    WITH s AS (SELECT signal_date AS trade_date, top_k, symbol, open_to_high, open_to_close, amount, adv FROM selected
+TOPK_DAYS = """
+    s AS (SELECT signal_date AS trade_date, top_k, symbol, open_to_high, open_to_close, amount, adv FROM selected
                JOIN (SELECT trade_date AS t, symbol AS s, avg(amount) OVER (PARTITION BY symbol ORDER BY trade_date ROWS 19 PRECEDING) AS adv FROM daily) a ON t = signal_date AND s = symbol),
     c AS (SELECT trade_date AS t, lag(trade_date) OVER (ORDER BY trade_date) AS p FROM (SELECT DISTINCT trade_date FROM s)),
     k AS (SELECT a.trade_date, a.top_k, count(*) AS kept FROM s a JOIN c ON c.t = a.trade_date JOIN s b ON b.trade_date = c.p AND b.symbol = a.symbol AND b.top_k = a.top_k GROUP BY 1, 2),
-    d AS (SELECT trade_date, top_k, count(*) AS names, avg(open_to_high) AS m, avg((coalesce(open_to_high, -1) >= 0.02)::INT) AS h, median(adv) AS med, quantile_cont(adv, 0.25) AS p25,
-                 sum(adv) * 0.1::DOUBLE AS cap FROM s GROUP BY 1, 2)
-    SELECT trade_date, top_k, names, round(CASE WHEN trade_date = min(trade_date) OVER () THEN 1.0::DOUBLE ELSE 1 - coalesce(kept, 0) / names END, 6) AS turnover, round(m, 6) AS target_mean,
-           round(h, 6) AS hit_2pct, round(med, 9) AS median_adv, round(p25, 9) AS p25_adv, round(cap, 9) AS capacity FROM d LEFT JOIN k USING (trade_date, top_k)""", "selected daily")
-def topk_daily_metrics(spark, d):
+    d AS (SELECT trade_date, top_k, count(*) AS names, avg(open_to_high) AS m, avg(open_to_close) AS oc, avg((coalesce(open_to_high, -1) >= 0.02)::INT) AS h, avg((coalesce(open_to_high, -1) >= 0.03)::INT) AS h3,
+                 avg((coalesce(open_to_high, -1) >= 0.05)::INT) AS h5, median(adv) AS med, quantile_cont(adv, 0.25) AS p25, sum(adv) * 0.1::DOUBLE AS cap FROM s GROUP BY 1, 2),
+    t AS (SELECT *, CASE WHEN trade_date = min(trade_date) OVER () THEN 1.0::DOUBLE ELSE 1 - coalesce(kept, 0) / names END AS turnover FROM d LEFT JOIN k USING (trade_date, top_k))"""
+
+
+def top_days(spark, d):
     from ..operators.portfolio import topk_days
     from ..operators.rolling import rolling
 
     adv = rolling(V.daily(spark, d).select(*KEYS, "amount"), "amount", 20, 1, {"adv": F.avg}).select(*KEYS, "adv")
     s = staged(signals(spark, d).join(adv, KEYS))
-    out = topk_days(s, "pred", TOPS, "open_to_high", "adv", 0.1)
-    return rounded(rounded(out, "turnover", "target_mean", "hit_2pct"), "median_adv", "p25_adv", "capacity", digits=9)
+    return topk_days(s, "pred", TOPS, "open_to_high", "adv", 0.1, ("open_to_close",))
+
+
+@query("topk_daily_metrics", f"""
+    WITH {TOPK_DAYS}
+    SELECT trade_date, top_k, names, round(turnover, 6) AS turnover, round(m, 6) AS target_mean, round(oc, 6) AS open_to_close_mean, round(h, 6) AS hit_2pct, round(h3, 6) AS hit_3pct,
+           round(h5, 6) AS hit_5pct, round(med, 9) AS median_adv, round(p25, 9) AS p25_adv, round(cap, 9) AS capacity FROM t""", "selected daily")
+def topk_daily_metrics(spark, d):
+    out = rounded(top_days(spark, d), "turnover", "target_mean", "open_to_close_mean", "hit_2pct", "hit_3pct", "hit_5pct")
+    return rounded(out, "median_adv", "p25_adv", "capacity", digits=9)
+
+
+@query("topk_summary", f"""
+    WITH {TOPK_DAYS}
+    SELECT top_k, count(DISTINCT trade_date) AS days, round(avg(names), 6) AS avg_names, round(avg(turnover), 6) AS avg_turnover, round(avg(m), 6) AS target_mean, round(avg(oc), 6) AS open_to_close_mean,
+           round(avg(h), 6) AS hit_2pct, round(avg(h3), 6) AS hit_3pct, round(avg(h5), 6) AS hit_5pct, round(median(med), 6) AS median_adv, round(median(p25), 6) AS p25_adv, round(median(cap), 6) AS capacity FROM t GROUP BY 1""", "selected daily")
+def topk_summary(spark, d):
+    from ..operators.portfolio import topk_summary as op
+    out = op(top_days(spark, d))
+    return rounded(out, *[c for c in out.columns if c not in ("top_k", "days")])

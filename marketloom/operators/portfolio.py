@@ -21,8 +21,8 @@ def mean_of_available(columns: list[str]) -> Column:
     return safe_divide(total, add_all([F.col(c).isNotNull().cast("int") for c in columns]))
 
 
-def topk_days(df: DataFrame, score: str, top_ks: list[int], target: str, adv: str, participation: float) -> DataFrame:
-    """Per (date, K): names, turnover against the previous set, outcomes, hit rate and capacity."""
+def topk_days(df: DataFrame, score: str, top_ks: list[int], target: str, adv: str, participation: float, means: tuple[str, ...] = (), hits: tuple[int, ...] = (2, 3, 5)) -> DataFrame:
+    """Per (date, K): names, turnover against the previous set, mean outcomes, hit rates in percent steps, and capacity."""
     from ..functions.expr import with_scenarios
     from .calendar import sessions
     from .execution import stays, top_rows
@@ -31,13 +31,22 @@ def topk_days(df: DataFrame, score: str, top_ks: list[int], target: str, adv: st
     marked = stays(top, sessions(df), DATE, ["top_k"])
     day = marked.groupBy(DATE, "top_k").agg(
         F.count(F.lit(1)).alias("names"), F.sum(F.col("stayed").cast("bigint")).alias("_kept"), F.avg(target).alias("target_mean"),
-        F.avg(F.coalesce(F.col(target) >= 0.02, F.lit(False)).cast("double")).alias("hit_2pct"),
+        *[F.avg(F.coalesce(F.col(target) >= h / 100, F.lit(False)).cast("double")).alias(f"hit_{h}pct") for h in hits], *[F.avg(c).alias(f"{c}_mean") for c in means],
         F.percentile(adv, F.lit(0.5)).alias("median_adv"), F.percentile(adv, F.lit(0.25)).alias("p25_adv"),
         (F.sum(adv) * participation).alias("capacity"), F.min("session").alias("_s"))
     turnover = F.when(F.col("_s") == 1, 1.0).otherwise(1.0 - F.col("_kept") / F.col("names"))
     return day.withColumn("turnover", turnover).drop("_kept", "_s")
 
 
+def topk_summary(days: DataFrame) -> DataFrame:
+    """Per K over dates: days, means of names, turnover, outcomes and hit rates, medians of volume and capacity."""
+    medians = ["median_adv", "p25_adv", "capacity"]  # one value per date
+    means = [c for c in days.columns if c not in (DATE, "top_k", *medians)]
+    return days.groupBy("top_k").agg(
+        F.count_distinct(DATE).alias("days"), *[F.avg(c).alias(c if c.endswith("_mean") or c.startswith("hit_") else f"avg_{c}") for c in means],
+        *[F.percentile(c, F.lit(0.5)).alias(c) for c in medians])
+
+
 def dense_index(df: DataFrame, date: str = DATE) -> DataFrame:
     """Dense index over the distinct dates of a table, and a mark on the last one (date-level)."""
     w = Window.orderBy(date)
