@@ -10,9 +10,10 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Iterator
 
-CACHE = 300_000  # pieces in each of a worker's two generations, about 150 bytes each
-SLICE = 4_000_000  # characters encoded at once
+CACHE = 250_000  # pieces in each of a worker's two generations, about 150 bytes each
+SLICE = 1_000_000  # characters encoded at once
 LETTERS_MARKS = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)")
 _LOADED: dict[str, ChunkEncoder] = {}
 
@@ -77,23 +78,26 @@ class ChunkEncoder:
             part = rest[at : at + 8192]
             known.update(zip(part, self.library([p if p[0] == "\n" else p[1:] if p[0] == "\0" else " " + p for p in part] if self.spaced else part)))
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text; null is empty. Works on a few million characters at a time."""
-        out, part, size = [], [], 0
+    def each(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of each text; null is empty. Holds those of SLICE characters at a time."""
+        part, size = [], 0
         for t in texts:
             part.append(t)
             size += len(t or "")
             if size > SLICE:
-                out += self.slice(part)
+                yield from self.slice(part)
                 part, size = [], 0
-        return out + self.slice(part)
+        yield from self.slice(part)
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        return list(self.each(texts))
 
     def slice(self, texts: list[str | None]) -> list[bytes]:
         if len(self.known) > CACHE:
             self.known, self.old = {}, {p: x for p, x in self.known.items() if p not in self.odd}
             self.odd = set()
         out: list[bytes] = [b""] * len(texts)
-        cut: list[tuple[int, list[str], list]] = []
+        cut: list[tuple[int, list[str], list, list[int]]] = []  # place, pieces, their ids, places of unseen ones
         whole: list[int] = []
         get, new = self.known.get, set()
         for i, t in enumerate(texts):
@@ -103,20 +107,24 @@ class ChunkEncoder:
                 whole.append(i)
                 continue
             words = ("\0" + t.replace("\n", " \n") if self.spaced else t.replace("\n", " ")).split(" ")
-            ids = list(map(get, words))
-            cut.append((i, words, ids))
-            if None in ids:
-                new.update([w for w, x in zip(words, ids) if x is None])
+            ids, unseen, at = list(map(get, words)), [], -1
+            try:
+                while True:
+                    at = ids.index(None, at + 1)
+                    unseen.append(at)
+            except ValueError:
+                cut.append((i, words, ids, unseen))
+            new.update([words[k] for k in unseen])
         for w in [w for w in new if w in self.old] if self.old else ():
             self.known[w] = self.old[w]
             new.discard(w)
         self.learn(list(new))
-        for i, words, ids in cut:
+        for i, words, ids, unseen in cut:
             if self.odd and not self.odd.isdisjoint(words):
                 whole.append(i)
                 continue
-            if None in ids:
-                ids = [get(w) if x is None else x for w, x in zip(words, ids)]
+            for k in unseen:
+                ids[k] = get(words[k])
             out[i] = b"".join(ids)
         for i, ids in zip(whole, self.library([texts[i] for i in whole])):
             out[i] = ids

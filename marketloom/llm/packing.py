@@ -34,7 +34,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 0, id_
         codes = encoder(vocabulary)
         for doc_ids, texts in batches(it, "doc_id", "text"):
             out = []
-            for doc_id, ids in zip(doc_ids, codes.encode(texts)):
+            for doc_id, ids in zip(doc_ids, codes.each(texts)):
                 ids += end
                 for n, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]

@@ -42,7 +42,10 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     flat = np.zeros(blocks * BLOCK, np.uint64)
     flat[: len(ids)] = ids
     values[:, :BLOCK] = flat.reshape(blocks, BLOCK)
-    width = np.frexp(values.astype(np.float64))[1].astype(np.uint8)
+    if int(ids.max()) < 1 << 24:  # single floats are exact, and their exponents the widths
+        width = np.maximum((values.astype(np.float32).view(np.uint32) >> np.uint32(23)).astype(np.int16) - 126, 0).astype(np.uint8)
+    else:
+        width = np.frexp(values.astype(np.float64))[1].astype(np.uint8)
     selector = np.where(width[:, :BLOCK] > 60, 0, 15).astype(np.uint8)
     widest = {1: width}
     for s in range(14, 0, -1):
@@ -51,7 +54,7 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         m = widest[k].copy()
         np.maximum(m[:, : m.shape[1] - (n - k)], widest[k][:, n - k :], out=m[:, : m.shape[1] - (n - k)])
         widest[n] = m
-        selector[m[:, :BLOCK] <= bits] = s
+        np.copyto(selector, np.uint8(s), where=m[:, :BLOCK] <= bits)
     lanes, at, steps = np.arange(blocks), np.zeros(blocks, np.int64), []
     size = np.full(blocks, BLOCK)
     size[-1] = len(ids) - (blocks - 1) * BLOCK
@@ -219,7 +222,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, id_col: str = "doc_id",
             w = Writer(out)
             for batch in (b for part in ([first], it) for b in part):
                 for doc_ids, texts in batches([batch], "doc_id", "text"):
-                    for doc_id, ids in zip(doc_ids, codes.encode(texts)):
+                    for doc_id, ids in zip(doc_ids, codes.each(texts)):
                         w.add(doc_id, ids + end)
             w.close()
             counts.update(docs=len(w.docs), ids=w.ids)
