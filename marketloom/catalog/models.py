@@ -99,15 +99,28 @@ STD_SQL = {
 }
 
 
-@query("window_oos_ic", " UNION ALL ".join(f"SELECT * FROM (WITH {window_sql(STD_SQL[m], 6)} SELECT '{m}' AS method, CAST(w AS INTEGER) AS \"window\", round(avg(rank_ic), 6) AS ic, count(*) AS dates FROM ic WHERE rank_ic IS NOT NULL GROUP BY w)" for m in STD_SQL), "mp")
-def window_oos_ic(spark, d):
+OOS_SQL = " UNION ALL ".join(f"SELECT * FROM (WITH {window_sql(STD_SQL[m], 6)} SELECT '{m}' AS method, CAST(w AS INTEGER) AS \"window\", avg(rank_ic) AS ic, count(*) AS dates FROM ic WHERE rank_ic IS NOT NULL GROUP BY w)" for m in STD_SQL)
+
+
+def oos_ic(spark, d):
     p = model_panel(spark, d)
     w = staged(MO.month_windows(p, 24, 6, 6))
     out = None
     for m in STD_SQL:
         ic = MO.window_ic(MO.standardized(p, XS_, m), w, "y", XS_, 1.0, 200).withColumn("method", F.lit(m))
         out = ic if out is None else out.unionByName(ic)
-    return rounded(out, "ic")
+    return out
+
+
+@query("window_oos_ic", f"SELECT method, \"window\", round(ic, 6) AS ic, dates FROM ({OOS_SQL})", "mp")
+def window_oos_ic(spark, d):
+    return rounded(oos_ic(spark, d), "ic")
+
+
+@query("window_oos_ic_summary", f"""SELECT method, count(*) AS windows, round(avg(ic), 6) AS ic_mean, round(stddev_samp(ic), 6) AS ic_std, round(avg((ic > 0)::INT), 6) AS hit_rate FROM ({OOS_SQL}) GROUP BY 1""", "mp")
+def window_oos_ic_summary(spark, d):
+    out = oos_ic(spark, d).groupBy("method").agg(F.count(F.lit(1)).alias("windows"), F.avg("ic").alias("ic_mean"), F.stddev_samp("ic").alias("ic_std"), F.avg((F.col("ic") > 0).cast("double")).alias("hit_rate"))
+    return rounded(out, "ic_mean", "ic_std", "hit_rate")
 
 
 @query("validation_length", " UNION ALL ".join(f"SELECT * FROM (WITH {window_sql(STD_SQL['none'], n)} SELECT {n} AS months, CAST(w AS INTEGER) AS \"window\", round(avg(rank_ic), 6) AS ic, count(*) AS dates FROM ic WHERE rank_ic IS NOT NULL GROUP BY w)" for n in (3, 6, 12)), "mp")
@@ -120,9 +133,24 @@ def validation_length(spark, d):
     return rounded(out, "ic")
 
 
-@query("gbt_regression")
+RIDGE_IC = f"""fit AS ({ridge_sql("(SELECT a, b, y, 1 AS k FROM mp WHERE trade_date < DATE '1999-01-01')", 'k', 1.0, 50)}),
+    test AS (SELECT trade_date, symbol, intercept + ba * a + bb * b AS pred, y FROM mp, fit WHERE trade_date >= DATE '1999-01-01'), ic AS ({ic_sql('trade_date', 'pred', 'test', 5, 'y')})"""
+
+
+@query("gbt_regression", f"""
+    WITH {RIDGE_IC} SELECT count(*) FILTER (trade_date < DATE '1999-01-01') AS train_rows, count(*) FILTER (trade_date >= DATE '1999-01-01') AS scored_rows, count(DISTINCT trade_date) FILTER (trade_date >= DATE '1999-01-01') AS scored_dates,
+           count(DISTINCT trade_date) FILTER (trade_date < DATE '1999-01-01')::DOUBLE AS total_weight, round((SELECT avg(rank_ic) FROM ic), 6) AS ridge_ic, true AS near_ridge_or_better FROM mp WHERE y IS NOT NULL""", "mp")
 def gbt_regression(spark, d):
-    p = model_panel(spark, d)
-    scored, _ = MO.gbt_scores(p.where("trade_date < date'1999-01-01'"), p.where("trade_date >= date'1999-01-01'"), "y", XS_, trees=10)
-    ic = XS.daily_ic(staged(scored.select(*KEYS, "pred", "y")), "pred", "y", min_obs=5)
-    return ic.agg(F.count(F.lit(1)).alias("dates"), r(F.avg("rank_ic")).alias("rank_ic_mean"))
+    """Rows and weights of the fit, and its mean rank IC against that of a ridge on the same split."""
+    p = staged(model_panel(spark, d).where("y is not null"))
+    train, test = p.where("trade_date < date'1999-01-01'"), p.where("trade_date >= date'1999-01-01'")
+    scored, _ = MO.gbt_scores(train, test, "y", XS_, trees=10)
+    scored = staged(scored.select(*KEYS, "pred", "y"))
+    span = train.agg(F.lit(0).alias("window"), F.min("trade_date").alias("train_start"), F.max("trade_date").alias("train_end"))
+    fit = MO.fit_windows(MO.date_moments(p, "y", XS_), span, XS_, 1.0, 50)
+    ridge = MO.predict(test.withColumn("window", F.lit(0)), fit, XS_, ["window"])
+    mean = lambda s: XS.daily_ic(s, "pred", "y", min_obs=5).agg(F.avg("rank_ic")).scalar()
+    weight = MO.date_equal_weights(train).agg(F.count_distinct("trade_date").cast("double")).scalar()
+    out = scored.where("pred is not null").agg(F.count(F.lit(1)).alias("scored_rows"), F.count_distinct("trade_date").alias("scored_dates"))
+    out = out.withColumns({"train_rows": train.agg(F.count(F.lit(1))).scalar(), "total_weight": weight, "ridge_ic": mean(ridge), "_gbt": mean(scored)})
+    return rounded(out.withColumn("near_ridge_or_better", F.col("_gbt") >= F.col("ridge_ic") - 0.1).drop("_gbt"), "ridge_ic")
