@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -45,8 +46,20 @@ def write_atomic(uri: str, write) -> None:
     where.move(private, path)
 
 
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of a few megabytes, so memory outside the heap does not depend on their length."""
+    for key, most in BATCH.items():
+        now = re.match(r"\d+", str(spark.conf.get(key)))
+        if not now or int(now[0]) > most or int(now[0]) <= 0:
+            spark.conf.set(key, str(most))
+
+
 def columns_of(df: DataFrame, **names: str) -> DataFrame:
     """Only the named columns, under fixed names; a clashing extra column never gets in."""
+    small_batches(df.sparkSession)
     return df.select(*[F.col(f"`{c}`").alias(to) for to, c in names.items()])
 
 
