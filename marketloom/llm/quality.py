@@ -20,7 +20,7 @@ WINDOW = 8
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: measure: (documents are rejected above the upper fence, below the lower one, least distance of a fence from the median)
 MEASURES = {
-    "symbols": (True, False, 20),  # symbols per 1000 characters of words
+    "symbols": (True, False, 40),  # symbols per 1000 characters of words
     "dup_lines": (True, False, 400),  # repeated lines per 1000 lines
     "repeats": (True, False, 250),  # words in repeated windows per 1000 words
     "stutter": (True, False, 250),  # words that repeat the word before them per 1000 words
