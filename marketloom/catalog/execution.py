@@ -206,9 +206,11 @@ def daily_portfolio_returns(spark, d):
 
 BOOK = ["top_k", "exit_policy"]
 METRICS = ["filled_avg", "daily_return_mean", "daily_return_median", "daily_win_rate", "daily_vol", "ann_return", "sharpe", "hac_mean_t_5", "total_return",
-           "gross_total_return", "benchmark_total_return", "active_return_mean", "active_sharpe", "relative_nav", "max_drawdown"]
+           "gross_total_return", "benchmark_total_return", "active_return_mean", "active_sharpe", "relative_nav", "max_drawdown",
+           "fill_rate_avg", "turnover_avg", "capacity_median", "ann_vol", "benchmark_sharpe", "benchmark_hac_t_5", "active_hac_t_5"]
 add_view("metrics", ("book",), f"""
-    SELECT a.*, hac_mean_t_5 FROM (SELECT top_k, exit_policy, count(*) AS days, avg(filled) AS filled_avg, avg(portfolio_return) AS daily_return_mean,
+    SELECT a.*, hac_mean_t_5, benchmark_hac_t_5, active_hac_t_5 FROM (SELECT top_k, exit_policy, count(*) AS days, avg(filled) AS filled_avg, avg(fill_rate) AS fill_rate_avg, avg(selection_turnover) AS turnover_avg,
+        median(cap) AS capacity_median, stddev_pop(portfolio_return) * sqrt(252.0::DOUBLE) AS ann_vol, avg(benchmark_return) / nullif(stddev_pop(benchmark_return), 0) * sqrt(252.0::DOUBLE) AS benchmark_sharpe, avg(portfolio_return) AS daily_return_mean,
         median(portfolio_return) AS daily_return_median, avg((portfolio_return > 0)::INT) AS daily_win_rate, stddev_pop(portfolio_return) AS daily_vol,
         power(product(1 + portfolio_return), 252.0::DOUBLE / count(*)) - 1 AS ann_return,
         avg(portfolio_return) / nullif(stddev_pop(portfolio_return), 0) * sqrt(252.0::DOUBLE) AS sharpe, product(1 + portfolio_return) - 1 AS total_return,
@@ -217,7 +219,9 @@ add_view("metrics", ("book",), f"""
         product(1 + portfolio_return) / product(1 + matched) - 1 AS relative_nav, min(dd) AS max_drawdown
       FROM (SELECT *, nav / max(nav) OVER (PARTITION BY top_k, exit_policy ORDER BY signal_date) - 1 AS dd
             FROM (SELECT *, product(1 + portfolio_return) OVER (PARTITION BY top_k, exit_policy ORDER BY signal_date) AS nav FROM book)) GROUP BY 1, 2) a
-    JOIN ({hac_sql('book', 'top_k, exit_policy', 'signal_date', 'portfolio_return', 'hac_mean_t_5')}) h USING (top_k, exit_policy)""")
+    JOIN ({hac_sql('book', 'top_k, exit_policy', 'signal_date', 'portfolio_return', 'hac_mean_t_5')}) h USING (top_k, exit_policy)
+    LEFT JOIN ({hac_sql('book', 'top_k, exit_policy', 'signal_date', 'benchmark_return', 'benchmark_hac_t_5')}) hb USING (top_k, exit_policy)
+    LEFT JOIN ({hac_sql('book', 'top_k, exit_policy', 'signal_date', 'active_return', 'active_hac_t_5')}) ha USING (top_k, exit_policy)""")
 
 
 def metrics(spark, d):

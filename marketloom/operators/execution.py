@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import col, fail_where, flag, policy_name, safe_divide, with_scenarios
-from ..functions.stats import annualised, compound, growth, hac_inputs, hac_t, sharpe
+from ..functions.stats import annualised, compound, growth, hac_inputs, hac_t, newey_west, sharpe
 from .calendar import DATE, sessions
 
 SYM = "symbol"
@@ -190,17 +190,22 @@ def performance_metrics(daily: DataFrame, by: list[str], order: str = "signal_da
     d = hac_inputs(d, by, order, "portfolio_return")
     total = compound("portfolio_return")
     n = F.count(F.lit(1))
-    return d.groupBy(*by).agg(
-        n.alias("days"), F.avg("filled").alias("filled_avg"), F.avg("portfolio_return").alias("daily_return_mean"),
+    m = d.groupBy(*by).agg(
+        n.alias("days"), F.avg("filled").alias("filled_avg"), F.avg("fill_rate").alias("fill_rate_avg"), F.avg("selection_turnover").alias("turnover_avg"),
+        F.percentile("capacity_cny_at_participation", F.lit(0.5)).alias("capacity_median"), F.avg("portfolio_return").alias("daily_return_mean"),
         F.percentile("portfolio_return", F.lit(0.5)).alias("daily_return_median"),
         F.avg((F.col("portfolio_return") > 0).cast("double")).alias("daily_win_rate"),
-        F.stddev_pop("portfolio_return").alias("daily_vol"), annualised(growth("portfolio_return"), n).alias("ann_return"),
+        F.stddev_pop("portfolio_return").alias("daily_vol"), (F.stddev_pop("portfolio_return") * F.sqrt(F.lit(252.0))).alias("ann_vol"),
+        sharpe("benchmark_return", 0).alias("benchmark_sharpe"), annualised(growth("portfolio_return"), n).alias("ann_return"),
         sharpe("portfolio_return", 0).alias("sharpe"), hac_t("portfolio_return").alias("hac_mean_t_5"),
         total.alias("total_return"), compound("gross_portfolio_return").alias("gross_total_return"),
         compound("benchmark_return").alias("benchmark_total_return"),
         F.avg("active_return").alias("active_return_mean"), sharpe("active_return", 0).alias("active_sharpe"),
         ((1.0 + total) / (1.0 + compound("benchmark_exposure_matched_return")) - 1.0).alias("relative_nav"),
         F.min("_dd").alias("max_drawdown"))
+    for r, name in (("benchmark_return", "benchmark_hac_t_5"), ("active_return", "active_hac_t_5")):
+        m = m.join(newey_west(daily, by, order, r, name=name), by, "left")
+    return m
 
 
 def stressed_daily(trades: DataFrame, days: DataFrame, policies: list[str], bps: list[float]) -> DataFrame:
