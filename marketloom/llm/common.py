@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,8 +51,12 @@ def write_atomic(uri: str, write) -> None:
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Texts go to Python in batches of a few megabytes, so memory outside the heap does not depend on their length."""
+def prepare(spark: SparkSession) -> None:
+    """Let Python workers import this package, and send them texts in batches of a few megabytes, however long they are."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
     for key, most in BATCH.items():
         now = re.match(r"\d+", str(spark.conf.get(key)))
         if not now or int(now[0]) > most or int(now[0]) <= 0:
@@ -59,7 +65,7 @@ def small_batches(spark: SparkSession) -> None:
 
 def columns_of(df: DataFrame, **names: str) -> DataFrame:
     """Only the named columns, under fixed names; a clashing extra column never gets in."""
-    small_batches(df.sparkSession)
+    prepare(df.sparkSession)
     return df.select(*[F.col(f"`{c}`").alias(to) for to, c in names.items()])
 
 
