@@ -289,19 +289,20 @@ HIST = ["c_lag1", "c_lag2", "c_ma3", "c_ma5", "c_ma10", "c_chg1", "c_chg3", "c_c
 
 @query("score_history_features", """
     WITH p AS (SELECT trade_date, symbol, amount / 1000 AS s FROM panel_supplier WHERE trade_date >= make_date(1995 + CAST(symbol % 3 AS INTEGER), 1, 1)),
-    h AS (SELECT *, row_number() OVER w AS k, avg(s) OVER (PARTITION BY trade_date) AS m, stddev_pop(s) OVER (PARTITION BY trade_date) AS sd, count(*) OVER (PARTITION BY trade_date) AS n,
+    h AS (SELECT *, row_number() OVER w AS k, avg(s) OVER (PARTITION BY trade_date) AS m, stddev_pop(s) OVER (PARTITION BY trade_date) AS sd, count(*) OVER (PARTITION BY trade_date) AS n, sum(s) OVER (PARTITION BY trade_date) AS sm,
           rank() OVER (PARTITION BY trade_date ORDER BY s) AS rk, lag(s) OVER w AS l1, lag(s, 2) OVER w AS l2, lag(s, 3) OVER w AS l3, lag(s, 5) OVER w AS l5, avg(s) OVER (w ROWS 2 PRECEDING) AS m3, avg(s) OVER (w ROWS 4 PRECEDING) AS m5,
           avg(s) OVER (w ROWS 9 PRECEDING) AS m10, stddev_pop(s) OVER (w ROWS 4 PRECEDING) AS v5, stddev_pop(s) OVER (w ROWS 9 PRECEDING) AS v10 FROM p WINDOW w AS (PARTITION BY symbol ORDER BY trade_date))
     SELECT trade_date, symbol, round(coalesce(l1, 0), 6) AS c_lag1, round(coalesce(l2, 0), 6) AS c_lag2, round(CASE WHEN k >= 3 THEN m3 ELSE s END, 6) AS c_ma3, round(CASE WHEN k >= 5 THEN m5 ELSE s END, 6) AS c_ma5,
            round(CASE WHEN k >= 10 THEN m10 ELSE s END, 6) AS c_ma10, round(s - coalesce(l1, 0), 6) AS c_chg1, round(coalesce(s - l3, 0), 6) AS c_chg3, round(coalesce(s - l5, 0), 6) AS c_chg5, round(CASE WHEN k >= 5 THEN v5 ELSE 0 END, 6) AS c_vol5,
-           round(CASE WHEN k >= 10 THEN v10 ELSE 0 END, 6) AS c_vol10, round(CASE WHEN sd > 0 THEN (s - m) / sd ELSE 0 END, 6) AS c_zscore, round((rk - 1) / n, 6) AS c_rank_pct FROM h""", "panel_supplier")
+           round(CASE WHEN k >= 10 THEN v10 ELSE 0 END, 6) AS c_vol10, round(CASE WHEN sd > 0 THEN (s - m) / sd ELSE 0 END, 6) AS c_zscore, round((rk - 1) / n, 6) AS c_rank_pct, n AS c_count, n AS c_breadth, round(sm, 2) AS c_sum FROM h""", "panel_supplier")
 def score_history_features(spark, d):
     p = V.panel_supplier(spark, d).select(*KEYS, (F.col("amount") / 1000).alias("s"))
     first = p.select("symbol").distinct().withColumn("first_date", F.make_date((1995 + F.col("symbol") % 3).cast("int"), F.lit(1), F.lit(1)))
-    return rounded(T.score_history(staged(p), "s", first).select(*KEYS, *HIST), *HIST)
+    out = T.score_history(staged(p), "s", first).select(*KEYS, *HIST, "c_count", "c_breadth", "c_sum")
+    return rounded(rounded(out, *HIST), "c_sum", digits=2)
 
 
-IND = ["roc_12", "roc_18", "roc_20", "cumret_120", "vol_120", "skew_60", "kurt_60", "atr_ratio", "vol_ratio", "aroon_up", "aroon_down", "dispersion_5", "high_low"]
+IND = ["roc_12", "roc_18", "roc_20", "cumret_120", "vol_120", "skew_60", "kurt_60", "atr_ratio", "vol_ratio", "aroon_up", "aroon_down", "dispersion_5", "high_low", "close_open"]
 
 
 @query("technical_indicators", """
@@ -311,11 +312,11 @@ IND = ["roc_12", "roc_18", "roc_20", "cumret_120", "vol_120", "skew_60", "kurt_6
           CASE WHEN count(ret) OVER x >= 120 THEN product(1 + ret) OVER x - 1 ELSE 0 END AS cumret_120, CASE WHEN count(ret) OVER x >= 120 THEN stddev_samp(ret) OVER x * sqrt(252.0::DOUBLE) ELSE 0 END AS vol_120,
           CASE WHEN count(ret) OVER y >= 60 THEN skewness(ret) OVER y ELSE 0 END AS skew_60, CASE WHEN count(ret) OVER y >= 60 THEN kurtosis(ret) OVER y ELSE 0 END AS kurt_60,
           avg(tr) OVER z / close AS atr_ratio, avg(vol) OVER q / avg(vol) OVER z AS vol_ratio, (25.0 - (i - arg_max(i, {'v': high, 'i': -i}) OVER u)) / 25.0::DOUBLE * 100 AS aroon_up,
-          (25.0 - (i - arg_min(i, {'v': low, 'i': i}) OVER u)) / 25.0::DOUBLE * 100 AS aroon_down, stddev_samp(close) OVER q / avg(close) OVER q AS dispersion_5, high / low AS high_low FROM b
+          (25.0 - (i - arg_min(i, {'v': low, 'i': i}) OVER u)) / 25.0::DOUBLE * 100 AS aroon_down, stddev_samp(close) OVER q / avg(close) OVER q AS dispersion_5, CASE WHEN low > 0 THEN high / low ELSE 1 END AS high_low, CASE WHEN high + low > 0 THEN close / ((high + low) / 2) ELSE 1 END AS close_open FROM b
           WINDOW w AS (PARTITION BY symbol ORDER BY trade_date), x AS (w ROWS 119 PRECEDING), y AS (w ROWS 59 PRECEDING), z AS (w ROWS 19 PRECEDING), q AS (w ROWS 4 PRECEDING), u AS (w ROWS 24 PRECEDING))
     SELECT trade_date, symbol, """ + ", ".join(f"round({c}, {4 if c in ('skew_60', 'kurt_60', 'cumret_120') else 6}) AS {c}" for c in IND) + " FROM c WHERE i >= 60", "ship_daily")
 def technical_indicators(spark, d):
-    out = T.indicators(ship(spark, d, "close", "high", "low", "vol"))
+    out = T.indicators(ship(spark, d, "close", "high", "low", "vol").withColumn("open", (F.col("high") + F.col("low")) / 2))
     few = ["skew_60", "kurt_60", "cumret_120"]
     return rounded(rounded(out, *[c for c in IND if c not in few]), *few, digits=4)
 

@@ -36,7 +36,8 @@ def indicators(df: DataFrame, min_rows: int = 60, year: int = 252) -> DataFrame:
         "skew_60": full(60, bias_corrected_skew(n60, F.skewness("_ret").over(w60))), "kurt_60": full(60, bias_corrected_kurtosis(n60, F.kurtosis("_ret").over(w60))),
         "atr_ratio": F.avg("_tr").over(w20) / F.col("close"), "vol_ratio": F.avg("vol").over(w5) / F.avg("vol").over(w20),
         "aroon_up": (25.0 - age_high) / 25.0 * 100.0, "aroon_down": (25.0 - age_low) / 25.0 * 100.0,
-        "dispersion_5": F.stddev_samp("close").over(w5) / F.avg("close").over(w5), "high_low": F.col("high") / F.col("low")}
+        "dispersion_5": F.stddev_samp("close").over(w5) / F.avg("close").over(w5), "high_low": F.when(F.col("low") > 0, F.col("high") / F.col("low")).otherwise(1.0),
+        "close_open": F.when(F.col("open") > 0, F.col("close") / F.col("open")).otherwise(1.0)}
     return d.withColumns(feats).where(F.col("idx") >= min_rows).select(DATE, SYM, *feats)
 
 
@@ -53,7 +54,7 @@ def score_history(df: DataFrame, score: str, first_dates: DataFrame | None = Non
         "c_lag1": F.coalesce(lag(1), F.lit(0.0)), "c_lag2": F.coalesce(lag(2), F.lit(0.0)), "c_ma3": mean(3), "c_ma5": mean(5), "c_ma10": mean(10),
         "c_chg1": s - F.coalesce(lag(1), F.lit(0.0)), "c_chg3": F.coalesce(s - lag(3), F.lit(0.0)), "c_chg5": F.coalesce(s - lag(5), F.lit(0.0)),
         "c_vol5": sd(5), "c_vol10": sd(10)})
-    d = with_stats(d, [DATE], _m=F.avg(score), _s=F.stddev_pop(score), c_sum=F.sum(score))
+    d = with_stats(d, [DATE], _m=F.avg(score), _s=F.stddev_pop(score), c_sum=F.sum(score), c_count=F.count(score), c_breadth=F.count_distinct(SYM))
     d = ranked(d, [DATE], score, "_r_")
     return d.withColumns({"c_zscore": F.when(F.col("_s") > 0, (s - F.col("_m")) / F.col("_s")).otherwise(0.0),
                           "c_rank_pct": (F.col("_r_min") - 1) / F.col("_r_n")}).drop("_m", "_s", "_r_avg", "_r_min", "_r_n")
