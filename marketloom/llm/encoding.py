@@ -36,6 +36,7 @@ class ChunkEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         # A byte-level tokenizer ties a space to the word after it; the other one drops white space.
         self.spaced = self.tokenizer.encode(" a", add_special_tokens=False).ids != self.tokenizer.encode("a", add_special_tokens=False).ids
+        self.folds = self.library(["Aé"]) == self.library(["aÉ"])
         self.letters = byte_letters()
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -106,6 +107,12 @@ class ChunkEncoder:
             if "\0" in t or "  " in t or " \n" in t or "\n " in t or "\n\n" in t or t[0].isspace() or t[-1].isspace():
                 whole.append(i)
                 continue
+            if not self.spaced and self.folds:
+                try:  # letters up to U+00FF have one lower case, so cased forms share an entry
+                    t.encode("latin-1")
+                    t = t.lower()
+                except UnicodeEncodeError:
+                    pass
             words = ("\0" + t.replace("\n", " \n") if self.spaced else t.replace("\n", " ")).split(" ")
             ids, unseen, at = list(map(get, words)), [], -1
             try:
