@@ -21,8 +21,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group: five-word shingles, similarity 0.8 or more."""
-    return simhash.keep_one(docs)
+    """Keeps the document with the smallest id of each group: sets of five-word shingles, Jaccard similarity 0.8 or more."""
+    return simhash.keep_one(docs, verified=True)
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from marketloom.llm import simhash
 from marketloom.llm.components import components
 
@@ -106,3 +107,35 @@ def test_similarity_by_brute_force(spark):
     near = lambda a, b: int(np.bitwise_count(bits[a] ^ bits[b]).sum()) <= 51 and min(size[a], size[b]) >= 0.8 * max(size[a], size[b])
     want = {r for r in roots(sorted(bits), near).values()}
     assert {r.doc_id for r in simhash.keep_one(docs).collect()} == want
+
+
+@pytest.mark.parametrize("held", [1 << 19, 500])
+def test_similarity_by_brute_force_jaccard(spark, monkeypatch, held):
+    """One of each group stays whose sets of five-word shingles are connected by a Jaccard similarity of 0.8 or more."""
+    monkeypatch.setattr(simhash, "HELD", held)
+    rng = random.Random(11)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = {}
+    for g in range(120):
+        base = words(rng.choice([8, 20, 60, 104, 404]))
+        texts[10 * g] = base
+        for k, least in enumerate([0.66, 0.72, 0.78, 0.8, 0.84], 1):
+            kept = round(2 * least / (1 + least) * len(base))
+            texts[10 * g + k] = base[:kept] + words(len(base) - kept) if k % 2 else base[:kept]
+    texts |= {5000: ["a"] * 6, 5001: ["a"] * 9, 5002: ["a"] * 5, 5003: ["b"] * 9}
+    sets = {i: {tuple(w[at : at + 5]) for at in range(max(1, len(w) - 4))} for i, w in texts.items()}
+    near = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string").repartition(4)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()) == sorted(set(roots(sorted(sets), near).values()))
+
+
+def test_radius_keeps_similar_sets():
+    """Pairs of a Jaccard similarity of exactly 0.8 are candidates, small ones too."""
+    rng = np.random.default_rng(3)
+    for small, large in [(4, 5), (8, 10), (12, 15), (90, 90), (400, 400)]:
+        same = small if small < large else small * 8 // 9
+        for _ in range(300):
+            h = rng.integers(0, 256, (large + small - same, 32), np.uint8)
+            a, b = simhash.majority(h[:small]), simhash.majority(np.concatenate([h[:same], h[small:]]))
+            far = np.bitwise_count(a ^ b).astype(int)
+            assert far.sum() <= simhash.set_radius(0.8, 256) and far[:16].sum() <= simhash.set_radius(0.8, 128)
