@@ -1,6 +1,7 @@
 """Document fingerprints as Merkle trees over sections and paragraphs, with DataFrame functions only.
 
 A text is cut after every line feed, sentence end and clause mark into paragraph pieces, which together are the text. A
+piece that is still long is cut again where its own characters say so, and at last at a fixed length, so every piece is bounded. A
 section ends at a blank line or after a piece whose hash says so, so an edit moves no boundary beyond its own section. A
 section's node hashes its pieces' hashes, the root hashes the section nodes, all with SHA-256.
 
@@ -20,11 +21,32 @@ from .quality import once
 
 CUT = r"(?<=\n)|(?<=[.,;:!?|] )"
 LOWEST = -(1 << 63)
+LONG = 128  # code points of a piece at most
+WINDOW, APART = 8, 16  # code points whose hash decides on a cut, and the least distance of two cuts
+
+
+def bounded(piece: Column) -> Column:
+    """The piece, or its parts of at most LONG code points.
+
+    A cut comes before each window whose hash is less than that of every other window less than APART away, so an edit moves
+    only the cuts beside it. Between far cuts, as in a run of one character, parts of LONG are counted off.
+    """
+
+    def parts(chars: Column) -> Column:
+        hashes = F.transform(F.sequence(F.lit(1), F.size(chars) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(chars, i, WINDOW)))
+        least = lambda h, i: (F.get(h, i) < F.array_min(F.slice(h, i - (APART - 2), APART - 1))) & (F.get(h, i) < F.array_min(F.slice(h, i + 2, APART - 1)))
+        inner = once(hashes, lambda h: F.filter(F.sequence(F.lit(APART - 1), F.size(h) - APART), lambda i: least(h, i)))
+        ends = F.concat(F.array(F.lit(0)), inner, F.array(F.size(chars)))
+        upto = lambda e: F.flatten(F.transform(F.slice(e, 1, F.size(e) - 1), lambda a, k: F.sequence(a, F.get(e, k + 1) - 1, F.lit(LONG))))
+        cut = lambda b: F.transform(b, lambda a, k: F.array_join(F.slice(chars, a + 1, F.coalesce(F.get(b, k + 1), F.size(chars)) - a), ""))
+        return once(once(ends, upto), cut)
+
+    return F.when(F.length(piece) > LONG, once(F.split(piece, ""), parts)).otherwise(F.array(piece))
 
 
 def nodes(text: Column) -> Column:
     """Sections of a text, each as the '.'-joined SHA-256 of its pieces."""
-    hashed = F.transform(F.split(text, CUT), lambda p: F.concat(F.sha2(p, 256), F.when(p == "\n", "/").otherwise("")))
+    hashed = F.transform(F.flatten(F.transform(F.split(text, CUT), bounded)), lambda p: F.concat(F.sha2(p, 256), F.when(p == "\n", "/").otherwise("")))
     # One piece in eight ends a section, by its last digit.
     closed = F.array_join(hashed, ".")
     return F.split(F.regexp_replace(closed, r"(?<=[01])/?\.|/\.", "/"), "/")

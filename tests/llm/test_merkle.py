@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -49,3 +50,14 @@ def test_one_edit_changes_one_section(spark):
 def test_no_python_and_one_text_exchange(spark):
     plan = merkle.compared(spark.range(5).selectExpr("id as doc_id", "cast(id as string) as text"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and plan.count("Exchange") == 1
+
+
+def test_texts_without_marks_have_bounded_leaves(spark):
+    rng = random.Random(4)
+    texts = ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(3000)), " ".join(f"w{rng.randrange(10**5)}" for _ in range(500)), "a" * 3000, "😀é" * 700, "x" * 129]
+    df = spark.createDataFrame([(i, t, t[: len(t) // 2] + "".join(reversed(texts[1 - i] if i < 2 else t))[: len(t) // 2]) for i, t in enumerate(texts)], "i int, a string, b string")
+    a, b = merkle.tree(F.col("a")), merkle.tree(F.col("b"))
+    pieces = F.flatten(F.transform(F.split("a", merkle.CUT), merkle.bounded))
+    for r in df.select("i", "a", pieces.alias("p"), merkle.likeness(a, b).alias("near")).collect():
+        assert "".join(r.p) == r.a and max(map(len, r.p)) <= merkle.LONG and len(r.p) <= len(r.a) / 8
+        assert r.i > 1 or 0.3 < r.near < 0.7
