@@ -1,7 +1,6 @@
 import os
 import sys
 
-import pandas as pd
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -26,12 +25,3 @@ def frame(spark):
         return df.select(*[F.col(n).cast(t).alias(n) for n, t in fields])
 
     return make
-
-
-def pdf(df, *sort):
-    out = df.toPandas()
-    return out.sort_values(list(sort)).reset_index(drop=True) if sort else out
-
-
-def days(n, start="2024-01-01"):
-    return [d.date().isoformat() for d in pd.bdate_range(start, periods=n)]

@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import days, pdf
+from market_helpers import days, pdf
 
 from marketloom.operators import events as EV
 from marketloom.operators import portfolio as P
@@ -86,10 +86,11 @@ def test_indicator_moments_match_pandas(spark):
 
     rng = np.random.default_rng(4)
     p = pd.DataFrame({"trade_date": pd.bdate_range("2020-01-01", periods=150).date, "symbol": 1, "close": 10 * np.exp(np.cumsum(rng.normal(0.001, 0.02, 150)))})
-    p["high"], p["low"], p["vol"] = p.close * 1.01, p.close * 0.99, 100.0
+    p["high"], p["low"], p["vol"], p["open"] = p.close * 1.01, p.close * 0.99, 100.0, p.close * 0.8
     got = pdf(indicators(spark.createDataFrame(p)), "trade_date").iloc[-1]
     r = p.close.pct_change()
     assert np.allclose([got.skew_60, got.kurt_60], [r.iloc[-60:].skew(), r.iloc[-60:].kurt()])
+    assert math.isclose(got.close_open, 1.25)
     assert np.allclose([got.vol_120, got.cumret_120], [r.iloc[-120:].std() * np.sqrt(252), (1 + r.iloc[-120:]).prod() - 1])
 
 

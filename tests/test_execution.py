@@ -2,7 +2,7 @@ import datetime as dt
 import math
 
 import pytest
-from conftest import pdf
+from market_helpers import pdf
 
 from marketloom.functions import expr as X
 from marketloom.operators import execution as E

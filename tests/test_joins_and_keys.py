@@ -1,7 +1,7 @@
 import datetime as dt
 
 import pytest
-from conftest import pdf
+from market_helpers import pdf
 
 from marketloom.operators import asof as A
 from marketloom.operators import calendar as C

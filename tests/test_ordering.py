@@ -1,7 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import pdf
+from market_helpers import pdf
 
 from marketloom.operators import ordering as O
 from marketloom.operators import xsection as XS
