@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_cut, lattice_lm, licenses, merkle, mixing, packing, quality, simhash, simple8b, warc
+from . import filter_audit, html_cut, lattice_lm, licenses, merkle, mixing, packing, quality, runs, secrets, simhash, simple8b, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -210,6 +210,44 @@ def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_cut.extract(table(spark, sf_dir, "pages"))
 
 
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(runs.detect(runs.with_tails(table(spark, sf_dir, "documents"))))
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+SQL["op12_filter_audit"] = r"""
+with w as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text,
+      list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words from documents),
+m as (select part, doc_id, (len(words) < 200)::int + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::int
+      + 4 * (100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 3 * length(text))::int
+      + 8 * regexp_matches(text, '[#$%&*|]')::int + 16 * coalesce(doc_id > min(doc_id) over (partition by text), false)::int as mask from w),
+l as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as bad from labels group by 1),
+c as (select part, mask, count(*) as n, sum(coalesce(good, 0)) as good, sum(coalesce(bad, 0)) as bad from m left join l using (doc_id) group by all),
+f as (select * from (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) t(letter, bit)),
+p as (select a.letter || b.letter || c.letter || d.letter || e.letter as filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] as bits
+      from f a, f b, f c, f d, f e where a.bit + b.bit + c.bit + d.bit + e.bit = 31 and len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5),
+s as (select filter_order, step::int as step, bits[step] as own, coalesce(list_sum(bits[1:step - 1]), 0)::int as before from p, unnest(range(1, 6)) t(step)),
+r as (select part, filter_order, step, own,
+      sum(case when mask & (own + before) = 0 then n else 0 end)::bigint as kept,
+      sum(case when mask & own <> 0 and mask & before = 0 then n else 0 end)::bigint as removed,
+      sum(case when mask & own <> 0 and mask & before <> 0 then n else 0 end)::bigint as redundant,
+      sum(case when mask = own then n else 0 end)::bigint as unique_fails,
+      sum(case when mask & own <> 0 and mask & before = 0 then good else 0 end)::bigint as good_lost,
+      sum(case when mask & own <> 0 and mask & before = 0 then bad else 0 end)::bigint as toxic_lost from c, s group by all)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, own))::bigint as shapley from r
+"""
+
+
+@query
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
