@@ -166,7 +166,8 @@ def evenness(n: Column, repeats: Column, s2: Column, s3: Column) -> Column:
     pairs = n * (n - 1)
     mean = pairs * s2
     spread = 2 * pairs * (s2 - s2 * s2) + 4 * pairs * (n - 2) * F.greatest(s3 - s2 * s2, F.lit(0.0))
-    z = F.when(spread > 0, (repeats + 0.5 - mean) / F.sqrt(spread)).otherwise(0.0)
+    shape = mean * mean / spread  # the repeats are close to a gamma variable, whose cube root is close to a normal one
+    z = F.when(spread > 0, (F.cbrt((repeats + 1) / mean) - (1 - 1 / (9 * shape))) * 3 * F.sqrt(shape)).otherwise(0.0)
     return F.greatest(F.ceil(log_tail(z) * STEP) / STEP, F.lit(LOWEST))
 
 
