@@ -22,14 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, prepare, staged
+from .common import columns_of, parallelism, prepare, staged
 
 FILTERS = "ABCDE"
 DUPLICATE = 1 << FILTERS.index("E")
 MARKS = re.compile(rb"[#$%&*|]")
 LOWER = bytes(b for b in range(256) if not 65 <= b <= 90)
 WINDOW_BYTES = 16 << 20  # of different texts in a task's trie before it is written out
-RANGE_BYTES = 32 << 20  # of different texts below a prefix before it is split
+RANGE_BYTES = 32 << 20  # of different texts below a prefix before it is split, at most
+RANGES = 4  # a prefix is also split when it covers more than a partition's share of all bytes divided by this
 NODE_BYTES = 300  # a node's own memory, about
 FIRST = 8  # characters of the shortest prefixes; longer ones double
 
@@ -139,11 +140,14 @@ def range_of(text: str, split: set[str], deepest: int) -> str:
 
 
 def heavy_prefixes(texts: DataFrame, limit: int) -> list[str]:
-    """Prefixes with more than ``limit`` bytes of different texts below them, each of which is longer than the prefix or is one text.
+    """Prefixes with more bytes of different texts below them than ``limit`` or a quarter of an even share of the partitions.
 
     A round for each length, doubling, over the texts below the last round's heavy prefixes, while there are any. Copies
-    are combined on the map side by a 64-bit hash, for sizes only. At most all bytes / limit prefixes a round reach the driver.
+    are combined on the map side by a 64-bit hash, for sizes only. At most all bytes / limit prefixes a round reach the driver,
+    or four for each partition. Where they lie changes which task sees a text, not the result.
     """
+    total = texts.agg(F.sum(F.octet_length("text") + NODE_BYTES)).first()[0] or 0
+    limit = min(limit, max(NODE_BYTES, total // (RANGES * parallelism(texts.sparkSession))))
     out: list[str] = []
     rows, size = texts, FIRST
     while True:
