@@ -201,7 +201,8 @@ def links(nodes: DataFrame, key: Column, steps: list[int], radius: int, similari
         chunks = F.greatest(chunks, F.least(F.count("*"), F.ceil(F.sum("size") / HELD)))
     counts = keyed.groupBy("key").agg(chunks.cast("int").alias("chunks"))
     chunk = F.pmod(F.xxhash64(own), F.col("chunks")).cast("int")
-    tiles = staged(keyed.join(counts if many else F.broadcast(counts), "key").groupBy("key", chunk.alias("chunk")).agg(*[F.collect_list(c).alias(c) for c in columns]))
+    dealt = keyed.join(counts if many else F.broadcast(counts), "key").withColumn("chunk", chunk).repartition("key", "chunk")  # by both, so a hot key is spread
+    tiles = staged(dealt.groupBy("key", "chunk").agg(*[F.collect_list(c).alias(c) for c in columns]))
     numbers = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     other = counts.select(F.col("key").alias("key2"), F.col("chunks").alias("chunks2"))
     pairs = (
