@@ -1,60 +1,154 @@
-"""Exact ranks and quantiles inside groups of any size.
+"""Exact ranks and quantiles inside groups of any size, for several measures at once.
 
 A date's cross-section can hold more names than one task should sort, and one value (a zero volume) a third of them.
-Rows are collapsed to distinct values with counts, combined on the map side; the values are ranged over all
-partitions by (group, value), counted up inside each partition, and shifted by the size of the group's partitions
-before. One path for every size.
+Groups of more than BIN rows get a cut point of each measure for every BIN rows. Cut points turn a value into a bin
+by an expression: between two cuts, or equal to one. Bins of large groups are counted in a small table; the rows below a bin
+plus the rank inside it are the rank. So one exchange of the rows ranks a measure, whatever the groups' sizes, and
+no window holds much more than BIN rows: rows equal to a cut tie, need no window, and are spread. Groups of up to BIN rows have no
+cuts and one bin.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
-from ..session import staged
 from .keys import join_null_safe
 
+BIN = 1_000_000  # rows between two cut points, about
+GRID = 256  # bins of a group at most are twice as many
+SPREAD = 64  # parts of rows that need no window
 
-def ordered_values(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Distinct values per group: ``by``, value, ``below`` (rows strictly below), ``ties``, ``n``.
 
-    The ranged counts are stored once, so both readers see the same partitions.
+def sort_key(df: DataFrame, value: str) -> tuple[Column, bool]:
+    """(number in the order of the value, equal only for equal values). Strings go by their first seven bytes."""
+    if isinstance(df.schema[value].dataType, StringType | BinaryType):
+        return F.conv(F.rpad(F.hex(F.substring(F.col(value).cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long"), False
+    return F.col(value), True
+
+
+def large_groups(df: DataFrame, by: list[str], values: list[str]) -> DataFrame | None:
+    """Groups in which any measure has more than BIN rows, with their non-null rows ``_n{i}``; None if there is none.
+
+    There is at most one for every BIN rows of the table, so they are broadcast: a million for 100 TB.
+    """
+    sizes = df.groupBy(*by).agg(*[F.count(v).alias(f"_n{i}") for i, v in enumerate(values)])
+    large = sizes.where(" or ".join(f"_n{i} > {BIN}" for i in range(len(values))))
+    return None if large.isEmpty() else F.broadcast(large)
+
+
+def cut_points(df: DataFrame, by: list[str], values: list[str], large: DataFrame) -> DataFrame:
+    """One row per large group: ``_n{i}`` and the ascending cut points ``_c{i}`` of each measure."""
+    grid = [j / GRID for j in range(1, GRID)]
+    q = [F.percentile_approx(sort_key(df, v)[0], grid, 10 * GRID).alias(f"_q{i}") for i, v in enumerate(values)]
+    g = join_null_safe(df.select(*by, *values), large, by).groupBy(*by).agg(*[F.max(f"_n{i}").alias(f"_n{i}") for i in range(len(values))], *q)
+
+    def chosen(i: int) -> Column:
+        step = F.greatest(F.lit(1), F.floor(F.lit(GRID * BIN) / F.col(f"_n{i}")))
+        return F.array_distinct(F.filter(f"_q{i}", lambda x, j: (j + 1) % step == 0)).alias(f"_c{i}")
+
+    return g.select(*by, *[f"_n{i}" for i in range(len(values))], *[chosen(i) for i in range(len(values))])
+
+
+def bin_of(df: DataFrame, value: str, i: int) -> Column:
+    """Even numbers lie between cuts, odd ones are equal to a cut; null for null values."""
+    k, exact = sort_key(df, value)
+    low = F.size(F.filter(f"_c{i}", lambda c: c < k)) * 2
+    some = low + F.array_contains(f"_c{i}", k).cast("int") if exact else low
+    return F.when(F.col(value).isNotNull(), F.when(F.col(f"_c{i}").isNotNull(), some).otherwise(0))
+
+
+def binned(df: DataFrame, by: list[str], values: list[str]) -> DataFrame:
+    """``df`` with, for each measure i: ``_n{i}``, ``_bin{i}``, ``_below{i}`` rows in lower bins, and ``_rows{i}`` in its own.
+
+    All but the bin are null in groups without cut points.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("ties"))
-    placed = staged(counts.repartitionByRange(*by, value).withColumn("_part", F.spark_partition_id()))
-    inside = Window.partitionBy(*by, "_part").orderBy(value)
-    running = placed.withColumn("_running", F.sum("ties").over(inside))
-    totals = placed.groupBy(*by, "_part").agg(F.sum("ties").alias("_rows"))
-    parts = Window.partitionBy(*by)  # one row per partition that holds some of the group
-    totals = totals.withColumns({"_upto": F.sum("_rows").over(parts.orderBy("_part")), "n": F.sum("_rows").over(parts)})
-    totals = totals.select(*by, "_part", (F.col("_upto") - F.col("_rows")).alias("_offset"), "n")
-    below = (F.col("_offset") + F.col("_running") - F.col("ties")).alias("below")
-    return join_null_safe(running, totals, [*by, "_part"]).select(*by, value, below, "ties", "n")
+    large = large_groups(df, by, values)
+    if large is None:  # the joins below would add these columns
+        nothing = {f"{t}{i}": F.lit(None).cast("long") for t in ("_n", "_below", "_rows") for i in range(len(values))}
+        return df.withColumns(nothing | {f"_bin{i}": F.when(F.col(v).isNotNull(), 0) for i, v in enumerate(values)})
+    cuts = cut_points(df, by, values, large)
+    entries = F.array(*[F.struct(F.lit(i).alias("m"), bin_of(df, v, i).alias("b")) for i, v in enumerate(values)])
+    seen = join_null_safe(df.select(*by, *values), F.broadcast(cuts), by).select(*by, F.explode(entries).alias("e")).where("e.b is not null")
+    counts = seen.groupBy(*by, F.col("e.m").alias("m"), F.col("e.b").alias("b")).agg(F.count(F.lit(1)).alias("k"))  # summed on the map side
+    lists = counts.groupBy(*by).agg(*[F.collect_list(F.when(F.col("m") == i, F.struct("b", "k"))).alias(f"_l{i}") for i in range(len(values))])
+
+    def by_bin(i: int, wanted) -> Column:
+        """Rows in the bins that ``wanted(bin, place)`` takes, for every place."""
+        places = F.sequence(F.lit(0), F.array_max(F.transform(f"_l{i}", lambda e: e["b"])))
+        return F.transform(places, lambda p: F.aggregate(F.filter(f"_l{i}", lambda e: wanted(e["b"], p)), F.lit(0).cast("long"), lambda a, e: a + e["k"]))
+
+    tables = {f"_below{i}": by_bin(i, lambda b, p: b < p) for i in range(len(values))}
+    tables |= {f"_rows{i}": by_bin(i, lambda b, p: b == p) for i in range(len(values))}
+    bins = join_null_safe(cuts, lists.select(*by, *[c.alias(n) for n, c in tables.items()]), by)
+    d = join_null_safe(df, F.broadcast(bins), by, "left")
+    d = d.withColumns({f"_bin{i}": bin_of(df, v, i) for i, v in enumerate(values)})
+    return d.withColumns({f"{t}{i}": F.get(f"{t}{i}", f"_bin{i}") for t in ("_below", "_rows") for i in range(len(values))}).drop(*[f"_c{i}" for i in range(len(values))])
+
+
+def ranked_many(df: DataFrame, by: list[str], measures: dict[str, str]) -> DataFrame:
+    """Add, for each measure with prefix p, ``{p}avg`` (average-tie rank), ``{p}min`` and ``{p}n``; null values stay null."""
+    d, ranks, helpers = binned(df, by, list(measures)), {}, []
+    for i, (value, prefix) in enumerate(measures.items()):
+        tied = F.col(f"_bin{i}") % 2 == 1
+        # Rows that tie at a cut, and rows without a value, need no window: they are dealt anywhere.
+        spread = F.when(tied | F.col(value).isNull(), F.pmod(F.xxhash64(*df.columns), F.lit(SPREAD))).otherwise(0)
+        d = d.withColumn(f"_spread{i}", spread)
+        w = Window.partitionBy(*by, f"_bin{i}", f"_spread{i}").orderBy(value)
+        inside = F.when(tied, 1).otherwise(F.rank().over(w))
+        upto = F.when(tied, F.col(f"_rows{i}")).otherwise(F.count(F.lit(1)).over(w))  # rows up to the value, its ties included
+        below = F.coalesce(F.col(f"_below{i}"), F.lit(0))
+        size = F.coalesce(F.col(f"_n{i}"), F.count(value).over(w.orderBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+        d = d.withColumns({f"_first{i}": inside + below, f"_last{i}": upto + below, f"_n{i}": size})
+        known = lambda c, v=value: F.when(F.col(v).isNotNull(), c)
+        ranks |= {f"{prefix}avg": known((F.col(f"_first{i}") + F.col(f"_last{i}")) / 2.0), f"{prefix}min": known(F.col(f"_first{i}").cast("long")), f"{prefix}n": known(F.col(f"_n{i}"))}
+        helpers += [f"{h}{i}" for h in ("_n", "_bin", "_below", "_rows", "_spread", "_first", "_last")]
+    return d.withColumns(ranks).drop(*helpers)
 
 
 def ranked(df: DataFrame, by: list[str], value: str, prefix: str = "rk_") -> DataFrame:
-    """Add ``{prefix}avg`` (average-tie rank), ``{prefix}min`` and ``{prefix}n``; null values stay null."""
-    first = F.col("below") + 1
-    ranks = ordered_values(df, by, value).select(
-        *by, value, (first + (F.col("ties") - 1) / 2.0).alias(f"{prefix}avg"), first.alias(f"{prefix}min"), F.col("n").alias(f"{prefix}n"))
-    return join_null_safe(df, ranks, [*by, value], "left")
+    """``ranked_many`` for one measure."""
+    return ranked_many(df, by, {value: prefix})
 
 
-def with_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float], n: str | None = None) -> DataFrame:
-    """The group's quantiles (and optionally its non-null count) on every row."""
-    q = quantiles(df, by, value, probs)
-    return join_null_safe(df, q.withColumnRenamed("n", n) if n else q.drop("n"), by, "left")
+def quantiles_many(df: DataFrame, by: list[str], wanted: dict[str, dict[str, float]], n: str | None = "n") -> DataFrame:
+    """Linear-interpolation quantiles per group, one column per named probability of each measure; ``n`` counts the first one.
+
+    Of large groups only the bins that hold a wanted place are ordered.
+    """
+    values = list(wanted)
+    d = binned(df.select(*by, *values), by, values)
+    # One row a measure; each is ordered inside its bin.
+    fields = [F.struct(F.lit(i).alias("m"), F.col(v).cast("double").alias("v"), F.col(f"_bin{i}").alias("b"), F.col(f"_below{i}").alias("below"), F.col(f"_rows{i}").alias("rows"), F.col(f"_n{i}").alias("n")) for i, v in enumerate(values)]
+    d = d.select(*by, F.explode(F.array(*fields)).alias("e")).select(*by, "e.*").where("v is not null").withColumn("below", F.coalesce("below", F.lit(0)))
+    places = [(i, name, (F.col("n") - 1) * F.lit(float(p))) for i, v in enumerate(values) for name, p in wanted[v].items()]
+    upto = F.col("below") + F.coalesce(F.col("rows"), F.col("n"))
+    holds = lambda low, high, at: (low <= at) & (at < high)
+    needed = F.col("n").isNull()
+    for i, _, at in places:
+        needed = needed | ((F.col("m") == i) & (holds(F.col("below"), upto, F.floor(at)) | holds(F.col("below"), upto, F.ceil(at))))
+    tied = F.col("b") % 2 == 1
+    d = d.where(needed).withColumn("s", F.when(tied, F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD))).otherwise(0))
+    w = Window.partitionBy(*by, "m", "b", "s").orderBy("v")
+    d = d.withColumn("n", F.coalesce("n", F.count("v").over(w.orderBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    low = F.col("below") + F.when(tied, 0).otherwise(F.row_number().over(w) - 1)
+    d = d.withColumn("_low", low).withColumn("_high", F.when(tied, upto).otherwise(F.col("_low") + 1))
+    aggs, outs = [], []
+    for i, name, at in places:
+        pick = lambda to, i=i: F.max(F.when((F.col("m") == i) & holds(F.col("_low"), F.col("_high"), to), F.col("v")))
+        aggs += [pick(F.floor(at)).alias(f"_lo_{name}"), pick(F.ceil(at)).alias(f"_hi_{name}"), F.max(F.when(F.col("m") == i, at)).alias(f"_at_{name}")]
+        a, b = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+        outs.append((a + (b - a) * (F.col(f"_at_{name}") - F.floor(f"_at_{name}"))).alias(name))
+    g = d.groupBy(*by).agg(F.max(F.when(F.col("m") == 0, F.col("n"))).alias("_n"), *aggs)
+    return g.select(*by, *outs, *([F.col("_n").alias(n)] if n else []))
 
 
 def quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Linear-interpolation quantiles per group, one column per named probability, plus ``n``."""
-    v = F.col(value).cast("double")
-    holds = lambda pos: (F.col("below") <= pos) & (pos < F.col("below") + F.col("ties"))
-    aggs, outs = [], []
-    for name, p in probs.items():
-        at = (F.col("n") - 1) * F.lit(float(p))
-        aggs += [F.max(F.when(holds(F.floor(at)), v)).alias(f"_lo_{name}"),
-                 F.max(F.when(holds(F.ceil(at)), v)).alias(f"_hi_{name}")]
-        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        outs.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
-    return ordered_values(df, by, value).groupBy(*by).agg(F.max("n").alias("n"), *aggs).select(*by, *outs, "n")
+    """``quantiles_many`` for one measure, plus ``n``."""
+    return quantiles_many(df, by, {value: probs})
+
+
+def with_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float], n: str | None = None) -> DataFrame:
+    """The group's quantiles (and optionally its non-null count) on every row."""
+    return join_null_safe(df, quantiles_many(df, by, {value: probs}, n), by, "left")

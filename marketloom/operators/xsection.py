@@ -13,7 +13,7 @@ from ..functions.expr import add_all, clip, safe_divide
 from ..functions.stats import safe_corr
 from ..session import staged
 from .keys import join_null_safe
-from .ordering import ranked, with_quantiles
+from .ordering import ranked, ranked_many, with_quantiles
 
 DATE = "trade_date"
 
@@ -48,12 +48,16 @@ def industry_zscore(df: DataFrame, value: str, industry: str = "industry", out:
                     low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Winsorise by date, demean inside (date, industry), z-score by date.
 
-    Each step is written once, so a later step does not recompute the earlier ones for both sides of its join.
+    Demeaned values average to zero on a date, and their squares add up from the industries' moments, so one aggregate by
+    (date, industry) serves both steps. The winsorised panel is written once, as both sides of the join read it.
     """
     by, out = by or [DATE], out or f"{value}_z"
     d = staged(winsorize(df, value, by, low, high, out))
-    d = staged(demean(d, out, [*by, industry]))
-    return zscore(d, out, by)
+    inside = d.groupBy(*by, industry).agg(F.count(out).alias("_k"), F.avg(out).alias("_m"), F.var_pop(out).alias("_v"))
+    spread = inside.groupBy(*by).agg(F.sum(F.col("_k") * F.col("_v")).alias("_ss"), F.sum("_k").alias("_n"))
+    d = join_null_safe(join_null_safe(d, inside.drop("_k", "_v"), [*by, industry], "left"), spread, by, "left")
+    z = F.when((F.col("_n") > 1) & (F.col("_ss") > 0), (F.col(out) - F.col("_m")) / F.sqrt(F.col("_ss") / (F.col("_n") - 1)))
+    return d.withColumn(out, z).drop("_m", "_ss", "_n")
 
 
 def robust_standardize(df: DataFrame, value: str, by: list[str] | None = None, out: str | None = None) -> DataFrame:
@@ -90,7 +94,7 @@ def qcut(df: DataFrame, value: str, n: int = 5, by: list[str] | None = None, min
     d = d.withColumn("bucket", add_all([(F.col(f"_e{i}") < v).cast("int") for i in range(1, n)]))
     d = d.withColumn("_split", F.col("_e0") < F.col("_e1")).drop(*[f"_e{i}" for i in range(n)])
     seen = {f"_f{i}": F.max((F.col("bucket") == i).cast("int")) for i in range(n)}
-    d = with_stats(staged(d), by, **seen)
+    d = with_stats(d, by, **seen)
     ok = (F.col("rows") >= n * min_per_bucket) & (add_all([F.col(c) for c in seen]) == n) & F.col("_split")
     return d.withColumn("valid", ok).drop(*seen, "_split")
 
@@ -120,7 +124,7 @@ def daily_ic(df: DataFrame, score: str, target: str, by: list[str] | None = None
     """Pearson and Spearman correlation per group over complete pairs."""
     by = by or [DATE]
     pairs = df.where(F.col(score).isNotNull() & F.col(target).isNotNull()).select(*by, score, target)
-    d = ranked(staged(ranked(pairs, by, score, "_s_")), by, target, "_t_")
+    d = ranked_many(pairs, by, {score: "_s_", target: "_t_"})
     return (d.groupBy(*by)
             .agg(F.count(F.lit(1)).alias("obs"), safe_corr(score, target).alias("pearson_ic"),
                  safe_corr("_s_avg", "_t_avg").alias("rank_ic"))

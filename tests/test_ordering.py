@@ -38,19 +38,34 @@ def test_quantiles_match_pandas(sample):
         assert np.allclose(got[name], p.groupby("trade_date")["v"].quantile(q).sort_index().to_numpy(), rtol=1e-12, atol=1e-12)
 
 
-def test_one_group_is_spread_over_partitions(spark, monkeypatch):
-    """Nine rows in ten on one date, a third of them with one value: its values lie in many partitions, and ranks are exact."""
-    monkeypatch.setattr(O, "staged", lambda d: stored.setdefault("d", d.cache()))
-    stored = {}
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        df = spark.range(4000).selectExpr("if(id % 10 = 0, 'a', 'big') as trade_date", "id as symbol", "if(id % 3 = 0, 0D, cast(hash(id) as double)) as v")
-        got = O.ranked(df, ["trade_date"], "v", "r_").toPandas()
-        spread = stored["d"].where("trade_date = 'big'").groupBy("_part").count().count()
-    finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert spread >= int(spark.conf.get("spark.sql.shuffle.partitions")) - 1
-    assert np.array_equal(got["r_avg"], got.groupby("trade_date")["v"].rank())
+def test_one_group_is_spread_over_bins(spark, monkeypatch):
+    """Nine rows in ten on one date, a third of them with one value: no window holds much of it, and ranks and quantiles are exact."""
+    monkeypatch.setattr(O, "BIN", 200)
+    df = spark.range(8000).selectExpr("if(id % 10 = 0, 'a', 'big') as trade_date", "id as symbol", "if(id % 3 = 0, 0D, cast(hash(id) as double)) as v", "cast(hash(id) % 50 as double) as w")
+    bins = O.binned(df, ["trade_date"], ["v", "w"]).where("trade_date = 'big'").toPandas()
+    for i in (0, 1):
+        between = bins[bins[f"_bin{i}"] % 2 == 0].groupby(f"_bin{i}").size()
+        assert between.max() < 500 and bins[f"_bin{i}"].nunique() > 20
+    got = O.ranked_many(df, ["trade_date"], {"v": "r_", "w": "s_"}).toPandas()
+    for c, p in (("v", "r_"), ("w", "s_")):
+        by = got.groupby("trade_date")[c]
+        assert np.array_equal(got[p + "avg"], by.rank()) and np.array_equal(got[p + "min"], by.rank(method="min")) and np.array_equal(got[p + "n"], by.transform("count"))
+    q = pdf(O.quantiles_many(df, ["trade_date"], {"v": {"a": 0.01, "b": 0.35}, "w": {"c": 0.5, "d": 1.0}}), "trade_date")
+    for c, name, p in (("v", "a", 0.01), ("v", "b", 0.35), ("w", "c", 0.5), ("w", "d", 1.0)):
+        assert np.allclose(q[name], got.groupby("trade_date")[c].quantile(p).to_numpy(), rtol=1e-12)
+
+
+def test_one_exchange_of_rows_for_each_measure(spark):
+    df = spark.range(100).selectExpr("id % 3 as trade_date", "id as symbol", "rand(1) as v")
+    plan = O.ranked(df, ["trade_date"], "v").select("symbol", "rk_avg")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(trade_date") == 1 and plan.count("Exchange") == 1
+
+
+def test_strings_are_ranked_in_their_own_order(spark, monkeypatch):
+    monkeypatch.setattr(O, "BIN", 20)
+    names = ["".join(chr(97 + (i * k) % 26) for k in (7, 3, 11, 5, 17, 23, 1, 9)) for i in range(300)] + ["", "é", "abc"]
+    got = O.ranked(spark.createDataFrame([("d", n) for n in names], "trade_date string, v string"), ["trade_date"], "v", "r_").toPandas()
+    assert np.array_equal(got["r_avg"], got["v"].map(lambda x: x.encode()).rank())
 
 
 def test_qcut_matches_pandas(sample):
