@@ -234,10 +234,14 @@ def performance_metrics(spark, d):
 
 
 @query("best_policy", """
-    SELECT top_k, exit_policy, round(sharpe, 6) AS sharpe FROM metrics WHERE sharpe IS NOT NULL ORDER BY metrics.sharpe DESC, top_k, exit_policy LIMIT 1""", "metrics")
+    SELECT * FROM (SELECT 'best' AS choice, top_k, exit_policy, round(sharpe, 6) AS sharpe FROM metrics WHERE sharpe IS NOT NULL ORDER BY metrics.sharpe DESC, top_k, exit_policy LIMIT 1)
+    UNION ALL SELECT * FROM (SELECT 'frozen', top_k, exit_policy, round(sharpe, 6) FROM metrics ORDER BY top_k DESC, exit_policy LIMIT 1)""", "metrics")
 def best_policy(spark, d):
-    m = metrics(spark, d).where("sharpe is not null").orderBy(F.col("sharpe").desc(), "top_k", "exit_policy").limit(1)
-    return m.select("top_k", "exit_policy", r("sharpe").alias("sharpe"))
+    """The frozen policy is the first one of the largest K."""
+    m = staged(metrics(spark, d))
+    top = m.orderBy(F.col("top_k").desc(), "exit_policy").first()
+    out = E.chosen_policies(m, ["top_k", "exit_policy"], {"top_k": top.top_k, "exit_policy": top.exit_policy})
+    return out.select("choice", "top_k", "exit_policy", r("sharpe").alias("sharpe"))
 
 
 @query("hac_mean_t", f"SELECT series, round(hac_t, 6) AS hac_t FROM ({hac_sql('series', 'series', 'trade_date', 'ret')})", "series")

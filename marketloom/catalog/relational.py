@@ -73,10 +73,12 @@ def price_limit_flags(spark, d):
     return rounded(CL.price_limit_flags(V.daily(spark, d)), "ret", digits=8)
 
 
-@query("clip_turnover", "SELECT trade_date, symbol, least(greatest(turnover, 40.0::DOUBLE), 100.0::DOUBLE) AS turnover FROM panel_part WHERE symbol % 7 <> 0", "panel_part")
+@query("clip_turnover", "SELECT trade_date, symbol, least(greatest(turnover + (symbol % 10 = 3)::INT, 40.0::DOUBLE), 100.0::DOUBLE) AS turnover FROM panel_part WHERE symbol % 7 <> 0", "panel_part")
 def clip_turnover(spark, d):
-    p = V.panel_part(spark, d).select(*KEYS, F.when(F.col("symbol") % 7 == 0, "n/a").otherwise(F.col("turnover").cast("string")).alias("turnover"))
-    return CL.clip_turnover(p, "turnover", 40.0)
+    """A tenth of the keys come twice; the later copy counts."""
+    p = V.panel_part(spark, d).select(*KEYS, F.when(F.col("symbol") % 7 == 0, "n/a").otherwise(F.col("turnover").cast("string")).alias("turnover"), F.lit(0).alias("copy"))
+    later = p.where("symbol % 10 = 3").withColumns({"turnover": F.when(F.col("symbol") % 7 == 0, "n/a").otherwise((F.col("turnover").try_cast("double") + 1).cast("string")), "copy": F.lit(1)})
+    return CL.clip_turnover(p.unionByName(later), "turnover", 40.0, order=["copy"]).drop("copy")
 
 
 @query("overlay_suspensions", """
@@ -414,8 +416,9 @@ def liquidity_filter_train(spark, d):
 
 
 @query("worst_days", """
+    SELECT *, count(*) OVER (PARTITION BY year(trade_date)) AS in_year, count(*) OVER (PARTITION BY weekday) AS on_weekday FROM (
     SELECT trade_date, round(ret, 6) AS ret, round(next_ret, 6) AS next_ret, dayname(trade_date) AS weekday FROM (SELECT *, lead(ret) OVER (ORDER BY trade_date) AS next_ret FROM
-    (SELECT trade_date, avg(pct_chg) / 100 AS ret FROM daily WHERE pct_chg IS NOT NULL GROUP BY 1)) ORDER BY 2, 1 LIMIT 10""", "daily")
+    (SELECT trade_date, avg(pct_chg) / 100 AS ret FROM daily WHERE pct_chg IS NOT NULL GROUP BY 1)) ORDER BY 2, 1 LIMIT 10)""", "daily")
 def worst_days(spark, d):
     from ..operators.series import market_proxy, worst_days as op
     return rounded(op(market_proxy(V.daily(spark, d)), 10), "ret", "next_ret")

@@ -14,7 +14,7 @@ from ..operators import metrics as M
 from ..operators import portfolio as P
 from ..operators import verify as VF
 from ..operators import xsection as XS
-from ..operators.ordering import quantiles
+from ..operators.ordering import quantiles_many
 from ..session import staged
 from .registry import query, r, rounded
 from .windows import monthly
@@ -181,7 +181,7 @@ def concept_daily_stats(spark, d):
     WITH i AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS i FROM (SELECT DISTINCT trade_date FROM concept_days)), c AS (SELECT d.*, i FROM concept_days d JOIN i USING (trade_date)),
     s AS (SELECT trade_date, concept, least(count(*) OVER (PARTITION BY concept ORDER BY i RANGE BETWEEN 5 PRECEDING AND 1 PRECEDING) + 1, 5) AS streak FROM c),
     j AS (SELECT streak, fwd FROM s JOIN concept_fwd USING (trade_date, concept)), w AS (SELECT count(*) FILTER (streak >= 3) AS n1, avg(fwd) FILTER (streak >= 3) AS m1, var_samp(fwd) FILTER (streak >= 3) AS v1, count(*) FILTER (streak = 1) AS n2, avg(fwd) FILTER (streak = 1) AS m2, var_samp(fwd) FILTER (streak = 1) AS v2 FROM j)
-    SELECT CAST(streak AS INTEGER) AS streak, count(*) AS observations, round(avg(fwd), 6) AS mean_ret, round(stddev_pop(fwd), 6) AS std, round(avg(fwd) / nullif(stddev_pop(fwd) / sqrt(count(*)), 0), 6) AS t_stat, round(max((m1 - m2) / sqrt(v1 / n1 + v2 / n2)), 6) AS welch_t FROM j, w GROUP BY 1""", "concept_days concept_fwd")
+    SELECT CAST(streak AS INTEGER) AS streak, count(*) AS observations, round(avg(fwd), 6) AS mean_ret, round(stddev_pop(fwd), 6) AS std, round(pow(1 + avg(fwd), 12) - 1, 6) AS annual, round(avg(fwd) / nullif(stddev_pop(fwd) / sqrt(count(*)), 0), 6) AS t_stat, round(max((m1 - m2) / sqrt(v1 / n1 + v2 / n2)), 6) AS welch_t FROM j, w GROUP BY 1""", "concept_days concept_fwd")
 def persistence_test(spark, d):
     f = staged(concept_fwd(spark, d))
     a = CO.appearances(f, 5).where("fwd is not null").withColumn("streak", F.col("streak").cast("int"))
@@ -190,36 +190,39 @@ def persistence_test(spark, d):
     w = a.agg(F.count(long).alias("n1"), F.avg(long).alias("m1"), F.var_samp(long).alias("v1"), F.count(one).alias("n2"), F.avg(one).alias("m2"), F.var_samp(one).alias("v2"))
     w = w.select(welch_t(*[F.col(c) for c in ("n1", "m1", "v1", "n2", "m2", "v2")]).alias("welch_t"))
     t = t.withColumn("welch_t", w.scalar()).withColumn("t_stat", F.try_divide(F.col("mean_ret"), F.col("std") / F.sqrt("observations")))
-    return rounded(t, "mean_ret", "std", "t_stat", "welch_t")
+    t = t.withColumn("annual", F.pow(1 + F.col("mean_ret"), F.lit(12.0)) - 1)  # twelve sessions of this monthly panel in a year
+    return rounded(t, "mean_ret", "std", "annual", "t_stat", "welch_t")
 
 
 @query("rank_momentum_test", """
     WITH m AS (SELECT concept, trade_date, lag(min_rank) OVER (PARTITION BY concept ORDER BY trade_date) - min_rank + 0.001::DOUBLE * total_hot / 1000000 AS mom FROM concept_days), j AS (SELECT mom, fwd FROM m JOIN concept_fwd USING (concept, trade_date) WHERE mom IS NOT NULL),
     e AS (SELECT quantile_cont(mom, 0.2) AS e1, quantile_cont(mom, 0.4) AS e2, quantile_cont(mom, 0.6) AS e3, quantile_cont(mom, 0.8) AS e4 FROM j), b AS (SELECT *, (mom > e1)::INT + (mom > e2)::INT + (mom > e3)::INT + (mom > e4)::INT AS bucket FROM j, e),
     s AS (SELECT corr(rm, rf) AS sp FROM (SELECT rank() OVER (ORDER BY mom) + (count(*) OVER (PARTITION BY mom) - 1) / 2.0::DOUBLE AS rm, rank() OVER (ORDER BY fwd) + (count(*) OVER (PARTITION BY fwd) - 1) / 2.0::DOUBLE AS rf FROM j))
-    SELECT bucket, count(*) AS observations, round(avg(fwd), 6) AS mean_ret, round(max(sp), 6) AS spearman FROM b, s GROUP BY 1""", "concept_days concept_fwd")
+    SELECT bucket, count(*) AS observations, round(avg(fwd), 6) AS mean_ret, round(max(sp), 6) AS spearman,
+           round((SELECT avg(fwd) FILTER (bucket = 4) - avg(fwd) FILTER (bucket = 0) FROM b), 6) AS top_minus_bottom FROM b, s GROUP BY 1""", "concept_days concept_fwd")
 def rank_momentum_test(spark, d):
     w = Window.partitionBy("concept").orderBy("trade_date")
     f = concept_fwd(spark, d).withColumn("mom", F.lag("min_rank").over(w) - F.col("min_rank") + 0.001 * F.col("total_hot") / 1000000)
     j = staged(f.where("mom is not null and fwd is not null").select(F.lit(1).alias("all"), "mom", "fwd"))
     sp = XS.daily_ic(j, "mom", "fwd", ["all"], 2).select("all", F.col("rank_ic").alias("spearman"))
     q = XS.qcut(j, "mom", 5, ["all"], 1).groupBy("all", "bucket").agg(F.count(F.lit(1)).alias("observations"), F.avg("fwd").alias("mean_ret"))
-    return rounded(q.join(sp, "all").drop("all"), "mean_ret", "spearman")
+    ends = q.groupBy("all").agg((F.max(F.when(F.col("bucket") == 4, F.col("mean_ret"))) - F.max(F.when(F.col("bucket") == 0, F.col("mean_ret")))).alias("top_minus_bottom"))
+    return rounded(q.join(sp, "all").join(ends, "all").drop("all"), "mean_ret", "spearman", "top_minus_bottom")
 
 
 @query("constituent_feature_ic", f"""
-    WITH m AS (SELECT trade_date, p_brand AS concept, amount, close FROM panel_part JOIN part ON p_partkey = symbol), f AS (SELECT trade_date, concept, quantile_cont(amount, 0.5) AS median_amount, stddev_samp(close) AS dispersion, avg(close) AS c FROM m GROUP BY 1, 2),
+    WITH m AS (SELECT trade_date, p_brand AS concept, amount, turnover, close FROM panel_part JOIN part ON p_partkey = symbol), f AS (SELECT trade_date, concept, quantile_cont(amount, 0.5) AS median_amount, quantile_cont(turnover, 0.5) AS median_turnover, stddev_samp(close) AS dispersion, avg(close) AS c FROM m GROUP BY 1, 2),
     g AS (SELECT *, lead(c) OVER (PARTITION BY concept ORDER BY trade_date) / c - 1 AS next_ret FROM f),
-    l AS (SELECT trade_date, 'median_amount' AS factor, median_amount AS score, next_ret FROM g UNION ALL SELECT trade_date, 'dispersion', dispersion, next_ret FROM g), ic AS ({ic_sql('factor, trade_date', 'score', 'l', 5)})
+    l AS (SELECT trade_date, 'median_amount' AS factor, median_amount AS score, next_ret FROM g UNION ALL SELECT trade_date, 'dispersion', dispersion, next_ret FROM g UNION ALL SELECT trade_date, 'median_turnover', median_turnover, next_ret FROM g), ic AS ({ic_sql('factor, trade_date', 'score', 'l', 5)})
     SELECT factor, count(*) AS days, round(avg(rank_ic), 6) AS rank_ic_mean, round(avg(pearson_ic), 6) AS pearson_ic_mean FROM ic GROUP BY 1""", "panel_part")
 def constituent_feature_ic(spark, d):
     part = V.table(spark, d, "part").select(F.col("p_partkey").alias("symbol"), F.col("p_brand").alias("concept"))
-    m = staged(V.panel_part(spark, d).join(part, "symbol").select("trade_date", "concept", "amount", "close"))
+    m = staged(V.panel_part(spark, d).join(part, "symbol").select("trade_date", "concept", "amount", "turnover", "close"))
     by = ["trade_date", "concept"]
-    f = quantiles(m, by, "amount", {"median_amount": 0.5}).drop("n").join(m.groupBy(*by).agg(F.stddev_samp("close").alias("dispersion"), F.avg("close").alias("c")), by)
+    f = quantiles_many(m, by, {"amount": {"median_amount": 0.5}, "turnover": {"median_turnover": 0.5}}, None).join(m.groupBy(*by).agg(F.stddev_samp("close").alias("dispersion"), F.avg("close").alias("c")), by)
     w = Window.partitionBy("concept").orderBy("trade_date")
     g = staged(f.withColumn("next_ret", F.lead("c").over(w) / F.col("c") - 1.0))
-    ic = XS.daily_ic(XS.to_long(g, [*by, "next_ret"], ["median_amount", "dispersion"]), "score", "next_ret", ["factor", "trade_date"], 5)
+    ic = XS.daily_ic(XS.to_long(g, [*by, "next_ret"], ["median_amount", "dispersion", "median_turnover"]), "score", "next_ret", ["factor", "trade_date"], 5)
     return rounded(XS.ic_summary(ic, ["factor"]).drop("rank_ic_ir"), "rank_ic_mean", "pearson_ic_mean")
 
 
@@ -343,19 +346,36 @@ def score_integrity_checks(spark, d):
 
 
 @query("recompute_deltas", """
-    WITH p AS (SELECT trade_date, max(ret) FILTER (series = 'view') AS a, max(ret) FILTER (series = 'click') AS b FROM series GROUP BY 1)
-    SELECT count(*) AS dates, round(avg(b - a), 8) AS delta_ret, round(avg(b * b - a * a), 8) AS delta_sq FROM p""", "series")
+    WITH p AS (SELECT v.series AS variant, a.ret AS a, v.ret AS b FROM series v JOIN series a ON a.series = 'view' AND a.trade_date = v.trade_date WHERE v.series <> 'view'),
+    d AS (SELECT variant, count(*) AS dates, avg(b - a) AS delta_ret, avg(b * b - a * a) AS delta_sq FROM p GROUP BY 1),
+    t AS (SELECT series AS variant, sum(ret) / count(*) AS m FROM series GROUP BY 1),
+    q AS (SELECT variant, m - (SELECT m FROM t WHERE variant = 'view') + CASE WHEN variant = 'error' THEN 0.5::DOUBLE ELSE 0 END AS reported FROM t WHERE variant <> 'view')
+    SELECT variant, dates, round(delta_ret, 8) AS delta_ret, round(delta_sq, 8) AS delta_sq, round(reported, 8) AS reported_ret, abs(delta_ret - reported) <= 1e-9 AS ret_matches FROM d JOIN q USING (variant)""", "series")
 def recompute_deltas(spark, d):
-    s = V.series(spark, d).where("series in ('view', 'click')").select(F.col("series").alias("variant"), "trade_date", "ret", (F.col("ret") * F.col("ret")).alias("sq"))
-    return rounded(VF.variant_deltas(s, "view", "click", ["ret", "sq"]), "delta_ret", "delta_sq", digits=8)
-
-
-@query("ledger_identities", """SELECT 'cash_plus_positions' AS identity, 0.0::DOUBLE AS gap, true AS passed UNION ALL SELECT 'gross_minus_cost', 0.0, true UNION ALL SELECT 'order_cost', round(max(l_discount) * 0.001, 6), max(l_discount) * 0.001 <= 1e-7 FROM lineitem""")
+    """Every series against one; the reported deltas come from totals, and one of them is wrong on purpose."""
+    s = staged(V.series(spark, d).select(F.col("series").alias("variant"), "trade_date", "ret", (F.col("ret") * F.col("ret")).alias("sq")))
+    totals = s.groupBy("variant").agg((F.sum("ret") / F.count("ret")).alias("m"))
+    off = F.when(F.col("variant") == "error", 0.5).otherwise(0.0)
+    reported = totals.where("variant <> 'view'").select("variant", (F.col("m") - totals.where("variant = 'view'").select("m").scalar() + off).alias("ret"))
+    return rounded(VF.delta_report(s, "view", ["ret", "sq"], reported, ["ret"], 1e-9), "delta_ret", "delta_sq", "reported_ret", digits=8)
+
+
+@query("ledger_identities", """
+    WITH l AS (SELECT date_trunc('month', l_shipdate) AS t, sum(l_quantity * round(l_discount * 100)) AS cash, sum(l_quantity * (100 - round(l_discount * 100))) AS positions,
+      100 * sum(l_quantity) + max(CASE WHEN date_trunc('month', l_shipdate) = DATE '1998-03-01' THEN 1 ELSE 0 END) AS nav, sum(l_quantity * (100 + round(l_tax * 100))) AS gross, sum(l_quantity * round(l_tax * 100)) AS cost FROM lineitem GROUP BY 1),
+    g AS (SELECT 'cash_plus_positions' AS identity, max(abs(cash + positions - nav)) AS gap FROM l UNION ALL SELECT 'gross_minus_cost', max(abs(gross - cost - nav)) FROM l
+      UNION ALL SELECT 'order_cost', max(abs(l_quantity * 10.0::DOUBLE / 10000.0::DOUBLE + CASE WHEN l_linenumber = 7 THEN l_discount * 0.001::DOUBLE ELSE 0 END - l_quantity * 10.0::DOUBLE / 10000.0::DOUBLE)) FROM lineitem)
+    SELECT identity, round(gap, 6)::DOUBLE AS gap, gap <= 1e-7 AS passed FROM g""")
 def ledger_identities(spark, d):
+    """Cash, positions and value from columns of their own; one month's value is off by one, and the seventh lines' costs are wrong."""
     li = V.table(spark, d, "lineitem")
-    led = li.groupBy(F.trunc("l_shipdate", "MM").alias("trade_date")).agg(F.sum("l_quantity").alias("cash"), F.sum(F.lit(2.0) * F.col("l_quantity")).alias("positions"), F.sum(F.lit(3.0) * F.col("l_quantity")).alias("nav"))
-    led = led.withColumns({"gross": F.col("nav") + 5.0, "cost": F.lit(5.0)})
-    orders = li.select(F.col("l_quantity").alias("notional"), F.lit(10.0).alias("bps"), (F.col("l_quantity") * 10.0 / 10000.0 + F.col("l_discount") * 0.001).alias("cost"))
+    q, cents = F.col("l_quantity"), lambda c: F.round(F.col(c) * 100)
+    led = li.groupBy(F.trunc("l_shipdate", "MM").alias("trade_date")).agg(
+        F.sum(q * cents("l_discount")).alias("cash"), F.sum(q * (100 - cents("l_discount"))).alias("positions"), F.sum(q).alias("n"),
+        F.sum(q * (100 + cents("l_tax"))).alias("gross"), F.sum(q * cents("l_tax")).alias("cost"))
+    led = led.withColumn("nav", 100 * F.col("n") + F.when(F.col("trade_date") == "1998-03-01", 1).otherwise(0))
+    wrong = F.when(F.col("l_linenumber") == 7, F.col("l_discount") * 0.001).otherwise(0)
+    orders = li.select(q.alias("notional"), F.lit(10.0).alias("bps"), (q * 10.0 / 10000.0 + wrong).alias("cost"))
     return rounded(VF.ledger_identities(led, orders), "gap")
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import fixtures as V
+from ..fixtures import add_view
 from ..functions.expr import compact_date
 from ..operators.calendar import month_ends
 from ..operators.keys import assert_unique
@@ -32,6 +34,17 @@ def dated_folders(spark, d) -> str:
     return path
 
 
+def spread_folders(spark, d) -> str:
+    """Daily bars as date folders, every third calendar day, so that the month of bars spans three."""
+    path = fresh(spark)
+    day = F.date_add(F.lit("2024-01-01").cast("date"), 3 * F.datediff("trade_date", F.lit("2024-01-01").cast("date")))
+    sinks.by_date_folders(V.bars_daily(spark, d).select(day.alias("trade_date"), "symbol", "close", "amount"), path)
+    return path
+
+
+add_view("spread_daily", ("bars_daily",), "SELECT CAST(DATE '2024-01-01' + 3 * (trade_date - DATE '2024-01-01')::INT AS DATE) AS trade_date, symbol, close, amount FROM bars_daily")
+
+
 @query("scan_partition_window", """
     SELECT trade_date, symbol, round(close, 6) AS close, round(amount, 2) AS amount FROM bars_daily
     WHERE trade_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'""", "bars_daily")
@@ -46,12 +59,12 @@ def recover_partition_column(spark, d):
 
 
 @query("scan_month_end_partitions", """
-    WITH e AS (SELECT max(trade_date) AS trade_date FROM ship_daily GROUP BY date_trunc('month', trade_date))
-    SELECT trade_date, symbol, round(close, 8) AS close FROM ship_daily
-    WHERE trade_date IN (SELECT trade_date FROM e) AND trade_date < DATE '2001-11-01'""", "ship_daily")
+    WITH e AS (SELECT max(trade_date) AS trade_date FROM spread_daily GROUP BY date_trunc('month', trade_date))
+    SELECT trade_date, symbol, round(close, 8) AS close FROM spread_daily
+    WHERE trade_date IN (SELECT trade_date FROM e WHERE date_trunc('month', trade_date) <> DATE '2024-03-01')""", "spread_daily")
 def scan_month_end_partitions(spark, d):
-    df = S.month_end_rows(V.ship_daily(spark, d), drop_current_after="2001-11-03")
-    return df.where("trade_date < date'2001-11-01'").select(*KEYS, r("close", 8).alias("close"))
+    """March is running on the 30th, so its last folder is no month end."""
+    return S.month_end_folders(spark, spread_folders(spark, d), "2024-03-30").select(*KEYS, r("close", 8).alias("close"))
 
 
 @query("scan_symbol_files", """
@@ -140,11 +153,10 @@ def scan_static_class_map(spark, d):
 
 
 @query("scan_formation_semijoin", """
-    WITH e AS (SELECT max(trade_date) AS t FROM ship_daily GROUP BY date_trunc('month', trade_date))
-    SELECT trade_date, symbol, vol FROM ship_daily WHERE trade_date IN (SELECT t FROM e)""", "ship_daily")
+    WITH e AS (SELECT max(trade_date) AS t FROM spread_daily GROUP BY date_trunc('month', trade_date))
+    SELECT trade_date, symbol, round(amount, 2) AS amount FROM spread_daily WHERE trade_date IN (SELECT t FROM e)""", "spread_daily")
 def scan_formation_semijoin(spark, d):
-    s = V.ship_daily(spark, d).select(*KEYS, "vol")
-    return S.formation_rows(s, month_ends(s), ["vol"])
+    return S.month_end_folders(spark, spread_folders(spark, d)).select(*KEYS, r("amount", 2).alias("amount"))
 
 
 @query("scan_positive_activity", """
@@ -223,13 +235,15 @@ def scan_coverage_manifest(spark, d):
 
 
 @query("scan_selections", """
-    WITH s AS (SELECT CASE WHEN symbol % 11 = 0 THEN NULL ELSE trade_date END AS t FROM daily WHERE symbol % 10 < 9)
+    WITH s AS (SELECT CASE WHEN symbol % 11 = 0 THEN NULL ELSE trade_date END AS t FROM
+      (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY amount DESC, symbol) AS k FROM daily WHERE symbol % 10 < 9) WHERE k <= 20)
     SELECT count(*) AS rows, count(*) FILTER (t IS NULL) AS null_rows, count(*) FILTER (t < DATE '2024-01-05') AS before_rows,
            count(*) FILTER (t > DATE '2024-01-25') AS after_rows FROM s""", "daily")
 def scan_selections(spark, d):
-    s = V.daily(spark, d).select(F.when(F.col("symbol") % 11 != 0, F.col("trade_date")).alias("signal_date"), "ts_code",
-                                 F.lit(1_000_000).alias("top_k"), F.lit(None).cast("boolean").alias("execution_eligible"))
-    kept, audit = D.selections(s, 1_000_000, ["SH", "SZ"], "2024-01-05", "2024-01-25")
+    w = Window.partitionBy("trade_date").orderBy(F.col("amount").desc(), "symbol")
+    top = V.daily(spark, d).where("symbol % 10 < 9").withColumn("k", F.row_number().over(w)).where("k <= 20")
+    s = top.select(F.when(F.col("symbol") % 11 != 0, F.col("trade_date")).alias("signal_date"), "ts_code", F.lit(20).alias("top_k"), F.lit(None).cast("boolean").alias("execution_eligible"))
+    kept, audit = D.selections(s, 20, ["SH", "SZ"], "2024-01-05", "2024-01-25")
     return audit
 
 

@@ -400,17 +400,18 @@ def rebalance_calendar(spark, d):
 
 @query("holding_periods", """
     WITH d AS (SELECT t, lead(t) OVER (ORDER BY t) AS n, max(t) OVER () AS last FROM (SELECT DISTINCT CAST(l_shipdate AS DATE) AS t FROM lineitem)),
-    s AS (SELECT max(t) AS s FROM d WHERE t < DATE '2001-10-15' GROUP BY date_trunc('month', t)), j AS (SELECT s AS signal_date, n AS entry_date, last, lead(n) OVER (ORDER BY s) AS nx FROM s JOIN d ON t = s)
+    s AS (SELECT max(t) AS s FROM d GROUP BY date_trunc('month', t)), j AS (SELECT s AS signal_date, n AS entry_date, last, lead(n) OVER (ORDER BY s) AS nx FROM s JOIN d ON t = s)
     SELECT signal_date, entry_date, coalesce(nx, last) AS exit_date FROM j WHERE coalesce(nx, last) > entry_date""")
 def holding_periods(spark, d):
     days = V.table(spark, d, "lineitem").select(F.to_date("l_shipdate").alias("trade_date")).distinct()
-    return C.holding_periods(C.month_ends(days.where("trade_date < date'2001-10-15'")), days)
+    return C.holding_periods(C.month_ends(days), days)
 
 
 @query("pct_common_panel", """
-    WITH p AS (SELECT trade_date, symbol, round(open * adj_factor, 6) AS adj_open, round(close * adj_factor, 6) AS adj_close FROM daily WHERE symbol IN (3, 8, 46))
-    SELECT * FROM p WHERE trade_date IN (SELECT trade_date FROM p GROUP BY 1 HAVING count(*) = 3)""", "daily")
+    WITH p AS (SELECT symbol % 50 AS panel, trade_date, symbol, round(open * adj_factor, 6) AS adj_open, round(close * adj_factor, 6) AS adj_close FROM daily)
+    SELECT * FROM p WHERE (panel, trade_date) IN (SELECT (panel, trade_date) FROM (SELECT panel, trade_date, count(*) AS n FROM p GROUP BY 1, 2)
+      JOIN (SELECT panel, count(DISTINCT symbol) AS n FROM p GROUP BY 1) USING (panel, n))""", "daily")
 def pct_common_panel(spark, d):
     from ..plans.rotation import common_panel
-    p = V.daily(spark, d).where("symbol in (3, 8, 46)").select(*KEYS, "open", "close", "adj_factor")
-    return rounded(common_panel(staged(p)), "adj_open", "adj_close")
+    p = V.daily(spark, d).select((F.col("symbol") % 50).alias("panel"), *KEYS, "open", "close", "adj_factor")
+    return rounded(common_panel(staged(p), ["panel"]), "adj_open", "adj_close")

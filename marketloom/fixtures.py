@@ -156,15 +156,16 @@ def series(spark, d) -> DataFrame:
 
 
 def hot_list(spark, d) -> DataFrame:
-    """Concept list text per ranked row: the day's orders by price, concepts from the part bought first."""
-    li = table(spark, d, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_partkey")
+    """Concept list text per ranked row: the month's orders by price, concepts from the parts of all its lines."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
     part = table(spark, d, "part")
     o = table(spark, d, "orders")
-    return (o.join(li, o.o_orderkey == li.l_orderkey).join(part, li.l_partkey == part.p_partkey)
+    names = li.join(part, li.l_partkey == part.p_partkey).groupBy("l_orderkey").agg(
+        F.sort_array(F.collect_list(F.concat(F.regexp_replace("p_name", " ", ", "), F.lit(", "), F.col("p_type")))).alias("names"))  # the lines of one order
+    return (o.join(names, o.o_orderkey == names.l_orderkey)
             .select(F.trunc("o_orderdate", "MM").alias("trade_date"), F.col("o_orderkey").alias("symbol"),
                     F.col("o_totalprice").alias("hot"),
-                    F.concat(F.lit("["), F.regexp_replace("p_name", " ", ", "), F.lit(", "), F.col("p_type"),
-                             F.lit("]")).alias("concepts")))
+                    F.concat(F.lit("["), F.array_join("names", ", "), F.lit("]")).alias("concepts")))
 
 
 # --- the same views for the SQL side -------------------------------------------------------
@@ -247,9 +248,9 @@ _SQL: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT event_type AS series, CAST(ts AS DATE) AS trade_date, (avg(value) - 49.0::DOUBLE) / 1000.0::DOUBLE AS ret
         FROM events GROUP BY 1, 2"""),
     "hot_list": ((), """
-        SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS trade_date, o_orderkey AS symbol, o_totalprice AS hot,
-               '[' || replace(p_name, ' ', ', ') || ', ' || p_type || ']' AS concepts
-        FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND l_linenumber = 1 JOIN part ON l_partkey = p_partkey"""),
+        SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS trade_date, o_orderkey AS symbol, o_totalprice AS hot, '[' || names || ']' AS concepts
+        FROM orders JOIN (SELECT l_orderkey, string_agg(n, ', ' ORDER BY n) AS names FROM
+            (SELECT l_orderkey, replace(p_name, ' ', ', ') || ', ' || p_type AS n FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY 1) ON o_orderkey = l_orderkey"""),
 }
 
 

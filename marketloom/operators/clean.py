@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import flag, to_number
+from .keys import keep_one
 
 DATE, SYM = "trade_date", "symbol"
 KEYS = [DATE, SYM]
@@ -29,7 +30,9 @@ def price_limit_flags(df: DataFrame) -> DataFrame:
                      flag("is_limit_down").alias("limit_down"), (F.col("pct_chg") / 100.0).alias("ret"))
 
 
-def clip_turnover(df: DataFrame, value: str = "turnover_rate", lo: float = 0.01, hi: float = 100.0) -> DataFrame:
+def clip_turnover(df: DataFrame, value: str = "turnover_rate", lo: float = 0.01, hi: float = 100.0, order: list[str] | None = None) -> DataFrame:
+    """Turnover as a number inside its bounds, the last row of each key in ``order``; rows without a number or symbol leave."""
+    df = keep_one(df, KEYS, order, keep="last") if order else df
     x = to_number(F.col(value))
     return df.withColumn(value, F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(lo)), F.lit(hi)))).where(
         F.col(value).isNotNull() & F.col(SYM).isNotNull())

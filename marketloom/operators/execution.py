@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,7 +66,7 @@ def label_available(df: DataFrame, target: str) -> DataFrame:
 
 def temporal_split(df: DataFrame, cut: str, start: str | None = None, end: str | None = None,
                    label_end: str = "entry_date") -> DataFrame:
-    """Mark 'train' (row and label end on or before the cut) and 'test' (after it); purged rows leave."""
+    """Mark 'train' (row and label end on or before the cut) and 'test' (after it); purged rows leave. An empty side is an error."""
     t = F.lit(cut).cast("date")
     train = (F.col(DATE) <= t) & (F.col(label_end) <= t)
     test = F.col(DATE) > t
@@ -72,7 +74,22 @@ def temporal_split(df: DataFrame, cut: str, start: str | None = None, end: str |
         test = test & (F.col(DATE) >= F.lit(start).cast("date"))
     if end:
         test = test & (F.col(DATE) <= F.lit(end).cast("date"))
-    return df.withColumn("split", F.when(train, "train").when(test, "test")).where("split is not null")
+    out = df.withColumn("split", F.when(train, "train").when(test, "test")).where("split is not null")
+    sides = {r.split for r in out.select("split").distinct().collect()}  # two values at most
+    if missing := {"train", "test"} - sides:
+        raise ValueError(f"temporal split leaves no {' and no '.join(sorted(missing))} rows")
+    return out
+
+
+def chosen_policies(metrics: DataFrame, keys: list[str], frozen: dict | None = None) -> DataFrame:
+    """The policy with the greatest Sharpe ratio, ties by key, and beside it the frozen one, which must be in the grid."""
+    best = metrics.where("sharpe is not null").orderBy(F.col("sharpe").desc(), *keys).limit(1).withColumn("choice", F.lit("best"))
+    if frozen is None:
+        return best
+    row = metrics.where(reduce(lambda a, b: a & b, [F.col(k) == v for k, v in frozen.items()])).limit(1)
+    if row.isEmpty():
+        raise ValueError(f"frozen policy {frozen} is not in the policy grid")
+    return best.unionByName(row.withColumn("choice", F.lit("frozen")))
 
 
 def purge_overlap(df: DataFrame, valid_start: str, horizon: int) -> DataFrame:

@@ -19,9 +19,10 @@ def market_proxy(df: DataFrame, pct: str = "pct_chg") -> DataFrame:
 
 
 def worst_days(market: DataFrame, n: int) -> DataFrame:
-    """The ``n`` smallest returns with the following return and the weekday."""
-    d = market.withColumns({"next_ret": F.lead("ret").over(ordered()), "weekday": F.date_format(DATE, "EEEE")})
-    return d.orderBy("ret", DATE).limit(n)
+    """The ``n`` smallest returns with the following return, the weekday, and how many of them share the year or the weekday."""
+    d = market.withColumns({"next_ret": F.lead("ret").over(ordered()), "weekday": F.date_format(DATE, "EEEE"), "_year": F.year(DATE)})
+    share = lambda c: F.count(F.lit(1)).over(Window.partitionBy(c))  # noqa: E731  (over n rows)
+    return d.orderBy("ret", DATE).limit(n).withColumns({"in_year": share("_year"), "on_weekday": share("weekday")}).drop("_year")
 
 
 def weekday_effect(market: DataFrame) -> DataFrame:

@@ -43,10 +43,16 @@ def score_integrity(scores: DataFrame, variants: int, rows: int, hms: tuple[int,
     return per.select(keys.alias("keys_not_shared"), "variant_dates", "wrong_size_dates", when.alias("wrong_time_rows"))
 
 
-def variant_deltas(rows: DataFrame, a: str, b: str, metrics: list[str]) -> DataFrame:
-    """Mean paired difference (b − a) of every metric over dates."""
-    p = rows.groupBy(DATE).pivot("variant", [a, b]).agg(*[F.first(m).alias(m) for m in metrics])
-    return p.agg(F.count(F.lit(1)).alias("dates"), *[F.avg(F.col(f"{b}_{m}") - F.col(f"{a}_{m}")).alias(f"delta_{m}") for m in metrics])
+def delta_report(rows: DataFrame, base: str, metrics: list[str], reported: DataFrame, checked: list[str], tolerance: float = 1e-9) -> DataFrame:
+    """Mean paired difference of every variant from ``base`` over common dates, beside the reported one.
+
+    ``reported`` has variant and the ``checked`` metrics; a delta that nobody reported does not match.
+    """
+    b = rows.where(F.col("variant") == base).select(DATE, *[F.col(m).alias(f"_{m}") for m in metrics])
+    d = rows.where(F.col("variant") != base).join(b, DATE).groupBy("variant").agg(
+        F.count(F.lit(1)).alias("dates"), *[F.avg(F.col(m) - F.col(f"_{m}")).alias(f"delta_{m}") for m in metrics])
+    d = d.join(reported.select("variant", *[F.col(m).alias(f"reported_{m}") for m in checked]), "variant", "left")
+    return d.withColumns({f"{m}_matches": F.coalesce(F.abs(F.col(f"delta_{m}") - F.col(f"reported_{m}")) <= tolerance, F.lit(False)) for m in checked})
 
 
 def ledger_identities(ledger: DataFrame, orders: DataFrame, tolerance: float = 1e-7) -> DataFrame:

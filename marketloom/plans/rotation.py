@@ -16,14 +16,15 @@ def ordered():
     return Window.orderBy(DATE)
 
 
-def common_panel(prices: DataFrame) -> DataFrame:
-    """Adjusted open and close on the dates where every symbol has both."""
+def common_panel(prices: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Adjusted open and close on the dates where every symbol of the panel has both; ``by`` names several panels' keys."""
+    by = by or []
     p = prices.withColumns({"adj_open": F.col("open") * F.col("adj_factor"), "adj_close": F.col("close") * F.col("adj_factor")})
     p = fail_where(p, (F.col("adj_open") <= 0) | (F.col("adj_close") <= 0), "adj_open", "adjusted prices must be positive")
-    p = keep_one(p.where("adj_open is not null and adj_close is not null").select(DATE, SYM, "adj_open", "adj_close"), [DATE, SYM], ["adj_open"], "last")
-    total = p.agg(F.countDistinct(SYM).alias("_all"))
-    full = p.groupBy(DATE).agg(F.count(F.lit(1)).alias("_all")).join(total, "_all", "left_semi")
-    return p.join(full.select(DATE), DATE, "left_semi")
+    p = keep_one(p.where("adj_open is not null and adj_close is not null").select(*by, DATE, SYM, "adj_open", "adj_close"), [*by, DATE, SYM], ["adj_open"], "last")
+    total = p.groupBy(*by).agg(F.countDistinct(SYM).alias("_all"))
+    full = p.groupBy(*by, DATE).agg(F.count(F.lit(1)).alias("_all")).join(total, [*by, "_all"], "left_semi")
+    return p.join(full.select(*by, DATE), [*by, DATE], "left_semi")
 
 
 def momentum(wide: DataFrame, first: str, second: str, lookback: int) -> DataFrame:

@@ -7,7 +7,7 @@ pushdown reach the files.
 
 from __future__ import annotations
 
-import re
+import datetime as dt
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -64,17 +64,44 @@ def month_end_rows(df: DataFrame, date: str = DATE, drop_current_after: str | No
     return df.join(ends.select(date), date, "left_semi")
 
 
+def folder_values(spark: SparkSession, root: str, name: str) -> list[str]:
+    """Values of the ``name=value`` folders right below ``root``, ascending, from one listing; no file is touched."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    names = [f.getPath().getName() for f in found if f.isDirectory()]
+    return sorted(n.partition("=")[2] for n in names if n.startswith(f"{name}="))
+
+
+def folders(spark: SparkSession, root: str, name: str, values: list[str]) -> DataFrame:
+    """Rows of the named folders; the others are neither listed nor opened."""
+    return spark.read.option("basePath", root).parquet(*[f"{root.rstrip('/')}/{name}={v}" for v in values])
+
+
+def month_end_folders(spark: SparkSession, root: str, drop_current_after: str | None = None) -> DataFrame:
+    """Rows of the last ``trade_date=YYYYMMDD`` folder of every month; the month of ``drop_current_after`` is out when incomplete.
+
+    Folder names are the calendar, so the choice is made before anything is read. Raises if no folder is left.
+    """
+    last = {v[:6]: v for v in folder_values(spark, root, DATE)}
+    if drop_current_after:
+        today = dt.date.fromisoformat(drop_current_after)
+        if (today + dt.timedelta(days=1)).month == today.month:
+            last.pop(f"{today:%Y%m}", None)
+    if not last:
+        raise ValueError(f"no month-end folder under {root}")
+    return folders(spark, root, DATE, sorted(last.values())).withColumn(DATE, compact_date(F.col(DATE)))
+
+
 def symbol_files(spark: SparkSession, folder: str, start: str, end: str, order: list[str]) -> DataFrame:
     """A folder of per-symbol files: date window, last row per key."""
     return keep_one(date_window(spark.read.parquet(folder), start, end), KEYS, order, keep="last")
 
 
 def latest_vintage(spark: SparkSession, root: str) -> DataFrame:
-    """Rows of the newest ``vintage=`` folder; its name, found among the folders' names alone, is a filter on the scan."""
-    df = spark.read.parquet(root)
-    names = {m[1] for f in df.inputFiles() if (m := re.search(r"/vintage=([^/]+)/", f)) and not m[1].startswith("__")}
+    """Rows of the newest ``vintage=`` folder, found by one listing; a folder without vintages is the older layout and read whole."""
+    names = [v for v in folder_values(spark, root, "vintage") if not v.startswith("__")]
     newest = max(names, key=lambda v: (int(v), v) if v.isdigit() else (0, v), default=None)
-    return df.where(F.col("vintage") == F.lit(newest).cast(df.schema["vintage"].dataType)) if newest else df.limit(0)
+    return folders(spark, root, "vintage", [newest]) if newest else spark.read.parquet(root)
 
 
 def latest_announcement(df: DataFrame, end: str | None = None) -> DataFrame:

@@ -125,3 +125,17 @@ def test_ols_recovers_coefficients(spark):
     p["strategy"] = 0.5 * p["size"] + 0.2 * p["value"] + 1e-4
     got = pdf(ols(spark.createDataFrame(p), "strategy", ["size", "value"], [], 20), "factor")
     assert np.allclose(got["beta"], [0.5, 0.2]) and np.allclose(got["intercept"], 1e-4) and np.allclose(got["r_squared"], 1.0)
+
+
+def test_split_without_a_side_and_absent_frozen_policy_raise(frame):
+    import pytest
+
+    rows = frame("trade_date date, symbol string, entry_date date", [("2024-01-02", "A", "2024-01-03"), ("2024-01-10", "A", "2024-01-11")])
+    assert sorted(r.split for r in E.temporal_split(rows, "2024-01-05").collect()) == ["test", "train"]
+    with pytest.raises(ValueError, match="no test"):
+        E.temporal_split(rows, "2024-02-01")
+    m = frame("top_k int, exit_policy string, sharpe double", [(5, "a", 1.0), (10, "a", 2.0), (10, "b", 2.0), (20, "a", None)])
+    got = {r.choice: (r.top_k, r.exit_policy) for r in E.chosen_policies(m, ["top_k", "exit_policy"], {"top_k": 20, "exit_policy": "a"}).collect()}
+    assert got == {"best": (10, "a"), "frozen": (20, "a")}
+    with pytest.raises(ValueError, match="frozen"):
+        E.chosen_policies(m, ["top_k", "exit_policy"], {"top_k": 7, "exit_policy": "a"})

@@ -88,3 +88,36 @@ def test_month_end_rows_drop_the_running_month(frame):
     df = frame("trade_date date, symbol string", [("2024-01-30", "A"), ("2024-01-31", "A"), ("2024-02-05", "A")])
     got = pdf(S.month_end_rows(df, drop_current_after="2024-02-06"))["trade_date"].tolist()
     assert got == [dt.date(2024, 1, 31)]
+
+
+def test_month_end_folders_read_only_their_files(spark, tmp_path):
+    days = ["20240130", "20240131", "20240201", "20240229", "20240304"]
+    spark.createDataFrame([(d, i) for i, d in enumerate(days)], "trade_date string, symbol int").write.partitionBy("trade_date").parquet(str(tmp_path / "x"))
+    assert S.folder_values(spark, str(tmp_path / "x"), "trade_date") == days
+    read = S.month_end_folders(spark, str(tmp_path / "x"), "2024-03-05")
+    assert sorted(r.symbol for r in read.collect()) == [1, 3] and len(read.inputFiles()) == 2
+    assert sorted(r.symbol for r in S.month_end_folders(spark, str(tmp_path / "x"), "2024-03-31").collect()) == [1, 3, 4]
+    with pytest.raises(ValueError):
+        S.month_end_folders(spark, str(tmp_path / "x" / "trade_date=20240131"))
+
+
+def test_newest_vintage_or_the_older_layout(spark, tmp_path):
+    spark.createDataFrame([(9, 1), (10, 2)], "vintage int, v int").write.partitionBy("vintage").parquet(str(tmp_path / "a"))
+    assert [r.v for r in S.latest_vintage(spark, str(tmp_path / "a")).collect()] == [2]
+    spark.range(3).write.parquet(str(tmp_path / "b"))
+    assert S.latest_vintage(spark, str(tmp_path / "b")).count() == 3
+
+
+def test_last_copy_of_a_turnover_row_counts(frame):
+    from marketloom.operators.clean import clip_turnover
+
+    rows = frame("trade_date date, symbol string, turnover_rate string, copy int", [("2024-01-02", "A", "3", 0), ("2024-01-02", "A", "200", 1), ("2024-01-02", "B", "x", 0), ("2024-01-02", "C", "0", 0)])
+    assert {r.symbol: r.turnover_rate for r in clip_turnover(rows, order=["copy"]).collect()} == {"A": 100.0, "C": 0.01}
+
+
+def test_a_wrong_reported_delta_does_not_match(frame):
+    from marketloom.operators.verify import delta_report
+
+    rows = frame("variant string, trade_date date, ret double", [("base", "2024-01-02", 1.0), ("base", "2024-01-03", 2.0), ("x", "2024-01-02", 2.0), ("x", "2024-01-03", 4.0), ("y", "2024-01-03", 0.0), ("z", "2024-01-03", 9.0)])
+    got = {r.variant: (r.dates, r.delta_ret, r.ret_matches) for r in delta_report(rows, "base", ["ret"], frame("variant string, ret double", [("x", 1.5), ("y", 2.0)]), ["ret"]).collect()}
+    assert got == {"x": (2, 1.5, True), "y": (1, -2.0, False), "z": (1, 7.0, False)}
