@@ -12,7 +12,7 @@ import re
 from array import array
 from collections.abc import Iterator
 
-CACHE = 400_000  # pieces in each of a worker's two generations, about 200 bytes each
+CACHE = 800_000  # pieces in each of a worker's two generations, about 200 bytes each
 SLICE = 1_000_000  # characters encoded at once
 LETTERS_MARKS = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)")
 _LOADED: dict[str, ChunkEncoder] = {}
