@@ -66,14 +66,17 @@ q{depth} as (select {keys}measure, max(docs) as docs, min(case when upto * 100 >
     min(case when upto * 100 >= docs * 50 then v end) as b, min(case when upto * 100 >= docs * 75 then v end) as c from c{depth} group by {keys}measure)"""
     pick = ", ".join(f"case when q0.docs >= {quality.MIN_DOCS} then q0.{x} when q1.docs >= {quality.MIN_DOCS} then q1.{x} else q2.{x} end as {x}" for x in "abc")
     tests, limits = [], []
-    for k, (up, down, least) in quality.MEASURES.items():
+    value = lambda k, x: f"max(case when measure = '{k}' then {x} end)"
+    for k, (up, down, rate, size, event) in quality.MEASURES.items():
+        a, b, c = (value(k, x) for x in "abc")
+        reach = f"{quality.SPREAD} * greatest({b} - {a}, {c} - {b}, ceil({rate * event} / greatest({value(size, 'b')}, 1)))"
         if up:
-            limits.append(f"max(case when measure = '{k}' then b + greatest({quality.SPREAD} * (b - a), {least}) end) as high_{k}")
+            limits.append(f"{b} + {reach} as high_{k}")
             tests.append(f"{k} <= high_{k}")
         if down:
-            limits.append(f"max(case when measure = '{k}' then b - greatest({quality.SPREAD} * (c - b), {least}) end) as low_{k}")
+            limits.append(f"{b} - {reach} as low_{k}")
             tests.append(f"{k} >= low_{k}")
-    values = " union all ".join(f"select lang, source, '{k}' as measure, {k} as value from facts" for k in quality.MEASURES)
+    values = " union all ".join(f"select lang, source, '{k}' as measure, {k} as value from facts" for k in (*quality.MEASURES, *quality.SIZES))
     return rf"""
 d as (select row_number() over () as r, * from {source}),
 t as (select *, coalesce(text, '') as body from d),
@@ -83,7 +86,7 @@ win as (select r, i, list_slice(words, i, i + 7) as g from (select r, words, unn
 rep as (select r, g from win group by r, g having count(*) > 1),
 pos as (select distinct r, unnest(range(i, i + 8)) as p from win join rep using (r, g)),
 cov as (select r, count(*) as n_repeat_words from pos group by r),
-facts as (select w.*, len(words) as n_words, length(array_to_string(words, '')) as word_chars,
+facts as (select w.*, len(words) as n_words, len(lines) as n_lines, length(array_to_string(words, '')) as word_chars,
       length(body) - length(regexp_replace(body, '[#*$%&|<>]', '', 'g')) as n_symbols,
       len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words,
       n_words < 20 or 100 * coalesce(n_repeat_words, 0) > 30 * n_words as base_failed,

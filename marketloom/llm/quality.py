@@ -18,16 +18,17 @@ SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-#: measure: (documents are rejected above the upper fence, below the lower one, least distance of a fence from the median)
+#: measure: (documents are rejected above the upper fence, below the lower one, scale of the rate, the count it is a rate of, words or signs of one event)
 MEASURES = {
-    "symbols": (True, False, 40),  # symbols per 1000 characters of words
-    "dup_lines": (True, False, 400),  # repeated lines per 1000 lines
-    "repeats": (True, False, 250),  # words in repeated windows per 1000 words
-    "stutter": (True, False, 250),  # words that repeat the word before them per 1000 words
-    "upper": (True, False, 200),  # capital letters per 1000 characters of words
-    "word_length": (True, True, 250),  # characters per 100 words
+    "symbols": (True, False, 1000, "word_chars", 1),  # symbols per 1000 characters of words
+    "dup_lines": (True, False, 1000, "n_lines", 1),  # repeated lines per 1000 lines
+    "repeats": (True, False, 1000, "n_words", WINDOW),  # words in repeated windows per 1000 words
+    "stutter": (True, False, 1000, "n_words", 1),  # words that repeat the word before them per 1000 words
+    "upper": (True, False, 1000, "word_chars", 1),  # capital letters per 1000 characters of words
+    "word_length": (True, True, 100, "n_words", 1),  # characters per 100 words
 }
-SPREAD = 8  # fences stand this many half-quartile ranges from the median
+SIZES = ("n_words", "word_chars", "n_lines")  # sketched like the measures, for the unit of a rate
+SPREAD = 8  # fences stand this many scales from the median
 MIN_DOCS = 50  # documents that a group needs for a sketch of its own
 
 
@@ -76,7 +77,7 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
         n, chars, windows = m["w"]["n_words"], F.greatest(m["w"]["word_chars"], F.lit(1)), long(m["w"]["r"]["windows"])
         whole = lambda a, b, k=1000: ((a * k - (a * k) % b) / b).cast("long")
         return F.struct(
-            n.alias("n_words"), m["w"]["word_chars"].alias("word_chars"), m["n_symbols"].alias("n_symbols"), m["l"]["n_dup_lines"].alias("n_dup_lines"), windows.alias("n_repeat_words"),
+            n.alias("n_words"), m["w"]["word_chars"].alias("word_chars"), m["n_symbols"].alias("n_symbols"), m["l"]["n_dup_lines"].alias("n_dup_lines"), m["l"]["n_lines"].alias("n_lines"), windows.alias("n_repeat_words"),
             ((n < 20) | (100 * windows > 30 * n)).alias("base_failed"),
             whole(m["n_symbols"], chars).alias("symbols"), whole(m["l"]["n_dup_lines"], F.greatest(m["l"]["n_lines"], F.lit(1))).alias("dup_lines"),
             whole(windows, F.greatest(n, F.lit(1))).alias("repeats"), whole(long(m["w"]["r"]["neighbours"]), F.greatest(n, F.lit(1))).alias("stutter"), whole(m["n_upper"], chars).alias("upper"), whole(m["w"]["word_chars"], F.greatest(n, F.lit(1)), 100).alias("word_length"),
@@ -85,12 +86,12 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.withColumn("m", once(counts, derive))
 
 
-def sketch(rows: DataFrame) -> DataFrame:
+def sketch(rows: DataFrame, keys: tuple[str, ...] = tuple(MEASURES)) -> DataFrame:
     """Mergeable sketch of each language and source: (lang, source, measure, value, n), values cut to six leading bits.
 
     Grouped with partial sums, so a source that holds most documents shuffles no more rows than any other.
     """
-    entries = F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), F.col(f"m.{k}").alias("value")) for k in MEASURES]))
+    entries = F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), F.col(f"m.{k}").alias("value")) for k in keys]))
     rows = rows.select("lang", "source", entries.alias("e")).select("lang", "source", "e.measure", "e.value")
     cut = "greatest(length(bin(value)) - 6, 0)"
     return rows.groupBy("lang", "source", "measure", F.expr(f"shiftleft(shiftright(value, {cut}), {cut})").alias("value")).agg(F.count("*").alias("n"))
@@ -99,9 +100,10 @@ def sketch(rows: DataFrame) -> DataFrame:
 def fences(parts: DataFrame, min_docs: int = MIN_DOCS, spread: int = SPREAD) -> DataFrame:
     """Thresholds of each language and source from its sketch, or from the merged one of its language, or of all.
 
-    Returns (lang, source) and low_<measure>, high_<measure>: median +- spread x (median - the quartile on the other
-    side), at least the measure's least distance. The quartile comes from the side away from the fence, so rejects do
-    not move their own threshold until they are half of a group.
+    Returns (lang, source) and low_<measure>, high_<measure>: median +- spread x scale. The scale is the wider of the two
+    half-quartile ranges, and at least the unit of the measure: what one event adds to the rate of the group's median
+    document, from the sketch of the sizes. So where three quarters of a group have none of something, a document may have
+    ``spread`` events in a median document's length. Rejects do not move their thresholds until they are a quarter of a group.
     """
     groups = [("lang", "source"), ("lang",), ()]
     levels = []
@@ -118,13 +120,14 @@ def fences(parts: DataFrame, min_docs: int = MIN_DOCS, spread: int = SPREAD) ->
     t = own.join(lang, own.lang.eqNullSafe(lang.of_lang) & (own.measure == lang.m1), "left").join(top, F.col("measure") == F.col("m2"), "left")
     q = F.when(F.col("docs0") >= min_docs, F.col("q0")).when(F.col("docs1") >= min_docs, F.col("q1")).otherwise(F.col("q2"))
     t = t.select("lang", "source", "measure", q.alias("q"))
-    reach = lambda k, d: F.greatest(spread * d, F.lit(MEASURES[k][2]))
+    value = lambda k, x: F.max(F.when(F.col("measure") == k, F.col(f"q.{x}"))).alias(f"{x}_{k}")
+    t = t.groupBy("lang", "source").agg(*[value(k, x) for k in MEASURES for x in "abc"], *[value(k, "b") for k in SIZES])
     limits = []
-    for k, (up, down, _) in MEASURES.items():
-        here = F.col("measure") == k
-        limits += [F.max(F.when(here, F.col("q.b") + reach(k, F.col("q.b") - F.col("q.a")))).alias(f"high_{k}")] * up
-        limits += [F.max(F.when(here, F.col("q.b") - reach(k, F.col("q.c") - F.col("q.b")))).alias(f"low_{k}")] * down
-    return t.groupBy("lang", "source").agg(*limits)
+    for k, (up, down, rate, size, event) in MEASURES.items():
+        a, b, c, per = F.col(f"a_{k}"), F.col(f"b_{k}"), F.col(f"c_{k}"), F.greatest(F.col(f"b_{size}"), F.lit(1))
+        reach = spread * F.greatest(b - a, c - b, F.ceil(F.lit(rate * event) / per))
+        limits += [(b + reach).alias(f"high_{k}")] * up + [(b - reach).alias(f"low_{k}")] * down
+    return t.select("lang", "source", *limits)
 
 
 def judged(rows: DataFrame, min_docs: int = MIN_DOCS, spread: int = SPREAD) -> DataFrame:
@@ -134,11 +137,11 @@ def judged(rows: DataFrame, min_docs: int = MIN_DOCS, spread: int = SPREAD) -> D
     measured size or else splits the skewed sources of the join.
     """
     rows = staged(rows)
-    limits = fences(sketch(rows), min_docs, spread)
+    limits = fences(sketch(rows, (*MEASURES, *SIZES)), min_docs, spread)
     limits = limits.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[F.col(c) for c in limits.columns[2:]])
     joined = rows.join(limits, rows.lang.eqNullSafe(limits._lang) & rows.source.eqNullSafe(limits._source), "left")
     within = ~F.col("m.base_failed")
-    for k, (up, down, _) in MEASURES.items():
+    for k, (up, down, *_) in MEASURES.items():
         within = within & (F.col(f"m.{k}") <= F.col(f"high_{k}")) if up else within
         within = within & (F.col(f"m.{k}") >= F.col(f"low_{k}")) if down else within
     return joined.withColumn("kept", within).drop("_lang", "_source", *limits.columns[2:])

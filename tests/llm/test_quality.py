@@ -62,3 +62,13 @@ def test_sketches_merge_and_are_close(spark):
 
 def test_no_python(spark, odd_docs):
     assert "Python" not in quality.report(odd_docs)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_unit_follows_the_size_of_a_group(spark):
+    """Where nearly no document has an odd thing, the fence is SPREAD events in the group's median document, in whole parts of a thousand, not a fixed rate."""
+    text = lambda n, odd: " ".join(f"w{i % 7}o{i}" + ("#" if i < odd else "") for i in range(n))
+    rows = [(i, text(40, 0), "en", "short") for i in range(100)] + [(1000 + i, text(800, 0), "en", "long") for i in range(100)]
+    rows += [(2000, text(40, 6), "en", "short"), (2001, text(40, 12), "en", "short"), (2002, text(800, 6), "en", "long"), (2003, text(800, 60), "en", "long")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    gone = {r.doc_id for r in quality.report(df).where("not kept").collect()}
+    assert gone == {2001, 2003}
