@@ -19,8 +19,10 @@ from pyspark.sql import DataFrame
 
 from .common import batches, columns_of
 
-QUOTED = r"""(?:"[^"]{0,2000}"|'[^']{0,2000}')"""  # a stray quote costs a bounded search
-MARKUP = re.compile(rf"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/><]*)([^>"'<]*(?:{QUOTED}[^>"'<]*)*|[^<>]*)>|<[!?][^<>]*>""", re.S)
+MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/><]*)|<[!?][^<>]*>""", re.S)
+STOP = re.compile(r"""["'<>]""")
+PLAIN = re.compile("[<>]")
+VALUE = re.compile(r"""=\s*\Z""")
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 HIDDEN = re.compile(r"""\bhidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 PARTS = re.compile(r"[a-z0-9]+")
@@ -36,11 +38,15 @@ CONTENT = frozenset("article main".split())
 #: Words of class, id or role that mark what is not the article.
 NOISE = frozenset(
     "ad ads advert adverts advertisement advertisements advertising banner banners breadcrumb breadcrumbs comment comments commentlist complementary contentinfo cookie cookies consent disqus disclaimer "
-    "footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promotion promoted recommended related search share sharing "
+    "discussion feedback footer gdpr header legal login masthead menu menus modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promotion promoted reactions recommended related replies responses search share sharing "
     "sidebar signup social sponsor sponsored subscribe subscription toolbar topbar widget".split()
 )
 GOOD = frozenset("article articlebody content entry main post story body text".split())
-STRONG = 40.0  # cost of keeping what its place in the page rules out
+#: Those of them that also name a place in the page's layout, which a word for content beside them makes doubtful.
+LAYOUT = frozenset("banner banners header legal login masthead modal notice notices overlay recommended related search share sharing signup social toolbar topbar widget".split())
+STRONG = 40.0  # cost of keeping what its element rules out: forms, menus, hidden parts
+NOISY, DOUBTFUL = 16.0, 8.0  # cost of keeping what a word marks as no article, and what another word beside it marks as one
+ACROSS = 0.25  # share of the smoothness between marked and unmarked neighbours
 SMOOTH = 4.0  # capacity between neighbours in one container
 
 
@@ -50,9 +56,10 @@ FAR = 8  # steps up from a block after which its distance no longer counts
 class Element:
     """An open element; block elements are linked to the block element above."""
 
-    __slots__ = ("name", "ruled_out", "inside", "named", "paragraph", "block", "above")
+    __slots__ = ("name", "ruled_out", "inside", "named", "paragraph", "block", "above", "noise")
 
-    def __init__(self, name, ruled_out=False, inside=False, named=False, paragraph=0, above=None):
+    def __init__(self, name, ruled_out=False, inside=False, named=False, paragraph=0, above=None, noise=0.0):
+        self.noise = noise
         self.name, self.ruled_out, self.inside, self.named = name, ruled_out, inside, named
         self.paragraph = paragraph  # place of the innermost open paragraph of this scope in the stack, 0 if none
         self.block = above if name in INLINE else self
@@ -60,13 +67,41 @@ class Element:
 
 
 class Block:
-    __slots__ = ("parts", "links", "letters", "place", "ruled_out", "inside", "named", "tag")
+    __slots__ = ("parts", "links", "letters", "place", "ruled_out", "inside", "named", "tag", "noise", "dense")
 
     def __init__(self, e: Element):
+        self.noise, self.dense = e.noise, 0.0  # dense: share of link text in the container
         self.parts, self.links, self.letters = [], 0, 0
         self.place, self.ruled_out, self.inside, self.named, self.tag = e.block, e.ruled_out, e.inside, e.named, e.block.name
 
 
+class Tags:
+    """Finds where tags end. A quoted value ends at its closing quote however far that is; a quote without one is stray."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {q: page.rfind(q) for q in "\"'"}
+        self.quotes = True  # false once quotes have swallowed the rest of the page
+
+    def end(self, at: int) -> int:
+        """Place of the > that ends the tag whose name ends at ``at``, or -1 if it is no tag."""
+        start = at
+        while self.quotes:
+            m = STOP.search(self.page, at)
+            if m is None:
+                self.quotes = False
+            elif m[0] == ">":
+                return m.start()
+            elif m[0] == "<":
+                break
+            else:
+                at = m.end()
+                if self.last[m[0]] >= at and VALUE.search(self.page, max(start, at - 9), at - 1):
+                    at = self.page.find(m[0], at) + 1
+        m = PLAIN.search(self.page, start)  # no whole tag with its quotes: up to the next > if no < comes before
+        return m.start() if m and m[0] == ">" else -1
+
+
 def blocks(page: str) -> list[tuple[str, Block]]:
     """(text, block) of every non-empty block in page order; scripts, styles and comments have none."""
     out: list[tuple[str, Block]] = []
@@ -100,16 +135,19 @@ def blocks(page: str) -> list[tuple[str, Block]]:
             opened[e.name] -= 1
         del stack[upto:]
 
-    find = MARKUP.search
+    find, tags, skip = MARKUP.search, Tags(page), 0
     while True:
-        m = find(page, at)
+        m = find(page, skip or at)
         if m is None:
             add(page[at:])
             break
+        name, stop = m[2], m.end() - 1 if m[2] is None else tags.end(m.end())
+        if stop < 0:  # a less-than sign of the text
+            skip = m.end()
+            continue
         if m.start() > at:
             add(page[at : m.start()])
-        at = m.end()
-        name = m[2]
+        at, skip = stop + 1, 0
         if name is None:
             continue
         name, inline = name.lower(), name.lower() in INLINE
@@ -144,20 +182,29 @@ def blocks(page: str) -> list[tuple[str, Block]]:
                     break
                 if stack[i].name in SCOPES:
                     break
-        attrs, up = m[3], stack[-1]
-        ruled, named = up.ruled_out, up.named
+        attrs, up = page[m.end() : stop], stack[-1]
+        ruled, named, noise = up.ruled_out, up.named, up.noise
         if attrs:
             words = {w for value in NAMED.findall(attrs) for w in PARTS.findall(value.lower())}
             own = bool(words & GOOD)
             # A body, main or article may be styled for its menu or comments without being one.
-            if words & NOISE and name not in ("html", "body", "main") and not (own and name in CONTENT) or HIDDEN.search(attrs):
-                ruled = True
+            if words & NOISE and name not in ("html", "body", "main") and not (own and name in CONTENT):
+                noise = max(noise, DOUBTFUL if own and words & NOISE <= LAYOUT else NOISY)
+            ruled = ruled or HIDDEN.search(attrs) is not None
             named = named or own
         ruled = ruled or name in NEVER or name == "footer" or name == "header" and not up.inside
         paragraph = len(stack) if name == "p" else 0 if name in SCOPES else up.paragraph
-        stack.append(Element(name, ruled, up.inside or name in CONTENT, named, paragraph, up.block))
+        stack.append(Element(name, ruled, up.inside or name in CONTENT, named, paragraph, up.block, noise))
         opened[name] = opened.get(name, 0) + 1
     close()
+    sums: dict[int, list[int]] = {}
+    for _, b in out:
+        total = sums.setdefault(id(b.place.above), [0, 0])
+        total[0] += b.links
+        total[1] += b.letters
+    for _, b in out:
+        links, letters = sums[id(b.place.above)]
+        b.dense = links / max(1, letters)
     return out
 
 
@@ -168,7 +215,7 @@ def cost(text: str, b: Block) -> float:
     words = text.count(" ") + 1
     density = b.links / max(1, b.letters)
     score = 1.2 * math.log1p(words) - 2.4 - 6.0 * density
-    score += 6.0 * b.inside + 1.5 * b.named
+    score += 6.0 * b.inside + 1.5 * b.named - 2.0 * b.dense - b.noise
     if b.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"):
         score += 1.0
     if text[-1] in ".!?\"'”»…。":
@@ -193,13 +240,17 @@ def distance(a: Element, b: Element) -> int:
 def edges(found: list[Block]) -> list[tuple[int, int, float]]:
     """Smoothness edges: each block and the next one, and each block and the one before it in its container.
 
-    What its place rules out and what it does not are not smoothed into each other; such blocks are passed over.
+    What is ruled out is passed over. Blocks that a word marks are linked among each other, and unmarked ones over them;
+    between the two kinds the links of neighbours are weaker.
     """
     out, before, last = [], {}, {}
     for i, b in enumerate(found):
-        near = {before.get(b.ruled_out), last.get((b.ruled_out, id(b.place.above)))} - {None}
+        kind = (b.ruled_out, b.noise > 0)
+        near = {before.get(kind), last.get((kind, id(b.place.above)))} - {None}
         out += [(j, i, SMOOTH / (1 + distance(found[j].place, b.place))) for j in sorted(near)]
-        before[b.ruled_out] = last[b.ruled_out, id(b.place.above)] = i
+        if i and not b.ruled_out and not found[i - 1].ruled_out and i - 1 not in near:
+            out.append((i - 1, i, ACROSS * SMOOTH / (1 + distance(found[i - 1].place, b.place))))
+        before[kind] = last[kind, id(b.place.above)] = i
     return out
 
 

@@ -68,3 +68,26 @@ def test_null_repeated_and_empty_tables(spark):
     got = html_cut.extract(df)
     assert sorted((r.page_id or 0, r.text) for r in got.collect()) == [(0, "Some text here."), (1, ""), (1, "")]
     assert html_cut.extract(df.limit(0)).count() == 0
+
+
+LONG = "<p>A long paragraph of the story, with more than enough words to be told from a menu.</p>"
+
+
+@pytest.mark.parametrize("value", ["<b>x</b> ", " > ", "'quoted' < "])
+@pytest.mark.parametrize("size", [10, 5000, 200000])
+def test_attribute_values_of_any_length(value, size):
+    props = value * (size // len(value))
+    page = f'<article>{LONG}<div class="advert" data-props="{props}">Buy this now, it is cheap.</div><p>The story ends here.</p></article>'
+    assert html_cut.main_text(page) == html_cut.main_text(f"<article>{LONG}<p>The story ends here.</p></article>")
+
+
+def test_marks_are_weights_of_the_cut():
+    text = html_cut.main_text(f"<article>{LONG}</article>")
+    assert html_cut.main_text(f'<main><div class="search-results content">{LONG}</div></main>') == text
+    assert html_cut.main_text(f'<article>{LONG}</article><div class="user-responses"><p>I liked this story a lot, thank you for it.</p></div>') == text
+    assert html_cut.main_text(f'<article>{LONG}<div class="legal">All rights in this text are reserved by us.</div></article>') == text
+
+
+def test_a_stray_quote_ends_at_its_tag():
+    assert html_cut.main_text('<article><p title="x>One two three.</p><p>Four five six.</p></article>') == "One two three.\n\nFour five six."
+    assert html_cut.main_text("<article><p>It is 1 < 2 and a<b here.</p></article>") == "It is 1 < 2 and a<b here."
