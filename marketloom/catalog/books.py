@@ -151,7 +151,7 @@ def books_sql(variants, ks) -> str:
     klist = ", ".join(f"({k})" for k in ks)
     return f"""s AS ({union}), r AS (SELECT *, row_number() OVER (PARTITION BY variant, trade_date ORDER BY score DESC, symbol) AS k FROM s), t AS (SELECT r.*, top_k, dense_rank() OVER (ORDER BY trade_date) AS i FROM r, (VALUES {klist}) v(top_k) WHERE k <= top_k),
       u AS (SELECT coalesce(a.variant, b.variant) AS variant, coalesce(a.top_k, b.top_k) AS top_k, coalesce(a.i, b.i + 1) AS i, count(*) FILTER (a.symbol IS NULL OR b.symbol IS NULL) AS moved FROM t a FULL JOIN t b ON a.symbol = b.symbol AND a.variant = b.variant AND a.top_k = b.top_k AND b.i = a.i - 1 GROUP BY 1, 2, 3),
-      b AS (SELECT variant, top_k, trade_date, names, moved / top_k AS turnover, (1 + coalesce(g, 0)) * (1 - moved / top_k * 30 / 10000) - 1 AS ret FROM (SELECT variant, top_k, trade_date, i, count(*) AS names, avg(next_ret) AS g FROM t GROUP BY ALL) JOIN u USING (variant, top_k, i))"""
+      b AS (SELECT variant, top_k, trade_date, names, moved / top_k AS turnover, (1 + coalesce(g, 0)) * (1 - moved / top_k * 30 / 10000) - 1 AS ret, (1 + coalesce(g, 0)) * (1 - names / top_k * 30 / 10000) - 1 AS first FROM (SELECT variant, top_k, trade_date, i, count(*) AS names, avg(next_ret) AS g FROM t GROUP BY ALL) JOIN u USING (variant, top_k, i))"""
 
 
 RANK_SQL = """SELECT b.variant, b.top_k, count(*) AS periods, round(power(product(1 + ret), 12.0::DOUBLE / count(*)) - 1, 6) AS ann, round(avg(ret) / stddev_samp(ret) * sqrt(12.0::DOUBLE), 6) AS sharpe, round(avg(turnover), 6) AS turnover, round(any_value(odds), 6) AS odds FROM b
@@ -168,14 +168,34 @@ def combo_search(spark, d):
     return ranked_books(spark, d, COMBOS, [20])
 
 
-@query("weight_sensitivity", f"WITH {books_sql(WEIGHTS, [20])} {RANK_SQL}", "zpanel")
+def sweep_sql(variants, ks) -> str:
+    """Every start by a path of its own: a book's rows from the start on, the first with its cost of entry."""
+    return f"""WITH {books_sql(variants, ks)}, eq AS (SELECT trade_date, coalesce(avg(next_ret), 0) AS br FROM zpanel GROUP BY 1), whole AS ({RANK_SQL}),
+      p AS (SELECT s.variant, s.top_k, s.trade_date AS start, b.trade_date, CASE WHEN b.trade_date = s.trade_date THEN b.first ELSE b.ret END AS r, br FROM b s JOIN b ON b.variant = s.variant AND b.top_k = s.top_k AND b.trade_date >= s.trade_date JOIN eq ON eq.trade_date = b.trade_date),
+      n AS (SELECT *, product(1 + r) OVER (PARTITION BY variant, top_k, start ORDER BY trade_date) AS nav FROM p), f AS (SELECT *, nav / max(nav) OVER (PARTITION BY variant, top_k, start ORDER BY trade_date) - 1 AS fall FROM n)
+      SELECT variant, top_k, start, count(*) AS periods, round(ln(product(1 + r)), 6) AS log_growth, round(power(product(1 + r), 12.0::DOUBLE / count(*)) - 1, 6) AS ann, round(avg(r) / nullif(stddev_samp(r), 0) * sqrt(12.0::DOUBLE), 6) AS sharpe,
+        round(min(fall), 6) AS max_drawdown, round(ln(product(1 + br)), 6) AS log_benchmark, any_value(w.turnover) AS turnover, any_value(w.odds) AS odds FROM f JOIN whole w USING (variant, top_k) GROUP BY 1, 2, 3"""
+
+
+def swept_books(spark, d, variants, ks):
+    """Results from every start, with the turnover and the rolling odds of the whole book; growth in logarithms, as it spans many orders."""
+    z = zpanel(spark, d)
+    books = staged(B.scored_books(z, variants, ks, 30.0))
+    bench = z.groupBy("trade_date").agg(F.coalesce(F.avg("next_ret"), F.lit(0.0)).alias("benchmark_ret"))
+    whole = B.rank_books(books, 12, 12).select("variant", "top_k", "turnover", "odds")
+    out = B.start_sweep(books, bench, 30.0, 12).join(whole, ["variant", "top_k"])
+    out = out.withColumns({"log_growth": F.log1p("total_return"), "log_benchmark": F.log1p("benchmark_return")}).drop("total_return", "benchmark_return")
+    return rounded(out, "log_growth", "ann", "sharpe", "max_drawdown", "log_benchmark", "turnover", "odds")
+
+
+@query("weight_sensitivity", sweep_sql(WEIGHTS, [20]), "zpanel")
 def weight_sensitivity(spark, d):
-    return ranked_books(spark, d, WEIGHTS, [20])
+    return swept_books(spark, d, WEIGHTS, [20])
 
 
-@query("topk_sensitivity", f"WITH {books_sql(WEIGHTS[:1], [5, 10, 20, 40])} {RANK_SQL}", "zpanel")
+@query("topk_sensitivity", sweep_sql(WEIGHTS[:1], [5, 10, 20, 40]), "zpanel")
 def topk_sensitivity(spark, d):
-    return ranked_books(spark, d, WEIGHTS[:1], [5, 10, 20, 40])
+    return swept_books(spark, d, WEIGHTS[:1], [5, 10, 20, 40])
 
 
 @query("equal_weight_index", """

@@ -8,10 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import add_all, fail_where
-from ..functions.stats import annualised, compound, growth, sharpe
+from ..functions.stats import annualised, compound, growth, nav, sharpe
 from ..operators.calendar import last_session_before, next_session
 from ..operators.execution import top_rows
-from ..operators.metrics import series_metrics
 from ..operators.ordering import ranked
 from ..session import staged
 from ..operators.portfolio import DATE, SYM, dense_index, equal_weight_top, set_turnover, weight_turnover
@@ -198,11 +197,30 @@ def target_turnover(targets: DataFrame, by: list[str]) -> DataFrame:
     return weight_turnover(targets, by)
 
 
-def from_start_dates(long: DataFrame, starts: list[str], year: int = 252) -> DataFrame:
-    """Series metrics from several start dates."""
-    from ..functions.expr import with_scenarios
-    d = with_scenarios(long, ["start"], [(s,) for s in starts]).where(F.col(DATE) >= F.col("start").cast("date"))
-    return series_metrics(d, ["series", "start"], year)
+def start_sweep(books: DataFrame, benchmark: DataFrame, cost_bps: float, per_year: int) -> DataFrame:
+    """Result of every book from every one of its dates on, beside the benchmark's return over the same dates.
+
+    A path that starts at a date buys all its names there. What follows is shared by all starts, so growth, sums and the
+    deepest fall are running aggregates from the last date back: one pass over a book's rows, whatever the number of starts.
+    A fall lies between two dates of the path, so it does not depend on the cost of entry. ``benchmark`` has one ``benchmark_ret`` a date.
+    """
+    by, cost = ["variant", "top_k"], cost_bps / 10000.0
+    back = Window.partitionBy(*by).orderBy(F.col(DATE).desc())
+    here, later = back.rowsBetween(Window.unboundedPreceding, 0), back.rowsBetween(Window.unboundedPreceding, -1)
+    entry = (1.0 + F.col("ret")) / (1.0 - F.col("turnover") * cost) * (1.0 - F.col("names") / F.col("top_k") * cost) - 1.0
+    d = nav(books.join(benchmark.select(DATE, "benchmark_ret"), DATE, "left"), by, DATE, "ret").withColumn("_first", entry)
+    d = d.withColumns({"_low": F.try_divide(F.min("nav").over(here), "nav") - 1.0, "periods": F.count(F.lit(1)).over(here)})
+    after = lambda agg, x, none: F.coalesce(agg(x).over(later), F.lit(none))
+    d = d.withColumns({
+        "_growth": (1.0 + F.col("_first")) * after(F.product, 1.0 + F.col("ret"), 1.0), "max_drawdown": F.min("_low").over(here),
+        "_mean": (F.col("_first") + after(F.sum, F.col("ret"), 0.0)) / F.col("periods"),
+        "_square": F.col("_first") * F.col("_first") + after(F.sum, F.col("ret") * F.col("ret"), 0.0),
+        "benchmark_return": F.product(1.0 + F.coalesce("benchmark_ret", F.lit(0.0))).over(here) - 1.0,
+    })
+    spread = F.try_divide(F.col("_square") - F.col("periods") * F.col("_mean") * F.col("_mean"), F.col("periods") - 1.0)
+    return d.select(*by, F.col(DATE).alias("start"), "periods", (F.col("_growth") - 1.0).alias("total_return"),
+                    annualised(F.col("_growth"), F.col("periods"), per_year).alias("ann"), "max_drawdown", "benchmark_return",
+                    F.when(spread > 1e-16, F.col("_mean") / F.sqrt(spread) * F.sqrt(F.lit(float(per_year)))).alias("sharpe"))
 
 
 def filled_benchmark(long: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -167,3 +167,39 @@ def test_an_invalid_formation_empties_the_book(spark):
     got = {r.trade_date: r for r in cost_adjusted_spread(df, [10.0], [0.0], dates).collect()}
     assert {d: round(r.traded, 9) for d, r in got.items()} == {"2024-01-01": 2.0, "2024-02-01": 2.0, "2024-03-01": 2.0}
     assert {d: round(r.net, 9) for d, r in got.items()} == {"2024-01-01": 0.098, "2024-02-01": -0.002, "2024-03-01": 0.098}
+
+
+def test_start_sweep_is_every_path_by_itself(spark):
+    """Against a loop over the starts; one book has equal returns, one a single date."""
+    import datetime as dt
+    import random
+
+    r, rows, bench = random.Random(4), [], []
+    dates = [dt.date(2020, 1, 31) + dt.timedelta(days=30 * i) for i in range(14)]
+    for variant, n in (("a", 14), ("b", 5), ("c", 1)):
+        rows += [(variant, 10, d, 8, 0.8 if i == 0 else r.random(), r.uniform(-0.2, 0.2)) for i, d in enumerate(dates[:n])]
+    bench = [(d, r.uniform(-0.1, 0.1)) for d in dates]
+    books = spark.createDataFrame(rows, "variant string, top_k int, trade_date date, names long, turnover double, ret double")
+    got = {(x.variant, x.start): x for x in B.start_sweep(books, spark.createDataFrame(bench, "trade_date date, benchmark_ret double"), 30.0, 12).collect()}
+    assert len(got) == len(rows)
+    of = dict(bench)
+    for v, _, start, names, turnover, ret in rows:
+        first = (1 + ret) / (1 - turnover * 0.003) * (1 - names / 10 * 0.003) - 1
+        path = [first] + [x[5] for x in rows if x[0] == v and x[2] > start]
+        value, peak, fall, b = 1.0, 0.0, 0.0, 1.0
+        for p in path:
+            value *= 1 + p
+            peak = max(peak, value)
+            fall = min(fall, value / peak - 1)
+        for x in rows:
+            b *= 1 + of[x[2]] if x[0] == v and x[2] >= start else 1.0
+        g = got[v, start]
+        assert g.periods == len(path)
+        assert abs(g.total_return - (value - 1)) < 1e-9 and abs(g.max_drawdown - fall) < 1e-9 and abs(g.benchmark_return - (b - 1)) < 1e-9
+        mean = sum(path) / len(path)
+        if len(path) > 1:
+            sd = (sum((p - mean) ** 2 for p in path) / (len(path) - 1)) ** 0.5
+            assert abs(g.sharpe - mean / sd * 12**0.5) < 1e-6
+        else:
+            assert g.sharpe is None
+    assert B.start_sweep(books.limit(0), spark.createDataFrame(bench, "trade_date date, benchmark_ret double"), 30.0, 12).count() == 0
