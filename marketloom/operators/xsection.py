@@ -99,23 +99,49 @@ def qcut(df: DataFrame, value: str, n: int = 5, by: list[str] | None = None, min
     return d.withColumn("valid", ok).drop(*seen, "_split")
 
 
-def residualize(df: DataFrame, value: str, controls: tuple[str, str], by: list[str] | None = None,
+TOLERANCE = 1e-10  # share of a control's variance under which the controls before it explain all of it
+
+
+def least_squares(moments: DataFrame, k: int) -> DataFrame:
+    """Adds _b0 .. _b(k-1), least squares slopes from centred moments _c<i>_<j> (i <= j < k) and _c<i>_y of each row.
+
+    Controls are eliminated one after another. One that is constant, or that the earlier ones explain, gets slope 0: the
+    residuals are the same as of any least squares solution.
+    """
+    d = moments
+    for j in range(k):
+        d = d.withColumn(f"_p{j}", F.when((F.col(f"_c{j}_{j}") > 0) & (F.col(f"_c{j}_{j}") > TOLERANCE * F.col(f"_v{j}")), 1.0 / F.col(f"_c{j}_{j}")).otherwise(0.0)) if j else d.withColumns(
+            {**{f"_v{i}": F.col(f"_c{i}_{i}") for i in range(k)}, "_p0": F.when(F.col("_c0_0") > 0, 1.0 / F.col("_c0_0")).otherwise(0.0)})
+        rest = range(j + 1, k)
+        less = {f"_c{i}_{m}": F.col(f"_c{i}_{m}") - F.col(f"_c{j}_{i}") * F.col(f"_p{j}") * F.col(f"_c{j}_{m}") for i in rest for m in [*range(i, k), "y"]}
+        d = d.withColumns(less) if less else d
+    for j in reversed(range(k)):
+        known = add_all([F.col(f"_c{j}_{m}") * F.col(f"_b{m}") for m in range(j + 1, k)]) if j < k - 1 else F.lit(0.0)
+        d = d.withColumn(f"_b{j}", F.col(f"_p{j}") * (F.col(f"_c{j}_y") - known))
+    return d
+
+
+def residualize(df: DataFrame, value: str, controls: tuple[str, ...], by: list[str] | None = None,
                 min_rows: int = 30, out: str | None = None) -> DataFrame:
-    """Residual of ``value`` on an intercept and two controls per date, then z-scored.
+    """Residual of ``value`` on an intercept and any number of controls per date, then z-scored.
 
-    Normal equations on centred moments: one aggregate per date, solved in the row.
+    Centred moments of one aggregate per date, solved there and joined back. Collinear and constant controls are allowed
+    (see ``least_squares``). Rows with a null in a column used, and dates with fewer than ``min_rows`` others, get null.
     """
-    by, out = by or [DATE], out or f"{value}_neutral"
-    a, b = controls
-    full = F.col(value).isNotNull() & F.col(a).isNotNull() & F.col(b).isNotNull()
-    cols = {"y": value, "a": a, "b": b}
-    part = df.withColumns({f"_{k}": F.when(full, F.col(c).cast("double")) for k, c in cols.items()})
-    cov = {f"_c{p}{q}": F.covar_pop(f"_{p}", f"_{q}") for p, q in ("aa", "ab", "bb", "ay", "by")}
-    d = with_stats(part, by, _n=F.count("_y"), _my=F.avg("_y"), _ma=F.avg("_a"), _mb=F.avg("_b"), **cov)
-    det = F.col("_caa") * F.col("_cbb") - F.col("_cab") * F.col("_cab")
-    ba = safe_divide(F.col("_cay") * F.col("_cbb") - F.col("_cby") * F.col("_cab"), det)
-    bb = safe_divide(F.col("_cby") * F.col("_caa") - F.col("_cay") * F.col("_cab"), det)
-    resid = (F.col("_y") - F.col("_my")) - ba * (F.col("_a") - F.col("_ma")) - bb * (F.col("_b") - F.col("_mb"))
+    by, out, k = by or [DATE], out or f"{value}_neutral", len(controls)
+    cols = {"y": value, **{str(i): c for i, c in enumerate(controls)}}
+    full = F.lit(True)
+    for c in cols.values():
+        full = full & F.col(c).isNotNull()
+    part = df.withColumns({f"_x{i}": F.when(full, F.col(c).cast("double")) for i, c in cols.items()})
+    cov = [F.covar_pop(f"_x{i}", f"_x{m}").alias(f"_c{i}_{m}") for i in range(k) for m in [*range(i, k), "y"]]
+    moments = part.groupBy(*by).agg(F.count("_xy").alias("_n"), *[F.avg(f"_x{i}").alias(f"_m{i}") for i in cols], *cov)
+    solved = least_squares(moments, k) if k else moments
+    solved = solved.select(*by, "_n", *[f"_m{i}" for i in cols], *[f"_b{i}" for i in range(k)])
+    d = join_null_safe(part, solved, by, "left")
+    resid = F.col("_xy") - F.col("_my")
+    for i in range(k):
+        resid = resid - F.col(f"_b{i}") * (F.col(f"_x{i}") - F.col(f"_m{i}"))
     d = d.withColumn(out, F.when(F.col("_n") >= min_rows, resid)).select(*df.columns, out)
     return zscore(staged(d), out, by)
 

@@ -103,6 +103,30 @@ def test_residual_is_orthogonal_to_controls(spark):
         assert abs(g.e.std() - 1) < 1e-10
 
 
+@pytest.mark.parametrize("controls", [(), ("a",), ("a", "b", "c"), ("a", "b", "twice", "one", "c", "sum")])
+def test_residuals_equal_least_squares_of_any_rank(spark, controls):
+    """Collinear and constant controls, missing values, a date with too few rows and a null date."""
+    rng = np.random.default_rng(7)
+    n = 400
+    p = pd.DataFrame({"trade_date": rng.choice(["d1", "d2", "few", ""], n, p=[0.6, 0.2, 0.03, 0.17]), "symbol": range(n), **{c: rng.normal(size=n) for c in "abc"}})
+    p = p.assign(twice=2 * p.a + 5, one=3.0, y=2 * p.a - p.b + 0.3 * p.c + rng.normal(size=n))
+    p["sum"] = p.a + p.b - 1
+    p.loc[rng.random(n) < 0.05, "y"] = np.nan
+    p.loc[rng.random(n) < 0.05, "c"] = np.nan
+    p["trade_date"] = p.trade_date.astype(object).where(p.trade_date != "", None)
+    df = spark.createDataFrame(p.astype(object).where(p.notna(), None), "trade_date string, symbol long, a double, b double, c double, twice double, one double, y double, sum double")
+    got = pdf(XS.residualize(df, "y", controls, out="e")).sort_values("symbol")
+    want = pd.Series(np.nan, index=p.index)
+    for _, g in p.groupby("trade_date", dropna=False):
+        g = g.dropna(subset=["y", *controls])
+        if len(g) >= 30:
+            x = np.column_stack([np.ones(len(g)), *[g[c] for c in controls]])
+            e = g.y - x @ np.linalg.lstsq(x, g.y, rcond=None)[0]
+            want[g.index] = (e - e.mean()) / e.std()
+    assert want.notna().sum() > 200
+    assert np.allclose(got["e"].astype(float).to_numpy(), want.to_numpy(), atol=1e-8, equal_nan=True)
+
+
 def test_top_fraction_ties_by_symbol(spark):
     rng = np.random.default_rng(5)
     p = pd.DataFrame({"trade_date": "d", "symbol": range(300), "industry": rng.choice(["x", "y"], 300, p=[0.9, 0.1]), "s": rng.integers(0, 6, 300).astype(float)})
