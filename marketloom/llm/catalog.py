@@ -70,7 +70,7 @@ q{depth} as (select {keys}measure, max(docs) as docs, min(case when upto * 100 >
     for k, (up, down, rate, size, event) in quality.MEASURES.items():
         a, b, c = (value(k, x) for x in "abc")
         width = f"1::bigint << greatest(length(ltrim(bin({b}), '0')) - 6, 0)"
-        reach = f"{quality.SPREAD} * greatest({b} - {a}, {c} - {b}, ceil({rate * event} / greatest({value(size, 'b')}, 1)), {width})"
+        reach = f"{quality.SPREAD} * (greatest({b} - {a}, {c} - {b}) + greatest(ceil({rate * event} / greatest({value(size, 'b')}, 1)), {width}))"
         if up:
             limits.append(f"{b} + {reach} as high_{k}")
             tests.append(f"{k} <= high_{k}")

@@ -101,7 +101,7 @@ def fences(parts: DataFrame, min_docs: int = MIN_DOCS, spread: int = SPREAD) ->
     """Thresholds of each language and source from its sketch, or from the merged one of its language, or of all.
 
     Returns (lang, source) and low_<measure>, high_<measure>: median +- spread x scale. The scale is the wider of the two
-    half-quartile ranges, and at least the unit of the measure: what one event adds to the rate of the group's median
+    half-quartile ranges plus the unit of the measure, by which they are uncertain: what one event adds to the rate of the group's median
     document, from the sketch of the sizes, or the width of the sketch's bin at the median. So where three quarters of a group have none of something, a document may have
     ``spread`` events in a median document's length. Rejects do not move their thresholds until they are a quarter of a group.
     """
@@ -126,7 +126,7 @@ def fences(parts: DataFrame, min_docs: int = MIN_DOCS, spread: int = SPREAD) ->
     for k, (up, down, rate, size, event) in MEASURES.items():
         a, b, c, per = F.col(f"a_{k}"), F.col(f"b_{k}"), F.col(f"c_{k}"), F.greatest(F.col(f"b_{size}"), F.lit(1))
         width = F.expr(f"shiftleft(1L, greatest(length(bin(b_{k})) - 6, 0))")
-        reach = spread * F.greatest(b - a, c - b, F.ceil(F.lit(rate * event) / per), width)
+        reach = spread * (F.greatest(b - a, c - b) + F.greatest(F.ceil(F.lit(rate * event) / per), width))
         limits += [(b + reach).alias(f"high_{k}")] * up + [(b - reach).alias(f"low_{k}")] * down
     return t.select("lang", "source", *limits)
 
