@@ -13,6 +13,7 @@ from ..operators import portfolio as P
 from ..operators import series as S
 from ..operators import xsection as XS
 from ..plans import books as B
+from ..plans import combos as C
 from ..session import staged
 from .registry import query, rounded
 from .reports import MET, metrics_sql
@@ -141,7 +142,6 @@ def zpanel(spark, d):
 
 
 SIGNS = {"size": -1.0, "price": 1.0, "liq": -1.0, "disc": 1.0}
-COMBOS = B.factor_combinations(SIGNS, (2, 3))
 WEIGHTS = [("111", {"size": -1.0, "liq": -1.0, "disc": 1.0}), ("211", {"size": -2.0, "liq": -1.0, "disc": 1.0}), ("121", {"size": -1.0, "liq": -2.0, "disc": 1.0}), ("112", {"size": -1.0, "liq": -1.0, "disc": 2.0}),
            ("110", {"size": -1.0, "liq": -1.0}), ("101", {"size": -1.0, "disc": 1.0}), ("011", {"liq": -1.0, "disc": 1.0})]
 
@@ -158,14 +158,61 @@ RANK_SQL = """SELECT b.variant, b.top_k, count(*) AS periods, round(power(produc
     LEFT JOIN (SELECT variant, top_k, (count(*) - count(*) FILTER (r < 0)) / nullif(count(*) FILTER (r < 0), 0) AS odds FROM (SELECT variant, top_k, product(1 + ret) OVER w - 1 AS r, count(*) OVER w AS c FROM b WINDOW w AS (PARTITION BY variant, top_k ORDER BY trade_date ROWS 11 PRECEDING)) WHERE c >= 12 GROUP BY 1, 2) o USING (variant, top_k) GROUP BY 1, 2"""
 
 
-def ranked_books(spark, d, variants, ks):
-    books = staged(B.scored_books(zpanel(spark, d), variants, ks, 30.0))
-    return rounded(B.rank_books(books, 12, 12), "ann", "sharpe", "turnover", "odds")
+#: Sign and expression of fourteen factors of the monthly supplier panel; standardised by date, nine digits.
+FACTORS = {
+    "beta": (-1.0, "price_high - price_low"), "charge": (1.0, "net / qty"), "depth": (1.0, "qty / n"), "disc": (1.0, "disc"), "growth": (1.0, "amount / amount_before - 1"),
+    "liquidity": (1.0, "qty"), "lowvol": (1.0, "-abs(close / close_before - 1)"), "momentum": (-1.0, "close / close_before - 1"), "peak": (1.0, "price_high"),
+    "quality": (1.0, "returned / amount"), "size": (-1.0, "ln(amount)"), "spread": (1.0, "close - price_mean"), "tax": (1.0, "tax"), "value": (1.0, "1 / close"),
+}
+COMBOS = C.combination_names(list(FACTORS), (2, 3))
 
+add_view("fpanel", (), f"""
+    SELECT trade_date, symbol, {', '.join(f'round((({e}) - avg({e}) OVER d) / nullif(stddev_pop({e}) OVER d, 0), 9) AS {n}' for n, (_, e) in FACTORS.items())}
+    FROM (SELECT *, lag(close) OVER s AS close_before, lag(amount) OVER s AS amount_before FROM (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS trade_date, l_suppkey AS symbol, sum(l_extendedprice) / sum(l_quantity) AS close, sum(l_extendedprice) AS amount, sum(l_quantity) AS qty,
+      avg(l_discount) AS disc, avg(l_tax) AS tax, count(*) AS n, max(l_extendedprice / l_quantity) AS price_high, min(l_extendedprice / l_quantity) AS price_low, avg(l_extendedprice / l_quantity) AS price_mean,
+      sum(l_extendedprice * (1 - l_discount)) AS net, sum(CASE WHEN l_returnflag = 'R' THEN l_extendedprice ELSE 0 END) AS returned FROM lineitem GROUP BY 1, 2) WINDOW s AS (PARTITION BY symbol ORDER BY trade_date)) WINDOW d AS (PARTITION BY trade_date)""")
+add_view("ship_ret", ("ship_daily",), "SELECT trade_date, symbol, close / lag(close) OVER (PARTITION BY symbol ORDER BY trade_date) - 1 AS ret FROM ship_daily")
 
-@query("combo_search", f"WITH {books_sql(COMBOS, [20])} {RANK_SQL}", "zpanel")
+
+def fpanel(spark, d):
+    from pyspark.sql import Window
+    li, unit = V.table(spark, d, "lineitem"), F.expr("l_extendedprice / l_quantity")
+    p = li.groupBy(F.trunc("l_shipdate", "MM").alias("trade_date"), F.col("l_suppkey").alias("symbol")).agg(
+        (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("close"), F.sum("l_extendedprice").alias("amount"), F.sum("l_quantity").alias("qty"), F.avg("l_discount").alias("disc"), F.avg("l_tax").alias("tax"),
+        F.count(F.lit(1)).alias("n"), F.max(unit).alias("price_high"), F.min(unit).alias("price_low"), F.avg(unit).alias("price_mean"), F.sum(F.expr("l_extendedprice * (1 - l_discount)")).alias("net"),
+        F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_extendedprice")).otherwise(0.0)).alias("returned"))
+    w = Window.partitionBy("symbol").orderBy("trade_date")
+    p = p.withColumns({"close_before": F.lag("close").over(w), "amount_before": F.lag("amount").over(w)})
+    p = staged(p.select(*KEYS, *[F.expr(e).alias(n) for n, (_, e) in FACTORS.items()]))
+    p = XS.with_stats(p, ["trade_date"], **{f"_m_{n}": F.avg(n) for n in FACTORS}, **{f"_s_{n}": F.stddev_pop(n) for n in FACTORS})
+    return p.select(*KEYS, *[F.when(F.col(f"_s_{n}") > 0, F.round((F.col(n) - F.col(f"_m_{n}")) / F.col(f"_s_{n}"), 9)).alias(n) for n in FACTORS])
+
+
+def combo_sql(k: int) -> str:
+    """Combinations by self joins of the factors' numbers; every book's window, entry and cost apart."""
+    return f"""WITH f AS (SELECT * FROM (VALUES {', '.join(f"({i + 1}, '{n}')" for i, n in enumerate(sorted(FACTORS)))}) v(i, name)),
+      c AS (SELECT a.i AS i1, b.i AS i2, NULL::INT AS i3, a.name || '+' || b.name AS variant, 2 AS n_factors FROM f a JOIN f b ON b.i > a.i UNION ALL SELECT a.i, b.i, c.i, a.name || '+' || b.name || '+' || c.name, 3 FROM f a JOIN f b ON b.i > a.i JOIN f c ON c.i > b.i),
+      x AS (SELECT trade_date, symbol, [{', '.join(f'({FACTORS[n][0]})::DOUBLE * coalesce({n}, 0)' for n in sorted(FACTORS))}] AS z, dense_rank() OVER (ORDER BY trade_date) AS j FROM fpanel),
+      t AS (SELECT variant, j, trade_date, symbol FROM x, c QUALIFY row_number() OVER (PARTITION BY variant, trade_date ORDER BY CASE WHEN i3 IS NULL THEN z[i1] + z[i2] ELSE z[i1] + z[i2] + z[i3] END DESC, symbol) <= {k}),
+      u AS (SELECT coalesce(a.variant, b.variant) AS variant, coalesce(a.j, b.j + 1) AS j, count(*) FILTER (a.symbol IS NULL OR b.symbol IS NULL) AS moved FROM t a FULL JOIN t b ON a.variant = b.variant AND a.symbol = b.symbol AND b.j = a.j - 1 GROUP BY 1, 2),
+      cal AS (SELECT DISTINCT trade_date FROM ship_daily), g AS (SELECT j, trade_date AS formed, coalesce(lead(trade_date) OVER (ORDER BY trade_date), (SELECT max(trade_date) FROM cal)) AS until, (SELECT min(k.trade_date) FROM cal k WHERE k.trade_date > q.trade_date) AS entry FROM (SELECT DISTINCT j, trade_date FROM x) q),
+      e AS (SELECT variant, g.j, entry, r.trade_date, avg(ret) AS ret FROM t JOIN g ON g.j = t.j JOIN ship_ret r ON r.symbol = t.symbol AND r.trade_date > entry AND r.trade_date <= until WHERE ret IS NOT NULL GROUP BY ALL),
+      y AS (SELECT variant, trade_date, ret FROM e UNION ALL SELECT variant, entry, -moved / {k}.0::DOUBLE * 30 / 10000 FROM (SELECT DISTINCT variant, j, entry FROM e) JOIN u USING (variant, j)),
+      s AS (SELECT variant, count(*) AS days, power(product(1 + ret), 252.0::DOUBLE / count(*)) - 1 AS ann, avg(ret) / stddev_samp(ret) * sqrt(252.0::DOUBLE) AS sharpe FROM y GROUP BY 1),
+      m AS (SELECT variant, date_trunc('month', trade_date) AS month, product(1 + ret) AS g FROM y GROUP BY 1, 2), r AS (SELECT variant, product(g) OVER w - 1 AS r, count(*) OVER w AS c FROM m WINDOW w AS (PARTITION BY variant ORDER BY month ROWS 35 PRECEDING)),
+      o AS (SELECT variant, count(*) FILTER (r >= 0) / nullif(count(*) FILTER (r < 0), 0) AS odds FROM r WHERE c = 36 GROUP BY 1)
+      SELECT variant, n_factors, days, round(ln(1 + ann), 6) AS log_ann, round(sharpe, 6) AS sharpe, round(odds, 6) AS odds FROM s JOIN c USING (variant) LEFT JOIN o USING (variant)"""
+
+
+@query("combo_search", combo_sql(20), "fpanel ship_daily ship_ret")
 def combo_search(spark, d):
-    return ranked_books(spark, d, COMBOS, [20])
+    """All 455 combinations of two and three factors; annual growth in logarithms, as it spans many orders."""
+    from pyspark.sql import Window
+    w = Window.partitionBy("symbol").orderBy("trade_date")
+    r = staged(V.ship_daily(spark, d).select(*KEYS, (F.col("close") / F.lag("close").over(w) - 1.0).alias("ret")))
+    daily = staged(C.combination_daily(fpanel(spark, d), r, r, {n: s for n, (s, _) in FACTORS.items()}, COMBOS, 20, 30.0))
+    out = C.combination_search(daily, COMBOS).withColumn("log_ann", F.log1p("ann")).drop("ann")
+    return rounded(out, "log_ann", "sharpe", "odds")
 
 
 def sweep_sql(variants, ks) -> str:

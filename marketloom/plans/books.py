@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,11 +111,6 @@ def topk_periods(panel: DataFrame, returns: DataFrame, score: str, k: int, cost_
     return p.withColumn("period_return", (1.0 + F.col("gross_return")) * (1.0 - F.col("turnover") * 2.0 * cost_bps / 10000.0) - 1.0).drop("idx")
 
 
-def factor_combinations(factors: dict[str, float], sizes: tuple[int, ...]) -> list[tuple[str, dict[str, float]]]:
-    """Every combination of the signed factors of the given sizes."""
-    return [("+".join(c), {f: factors[f] for f in c}) for n in sizes for c in combinations(sorted(factors), n)]
-
-
 def scored_books(panel: DataFrame, variants: list[tuple[str, dict[str, float]]], top_ks: list[int], cost_bps: float, target: str = "next_ret") -> DataFrame:
     """Top-K books of many weightings in one job: (variant, top_k, trade_date, names, turnover, ret).
 
