@@ -27,7 +27,7 @@ DISCOUNT = 0.75  # taken from each seen word's count, for the level below
 HEAD = 300_000  # most frequent words sent to every task; the bound of the broadcast
 HEAD_BYTES = 64  # longer words are never among them
 FLUSH = 400_000  # distinct words a counting task holds
-LANGUAGES = 64  # languages with piece scores of their own, those with most words; the others share one set
+BLOCK = 100_000  # words of one language valued together
 PIECE_PRIOR = 1000.0  # weight of the shared piece scores in a language's own
 
 
@@ -135,51 +135,57 @@ def vocabulary_of(model: str) -> tuple[list[str], list[int], int]:
     return [sp.id_to_piece(i) for i in ids], kinds, sp.eos_id()
 
 
-def learned_scores(words: DataFrame, model: str) -> dict[str | None, list[float]]:
-    """Log probabilities of the pieces for each language; None has the shared ones. At most LANGUAGES + 1 vocabularies reach the driver."""
+def valued(words: DataFrame, model: str, n: int, v: int) -> DataFrame:
+    """Adds to every word of each language: base (log10), score (log10 of the lattice), known.
+
+    Every language has piece scores of its own, its counts beside the shared scores as a prior. They meet the language's words by a
+    join on (language, block of words), so their number has no bound and a hot language is many tasks. Only the shared
+    counts, one for each piece of the vocabulary, reach the driver.
+    """
+    pieces, kinds, end = vocabulary_of(model)
     counts = staged(piece_counts(words, model))
-    size = len(vocabulary_of(model)[0])
-    shared = np.full(size, 0.01)
+    shared = np.full(len(pieces), 0.01)
     for r in counts.groupBy("piece").agg(F.sum("k").alias("k")).collect():
         shared[r.piece] += r.k
-    shared /= shared.sum()
-    main = [r.lang for r in counts.groupBy("lang").agg(F.sum("k").alias("k")).orderBy(F.desc("k"), "lang").limit(LANGUAGES).collect()]
-    own = {lang: PIECE_PRIOR * shared for lang in main}
-    for r in counts.where(F.col("lang").isin(main)).collect() if main else []:
-        own[r.lang][r.piece] += r.k
-    return {None: np.log(shared).tolist()} | {lang: np.log(k / k.sum()).tolist() for lang, k in own.items()}
-
-
-def valued(words: DataFrame, model: str, totals: dict) -> DataFrame:
-    """Adds to every word of each language: base (log10), score (log10 of the lattice), known."""
-    spark = words.sparkSession
-    pieces, kinds, end = vocabulary_of(model)
-    n, v, by_lang = totals["n"], totals["v"], totals["by_lang"]
-    shared = spark.sparkContext.broadcast((pieces, kinds, learned_scores(words, model)))
-    fields = [("word", pa.string()), ("lang", pa.string()), ("n_all", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]
-
-    def scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, kinds, scores = shared.value
-        lattice = Lattice(pieces, kinds)
-        for names, langs, all_, train, c in batches(it, "word", "lang", "n_all", "n_train", "c"):
-            score = []
-            for w, lang, k, kk in zip(names, langs, train, c):
-                s = scores.get(lang) or scores[None]
-                below = s[end] if w == END else lattice.log_probability(w, s)
-                t, types = by_lang.get(lang, (0, 0))
-                p = math.exp(below) if below > -700 else 0.0
-                if n:
-                    p = (max(kk - DISCOUNT, 0) + DISCOUNT * v * p) / n
-                    below += math.log(DISCOUNT * v / n)
-                if t:
-                    p = (max(k - DISCOUNT, 0) + DISCOUNT * types * p) / t
-                    below += math.log(DISCOUNT * types / t)
-                score.append(math.log10(p) if p > 1e-290 else below / math.log(10))
-            c = np.array(c, np.int64)
-            base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip((names, langs, all_, (c > 0).astype(np.int64), base, score), fields)], schema=pa.schema(fields))
-
-    return staged(words.mapInArrow(scan, "word string, lang string, n_all long, known long, base double, score double"))
+    common = words.sparkSession.sparkContext.broadcast((pieces, kinds, shared / shared.sum()))
+    langs = staged(words.groupBy("lang").agg(
+        F.sum("n_train").alias("t"), F.sum((F.col("n_train") > 0).cast("long")).alias("types"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")))
+    # A language's totals are two more rows, of pieces -1 and -2.
+    facts = counts.unionByName(langs.select("lang", F.lit(-1).cast("long").alias("piece"), F.col("t").alias("k"))).unionByName(langs.select("lang", F.lit(-2).cast("long").alias("piece"), F.col("types").alias("k")))
+    right = facts.join(langs.select("lang", "blocks"), "lang").select("lang", "piece", "k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    left = words.join(langs.select("lang", "blocks"), "lang").withColumn("block", F.pmod(F.xxhash64("word"), F.col("blocks"))).drop("blocks")
+    fields = pa.schema([("word", pa.string()), ("lang", pa.string()), ("n_all", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+
+    built: list[Lattice] = []  # once a task
+
+    def values(left: pa.Table, right: pa.Table) -> pa.Table:
+        pieces, kinds, shared = common.value
+        if not left.num_rows:
+            return fields.empty_table()
+        if not built:
+            built.append(Lattice(pieces, kinds))
+        at, k = right["piece"].to_numpy(), right["k"].to_numpy()
+        t, types = int(k[at == -1].sum()), int(k[at == -2].sum())
+        own = PIECE_PRIOR * shared
+        own[at[at >= 0]] += k[at >= 0]
+        s = np.log(own / own.sum()).tolist()
+        score = []
+        for w, kt, kk in zip(*(left[c].to_pylist() for c in ("word", "n_train", "c"))):
+            below = s[end] if w == END else built[0].log_probability(w, s)
+            p = math.exp(below) if below > -700 else 0.0
+            if n:
+                p = (max(kk - DISCOUNT, 0) + DISCOUNT * v * p) / n
+                below += math.log(DISCOUNT * v / n)
+            if t:
+                p = (max(kt - DISCOUNT, 0) + DISCOUNT * types * p) / t
+                below += math.log(DISCOUNT * types / t)
+            score.append(math.log10(p) if p > 1e-290 else below / math.log(10))
+        c = left["c"].to_numpy()
+        base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
+        return pa.Table.from_arrays([left["word"], left["lang"], left["n_all"], pa.array((c > 0).astype(np.int64)), pa.array(base), pa.array(score, pa.float64())], schema=fields)
+
+    pairs = left.groupBy("lang", "block").cogroup(right.groupBy("lang", "block"))
+    return staged(pairs.applyInArrow(values, "word string, lang string, n_all long, known long, base double, score double"))
 
 
 def head_floor(values: DataFrame) -> int:
@@ -204,12 +210,9 @@ def scored(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     docs = columns_of(docs, doc_id=id_col, text=text_col, lang=lang_col)
     words = counted(docs)
-    seen = words.groupBy("lang").agg(F.sum("n_train").alias("t"), F.sum((F.col("n_train") > 0).cast("long")).alias("v")).collect()
-    # Languages have few rows; the number of distinct words over all of them is counted by the word's first row.
-    v = words.where("c > 0").groupBy("word").agg(F.first("c").alias("c")).count()
-    totals = {"n": sum(r.t for r in seen), "v": v, "by_lang": {r.lang: (r.t, r.v) for r in seen}}
-    n = totals["n"]
-    values = valued(words, model, totals)
+    n = words.agg(F.sum("n_train")).first()[0] or 0
+    v = words.where("c > 0").select("word").distinct().count()
+    values = valued(words, model, n, v)
     floor = head_floor(values)
     is_head = (F.col("n_all") >= floor) & (F.octet_length("word") <= HEAD_BYTES)
     head = spark.sparkContext.broadcast([tuple(c) for c in values.where(is_head).select("word", "lang", "known", "base", "score").toArrow().to_pydict().values()])

@@ -70,9 +70,68 @@ def test_one_distribution(spark):
     words = lattice_lm.counted(docs)
     n = words.agg({"n_train": "sum"}).first()[0]
     v = words.where("c > 0").count()
-    total = sum(10**r.score for r in lattice_lm.valued(words, catalog.vocabulary("piece_bpe_32k.model"), {"n": n, "v": v, "by_lang": {"en": (n, v)}}).collect())
+    total = sum(10**r.score for r in lattice_lm.valued(words, catalog.vocabulary("piece_bpe_32k.model"), n, v).collect())
     assert 0.8 < total <= 1
 
 
+def whole_formula(rows, model):
+    """Scores by plain Python, from the docstring: every language has piece scores of its own, however many there are."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    size, ids = sp.get_piece_size(), range(sp.get_piece_size())
+    plain = {sp.id_to_piece(i): i for i in ids if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
+    byte = {int(sp.id_to_piece(i)[3:5], 16): i for i in ids if sp.is_byte(i)}
+    train = [(lang or "", w) for d, text, lang in rows if zlib.crc32(str(d).encode()) % 10 for w in tokens(text)]
+    own, every = Counter(train), Counter(w for _, w in train)
+    k = {}
+    for lang, w in own:
+        if w is not None:
+            k.setdefault(lang, Counter()).update(sp.encode(w))
+    total = {i: 0.01 + sum(c[i] for c in k.values()) for i in ids}
+    whole = sum(total.values())
+    shared = {i: x / whole for i, x in total.items()}
+    n, v = len(train), len(every)
+
+    def score(lang, w):
+        c = k.get(lang, Counter())
+        below = 1000.0 + sum(c.values())
+        p = {i: (1000.0 * shared[i] + c[i]) / below for i in ids} if (lang, None) not in cache else cache[lang, None]
+        cache[lang, None] = p
+        if w is None:
+            q = p[sp.eos_id()]
+        else:
+            s = "▁" + w
+            f = [1.0] + [0.0] * len(s)
+            for b in range(1, len(s) + 1):
+                f[b] = sum(f[a] * p[plain[s[a:b]]] for a in range(b) if s[a:b] in plain)
+                if s[b - 1] not in plain:
+                    f[b] += f[b - 1] * math.prod(p[byte[x]] for x in s[b - 1].encode())
+            q = f[-1]
+        q = (max(every[w] - 0.75, 0) + 0.75 * v * q) / n
+        t, types = sum(x for (g, _), x in own.items() if g == lang), len([1 for g, _ in own if g == lang])
+        return math.log10((max(own[lang, w] - 0.75, 0) + 0.75 * types * q) / t if t else q)
+
+    cache, words = {}, {}
+    for _, text, lang in rows:
+        for w in tokens(text):
+            if (lang or "", w) not in words:
+                words[lang or "", w] = score(lang or "", w)
+    assert size == len(plain) + len(byte) + sum(1 for i in ids if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))
+    return {d: sum(words[lang or "", w] for w in tokens(text)) for d, text, lang in rows}
+
+
+@pytest.mark.parametrize("block", [100_000, 3])
+def test_seventy_languages_have_scores_of_their_own(spark, monkeypatch, block):
+    """The smallest language scores as the largest does; the last one has held-out documents only; blocks of words change nothing."""
+    monkeypatch.setattr(lattice_lm, "BLOCK", block)
+    rows = [(i, f"alpha beta{i % 7} été {'gamma ' * (i % 5)}delta{i}", f"l{i % 70}" if i % 70 else None) for i in range(1, 200)]
+    rows += [(i, "zeta alpha Beta1 ünseen", "none") for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 10 == 0]
+    model = catalog.vocabulary("piece_bpe_32k.model")
+    got = {r.doc_id: r.score for r in lattice_lm.scored(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model).collect()}
+    want = whole_formula(rows, model)
+    assert got.keys() == want.keys() and all(got[d] == pytest.approx(want[d], abs=1e-9) for d in want)
+
+
 def test_empty_table(no_docs):
     assert lattice_lm.scored(no_docs, catalog.vocabulary("piece_bpe_32k.model")).count() == 0
