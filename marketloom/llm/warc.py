@@ -8,11 +8,13 @@ record; every response's digest is checked on reading.
 from __future__ import annotations
 
 import base64
+import datetime
 import hashlib
 import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import batches, columns_of, fresh_dir, open_fs, staged, write_atomic
 
+BROADCAST_BYTES = 64 << 20  # of shared digests with their originals, measured; more are joined by a shuffle
 FILE_BYTES = 1 << 30  # payload bytes after which a task starts another archive
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:warc-record")
@@ -35,41 +38,53 @@ def digest(payload: Column) -> Column:
 
 
 def resolve(captures: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Decide each capture's record: adds payload_digest, payload_bytes, record_type and refers_to.
+    """Decide each capture's record: adds payload_digest, payload_bytes, record_type, refers_to and refers_url.
 
     ``captures`` has page_id, url, html. A null payload is empty. Payloads of at least ``min_bytes`` bytes are shared;
     smaller ones are all responses. The smallest page_id of equal payloads is the response, null being the largest;
     rows that repeat that page_id and payload are responses too. An empty table stays empty.
 
-    Only digests that occur twice or more are joined, as one counted row each, summed before the shuffle. A digest
-    that many captures share is a skewed left side, which adaptive execution splits.
+    Headers alone are shuffled by digest: each digest that occurs twice or more becomes one row, summed before the shuffle and
+    stored. These rows go to all tasks while they measure at most BROADCAST_BYTES, so that payloads stay where they are; beyond
+    that they are joined by a shuffle, in which a digest that many captures share is a skewed left side, split by adaptive execution.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = captures.select("page_id", "url", payload.alias("html"), F.octet_length(payload).cast("long").alias("payload_bytes"), digest(payload).alias("payload_digest"))
-    originals = (
-        rows.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("original"), F.count("*").alias("copies"))
-        .where("copies > 1").select(F.col("payload_digest").alias("shared"), "original")
+    headers = rows.where(F.col("payload_bytes") >= min_bytes).select("payload_digest", F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url")).alias("_of"))
+    originals = staged(
+        headers.groupBy("payload_digest").agg(F.min("_of").alias("_of"), F.count("*").alias("copies"))
+        .where("copies > 1").select(F.col("payload_digest").alias("shared"), F.col("_of.page_id").alias("original"), F.col("_of.url").alias("original_url"))
     )
+    size = originals.agg(F.sum(F.coalesce(F.octet_length("original_url"), F.lit(0)) + 100)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        originals = F.broadcast(originals)
     # ``original <=> page_id`` keeps rows without an id apart only if another row has one.
     revisit = F.col("shared").isNotNull() & ~F.col("original").eqNullSafe(F.col("page_id")) & (F.col("payload_bytes") >= min_bytes)
     joined = rows.join(originals, rows.payload_digest == originals.shared, "left")
     return joined.select(
         "page_id", "url", "html", "payload_bytes", "payload_digest",
         F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("original")).alias("refers_to"),
+        F.when(revisit, F.col("original_url")).alias("refers_url"),
     )
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, sha: str, kind: str, refers_to: int | None, date: str) -> bytes:
-    """One WARC record with fresh headers; a revisit has no payload. Any text is safe in the URL header, being percent-encoded JSON."""
-    uri = json.dumps(url)[1:-1] if url is not None else ""
+def target(url: str) -> str:
+    """URL as a header value: what is not printable ASCII is percent-encoded."""
+    return quote(url, safe="".join(map(chr, range(0x21, 0x7F))), errors="surrogatepass")
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, sha: str, kind: str, refers_to: int | None, date: str, refers_url: str | None = None) -> bytes:
+    """One WARC record with fresh headers; a revisit has no payload. Where the URL had to be encoded, X-Target-URI-JSON keeps it as it was."""
     name = lambda p: f"<urn:uuid:{uuid.uuid5(SPACE, f'{p} {sha}')}>"
     body = b"" if kind == "revisit" else b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {name(page_id)}", f"WARC-Date: {date}"]
-    head += [f"WARC-Target-URI: {uri}"] * (url is not None)
+    if url is not None:
+        head += [f"WARC-Target-URI: {target(url)}"] + [f"X-Target-URI-JSON: {json.dumps(url)}"] * (target(url) != url)
     head += [f"WARC-Payload-Digest: sha1:{sha}", f"X-Payload-Length: {len(payload)}"]
     head += [f"X-Page-ID: {page_id}"] * (page_id is not None)
     if kind == "revisit":
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {name(refers_to)}", f"X-Refers-To-Page-ID: {refers_to}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {name(refers_to)}", f"WARC-Refers-To-Date: {date}", f"X-Refers-To-Page-ID: {refers_to}"]
+        head += [f"WARC-Refers-To-Target-URI: {target(refers_url)}"] if refers_url is not None else []
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
@@ -79,12 +94,13 @@ def member(data: bytes) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def write(resolved: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """Write one record per row into archives of bounded size; returns their manifest (path, records), already stored."""
+def write(resolved: DataFrame, folder: str, date: str | None = None) -> DataFrame:
+    """Write one record per row into archives of bounded size; returns their manifest (path, records), already stored. ``date`` is now if not given."""
+    date = date or datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def archives(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
-        rows = (r for columns in batches(it, "page_id", "url", "html", "payload_digest", "record_type", "refers_to") for r in zip(*columns))
+        rows = (r for columns in batches(it, "page_id", "url", "html", "payload_digest", "record_type", "refers_to", "refers_url") for r in zip(*columns))
         row = next(rows, None)
         while row is not None:
             path, count = f"{folder}/part-{part:06d}-{number:04d}.warc.gz", 0
@@ -93,9 +109,9 @@ def write(resolved: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z")
                 nonlocal row, count
                 size = 0
                 while row is not None and size < FILE_BYTES:
-                    page_id, url, html, sha, kind, refers_to = row
+                    page_id, url, html, sha, kind, refers_to, refers_url = row
                     data = html.encode("utf-8", "surrogatepass")
-                    out.write(member(record(page_id, url, data, sha, kind, refers_to, date)))
+                    out.write(member(record(page_id, url, data, sha, kind, refers_to, date, refers_url)))
                     size, count, row = size + len(data), count + 1, next(rows, None)
 
             write_atomic(path, body)
@@ -153,7 +169,7 @@ def read(spark: SparkSession, manifest: DataFrame, payload: bool = False) -> Dat
                     for data in members(source):
                         f, body = parse(data)
                         number = lambda k, f=f: int(f[k]) if k in f else None
-                        url = json.loads(f'"{f["WARC-Target-URI"]}"') if "WARC-Target-URI" in f else None
+                        url = json.loads(f["X-Target-URI-JSON"]) if "X-Target-URI-JSON" in f else f.get("WARC-Target-URI")
                         row = [number("X-Page-ID"), url, f["WARC-Type"], f["WARC-Payload-Digest"][5:], number("X-Payload-Length"), number("X-Refers-To-Page-ID")]
                         if payload:
                             row.append(body.decode("utf-8", "surrogatepass") if f["WARC-Type"] == "response" else None)

@@ -21,8 +21,9 @@ def expected(rows, least=0):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("least", [0, 1, 5])
-def test_revisits_name_the_smallest_page(spark, least):
+@pytest.mark.parametrize("least, bound", [(0, 1 << 20), (0, 0), (1, 1 << 20), (5, 0)])
+def test_revisits_name_the_smallest_page(spark, monkeypatch, least, bound):
+    monkeypatch.setattr(warc, "BROADCAST_BYTES", bound)
     df = spark.createDataFrame([(*r, "x", "y") for r in PAGES], KIND + ", record_type string, original string")
     got = warc.deduplicate(df, least).collect()
     assert sorted(((r.page_id or -1, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == expected(PAGES, least)
@@ -41,6 +42,30 @@ def test_archives_are_gzip_members_with_whole_payloads(spark):
         assert data.startswith(b"WARC/1.1\r\n") and data.count(b"WARC-Type: ") == m.records
 
 
+def test_headers_are_fresh_and_plain(spark):
+    """Any URL is a valid header and comes back as it was; a revisit names its original's URL and date."""
+    urls = ["http://a/é?x=1\r\nX: y", "http://a/100%25 b", "", None, "http://b/plain", "http://b/\ud7ff\U0001f600"]
+    df = spark.createDataFrame([(i, u, "same") for i, u in enumerate(urls)], KIND)
+    manifest = warc.write(warc.resolve(df), fresh_dir(spark, "warc-test"), "2024-05-06T07:08:09Z")
+    assert {r.page_id: r.url for r in warc.read(spark, manifest).collect()} == dict(enumerate(urls))
+    seen = 0
+    for m in manifest.collect():
+        with gzip.open(m.path.removeprefix("file:")) as f:
+            for head in f.read().split(b"WARC/1.1\r\n")[1:]:
+                lines = head.partition(b"\r\n\r\n")[0].decode("ascii").split("\r\n")
+                fields = dict(line.split(": ", 1) for line in lines)
+                assert fields["WARC-Date"] == "2024-05-06T07:08:09Z" and " " not in fields.get("WARC-Target-URI", "")
+                if fields["WARC-Type"] == "revisit":
+                    assert (fields["WARC-Refers-To-Target-URI"], fields["WARC-Refers-To-Date"]) == ("http://a/%C3%A9?x=1%0D%0AX:%20y", "2024-05-06T07:08:09Z")
+                    seen += 1
+    assert seen == len(urls) - 1
+
+
+def test_payloads_are_not_shuffled(spark):
+    df = spark.createDataFrame(PAGES, KIND)
+    assert "Exchange hashpartitioning" not in warc.resolve(df)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_files_roll_at_their_size(spark, monkeypatch):
     monkeypatch.setattr(warc, "FILE_BYTES", 10)
     df = spark.createDataFrame([(i, "u", "x" * 8) for i in range(9)], KIND).coalesce(1)
