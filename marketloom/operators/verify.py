@@ -109,3 +109,38 @@ def adjustment_bridge(df: DataFrame, boundary: str, price: str, reported: str) -
 def event_evidence(df: DataFrame, kind: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(SYM).alias("symbols"), F.min(DATE).alias("first_date"), F.max(DATE).alias("last_date"),
                   F.array_join(F.sort_array(F.collect_set(kind)), ",").alias("types"))
+
+
+def duplicate_rows(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: how many rows repeat a key, null being a key."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).cast("double").alias("observed"))
+
+
+def join_rate(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: share of the left rows whose key the right side has; null without left rows. Both sides are counted by key before they meet."""
+    a = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"))
+    j = a.join(right.select(*keys).distinct().withColumn("_hit", F.lit(1)), keys, "left")
+    return j.agg(F.try_divide(F.sum(F.when(F.col("_hit") == 1, F.col("c")).otherwise(0)), F.sum("c")).cast("double").alias("observed"))
+
+
+def date_coverage(df: DataFrame, expected: DataFrame) -> DataFrame:
+    """One row: distinct dates of ``df`` against those expected; zero where none is."""
+    n = df.agg(F.count_distinct(DATE)).scalar()
+    return expected.agg(F.coalesce(F.try_divide(n, F.count_distinct(DATE)), F.lit(0.0)).cast("double").alias("observed"))
+
+
+def interval_agreement(rows: DataFrame, flag: str, intervals: DataFrame) -> DataFrame:
+    """One row: precision and recall of validity intervals (symbol, in_date, out_date; both ends count, null is open) as a rebuilt ``flag``.
+
+    A sweep over each symbol's dates: intervals open and close in a running count, so overlapping ones are one union and no
+    row meets an interval. An interval that ends before it starts, or has no start, covers nothing. A missing flag is false; a rate is null
+    where nothing is covered (precision) or flagged (recall).
+    """
+    spans = intervals.where("in_date is not null and (out_date is null or out_date >= in_date)")
+    edges = spans.select(SYM, F.col("in_date").alias("_d"), F.lit(1).alias("_step")).unionByName(spans.where("out_date is not null").select(SYM, F.date_add("out_date", 1).alias("_d"), F.lit(-1).alias("_step")))
+    edges = edges.groupBy(SYM, "_d").agg(F.sum("_step").alias("_step")).withColumns({"_n": F.lit(0), "_f": F.lit(0)})
+    seen = rows.groupBy(SYM, F.col(DATE).alias("_d")).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.coalesce(F.col(flag), F.lit(False)).cast("int")).alias("_f")).withColumn("_step", F.lit(0))
+    w = Window.partitionBy(SYM).orderBy("_d").rangeBetween(Window.unboundedPreceding, 0)  # at most two rows a date
+    d = edges.unionByName(seen).withColumn("_in", F.sum("_step").over(w) > 0)
+    both = F.sum(F.when(F.col("_in"), F.col("_f")).otherwise(0))
+    return d.agg(F.try_divide(both, F.sum(F.when(F.col("_in"), F.col("_n")).otherwise(0))).alias("precision"), F.try_divide(both, F.sum("_f")).alias("recall"))
