@@ -33,3 +33,12 @@ def test_rates_and_empty_tables(spark):
     assert [value(VF.date_coverage(x, y)) for x, y in ((b, a), (none, a), (a, none))] == [1.0, 0.0, 0.0]
     empty = VF.interval_agreement(spark.createDataFrame([], ROWS), "flag", spark.createDataFrame([], SPANS)).first()
     assert empty.precision is None and empty.recall is None
+
+
+def test_selections_audit_every_name(spark):
+    """No cut by rank: every bar of the two markets is audited."""
+    from marketloom import fixtures as V
+    from marketloom.catalog.sources import scan_selections
+
+    d = "/root/testdata/sf0.001"
+    assert scan_selections(spark, d).first().rows == V.daily(spark, d).where("symbol % 10 < 9").count()
