@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import annualised, growth, sharpe
+from ..functions.stats import YEAR, growth, sharpe
 from ..operators.calendar import last_session_before, next_session
 from ..operators.portfolio import DATE, SYM, dense_index
 from ..session import staged
@@ -101,13 +101,16 @@ def combination_daily(panel: DataFrame, returns: DataFrame, calendar: DataFrame,
 
 
 def combination_search(daily: DataFrame, combos: list[tuple[str, ...]], odds_months: int = 36) -> DataFrame:
-    """(variant, n_factors, days, ann, sharpe, odds): statistics of every combination's daily returns.
+    """(variant, n_factors, days, log_ann, ann, sharpe, odds): statistics of every combination's daily returns.
 
+    ``log_ann`` is the logarithm of the annual growth, from the sum of logarithms: the growth itself leaves the range of doubles. It is null
+    once capital is lost.
     ``odds`` compares the rolling windows of ``odds_months`` calendar months that did not lose with those that lost; a month without a
     day counts as no change, and the odds are null where none lost.
     """
     n = F.count(F.lit(1))
-    total = daily.groupBy("combo").agg(n.alias("days"), annualised(growth("ret"), n).alias("ann"), sharpe("ret").alias("sharpe"))
+    log_ann = F.when(F.min("ret") > -1.0, F.sum(F.when(F.col("ret") > -1.0, F.log(1.0 + F.col("ret")))) * float(YEAR) / n)
+    total = daily.groupBy("combo").agg(n.alias("days"), log_ann.alias("log_ann"), F.expm1(log_ann).alias("ann"), sharpe("ret").alias("sharpe"))
     months = daily.groupBy("combo", F.trunc(DATE, "MM").alias("month")).agg((growth("ret")).alias("g"))
     whole = months.groupBy("combo").agg(F.min("month").alias("a"), F.max("month").alias("b"))
     grid = whole.select("combo", F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("month")).join(months, ["combo", "month"], "left")
@@ -118,4 +121,4 @@ def combination_search(daily: DataFrame, combos: list[tuple[str, ...]], odds_mon
     labels = F.array(*[F.lit("+".join(c)) for c in combos])
     sizes = F.array(*[F.lit(len(c)) for c in combos])
     out = total.join(odds, "combo", "left")
-    return out.select(F.element_at(labels, F.col("combo") + 1).alias(NAME), F.element_at(sizes, F.col("combo") + 1).alias("n_factors"), "days", "ann", "sharpe", "odds")
+    return out.select(F.element_at(labels, F.col("combo") + 1).alias(NAME), F.element_at(sizes, F.col("combo") + 1).alias("n_factors"), "days", "log_ann", "ann", "sharpe", "odds")

@@ -78,6 +78,15 @@ def test_statistics_of_a_path(spark):
     assert lost and math.isclose(one.odds, (10 - lost) / lost) and two.odds is None and two.sharpe is None
 
 
+def test_growth_outside_the_range_of_doubles(spark):
+    """0.1 ** 400 and 10 ** 400 are no doubles; a day that loses everything has no growth."""
+    days = [dt.date(2020, 1, 1) + dt.timedelta(days=i) for i in range(400)]
+    daily = [(c, d, r) for c, r in ((0, -0.9), (1, 9.0), (2, 0.0)) for d in days] + [(2, days[-1] + dt.timedelta(days=1), -1.0)]
+    got = {x.variant: x for x in C.combination_search(spark.createDataFrame(daily, "combo int, trade_date date, ret double"), list(itertools.combinations("abc", 2))).collect()}
+    assert math.isclose(got["a+b"].log_ann, -252 * math.log(10)) and math.isclose(got["a+c"].log_ann, 252 * math.log(10))
+    assert got["b+c"].log_ann is None and got["b+c"].ann is None
+
+
 def test_empty_tables(spark, market):
     combos = list(itertools.combinations("abcd", 2))
     empty, none = spark.createDataFrame([], PANEL), spark.createDataFrame([], RET)
