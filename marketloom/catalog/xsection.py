@@ -107,7 +107,8 @@ def tercile_buckets(spark, d):
            round({pct_sql('x', 'm')}, 6) AS rank
     FROM m WINDOW p AS (PARTITION BY trade_date)""", "factors")
 def cross_sectional_transform(spark, d):
-    w = staged(XS.winsorize(V.factors(spark, d).select(*KEYS, "f_value"), "f_value", out="x").select(*KEYS, "x"))
+    f = staged(V.factors(spark, d).select(*KEYS, "f_value"))
+    w = staged(XS.winsorize(f, "f_value", out="x").select(*KEYS, "x"))
     out = XS.robust_standardize(XS.zscore(w, "x", out="zscore"), "x", out="robust")
     out = XS.pct_rank(out, "x", out="rank")
     return rounded(out.select(*KEYS, "zscore", "robust", "rank"), "zscore", "robust", "rank")

@@ -135,3 +135,28 @@ def test_top_fraction_ties_by_symbol(spark):
     for _, g in p.groupby("industry"):
         want |= set(g.sort_values(["s", "symbol"], ascending=[False, True]).head(max(1, int(len(g) * 0.2)))["symbol"])
     assert got == want
+
+
+@pytest.mark.parametrize("width", [0.01, 1e-9])
+def test_bracketed_quantiles(spark, monkeypatch, width):
+    """Large groups by brackets: ties, nulls, a null key, a group without values; brackets too narrow take the whole group."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(O, "SKETCHED", 500)
+    monkeypatch.setattr(O, "WIDTH", width)
+    seen = []
+    plain = O.bracketed_quantiles
+    monkeypatch.setattr(O, "bracketed_quantiles", lambda *a: seen.append(1) or plain(*a))
+    r = np.random.default_rng(3)
+    rows = [(g, float(a) if i % 7 else None, None if g == "d" else float(b)) for g in ("a", None, "d") for i, (a, b) in enumerate(zip(r.normal(size=2000), r.integers(0, 4, 2000), strict=True))]
+    df = spark.createDataFrame(rows, "g string, a double, b double")
+    wanted = {"a": {"lo": 0.01, "mid": 0.5, "hi": 0.99}, "b": {"b_min": 0.0, "b_q": 1 / 3, "b_max": 1.0}}
+    got = {x.g: x for x in O.quantiles_many(df, ["g"], wanted).collect()}
+    assert seen and got.keys() == {"a", None, "d"}
+    for g, x in got.items():
+        for i, v in enumerate(wanted, 1):
+            have = [t[i] for t in rows if t[0] == g and t[i] is not None]
+            for name, p in wanted[v].items():
+                assert x[name] is None if not have else abs(x[name] - np.quantile(have, p)) < 1e-12
+        assert x.n == sum(t[0] == g and t[1] is not None for t in rows)
