@@ -213,3 +213,44 @@ def test_equal_amounts_tie_in_blended_targets(frame):
     df = frame("trade_date date, symbol int, pred double, amount double, industry string", rows)
     got = {r.symbol: r.weight for r in blended(df.where("symbol < 4")).collect()}
     assert max(got, key=got.get) == 0
+
+
+def test_calls_hold_many_whole_groups(spark):
+    from marketloom.operators.rolling import per_group
+
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "333")  # batches end inside groups
+    try:
+        df = spark.range(300 * 40).selectExpr("nullif(id % 300, 7) as symbol", "date_add(date'2020-01-01', cast(id div 300 as int)) as trade_date")
+        fn = lambda p, g: pd.DataFrame({"symbol": p.groupby(g).symbol.first().astype("Int64"), "rows": p.groupby(g).size(), "ordered": p.groupby(g).trade_date.apply(lambda d: d.is_monotonic_increasing), "groups": g[-1] + 1})
+        got = per_group(df, ["symbol"], ["trade_date"], fn, {"symbol": "bigint", "rows": "bigint", "ordered": "boolean", "groups": "bigint"}).toPandas()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert len(got) == 300 and got.symbol.isna().sum() == 1 and (got.rows == 40).all() and got.ordered.all()
+    assert got.groups.max() > 1
+
+
+def test_window_stats_of_batched_symbols_match_pandas():
+    from marketloom.operators.technical import BARS, window_stats
+
+    rng, parts = np.random.default_rng(5), []
+    for s, n in enumerate((90, 200, 61, 3)):
+        close = 10 * np.exp(np.cumsum(rng.normal(0, 0.03, n)))
+        p = pd.DataFrame({"trade_date": np.arange(n), "symbol": s, "open": close, "close": close, "high": np.round(close, 0) + 1, "low": np.round(close, 0) - 1, "vol": rng.random(n) + 1})
+        p.loc[rng.random(n) < 0.05, ["vol", "high"]] = np.nan
+        parts.append(p)
+    p = pd.concat(parts, ignore_index=True)
+    got = window_stats(p, p.symbol.to_numpy(), 1)
+    for s, q in p.groupby("symbol"):
+        mine = got[got.symbol == s]
+        ret = q.close.pct_change()
+        tail = lambda c, n: q[c].rolling(n, min_periods=1)
+        assert np.allclose(mine._sd120, ret.rolling(120, min_periods=2).std(), equal_nan=True)
+        assert np.allclose(mine._l18, q.close.shift(18), equal_nan=True) and list(mine[BARS].columns) == BARS
+        assert np.allclose(mine._vol20, tail("vol", 20).mean(), equal_nan=True) and np.allclose(mine._sd5, tail("close", 5).std(), equal_nan=True)
+        up = [int(len(w) - 1 - np.nan_to_num(w, nan=-np.inf).argmax()) for w in (q.high.to_numpy()[max(0, i - 24) : i + 1] for i in range(len(q)))]
+        assert mine._up.tolist() == up
+        if len(q) > 60:
+            r = ret.to_numpy()[-60:]
+            d = r - r.mean()
+            assert np.allclose([mine._skew60.iloc[-1], mine._kurt60.iloc[-1]], [(d**3).mean() / (d**2).mean() ** 1.5, (d**4).mean() / (d**2).mean() ** 2 - 3])
