@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import flag, with_scenarios
 from .calendar import sessions
 from .ordering import quantiles
+from .rolling import per_group
 
 DATE, SYM = "trade_date", "symbol"
 
@@ -19,20 +21,19 @@ def by_symbol():
 
 
 def macd(df: DataFrame, price: str = "close", fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    """DIF, DEA, bar and cross flags. The recursion needs one symbol's bars in order: pandas per symbol,
-    whose rows the calendar bounds; symbols run in parallel."""
-    fields = f"{DATE} date, {SYM} {dict(df.dtypes)[SYM]}, {price} double, dif double, dea double, bar double, golden boolean, dead boolean"
+    """DIF, DEA, bar and cross flags. The recursion needs one symbol's bars in order: pandas over batches of whole
+    symbols, whose rows the calendar bounds; symbols run in parallel."""
+    fields = {DATE: "date", SYM: dict(df.dtypes)[SYM], price: "double", "dif": "double", "dea": "double", "bar": "double", "golden": "boolean", "dead": "boolean"}
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values(DATE)
-        mean = lambda s, n: s.ewm(span=n, adjust=False, min_periods=n).mean()
+    def run(p: pd.DataFrame, g: np.ndarray) -> pd.DataFrame:
+        mean = lambda s, n: s.groupby(g).ewm(span=n, adjust=False, min_periods=n).mean().set_axis(p.index)
         dif = mean(p[price], fast) - mean(p[price], slow)
         dea = mean(dif, signal)
-        was, was_dea = dif.shift(1), dea.shift(1)  # comparisons with a missing side are false
+        was, was_dea = dif.groupby(g).shift(1), dea.groupby(g).shift(1)  # comparisons with a missing side are false
         return pd.DataFrame({DATE: p[DATE], SYM: p[SYM], price: p[price], "dif": dif, "dea": dea, "bar": 2.0 * (dif - dea),
                              "golden": (dif > dea) & (was <= was_dea), "dead": (dif < dea) & (was >= was_dea)})
 
-    return df.select(DATE, SYM, price).groupBy(SYM).applyInPandas(run, fields)
+    return per_group(df.select(F.col(DATE).cast("date"), SYM, F.col(price).cast("double")), [SYM], [DATE], run, fields)
 
 
 def row_index(df: DataFrame) -> DataFrame:
@@ -89,23 +90,21 @@ def candidate_exits(signals: DataFrame, bars: DataFrame, hold: int | None = None
 
 def nonoverlapping(candidates: DataFrame, by: list[str]) -> DataFrame:
     """Per symbol in signal order, skip a signal entering on or before the previous exit; a signal that never
-    exits blocks the rest. Greedy by nature, so pandas per symbol over its few candidate signals."""
+    exits blocks the rest. Greedy by nature, so a loop over the few candidate signals, many symbols a call."""
     c = candidates.where("entry_price > 0").select(*by, SYM, "signal_date", "entry_date", "entry_price", "exit_date", "exit_price")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values(["signal_date", "entry_date"])
-        keep, bound = [], None
-        for entry, exit_ in zip(p["entry_date"], p["exit_date"], strict=True):
+    def run(p: pd.DataFrame, g: np.ndarray) -> pd.DataFrame:
+        keep, now, bound = [], -1, None
+        for group, entry, exit_ in zip(g.tolist(), p["entry_date"].tolist(), p["exit_date"].tolist(), strict=True):
+            if group != now:
+                now, bound = group, None
             free = bound is None or entry > bound
-            if free and pd.isna(exit_):
-                keep.append(False)
-                keep += [False] * (len(p) - len(keep))
-                break
-            keep.append(free)
-            bound = exit_ if free else bound
+            keep.append(free and exit_ == exit_)
+            if free:
+                bound = exit_ if exit_ == exit_ else float("inf")
         return p.loc[keep]
 
-    return c.groupBy(*by, SYM).applyInPandas(run, c.schema).withColumn(
+    return per_group(c, [*by, SYM], ["signal_date", "entry_date"], run, dict(c.dtypes)).withColumn(
         "gross_return", F.col("exit_price") / F.col("entry_price") - 1.0)
 
 
