@@ -25,14 +25,15 @@ def factors(prices: DataFrame, min_obs: int = 40, window: int = 60, long: int =
     d = prices.withColumn("_r", pct_change("close"))
     d = with_stats(d, [DATE], _mkt=F.avg("_r")).withColumns({"_n": F.row_number().over(w)})
     f, short = frame(window), frame(20)
-    var = F.var_samp("_mkt").over(f)
-    beta = F.when(var > 0, F.covar_samp("_r", "_mkt").over(f) / var)
+    # Every frame is asked for once; the factors are made of these.
+    d = d.withColumns({"_vm": F.var_samp("_mkt").over(f), "_cv": F.covar_samp("_r", "_mkt").over(f), "_vr": F.var_samp("_r").over(f),
+                       "_short": F.stddev_samp("_r").over(short), "_amount": F.avg("amount").over(short), "mom20": pct_change("close", 20), "mom120": pct_change("close", long)})
+    beta = F.when(F.col("_vm") > 0, F.col("_cv") / F.col("_vm"))
     ready = F.col("_n") > min_obs
     d = d.withColumns({
-        "beta": F.when(ready, beta),
-        "resvol": F.when(ready, F.sqrt(F.greatest(F.lit(0.0), F.var_samp("_r").over(f) - beta * F.covar_samp("_r", "_mkt").over(f)))),
-        "size": F.log("close"), "liquidity": F.log(F.avg("amount").over(short)), "mom20": pct_change("close", 20), "mom120": pct_change("close", long),
-        "vol_convergence": F.when(ready & (F.stddev_samp("_r").over(f) > 0), F.stddev_samp("_r").over(short) / F.stddev_samp("_r").over(f))})
+        "beta": F.when(ready, beta), "resvol": F.when(ready, F.sqrt(F.greatest(F.lit(0.0), F.col("_vr") - beta * F.col("_cv")))),
+        "size": F.log("close"), "liquidity": F.log("_amount"),
+        "vol_convergence": F.when(ready & (F.col("_vr") > 0), F.col("_short") / F.sqrt("_vr"))})
     d = with_stats(d, [DATE, "industry"], industry_mom=F.avg("mom20"))
     return d.select(*KEYS, "industry", *FACTORS)
 
