@@ -192,11 +192,14 @@ add_view("bucketed", ("factors",), f"""
     FROM (SELECT *, {pct_sql('f_size', 'factors')} AS ps, {pct_sql('turnover', 'factors')} AS pt FROM factors)""")
 
 
+SIZES, TURNS = ("small", "mid", "large"), ("low", "mid", "high")
+
+
 def bucketed(spark, d):
-    f = staged(V.factors(spark, d))
+    f = staged(V.factors(spark, d).select(*KEYS, "f_size", "turnover", "f_value", "next_ret"))  # ranking moves every column it is given
     b = XS.pct_rank(XS.pct_rank(f, "f_size", out="ps"), "turnover", out="pt")
-    return b.withColumns({"size_bucket": XS.thirds("ps", ("small", "mid", "large")),
-                          "turnover_bucket": XS.thirds("pt", ("low", "mid", "high"))})
+    return b.withColumns({"size_bucket": XS.thirds("ps", SIZES),
+                          "turnover_bucket": XS.thirds("pt", TURNS)})
 
 
 @query("bucket_ic", f"""
@@ -213,19 +216,19 @@ def bucketed(spark, d):
          AND n.turnover_bucket IS NOT DISTINCT FROM s.turnover_bucket""", "bucketed")
 def bucket_ic(spark, d):
     b = staged(bucketed(spark, d).select(*KEYS, "f_value", "next_ret", "size_bucket", "turnover_bucket"))
-    kinds = F.explode(F.array(
-        F.struct(F.lit("size_bucket").alias("bucket_type"), F.col("size_bucket").alias("s"), F.lit(None).cast("string").alias("t")),
-        F.struct(F.lit("turnover_bucket").alias("bucket_type"), F.lit(None).cast("string").alias("s"), F.col("turnover_bucket").alias("t")),
-        F.struct(F.lit("size_x_turnover").alias("bucket_type"), F.col("size_bucket").alias("s"), F.col("turnover_bucket").alias("t"))))
-    long = b.withColumn("k", kinds).select(
-        "trade_date", "f_value", "next_ret", "k.bucket_type", F.coalesce("k.s", F.lit("")).alias("size_bucket"),
-        F.coalesce("k.t", F.lit("")).alias("turnover_bucket"))
-    by = ["bucket_type", "size_bucket", "turnover_bucket"]
-    ic = XS.ic_summary(XS.daily_ic(long, "f_value", "next_ret", [*by, "trade_date"], 10), by)
-    out = (long.groupBy(*by).agg(F.count(F.lit(1)).alias("rows")).join(ic, by, "left")
+    # A group travels as one small number: its two places in SIZES and TURNS, 0 where that bucket does not count.
+    place = lambda c, names: F.coalesce(F.array_position(F.array(*[F.lit(n) for n in names]), F.col(c)), F.lit(0)).cast("int")
+    size, turn = place("size_bucket", SIZES), place("turnover_bucket", TURNS)
+    groups = F.explode(F.array(size * 4, F.lit(16) + turn, F.lit(32) + size * 4 + turn).cast("array<tinyint>"))
+    long = b.select("trade_date", "f_value", "next_ret", groups.alias("g"))
+    ic = XS.ic_summary(XS.daily_ic(long, "f_value", "next_ret", ["g", "trade_date"], 10), ["g"])
+    out = (long.groupBy("g").agg(F.count(F.lit(1)).alias("rows")).join(ic, "g", "left")
            .withColumn("days", F.coalesce("days", F.lit(0).cast("bigint"))))
-    blank = {c: F.when(F.col(c) != "", F.col(c)) for c in ("size_bucket", "turnover_bucket")}
-    return rounded(out.withColumns(blank), "rank_ic_mean", "rank_ic_ir", "pearson_ic_mean")
+    named = lambda names, at: F.get(F.array(*[F.lit(n) for n in names]), at.cast("int") - 1)
+    kind = F.get(F.array(*[F.lit(k) for k in ("size_bucket", "turnover_bucket", "size_x_turnover")]), F.floor(F.col("g") / 16).cast("int"))
+    out = out.select(kind.alias("bucket_type"), named(SIZES, F.floor(F.col("g") % 16 / 4)).alias("size_bucket"), named(TURNS, F.col("g") % 4).alias("turnover_bucket"),
+                     *[c for c in out.columns if c != "g"])
+    return rounded(out, "rank_ic_mean", "rank_ic_ir", "pearson_ic_mean")
 
 
 @query("date_equal_weights", """
