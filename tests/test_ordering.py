@@ -160,3 +160,27 @@ def test_bracketed_quantiles(spark, monkeypatch, width):
             for name, p in wanted[v].items():
                 assert x[name] is None if not have else abs(x[name] - np.quantile(have, p)) < 1e-12
         assert x.n == sum(t[0] == g and t[1] is not None for t in rows)
+
+
+def test_ranks_and_group_sizes_share_one_sort(sample):
+    _, df = sample
+    plan = O.ranked(df, ["trade_date"], "v", "r_")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1
+
+
+def test_one_sketch_for_all_places_of_a_measure(sample, monkeypatch):
+    p, df = sample
+    asked, sketch = [], O.F.percentile_approx
+    monkeypatch.setattr(O.F, "percentile_approx", lambda c, e, n: (asked.append(c), sketch(c, e, n))[1])
+    got = pdf(O.bracketed_quantiles(df.withColumn("u", -O.F.col("v")), ["trade_date"], {"v": {"lo": 0.2, "hi": 0.8}, "u": {"mid": 0.5}}, "n"), "trade_date")
+    by = p.groupby("trade_date")["v"]
+    assert len(asked) == 2
+    assert np.allclose(got["lo"], by.quantile(0.2)) and np.allclose(got["hi"], by.quantile(0.8)) and np.allclose(got["mid"], -by.quantile(0.5))
+
+
+def test_statistics_of_groups_are_written_before_the_join(sample, monkeypatch):
+    _, df = sample
+    written, staged = [], XS.staged
+    monkeypatch.setattr(XS, "staged", lambda d: (written.append(d.columns), staged(d))[1])
+    XS.zscore(df, "v", out="z").count()
+    assert written == [["trade_date", "_m", "_s"]]
