@@ -10,7 +10,7 @@ from .. import fixtures as V
 from ..fixtures import add_view
 from ..functions.expr import compact_date
 from ..operators.calendar import month_ends
-from ..operators.keys import assert_unique
+from ..operators.keys import assert_unique, count_unique
 from ..session import shared_dir, staged
 from ..sources import documents as D
 from ..sources import sinks
@@ -176,12 +176,7 @@ def scan_early_overlay_sources(spark, d):
     parts = {"bars": (V.bars_daily(spark, d), KEYS), "shipments": (V.ship_daily(spark, d), KEYS),
              "orders": (V.table(spark, d, "orders"), ["o_orderkey"]),
              "lines": (V.table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"])}
-    counted = [assert_unique(df.select(*k), k, name).agg(F.lit(name).alias("source"), F.count(F.lit(1)).alias("rows"))
-               for name, (df, k) in parts.items()]
-    out = counted[0]
-    for c in counted[1:]:
-        out = out.unionByName(c)
-    return out
+    return spark.createDataFrame([(name, count_unique(df, k, name)) for name, (df, k) in parts.items()], "source string, rows long")
 
 
 @query("scan_late_clean_universe", "SELECT trade_date, symbol FROM bars_daily WHERE n > 1", "bars_daily")
@@ -324,8 +319,8 @@ def normalize_membership_changes(spark, d):
 @query("write_partitioned_by_symbol", "SELECT symbol, count(*) AS rows, round(sum(close), 4) AS close_sum FROM panel_supplier GROUP BY 1", "panel_supplier")
 def write_partitioned_by_symbol(spark, d):
     path = fresh(spark)
-    sinks.by_symbol_csv(V.panel_supplier(spark, d).select("trade_date", "symbol", "close"), path)
-    back = spark.read.csv(path, schema="trade_date date, close double, symbol bigint", header=True)
+    written = sinks.by_symbol_csv(V.panel_supplier(spark, d).select("trade_date", "symbol", "close"), path)
+    back = sinks.read_symbol_csv(written, "trade_date date, close double")
     return back.groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"), r(F.sum("close"), 4).alias("close_sum"))
 
 

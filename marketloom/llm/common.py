@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import re
 import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir, staged
+from ..session import open_fs, prepare, shared_dir, staged
 
 __all__ = ["table", "staged", "shared_dir", "fresh_dir", "parallelism", "open_fs", "write_atomic", "columns_of", "salted", "batches"]
 
@@ -31,13 +28,6 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def open_fs(uri: str):
-    """(file system, path) for a folder or file URI; works in tasks, for any store that Arrow reaches."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri)
-
-
 def write_atomic(uri: str, write) -> None:
     """Call ``write(stream)`` on a private name, then move it into place: a retried task replaces the same file."""
     where, path = open_fs(uri)
@@ -48,21 +38,6 @@ def write_atomic(uri: str, write) -> None:
     where.move(private, path)
 
 
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
-
-
-def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package, and send them texts in batches of a few megabytes, however long they are."""
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
-    for key, most in BATCH.items():
-        now = re.match(r"\d+", str(spark.conf.get(key)))
-        if not now or int(now[0]) > most or int(now[0]) <= 0:
-            spark.conf.set(key, str(most))
-
-
 def columns_of(df: DataFrame, **names: str) -> DataFrame:
     """Only the named columns, under fixed names; a clashing extra column never gets in."""
     prepare(df.sparkSession)

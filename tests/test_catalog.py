@@ -89,3 +89,42 @@ def test_shuffled_input_gives_the_same_result(spark):
     a = XS.pct_rank(p, "amount", out="r").select("trade_date", "symbol", "r")
     b = XS.pct_rank(p.orderBy(F.rand(1)), "amount", out="r").select("trade_date", "symbol", "r")
     assert a.exceptAll(b).count() == 0
+
+
+def test_bucket_groups_travel_as_one_number(spark, monkeypatch):
+    from marketloom.catalog import xsection as C
+
+    seen, ic = [], C.XS.daily_ic
+    monkeypatch.setattr(C.XS, "daily_ic", lambda df, *a: (seen.append(dict(df.dtypes)), ic(df, *a))[1])
+    C.bucket_ic(spark, DIR)
+    assert seen == [{"trade_date": "date", "f_value": "double", "next_ret": "double", "g": "tinyint"}]
+
+
+def test_replica_frames_are_asked_for_once(spark):
+    from marketloom.catalog import jobs
+
+    plan = jobs.replica_factors(spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(plan.count(f"{f}(") for f in ("var_samp", "stddev_samp")) == 4  # the covariance is in the first
+
+
+def test_symbol_files_and_their_manifest(spark, tmp_path):
+    from marketloom.sources import sinks
+
+    rows = [(s, d, float(i)) for i, (s, d) in enumerate((s, d) for d in ("2024-01-03", "2024-01-02") for s in ("a", "b c", None))]
+    df = spark.createDataFrame(rows, "symbol string, trade_date string, close double").selectExpr("symbol", "date(trade_date) trade_date", "close")
+    written = sinks.by_symbol_csv(df, f"file://{tmp_path}/csv")
+    assert {(r.symbol, r.rows) for r in written.collect()} == {("a", 2), ("b c", 2), (None, 2)}
+    assert (tmp_path / "csv" / "symbol=a").is_dir() and not [f for f in (tmp_path / "csv").rglob("*") if f.is_file() and f.suffix != ".csv"]
+    back = sinks.read_symbol_csv(written, "trade_date date, close double").collect()
+    assert sorted((str(r.symbol), str(r.trade_date), r.close) for r in back) == sorted((str(s), d, c) for s, d, c in rows)
+    assert next((tmp_path / "csv" / "symbol=a").iterdir()).read_text().splitlines()[0].replace('"', "") == "trade_date,close"
+
+
+def test_keys_are_counted_and_checked_in_parts(spark, monkeypatch):
+    from marketloom.operators import keys
+
+    monkeypatch.setattr(keys, "KEYS_HELD", 100)
+    assert keys.count_unique(spark.range(1000), ["id"]) == 1000
+    assert keys.count_unique(spark.range(0), ["id"]) == 0
+    with pytest.raises(keys.DuplicateKeyError):
+        keys.count_unique(spark.range(1000).selectExpr("id % 999 as id"), ["id"])
