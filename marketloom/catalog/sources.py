@@ -176,7 +176,8 @@ def scan_early_overlay_sources(spark, d):
     parts = {"bars": (V.bars_daily(spark, d), KEYS), "shipments": (V.ship_daily(spark, d), KEYS),
              "orders": (V.table(spark, d, "orders"), ["o_orderkey"]),
              "lines": (V.table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"])}
-    return spark.createDataFrame([(name, count_unique(df, k, name)) for name, (df, k) in parts.items()], "source string, rows long")
+    most = {name: V.table(spark, d, raw).count() for name, raw in (("bars", "events"), ("shipments", "lineitem"))}
+    return spark.createDataFrame([(name, count_unique(df, k, name, most.get(name))) for name, (df, k) in parts.items()], "source string, rows long")
 
 
 @query("scan_late_clean_universe", "SELECT trade_date, symbol FROM bars_daily WHERE n > 1", "bars_daily")
