@@ -19,9 +19,10 @@ from pyspark.sql.window import Window
 from .common import columns_of, parallelism
 from .quality import once
 
-CUT = r"(?<=\n)|(?<=[.,;:!?|] )"
+CUT = r"(?<=[\n ])(?<=\n|[.,;:!?|] )"  # the first test fails fast at nearly every place
 LOWEST = -(1 << 63)
 LONG = 128  # code points of a piece at most
+RANGES = 4  # of ids, a task
 WINDOW, APART = 8, 32  # code points whose hash decides on a cut, and the mean distance of two cuts
 
 
@@ -33,7 +34,7 @@ def bounded(piece: Column) -> Column:
     """
 
     def parts(chars: Column) -> Column:
-        marked = lambda i: F.xxhash64(F.slice(chars, i + 1, WINDOW)).bitwiseAND(APART - 1) == 0
+        marked = lambda i: F.xxhash64(*[F.get(chars, i + j) for j in range(WINDOW)]).bitwiseAND(APART - 1) == 0
         inner = F.filter(F.sequence(F.lit(1), F.size(chars) - WINDOW), marked)
         ends = F.concat(F.array(F.lit(0)), inner, F.array(F.size(chars)))
         upto = lambda e: F.flatten(F.transform(F.slice(e, 1, F.size(e) - 1), lambda a, k: F.sequence(a, F.get(e, k + 1) - 1, F.lit(LONG))))
@@ -43,26 +44,48 @@ def bounded(piece: Column) -> Column:
     return F.when(F.length(piece) > LONG, once(F.split(piece, ""), parts)).otherwise(F.array(piece))
 
 
-def nodes(text: Column) -> Column:
-    """Sections of a text, each as the '.'-joined SHA-256 of its pieces."""
-    hashed = F.transform(F.flatten(F.transform(F.split(text, CUT), bounded)), lambda p: F.concat(F.sha2(p, 256), F.when(p == "\n", "/").otherwise("")))
-    # One piece in eight ends a section, by its last digit.
-    closed = F.array_join(hashed, ".")
-    return F.split(F.regexp_replace(closed, r"(?<=[01])/?\.|/\.", "/"), "/")
+def leaf(part: Column) -> Column:
+    """SHA-256 of a part, then '/' where it ends a section, '.' elsewhere: blank lines do, and one part in eight, by its last digit."""
+    return once(F.sha2(part, 256), lambda h: F.concat(h, F.when((part == "\n") | F.endswith(h, F.lit("0")) | F.endswith(h, F.lit("1")), "/").otherwise(".")))
 
 
-def tree(text: Column) -> Column:
-    """struct(root, parts): 128 bits of the root; of each section ``node=piece piece ...``."""
+def leaves(pieces: Column) -> Column:
+    """Of each piece, the leaves of its bounded parts, joined."""
+    return F.transform(pieces, lambda p: F.when(F.length(p) > LONG, F.array_join(F.transform(bounded(p), leaf), "")).otherwise(leaf(p)))
+
+
+def grown(leaves: Column) -> Column:
+    """The tree over the leaves of a text: struct(root, parts), as of ``tree``."""
 
     def build(sections: Column) -> Column:
-        full = F.transform(sections, lambda s: F.sha2(s, 256))
-        pieces = lambda s: F.regexp_replace(F.regexp_replace(s, r"/$", ""), r"([0-9a-f]{8})[0-9a-f]{56}\.?", "$1 ")
-        return F.struct(
+        short = lambda s: F.array_join(F.transform(F.split(s, r"\."), lambda h: F.substring(h, 1, 8)), " ")
+        return once(F.transform(sections, lambda s: F.sha2(s, 256)), lambda full: F.struct(
             F.substring(F.sha2(F.array_join(full, "."), 256), 1, 32).alias("root"),
-            F.transform(sections, lambda s: F.concat(F.substring(F.sha2(s, 256), 1, 8), F.lit("="), F.rtrim(pieces(s)))).alias("parts"),
-        )
+            F.transform(sections, lambda s, i: F.concat(F.substring(F.get(full, i), 1, 8), F.lit("="), short(s))).alias("parts"),
+        ))
+
+    return once(once(F.array_join(leaves, ""), lambda c: F.split(F.substring(c, F.lit(1), F.length(c) - 1), "/")), build)
+
+
+def tree(text: Column) -> Column:
+    """struct(root, parts): 128 bits of the root; of each section ``node=piece piece ...``."""
+    return grown(leaves(F.split(text, CUT)))
+
+
+def spliced(head: Column, head_leaves: Column, tail: Column, tail_leaves: Column) -> Column:
+    """Leaves of the text ``head + tail``, from those of a text that begins with ``head`` and of one that begins with ``tail``.
+
+    A cut depends on the two code points before it, so cuts within the head stay, and those of the tail from its first one
+    on. Only the pieces at the seam and at the end are hashed anew.
+    """
+
+    def build(p: Column, q: Column) -> Column:
+        seam = F.split(F.concat(F.element_at(p, -1), F.element_at(q, 1)), CUT)
+        # The first cut of the tail also ends the seam, and the empty piece behind it is dropped.
+        longer = F.concat(leaves(once(seam, lambda x: F.slice(x, 1, F.size(x) - 1))), F.slice(tail_leaves, F.lit(2), F.greatest(F.size(q) - 2, F.lit(0))), leaves(F.slice(q, -1, 1)))
+        return F.concat(F.slice(head_leaves, F.lit(1), F.size(p) - 1), F.when(F.size(q) > 1, longer).otherwise(leaves(seam)))
 
-    return once(nodes(text), build)
+    return once(F.split(head, CUT), lambda p: once(F.split(tail, CUT), lambda q: build(p, q)))
 
 
 def fingerprint(t: Column) -> Column:
@@ -71,7 +94,7 @@ def fingerprint(t: Column) -> Column:
 
 def members(parts: Column) -> Column:
     """All nodes below the root, distinct."""
-    return F.array_distinct(F.split(F.array_join(parts, " "), "[ =]"))
+    return F.array_distinct(F.split(F.replace(F.array_join(parts, " "), F.lit("="), F.lit(" ")), " "))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -88,13 +111,15 @@ def differing(a: Column, b: Column) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """Adds the text of the next document in descending id order; after the last comes the first.
+    """Adds ``own``, the leaves and the tree of each text, with the text and the ``own`` of the next document in descending id order.
 
-    Documents are dealt to ranges of ids of even size, one hash exchange of the texts. Each range also gets the
-    first document of the range after it, so no window crosses a range. Null ids come last, and documents with one id
-    follow in the order of their texts' hashes. Only one bound and one first id per range reach the driver.
+    After the last document comes the first. Documents are dealt to ranges of ids of even size, RANGES a task, by one exchange
+    of the texts. Each range also gets the first document of the range after it, so no window crosses a range, and a window holds one range's
+    trees. Null ids come last, and documents with one id follow in the order of their texts' hashes. Only one bound and one
+    first id per range reach the driver.
     """
-    spark, n = docs.sparkSession, parallelism(docs.sparkSession)
+    spark, tasks = docs.sparkSession, parallelism(docs.sparkSession)
+    n = RANGES * tasks
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(LOWEST)).alias("key"))
     cuts = rows.agg(F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], 10 * n).alias("c")).first().c or []
     cuts = sorted(set(cuts))
@@ -102,16 +127,19 @@ def with_next(docs: DataFrame) -> DataFrame:
     ranged = rows.withColumn("range", place)
     tops = {r["range"]: r.top for r in ranged.groupBy("range").agg(F.max("key").alias("top")).collect()}
     used = sorted(tops)
+    own = once(leaves(F.split("text", CUT)), lambda x: F.struct(x.alias("leaves"), grown(x).alias("tree"))).alias("own")
     if not used:
-        return rows.select("doc_id", "text", F.col("text").alias("next_text"))
+        return rows.select("doc_id", "text", own, F.col("text").alias("next_text"), own.alias("next"))
     # The first of each range also ends the range above it; the first of all ends the lowest one.
     follows = {tops[r]: used[(i + 1) % len(used)] for i, r in enumerate(used)}
     to = F.create_map(*[F.lit(x) for pair in follows.items() for x in pair])
     extra = ranged.where(F.col("key").isin(list(follows))).select("doc_id", "text", "key", to[F.col("key")].alias("range"), F.lit(1).alias("guest"))
     both = ranged.select("doc_id", "text", "key", "range", F.lit(0).alias("guest")).unionByName(extra)
-    order = [F.col("guest"), F.col("key").desc(), F.xxhash64("text")]
+    order = [F.col("guest"), F.col("key").desc(), F.col("tie")]
+    # Sorted before the trees are made, so that only texts are sorted.
+    dealt = both.repartitionByRange(tasks, "range").withColumn("tie", F.xxhash64("text")).sortWithinPartitions("range", *order).withColumn("own", own)
     w = Window.partitionBy("range").orderBy(*order)
-    return both.repartitionByRange(n, "range").withColumn("next_text", F.lead("text").over(w)).where("guest = 0").select("doc_id", "text", "next_text")
+    return dealt.withColumns({"next_text": F.lead("text").over(w), "next": F.lead("own").over(w)}).where("guest = 0").select("doc_id", "text", "own", "next_text", "next")
 
 
 def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -124,10 +152,10 @@ def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = with_next(columns_of(docs, doc_id=id_col, text=text_col))
     rows = rows.withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half), F.substring(F.col("next_text"), F.lit(1), half))
-    trees = F.struct(tree(F.col("text")).alias("own"), tree(F.col("edited")).alias("edited"), tree(F.col("next_text")).alias("next"))
-    out = once(trees, lambda t: F.struct(
-        fingerprint(t["own"]).alias("fingerprint"), fingerprint(t["edited"]).alias("edited_fingerprint"),
-        likeness(t["own"], t["edited"]).alias("near_edited"), likeness(t["own"], t["next"]).alias("near_next"),
+    rows = rows.withColumns({"head": F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half), "tail": F.substring(F.col("next_text"), F.lit(1), half)})
+    edited = grown(spliced(F.col("head"), F.col("own.leaves"), F.col("tail"), F.col("next.leaves")))
+    out = once(edited, lambda e: F.struct(
+        fingerprint(F.col("own.tree")).alias("fingerprint"), fingerprint(e).alias("edited_fingerprint"),
+        likeness(F.col("own.tree"), e).alias("near_edited"), likeness(F.col("own.tree"), F.col("next.tree")).alias("near_next"),
     ))
-    return rows.withColumn("edited", edited).select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), out.alias("o")).select("doc_id", "n_chars", "edited_sha256", "o.*")
+    return rows.select("doc_id", "n_chars", F.sha2(F.concat("head", "tail"), 256).alias("edited_sha256"), out.alias("o")).select("doc_id", "n_chars", "edited_sha256", "o.*")

@@ -61,3 +61,28 @@ def test_texts_without_marks_have_bounded_leaves(spark):
     for r in df.select("i", "a", pieces.alias("p"), merkle.likeness(a, b).alias("near")).collect():
         assert "".join(r.p) == r.a and max(map(len, r.p)) <= merkle.LONG and len(r.p) <= len(r.a) / 8
         assert r.i > 1 or 0.3 < r.near < 0.7
+
+
+def test_each_text_is_hashed_once(spark):
+    """The next document's tree comes with its text, and the edited text's is made of the leaves of both."""
+    plan = merkle.compared(spark.range(5).selectExpr("id as doc_id", "cast(id as string) as text"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(text#") == 1
+    assert "split(next_text#" not in plan and "split(concat(substring(text#" not in plan and "split(edited#" not in plan
+
+
+def test_edited_trees_equal_trees_made_anew(spark):
+    """Cuts at, before and behind the seam, by marks, line feeds and window hashes, in texts of any length."""
+    rng = random.Random(9)
+    texts = ["", " ", "\n", ". ", " .", "x.", " y", "\n\n", "a" * 700, "😀é" * 400]
+    texts += ["".join(rng.choices(". \nab,", k=rng.randrange(1, 12))) for _ in range(150)]
+    texts += ["".join(rng.choices(". \n", [1, 1, 1], k=rng.randrange(5)) + rng.choices("abcdefgé😀 ", k=rng.randrange(90, 600)) + rng.choices(". \n", k=rng.randrange(5))) for _ in range(100)]
+    rng.shuffle(texts)
+    rows = []
+    for i, t in enumerate(texts):
+        h = len(t) // 2
+        rows.append((i, t, t[: len(t) - h] + texts[i - 1][:h], texts[i - 1]))
+    df = spark.createDataFrame(rows, "doc_id long, text string, edited string, next string")
+    a, b, c = (merkle.tree(F.col(x)) for x in ("text", "edited", "next"))
+    anew = df.select("doc_id", merkle.fingerprint(a), merkle.fingerprint(b), merkle.likeness(a, b), merkle.likeness(a, c))
+    got = merkle.compared(df).select("doc_id", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, anew.collect()))
