@@ -128,3 +128,18 @@ def test_keys_are_counted_and_checked_in_parts(spark, monkeypatch):
     assert keys.count_unique(spark.range(0), ["id"]) == 0
     with pytest.raises(keys.DuplicateKeyError):
         keys.count_unique(spark.range(1000).selectExpr("id % 999 as id"), ["id"])
+
+
+def test_constituent_features_of_equal_medians(spark, tmp_path):
+    """A date whose concepts share one median has no IC; the other features and dates keep theirs."""
+    lines, parts = tmp_path / "lineitem.parquet", tmp_path / "part.parquet"
+    con = duckdb.connect()
+    con.execute(f"copy (select p % 60 as l_partkey, make_timestamp(2024, 1 + m, 5, 0, 0, 0) as l_shipdate, case when m = 1 then 1.0::double + p % 6 else 2.0::double end as l_quantity, (100.0::double + p * p % 17 + m * (p % 6) * (p % 5)) as l_extendedprice, 0.05::double as l_discount from range(60) a(p), range(4) b(m)) to '{lines}' (format parquet)")
+    con.execute(f"copy (select p as p_partkey, 'b' || (p % 6) as p_brand from range(60) a(p)) to '{parts}' (format parquet)")
+    con.execute(f"create view lineitem as select * from '{lines}'; create view part as select * from '{parts}'")
+    got = {r.factor: r for r in entry.queries()["constituent_feature_ic"](spark, str(tmp_path)).collect()}
+    want = {r[0]: r[1:] for r in con.execute(entry.oracle_sql()["constituent_feature_ic"]).fetchall()}
+    for name in ("median_amount", "dispersion"):
+        assert all(close(a, b) for a, b in zip((got[name].days, got[name].rank_ic_mean, got[name].pearson_ic_mean), want[name]))
+    month = con.execute("select corr(q, r) from (select l_partkey % 6 as b, median(l_quantity) filter (month(l_shipdate) = 2) as q, avg(l_extendedprice / l_quantity) filter (month(l_shipdate) = 3) / avg(l_extendedprice / l_quantity) filter (month(l_shipdate) = 2) as r from lineitem group by 1)").fetchone()[0]
+    assert got["median_turnover"].days == 3 and close(got["median_turnover"].pearson_ic_mean, round(month, 6))
